@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_files_round_trip
@@ -31,6 +34,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op7_simhash_near_dedup": op7_simhash_near_dedup}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": (Path(__file__).parent / "quality_rules_oracle.sql").read_text()}
