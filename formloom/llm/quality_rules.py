@@ -34,7 +34,7 @@ _BLANK = " \t\n\x0b\f\r"
 _SPLIT, _WORD, _SYMBOL = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]", "[#*$%&|<>]"
 _AT = 28  # bits of a window's position
 #: Measures of a text: name, value, smallest distance from the upper quartile at which a text fails.
-MARGIN = {"symbols": 100, "word_length": 20, "dup_lines": 400}
+MARGIN = {"symbols": 100, "word_length": 40, "dup_lines": 400}
 MOST = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 

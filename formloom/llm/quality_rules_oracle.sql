@@ -16,7 +16,7 @@ q AS (SELECT lvl, l, s, measure, max(total) AS total, min(CASE WHEN 4 * upto >=
       FROM (SELECT *, count(*) OVER (PARTITION BY lvl, l, s, measure ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER (PARTITION BY lvl, l, s, measure) AS total FROM lv)
       GROUP BY lvl, l, s, measure),
 x AS (SELECT lvl, l, s, max(total) AS total, max(CASE WHEN measure = 'symbols' THEN q3 + greatest(3 * (q3 - q1), 100) END) AS a,
-             max(CASE WHEN measure = 'word_length' THEN q3 + greatest(3 * (q3 - q1), 20) END) AS b, max(CASE WHEN measure = 'dup_lines' THEN q3 + greatest(3 * (q3 - q1), 400) END) AS c
+             max(CASE WHEN measure = 'word_length' THEN q3 + greatest(3 * (q3 - q1), 40) END) AS b, max(CASE WHEN measure = 'dup_lines' THEN q3 + greatest(3 * (q3 - q1), 400) END) AS c
       FROM q GROUP BY lvl, l, s),
 y AS (SELECT o.l, o.s, CASE WHEN o.total >= 100 THEN o.a WHEN p.total >= 100 THEN p.a ELSE z.a END AS a, CASE WHEN o.total >= 100 THEN o.b WHEN p.total >= 100 THEN p.b ELSE z.b END AS b,
              CASE WHEN o.total >= 100 THEN o.c WHEN p.total >= 100 THEN p.c ELSE z.c END AS c
