@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
 from .quality_rules import quality_rules
+from .secret_scan import secret_spans
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_files_round_trip
@@ -30,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_secret_scan": op4_secret_scan, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
 
 ORACLES: dict[str, str] = {"op10_quality_rules": (Path(__file__).parent / "quality_rules_oracle.sql").read_text()}
