@@ -7,6 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann_forest import nearest
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
@@ -39,10 +40,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_secret_scan": op4_secret_scan, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_secret_scan": op4_secret_scan, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op9_ann_forest": op9_ann_forest, "op10_quality_rules": op10_quality_rules}
 
 ORACLES: dict[str, str] = {"op10_quality_rules": (Path(__file__).parent / "quality_rules_oracle.sql").read_text()}
