@@ -1,24 +1,29 @@
-"""Token ids of whole texts from the tokenizers library, one call per distinct word.
+"""Token ids of whole texts from the tokenizers library, asked once for each distinct word.
 
 The word-level vocabulary drops white space and never joins across it, so a
 text's ids are its words' ids in order.  Texts are cut at ASCII white space
 (any other white space stays inside a "word" and is the library's to drop);
-each distinct word is encoded once by the library and remembered as packed
-little-endian 32-bit ids.
+ASCII letters are lowered first, as the vocabulary's normaliser does, and a
+full stop or comma between a letter and white space is a word of its own, as
+its pattern has it - but not in texts that may hold a special string.  New
+words are encoded by the library and remembered as packed little-endian 32-bit
+ids; plain words go to it as one line, whose ids are parted at word ends.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\n])")
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     #: Words remembered at once; beyond it the memory is emptied (the ids stay the same).
-    MAX_WORDS = 400_000
+    MAX_WORDS = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,6 +34,31 @@ class WordEncoder:
         self.library.no_truncation()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         self.memo: dict[bytes, bytes] = {}
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.marks = {x[:2] for x in self.specials}
+        self.word_end = np.zeros(self.vocab_size, bool)
+        self.word_end[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+
+    def words(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if any(m in data for m in self.marks):
+            return data.split()
+        return _STOP.sub(rb" \1", data.lower()).split()
+
+    def learn(self, new: list[bytes]) -> None:
+        texts = [w.decode() for w in new]
+        plain = [k for k, w in enumerate(texts) if w.isalpha() and w == w.lower()]
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                packed, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.memo.update((new[k], packed[a:b]) for k, a, b in zip(plain, cuts, cuts[1:]))
+            else:
+                plain = []
+        rest = sorted({*range(len(new))}.difference(plain)) if len(plain) < len(new) else []
+        for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            self.memo[new[k]] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed uint32 ids per text; null and empty texts have none."""
@@ -37,11 +67,10 @@ class WordEncoder:
             memo.clear()
         out = []
         for text in texts:
-            words = text.encode().split() if text else []
+            words = self.words(text) if text else []
             new = [w for w in set(words) if w not in memo]
             if new:
-                got = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
+                self.learn(new)
             out.append(b"".join(map(memo.__getitem__, words)))
         return out
 
