@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann_forest import nearest
 from .packing import pack
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import near_duplicates
@@ -40,6 +41,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +53,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_best_fit_packing": op2_best_fit_packing, "op3_token_files": op3_token_files, "op4_secret_scan": op4_secret_scan, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op9_ann_forest": op9_ann_forest, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_files": op3_token_files,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_ann_forest": op9_ann_forest,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLES: dict[str, str] = {"op10_quality_rules": (Path(__file__).parent / "quality_rules_oracle.sql").read_text()}
