@@ -203,3 +203,15 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int =
     lowest = linked.join(lowest, "label").select("fp", "lowest")
     of = classes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return fps.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of smallest id (of rows that share it, any one).
+
+    The ids that stay are found on ids and fingerprints alone; the texts are
+    filtered by a join on the id, which no two rows that stay share.
+    """
+    found = near_duplicates(docs, most, width, seed, id_col, text_col)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    kept = docs.join(keep(first, "representatives"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col])
