@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann_forest import nearest
+from .license_scan import license_scan
 from .packing import pack
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -38,6 +39,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op5_license_scan": op5_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ann_forest": op9_ann_forest,
