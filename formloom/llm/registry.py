@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann_forest import nearest
 from .license_scan import license_scan
 from .packing import pack
+from .piece_codec import encode_pieces
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
@@ -43,6 +44,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ann_forest": op9_ann_forest,
