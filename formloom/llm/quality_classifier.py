@@ -136,7 +136,7 @@ def features(m: Measured) -> list[int]:
     return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in (*m.vocabulary, *begins, *own)})
 
 
-def telling(rows: list[list[int]], target: np.ndarray, sure: float = 4.0) -> np.ndarray:
+def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0) -> np.ndarray:
     """Log-odds of each hash for each class against the first, where above none by ``sure`` standard errors; else zero.
 
     Words found alike in all classes would only drown the few that tell, the
@@ -144,9 +144,9 @@ def telling(rows: list[list[int]], target: np.ndarray, sure: float = 4.0) -> np.
     """
     size, k = 1 << BITS, len(CLASSES)
     n = np.zeros((size, k))
-    for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 1000)):
+    for part in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) // 500))):
         of = np.repeat(part, [len(rows[r]) for r in part])
-        at = np.fromiter((h for r in part for h in rows[r]), np.int64, len(of))
+        at = np.concatenate([rows[r] for r in part])
         n += np.stack([np.bincount(at, target[of, c], size) for c in range(k)], axis=1)
     total = target.sum(axis=0)
     odds = np.log((n + 0.5) / (total - n + 0.5 + 1e-9 * size).clip(0.5))
@@ -155,7 +155,7 @@ def telling(rows: list[list[int]], target: np.ndarray, sure: float = 4.0) -> np.
     return np.where(lift > sure * error, lift, 0.0)
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.05) -> np.ndarray:
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.05) -> np.ndarray:
     """Weights (hash, class) of a multinomial logistic scorer; the last row is the bias. The same rows in the same order give the same weights.
 
     It starts from the telling hashes' log-odds and moves those only.
@@ -167,7 +167,7 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, epochs: int = 10, batc
     weight[:size] = 0.3 * telling(rows, target)
     live = weight.any(axis=1)
     weight[size] = np.log(target.mean(axis=0) + 1e-6)
-    rows = [np.array(r, np.int64)[live[r]] for r in rows]
+    rows = [r[live[r]] for r in rows]
     turns = np.random.default_rng(0)
     for _ in range(epochs):
         for part in np.array_split(turns.permutation(len(rows)), -(-len(rows) // batch)):
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
     share, vote, post = em(patterns, counts)
     posterior = dict(zip(patterns.tolist(), post))
 
-    drawn = chosen.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(train_rows)
+    drawn = chosen.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(train_rows).repartition(16)
 
     def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = [Measured(t) for t in batch.column(0).to_pylist()]
@@ -234,9 +234,11 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
         yield pa.RecordBatch.from_arrays([pa.array([votes(x) | y << shift for x, y in zip(m, label, strict=True)], pa.int64()), pa.array([features(x) for x in m], pa.list_(pa.int32()))], names=["pattern", "at"])
 
     train = map_rows(drawn, ["text", "label"], hashed, "pattern bigint, at array<int>").toArrow()
-    rows = train.column("at").to_pylist()
+    lists = train.column("at").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends, ends[1:])]
     target = np.array([posterior[p] for p in train.column("pattern").to_pylist()]).reshape(-1, len(CLASSES))
-    order = sorted(range(len(rows)), key=rows.__getitem__)  # whatever the order they came in
+    order = sorted(range(len(rows)), key=lambda k: rows[k].tobytes())  # whatever the order they came in
     return Scorer(fit_linear([rows[k] for k in order], target[order])), {"share": share, "vote": vote}
 
 
