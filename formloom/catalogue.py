@@ -1,4 +1,8 @@
-"""The catalogue of queries: each operator family on the driver's tables, with its SQL oracle."""
+"""The catalogue of queries: each operator family on the driver's tables, with its SQL oracle.
+
+Orders are submissions, their line items a repeat; customers, parts and nations
+are pre-loaded data; events are an incoming stream; documents are text answers.
+"""
 
 from __future__ import annotations
 
@@ -17,5 +21,21 @@ class Query:
 CATALOGUE: dict[str, Query] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+def query(oracle: str | None = None):
+    """Registers a function of (spark, sf_dir) under its own name."""
+
+    def register(build):
+        CATALOGUE[build.__name__] = Query(build, oracle)
+        return build
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import queries_data, queries_forms  # noqa: E402
+
+flagship = queries_data.priority_share
+__all__ = ["CATALOGUE", "Query", "flagship", "queries_data", "queries_forms", "query", "table"]

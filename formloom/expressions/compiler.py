@@ -38,7 +38,7 @@ class Value:
         if self.kind == DATE:
             return F.datediff(self.col, F.lit("1970-01-01").cast("date")).cast("double")
         if self.kind == DATETIME:
-            return dates.decimal_date_time(self.col)
+            return dates.decimal_date_time(self.datetime())
         return self.col.try_cast("double")
 
     def string(self) -> Column:
@@ -58,7 +58,7 @@ class Value:
         return self.col if self.kind == DATE else dates.to_date(self.string()) if self.kind == STRING else self.col.try_cast("date")
 
     def datetime(self) -> Column:
-        return self.col if self.kind == DATETIME else dates.to_timestamp(self.string()) if self.kind == STRING else self.col.try_cast("timestamp")
+        return dates.to_timestamp(self.string()) if self.kind == STRING else self.col.try_cast("timestamp")
 
 
 @dataclass(frozen=True)

@@ -21,8 +21,8 @@ from ..functions.text import empty_text
 def first_by_key(source: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
     """One row a key: the first in source order; blank keys match nothing."""
     rows = source.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    rank = F.struct(*[F.col(o) for o in order]) if order else F.monotonically_increasing_id()
-    picked = F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), rank)
+    rows = rows.withColumn("__at", F.struct(*[F.col(o) for o in order]) if order else F.monotonically_increasing_id())
+    picked = F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), "__at")
     return rows.groupBy(F.col(key).cast("string").alias("__key")).agg(picked.alias("__row")).select("__key", "__row.*")
 
 
