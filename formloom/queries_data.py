@@ -130,9 +130,9 @@ def pulldata_lookup(spark, d):
     return columns(df, scope, ["o_orderkey", "customer", "balance", "segment"], nation=nation)
 
 
-@query("SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS value, p_name || ' ' || p_brand AS label FROM part WHERE contains(p_name, 'e') OR contains(p_type, 'STEEL')")
+@query("SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS value, p_name || ' ' || p_brand AS label FROM part WHERE contains(p_name, 'e') OR contains(p_type, 'ALL')")
 def search_contains(spark, d):
-    return lookup.search(table(spark, d, "part"), "p_partkey", "p_name,p_brand", "contains", "p_name", "e").unionByName(lookup.search(table(spark, d, "part"), "p_partkey", "p_name,p_brand", "contains", "p_type", "STEEL")).distinct()
+    return lookup.search(table(spark, d, "part"), "p_partkey", "p_name,p_brand", "contains", "p_name", "e").unionByName(lookup.search(table(spark, d, "part"), "p_partkey", "p_name,p_brand", "contains", "p_type", "ALL")).distinct()
 
 
 @query("SELECT DISTINCT p_brand AS value, p_type AS label FROM part WHERE starts_with(p_brand, 'Brand#1')")

@@ -1 +1,271 @@
+"""Catalogue: forms, row queries, patches, rules, translations and texts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalogue import query, table
+from .convert import common
+from .expressions.compiler import compile_expr
+from .functions import text
+from .operators import form as forms
+from .plans import patches, rows
+from .rules import form_rules, translation_rules
+from .sources.sheets import sheet_frame
+
+#: A form over orders: groups, relevance, a default, chained calculations, constraints, required fields.
+ORDER_FORM = [
+    {"type": "integer", "name": "o_custkey", "constraint": ". > 100", "constraint message": "small key"},
+    {"type": "text", "name": "o_orderstatus", "constraint": "selected('F O', .)", "constraint message": "neither F nor O"},
+    {"type": "begin group", "name": "money", "relevance": "${o_orderstatus} != 'P'"},
+    {"type": "decimal", "name": "o_totalprice", "constraint": ". >= 1000 and . <= 400000"},
+    {"type": "calculate", "name": "net", "calculation": "${o_totalprice} div 1.19"},
+    {"type": "calculate", "name": "band", "calculation": "if(${net} > 100000, 'high', 'low')", "relevance": "${net} > 20000"},
+    {"type": "end group", "name": "money"},
+    {"type": "text", "name": "comment", "required": "yes", "required message": "say why", "relevance": "${band} = 'high'", "default": ""},
+    {"type": "text", "name": "o_orderpriority", "label": "Priority"},
+]
+
+
+def order_form():
+    return forms.Form([dict(r) for r in ORDER_FORM], settings={"instance_name": "concat(${o_orderstatus}, '-', ${o_custkey})"})
+
+
+def orders(spark, d):
+    return table(spark, d, "orders").withColumn("comment", F.when(F.col("o_orderkey") % 3 == 0, "ok").otherwise(F.lit(None)))
+
+
+_EVALUATED = """
+WITH e AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderstatus <> 'P' AS money, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'ok' END AS said FROM orders),
+n AS (SELECT *, CASE WHEN money THEN price END AS total, CASE WHEN money THEN price / 1.19::DOUBLE END AS net FROM e),
+b AS (SELECT *, coalesce(net > 20000, false) AND money AS shown, CASE WHEN coalesce(net > 20000, false) AND money THEN CASE WHEN net > 100000 THEN 'high' ELSE 'low' END END AS band FROM n)
+"""
+
+
+@query(_EVALUATED + "SELECT o_orderkey, o_orderstatus || '-' || o_custkey AS name, total, round(net, 6) AS net, band, CASE WHEN band = 'high' THEN said END AS comment FROM b")
+def form_evaluate(spark, d):
+    f = order_form()
+    scope = f.scope()
+    out = forms.evaluate(f, orders(spark, d), scope)
+    return out.select("o_orderkey", forms.instance_name(f, scope).alias("name"), F.col("o_totalprice").alias("total"), F.round("net", 6).alias("net"), "band", "comment")
+
+
+@query(_EVALUATED + """
+SELECT o_orderkey, 'o_custkey' AS field, 'constraint' AS rule, 'small key' AS message FROM b WHERE o_custkey <= 100
+UNION ALL SELECT o_orderkey, 'o_orderstatus', 'constraint', 'neither F nor O' FROM b WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, 'o_totalprice', 'constraint', NULL FROM b WHERE total IS NOT NULL AND NOT (total BETWEEN 1000 AND 400000)
+UNION ALL SELECT o_orderkey, 'comment', 'required', 'say why' FROM b WHERE band = 'high' AND said IS NULL""")
+def relevance_constraint_violations(spark, d):
+    f = order_form()
+    scope = f.scope()
+    return forms.violations(f, forms.evaluate(f, orders(spark, d), scope), "o_orderkey", scope)
+
+
+@query("SELECT o_orderkey, 'Order of ' || o_orderpriority || ' by ' || o_custkey || '!' AS label FROM orders")
+def label_interpolation(spark, d):
+    f = order_form()
+    return table(spark, d, "orders").select("o_orderkey", forms.interpolate("Order of ${o_orderpriority} by ${o_custkey}!", f.scope()).alias("label"))
+
+
+@query("""
+SELECT user_id AS "KEY", count(*) FILTER (WHERE (event_type = 'click' AND value < 20) OR (event_type = 'view' AND value < 5)) AS n_fast,
+       coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (WHERE (event_type = 'click' AND value < 20) OR (event_type = 'view' AND value < 5)), '') AS fast_fields FROM events GROUP BY 1""")
+def speed_violations(spark, d):
+    f = forms.Form([{"type": "text", "name": "click", "minimum_seconds": "20"}, {"type": "text", "name": "view", "minimum_seconds": "5"}, {"type": "text", "name": "error"}])
+    timings = table(spark, d, "events").select(F.col("user_id").alias("KEY"), F.col("event_type").alias("field"), F.col("value").alias("seconds"), F.col("event_id").alias("seq"))
+    return forms.speed_violations(timings, f)
+
+
+# ---- row queries: parts as a sheet
+
+
+def part_sheet(spark, d):
+    return table(spark, d, "part").select((F.col("p_partkey") + 1).cast("int").alias("excel_row"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("label"), F.concat(F.lower("p_brand"), F.lit(" de")).alias("label:de"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).alias("hint"))
+
+
+@query("""
+WITH s AS (SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row, p_type AS type, p_name AS name, p_brand AS label, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END AS hint FROM part),
+f AS (SELECT * FROM s WHERE type IN ('ECONOMY', 'STANDARD', 'PROMO') AND (hint <> '' OR regexp_matches(name, '(?i)BLUE')) AND NOT label = 'Brand#2' AND excel_row BETWEEN 20 AND 1500)
+SELECT excel_row, name, label, (SELECT count(*) FROM f) > 70 AS more_results FROM f ORDER BY label DESC, name, excel_row LIMIT 50 OFFSET 20""")
+def row_query_page(spark, d):
+    where = {"and": [{"in": ["type", ["ECONOMY", "STANDARD", "PROMO"]]}, {"or": [{"has": ["hint"]}, {"regex": ["name", "(?i)BLUE"]}]}, {"not": {"eq": ["label", "Brand#2"]}}, {"between": ["excel_row", 20, 1500, "inclusive"]}]}
+    return rows.query(part_sheet(spark, d), where, [("label", "desc"), ("name", "asc")], 20, 50, ["excel_row", "name", "label"])
+
+
+@query("""
+WITH f AS (SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row, lower(p_brand) || ' ' || lower(p_brand) || ' de' AS labels_concat_lower FROM part WHERE regexp_matches(p_name, 'brand#2[35] de') OR regexp_matches(lower(p_brand) || ' ' || lower(p_brand) || ' de', 'brand#2[35] de'))
+SELECT excel_row, labels_concat_lower, (SELECT count(*) FROM f) > 100 AS more_results FROM f ORDER BY excel_row LIMIT 100""")
+def row_query_fulltext(spark, d):
+    return rows.query(part_sheet(spark, d), {"fulltext": ["brand#2[35] de"]}, columns=["excel_row", "labels_concat_lower"])
+
+
+# ---- dependencies and markers: a form of nested blocks
+
+NESTED = [
+    {"type": "text", "name": "a"},
+    {"type": "begin group", "name": "g1", "relevance": "${a} = 'x'"},
+    {"type": "integer", "name": "b", "constraint": ". > 0"},
+    {"type": "begin repeat", "name": "r", "relevance": "${b} > 1"},
+    {"type": "decimal", "name": "c", "calculation": "${b} * 2 + ${ a }"},
+    {"type": "end repeat", "name": "r"},
+    {"type": "calculate", "name": "d", "calculation": "sum(${c}) + ${e}"},
+    {"type": "end group", "name": "g1"},
+    {"type": "calculate", "name": "e", "calculation": "${d} + ${missing}", "relevance": "selected(${a}, 'y')"},
+    {"type": "select_one yn", "name": "f", "choice_filter": "k = ${a}"},
+    {"type": "select_multiple gone", "name": "a", "label": "twice **bold**"},
+    {"type": "text", "name": "2nd", "label": "not safe"},
+]
+_EDGES = "edges(source, target, slot) AS (VALUES ('g1', 'a', 'relevance'), ('r', 'b', 'relevance'), ('c', 'b', 'calculation'), ('c', 'a', 'calculation'), ('d', 'c', 'calculation'), ('d', 'e', 'calculation'), ('e', 'd', 'calculation'), ('e', 'missing', 'calculation'), ('e', 'a', 'relevance'), ('f', 'a', 'choice_filter'))"
+
+
+def nested_sheet(spark):
+    return sheet_frame(spark, [r | {"excel_row": k + 2} for k, r in enumerate(NESTED)])
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
+def dependency_edges(spark, d):
+    return rows.refs(nested_sheet(spark))
+
+
+@query(f"""
+WITH RECURSIVE {_EDGES}, reach(seed, node, depth) AS (SELECT source, source, 0 FROM edges UNION SELECT seed, target, depth + 1 FROM reach JOIN edges ON source = node WHERE depth < 6)
+SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM reach WHERE depth > 0 AND seed IN ('d', 'e', 'r') AND seed <> node GROUP BY 1, 2""")
+def dependency_closure(spark, d):
+    edges = rows.refs(nested_sheet(spark))
+    return rows.closure(edges, nested_sheet(spark).where("name in ('d', 'e', 'r')").select("name"))
+
+
+@query(f"""
+WITH RECURSIVE {_EDGES}, reach(seed, node, depth) AS (SELECT target, target, 0 FROM edges UNION SELECT seed, source, depth + 1 FROM reach JOIN edges ON target = node WHERE depth < 2)
+SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM reach WHERE depth > 0 AND seed IN ('a', 'b') AND seed <> node GROUP BY 1, 2""")
+def dependency_closure_in(spark, d):
+    sheet = nested_sheet(spark)
+    return rows.closure(rows.refs(sheet), sheet.where("name in ('a', 'b')").select("name"), max_depth=2, reverse=True)
+
+
+@query("SELECT * FROM (VALUES ('g1', 'group', 3, 9, 1), ('r', 'repeat', 5, 7, 2)) AS t(name, kind, begin_row, end_row, depth)")
+def group_markers(spark, d):
+    return rows.marker_pairs(nested_sheet(spark)).select("name", "kind", "begin_row", "end_row", F.col("depth").cast("int").alias("depth"))
+
+
+@query("""SELECT * FROM (VALUES (4, 'g1'), (5, 'g1'), (6, 'g1'), (6, 'r'), (7, 'g1'), (8, 'g1')) AS t(excel_row, "group")""")
+def groups_enclosing(spark, d):
+    sheet = nested_sheet(spark)
+    return rows.enclosing_groups(sheet, sheet).select("excel_row", "group")
+
+
+@query("""
+SELECT * FROM (VALUES ('VL01', '2', 'name used more than once: a'), ('VL02', '13', 'name has other characters: 2nd'), ('VL04', '12', 'no such list: gone'), ('VL05', 'empty', 'no row with value and label'), ('VL06', 'e', 'calculation refers to unknown missing'),
+  ('VL08', '12', 'Markdown in a label; use HTML'), ('VL09', 'settings', 'form_id must begin with a letter and hold letters, digits, _ and - only'), ('VL11', 'yn', 'value used more than once: y'), ('VL24', '6', 'calculation: a field''s name has no spaces')) AS t(rule, location, message)""")
+def validate_form(spark, d):
+    choices = sheet_frame(spark, [{"excel_row": k + 2, "list_name": n, "value": v, "label": lab} for k, (n, v, lab) in enumerate([("yn", "y", "Yes"), ("yn", "n", "No"), ("yn", "y", "Yes again"), ("empty", "1", None)])])
+    settings = sheet_frame(spark, [{"form_title": "T", "form_id": "1x"}])
+    return form_rules.validate(nested_sheet(spark), choices, settings).select("rule", "location", "message")
+
+
+@query("""
+SELECT 'VL01' AS rule, l_orderkey || '/' || l_linenumber AS location, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'VL04', CAST(o_orderkey AS VARCHAR), 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def validate_duplicates_orphans(spark, d):
+    items, heads = table(spark, d, "lineitem"), table(spark, d, "orders")
+    twice = items.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    orphans = heads.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    return twice.select(F.lit("VL01").alias("rule"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("location"), "n").unionByName(orphans.select(F.lit("VL04").alias("rule"), F.col("o_orderkey").cast("string").alias("location"), F.lit(0).cast("bigint").alias("n")))
+
+
+@query("SELECT list_name, kept_name FROM (VALUES ('yn', 'yn'), ('yesno', 'yn'), ('order', 'order'), ('case', 'case')) AS t(list_name, kept_name)")
+def choice_lists_shared(spark, d):
+    data = [("yn", "y", "Yes"), ("yn", "n", "No"), ("yesno", "y", "Yes"), ("yesno", "n", "No"), ("order", "n", "No"), ("order", "y", "Yes"), ("case", "y", "yes"), ("case", "n", "No")]
+    return common.list_prints(sheet_frame(spark, [{"excel_row": k + 2, "list_name": n, "value": v, "label": x} for k, (n, v, x) in enumerate(data)])).select("list_name", "kept_name")
+
+
+@query("""
+WITH x AS (SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace(n_name || '-' || (n_nationkey % 3), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^[A-Z]+_', '') AS s FROM nation),
+y AS (SELECT n_nationkey, 'q_' || s AS s, row_number() OVER (PARTITION BY s ORDER BY n_nationkey) AS n FROM x)
+SELECT n_nationkey, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS safe_name FROM y""")
+def safe_names(spark, d):
+    df = table(spark, d, "nation").select("n_nationkey", F.regexp_replace(F.concat_ws("-", "n_name", (F.col("n_nationkey") % 3).cast("string")), r"^[A-Z_ -]+", "").alias("raw"))
+    return common.safe_name_column(df, "raw", "n_nationkey").select("n_nationkey", "safe_name")
+
+
+# ---- patches: nations as a sheet
+
+
+@query("""
+WITH s AS (SELECT CAST(n_nationkey + 2 AS DOUBLE) AS pos, n_name AS name, CAST(n_regionkey AS VARCHAR) AS label, NULL AS note FROM nation),
+e AS (SELECT pos, CASE WHEN pos = 5 THEN 'EDITED' ELSE name END AS name, CASE WHEN pos = 5 THEN NULL ELSE label END AS label, CASE WHEN pos = 6 THEN 'seen' END AS note FROM s WHERE pos NOT IN (4, 10)
+      UNION ALL VALUES (6.5, 'NEW', '9', NULL), (99.0, 'LAST', NULL, 'end'))
+SELECT CAST(row_number() OVER (ORDER BY pos) + 1 AS INTEGER) AS excel_row, name, label, note FROM e""")
+def patch_apply(spark, d):
+    sheet = table(spark, d, "nation").select((F.col("n_nationkey") + 2).cast("int").alias("excel_row"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("label"))
+    batch = [
+        {"op": "delete_row", "sheet": "choices", "excel_row": 4}, {"op": "edit_row", "sheet": "choices", "excel_row": 5, "values": {"name": "EDITED", "label": None}}, {"op": "add_row", "sheet": "choices", "insert_before_excel_row": 7, "values": {"name": "NEW", "label": "9"}},
+        {"op": "delete_row", "sheet": "choices", "excel_row": 10}, {"op": "add_row", "sheet": "choices", "values": {"name": "LAST", "note": "end"}}, {"op": "edit_row", "sheet": "choices", "excel_row": 6, "values": {"note": "seen"}},
+    ]
+    new, _ = patches.apply(patches.Sheets(nested_sheet(spark), sheet, {}), batch)
+    return new.choices
+
+
+@query("SELECT name, calculation, relevance FROM (VALUES ('c', '${size} * 2 + ${a}', NULL), ('d', 'sum(${c}) + ${e}', NULL), ('e', '${d} + ${missing}', 'selected(${a}, ''y'')'), ('r', NULL, '${size} > 1'), ('g1', NULL, '${a} = ''x'''), ('size', NULL, NULL)) AS t(name, calculation, relevance)")
+def patch_rename(spark, d):
+    new, _ = patches.apply(patches.Sheets(nested_sheet(spark), nested_sheet(spark), {}), [{"op": "rename", "kind": "field", "old_name": "b", "new_name": "size"}])
+    return new.survey.where("name in ('c', 'd', 'e', 'g1', 'size') or (name = 'r' and type like 'begin%')").where("type not like 'end%'").select("name", F.regexp_replace("calculation", r"\$\{ a \}", "\\${a}").alias("calculation"), "relevance")
+
+
+# ---- translations and texts
+
+
+@query("""
+SELECT 'label:de' AS "column", count(*) FILTER (WHERE p_brand <> '') AS n_default, count(*) FILTER (WHERE p_size % 7 <> 0) AS n_translated FROM part
+UNION ALL SELECT 'hint:de', count(*) FILTER (WHERE p_size > 25), count(*) FILTER (WHERE p_size > 30) FROM part""")
+def translation_parity(spark, d):
+    return translation_rules.parity(_translated(spark, d))
+
+
+def _translated(spark, d):
+    p = table(spark, d, "part")
+    size = F.col("p_size")
+    return p.select((F.col("p_partkey") + 1).cast("int").alias("excel_row"), F.concat(F.col("p_brand"), F.lit(" ${f} <b>x</b>")).alias("label"), F.when(size % 7 != 0, F.concat(F.upper("p_brand"), F.when(size % 5 == 0, F.lit(" <b>x</b>")).otherwise(F.lit(" ${f} <b>x</b>")))).alias("label:de"),
+                    F.when(size > 25, F.lit("how big")).alias("hint"), F.when(size > 30, F.lit("wie gross")).alias("hint:de"))
+
+
+@query("SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row, 'label:de' AS \"column\", '${f}' AS lost FROM part WHERE p_size % 7 <> 0 AND p_size % 5 = 0")
+def translation_tokens(spark, d):
+    return translation_rules.tokens_kept(_translated(spark, d)).select("excel_row", "column", F.array_join("lost", ",").alias("lost"))
+
+
+@query("""
+SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row, 'label' AS "column", 'de' AS language FROM part WHERE p_size % 7 = 0 UNION ALL SELECT CAST(p_partkey + 1 AS INTEGER), 'hint', 'de' FROM part WHERE p_size > 25 AND p_size <= 30""")
+def translation_missing(spark, d):
+    return translation_rules.missing(_translated(spark, d))
+
+
+@query("""
+SELECT 'de' AS language, p_brand || ' ${f} <b>x</b>' AS source, CAST(count(DISTINCT p_size % 5 = 0) AS INTEGER) AS n FROM part WHERE p_size % 7 <> 0 GROUP BY p_brand HAVING count(DISTINCT p_size % 5 = 0) > 1""")
+def glossary_conflicts(spark, d):
+    return translation_rules.glossary_conflicts(_translated(spark, d)).select("language", "source", F.size("targets").alias("n"))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages""")
+def html_plain_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
+
+
+@query(r"""
+SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)\s+on[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')) AS n_chars FROM pages""")
+def html_sanitize(spark, d):
+    s = F.regexp_replace("html", r"(?is)<script\b[^>]*>.*?</script\s*>", "")
+    return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(s, r"(?is)\s+on[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")).cast("bigint").alias("n_chars"))
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
+def language_inventory(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"))
+
+
+@query("SELECT o_orderkey, true AS adult, 3 AS n FROM orders WHERE o_totalprice > 300000")
+def filtered_expression(spark, d):
+    scope = order_form().scope()
+    df = table(spark, d, "orders").where(compile_expr("${o_totalprice} > 300000", scope).truth())
+    return df.select("o_orderkey", compile_expr("not(${o_custkey} < 0)", scope).col.alias("adult"), F.lit(3).alias("n"))
