@@ -10,9 +10,10 @@ those only at nodes whose characters since then still begin a piece.  Whenever
 the backpointer paths of all such nodes run through one boundary, the ids up
 to it are committed and the nodes before it are dropped.
 
-No piece has a space mark behind another character, so every path runs through
-the boundary before a space: the text is committed space by space, and a
-committed part, once encoded, is remembered.
+No piece has a space mark behind another character, a line break anywhere, or a
+stop behind a letter (the codec asks the vocabulary which stops that holds for),
+so every path runs through the boundaries there: the text is committed part by
+part, and a committed part, once encoded, is remembered.
 
 Characters the vocabulary lacks become byte pieces.
 
@@ -87,7 +88,7 @@ class PieceModel:
         """Whether the merges over a and b alone leave exactly a and b."""
         got = self.known.get((a, b))
         if got is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             got = self.known[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -147,12 +148,15 @@ def viterbi(model: PieceModel, text: str, commit) -> int:
 
 
 class PieceCodec:
-    MAX_PARTS, LONGEST_PART = 800_000, 40
+    MAX_PARTS, LONGEST_PART = 1_200_000, 40
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.memo: dict[str, bytes] = {}
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        letter = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+        stops = "".join(c for c in ".,;:!?" if not any(re.search(letter + re.escape(c), p) for p in self.model.piece))
+        line = "" if any("\n" in p for p in self.model.piece) else "\n"
+        self.parts = re.compile((f"{line}|" if line else "") + f"{MARK}*{letter}+(?=[{MARK}{re.escape(stops)}{line}]|\\Z)|{MARK}*[^{MARK}{line}]+|{MARK}+")
 
     def learn(self, part: str) -> bytes:
         out = array("I")
