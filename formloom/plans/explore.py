@@ -112,8 +112,8 @@ def binned(df: DataFrame, c: Column, bins: int, name: str) -> DataFrame:
     """df with the bin 1..bins of c; the range comes from one aggregation, joined as a single row."""
     ends = df.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
     step = (F.col("__hi") - F.col("__lo")) / bins
-    at = F.least(F.floor(F.try_divide(c - F.col("__lo"), step)) + 1, F.lit(bins))
-    return df.join(F.broadcast(ends), F.lit(True)).withColumn(name, F.when(c.isNotNull(), F.coalesce(at, F.lit(1)).cast("int"))).drop("__lo", "__hi")
+    at = F.least(F.coalesce(F.floor(F.try_divide(c - F.col("__lo"), step)) + 1, F.lit(1)), F.lit(bins))
+    return df.join(F.broadcast(ends), F.lit(True)).withColumn(name, F.when(c.isNotNull(), at.cast("int"))).drop("__lo", "__hi")
 
 
 def categories(df: DataFrame, c: Column) -> DataFrame:

@@ -16,7 +16,7 @@ LINES = {"l_quantity": "number", "l_extendedprice": "number", "l_discount": "num
 def submissions(spark, d):
     """Orders with their line items as the array ``lines``, in the order of line, part and supplier."""
     items = table(spark, d, "lineitem")
-    return repeats.nest(table(spark, d, "orders"), items, "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], {m: m for m in LINES}, "lines")
+    return repeats.nest(table(spark, d, "orders"), items, "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], {m: m for m in LINES}, "lines")
 
 
 def over_lines(**more):
@@ -64,7 +64,7 @@ def repeat_join_if(spark, d):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+WITH x AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
 p AS (SELECT l_orderkey, max(l_partkey) FILTER (WHERE i = 1) AS a, max(l_partkey) FILTER (WHERE i = 2) AS b, max(l_partkey) FILTER (WHERE i = 40) AS c FROM x GROUP BY 1)
 SELECT o_orderkey, CAST(a AS BIGINT) AS first_part, CAST(coalesce(b, a) AS BIGINT) AS second_part, CAST(coalesce(c, a) AS BIGINT) AS fortieth_part FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""")
 def repeat_indexed(spark, d):
@@ -74,14 +74,14 @@ def repeat_indexed(spark, d):
 
 @query("""
 SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS "index", l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)
 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def repeat_long_form(spark, d):
     return repeats.long_form(submissions(spark, d), "o_orderkey", "lines").select("o_orderkey", "index", "l_quantity")
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+WITH x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
 SELECT o_orderkey, max(l_quantity) FILTER (WHERE i = 1) AS l_quantity_1, max(l_quantity) FILTER (WHERE i = 2) AS l_quantity_2, max(l_quantity) FILTER (WHERE i = 3) AS l_quantity_3
 FROM orders LEFT JOIN x ON l_orderkey = o_orderkey GROUP BY 1""")
 def repeat_wide_form(spark, d):
@@ -89,7 +89,7 @@ def repeat_wide_form(spark, d):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_extendedprice AS v, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+WITH x AS (SELECT l_orderkey, l_extendedprice AS v, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
 a AS (SELECT l_orderkey, i, q, row_number() OVER (PARTITION BY l_orderkey ORDER BY v DESC, i) AS r FROM x),
 b AS (SELECT l_orderkey, i, row_number() OVER (PARTITION BY l_orderkey ORDER BY v DESC, i) AS r FROM x WHERE q < 25)
 SELECT o_orderkey, CAST(coalesce(max(a.r) FILTER (WHERE a.i = 1), 999) AS DOUBLE) AS rank_first, CAST(coalesce(max(b.r) FILTER (WHERE b.i = 2), 999) AS DOUBLE) AS rank_second_small
@@ -99,16 +99,16 @@ def rank_index_if(spark, d):
 
 
 @query("""
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
 SELECT l_orderkey, CAST(i AS INTEGER) AS "index", CAST(CASE WHEN l_quantity < 25 THEN row_number() OVER (PARTITION BY l_orderkey, l_quantity < 25 ORDER BY l_extendedprice DESC, i) ELSE 999 END AS INTEGER) AS rank FROM x""")
 def rank_long_form(spark, d):
-    rows = repeats.numbered(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+    rows = repeats.numbered(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     rank = repeats.rank_long(rows, "l_orderkey", F.col("l_extendedprice"), F.col("index"), F.col("l_quantity") < 25)
     return rows.select("l_orderkey", "index", rank.alias("rank"))
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+WITH x AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
 SELECT o_orderkey, CAST(least(2, count(i)) AS INTEGER) AS n_filled, 2 AS n FROM orders LEFT JOIN x ON l_orderkey = o_orderkey GROUP BY 1""")
 def repeat_count_fixed(spark, d):
     rows = repeats.counted(F.col("lines"), F.lit(2))
@@ -360,10 +360,10 @@ SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN 'none' END AS
 
 
 @query("""
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
 SELECT l_orderkey, max(l_partkey) FILTER (WHERE i = 1) AS part_1, max(l_partkey) FILTER (WHERE i = 2) AS part_2, max(l_quantity) FILTER (WHERE i = 1) AS qty_1, max(l_quantity) FILTER (WHERE i = 2) AS qty_2 FROM x GROUP BY 1""")
 def publish_wide(spark, d):
-    rows = repeats.numbered(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+    rows = repeats.numbered(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return repeats.pivot_wide(rows, "l_orderkey", F.col("index"), {"part": "l_partkey", "qty": "l_quantity"}, 2)
 
 
