@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int =
     linked = labels.join(classes, F.col("node") == F.col("fp")).select("fp", "label", "first")
     lowest = linked.groupBy("label").agg(F.min("first").alias("lowest"))
     lowest = linked.join(lowest, "label").select("fp", "lowest")
-    of = classes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
+    # stored, so that the join below stands alone and a fingerprint shared by very many rows can be split at run time
+    of = keep(classes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "components")
     return fps.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
