@@ -112,7 +112,8 @@ def limits(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
 
 def judged(counts: DataFrame, min_rows: int = 100) -> DataFrame:
     """counts with base_failed and kept; counts must be a stored table, it is read twice."""
-    most = limits(sketches(counts), min_rows)
+    # stored first: its size is then known, and where it is small the texts' rows need no shuffle
+    most = keep(limits(sketches(counts), min_rows), "limits")
     joined = counts.join(most, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     over = None
