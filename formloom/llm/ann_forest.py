@@ -55,7 +55,7 @@ class Forest:
         self.planes, self.cuts, self.children, self.roots, self.n_leaves = [], [], [], [], 0
         for _ in range(trees):
             self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, rng))
-        self.planes = np.array(self.planes).reshape(len(self.cuts), -1)
+        self.planes = np.array(self.planes).reshape(len(self.cuts), sample.shape[1])
 
     def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, rng) -> int:
         if len(rows) > leaf:
