@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalogue import query, table
 from .expressions.compiler import compile_expr, scope_of
 from .functions import dates, geo, lists
-from .operators import choices, lookup, repeats
+from .operators import choices, lookup, repeat_plans, repeats
 from .plans import explore, publish
 
 LINES = {"l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_partkey": "number", "l_linenumber": "number"}
@@ -27,14 +27,20 @@ def columns(df, scope, key, **expressions):
     return df.select(*([key] if isinstance(key, str) else key), *[compile_expr(e, scope).col.alias(n) for n, e in expressions.items()])
 
 
+def aggregated(spark, d, **expressions):
+    """Repeat aggregates straight from the line items, without nesting them."""
+    orders, scope = table(spark, d, "orders"), over_lines()
+    return repeat_plans.aggregate(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "lines", LINES, scope, expressions)
+
+
 @query("""
 WITH c AS (SELECT o_orderkey, o_orderpriority, coalesce(sum(l_extendedprice) FILTER (WHERE l_quantity >= 25), 0) AS big
            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice BETWEEN 50000 AND 400000 GROUP BY 1, 2)
 SELECT o_orderpriority AS category, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 6) AS percent FROM c WHERE big > 40000 GROUP BY 1""")
 def priority_share(spark, d):
-    scope = over_lines()
-    df = submissions(spark, d).where(explore.condition(F.col("o_totalprice"), '("50000","400000")'))
-    kept = df.where(compile_expr("sum-if(${l_extendedprice}, ${l_quantity} >= 25) > 40000", scope).truth())
+    df = table(spark, d, "orders").where(explore.condition(F.col("o_totalprice"), '("50000","400000")'))
+    e = {"o_orderpriority": "${o_orderpriority}", "big": "sum-if(${l_extendedprice}, ${l_quantity} >= 25) > 40000"}
+    kept = repeat_plans.aggregate(df, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "lines", LINES, over_lines(), e).where("big")
     out = explore.compile_summary(explore.Summary("categorical", "o_orderpriority", options="count,percent"), kept)
     return out.withColumn("percent", F.round("percent", 6))
 
@@ -44,14 +50,22 @@ SELECT o_orderkey, round(coalesce(sum(l_extendedprice), 0), 2) AS total, round(c
        CAST(count(l_orderkey) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE l_discount > 0.05) AS DOUBLE) AS n_reduced
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def repeat_sum_count_if(spark, d):
-    return columns(submissions(spark, d), over_lines(), "o_orderkey", total="round(sum(${l_extendedprice}), 2)", big="round(sum-if(${l_extendedprice}, ${l_quantity} >= 25), 2)", n="count(${lines})", n_reduced="count-if(${lines}, ${l_discount} > 0.05)")
+    return aggregated(spark, d, total="round(sum(${l_extendedprice}), 2)", big="round(sum-if(${l_extendedprice}, ${l_quantity} >= 25), 2)", n="count(${lines})", n_reduced="count-if(${lines}, ${l_discount} > 0.05)")
 
 
 @query("""
 SELECT o_orderkey, min(l_quantity) AS least, max(l_quantity) AS most, min(l_extendedprice) FILTER (WHERE l_quantity > 10) AS least_if, max(l_extendedprice) FILTER (WHERE l_quantity <= 10) AS most_if
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def repeat_min_max_if(spark, d):
-    return columns(submissions(spark, d), over_lines(), "o_orderkey", least="min(${l_quantity})", most="max(${l_quantity})", least_if="min-if(${l_extendedprice}, ${l_quantity} > 10)", most_if="max-if(${l_extendedprice}, ${l_quantity} <= 10)")
+    return aggregated(spark, d, least="min(${l_quantity})", most="max(${l_quantity})", least_if="min-if(${l_extendedprice}, ${l_quantity} > 10)", most_if="max-if(${l_extendedprice}, ${l_quantity} <= 10)")
+
+
+@query("""
+SELECT o_orderkey, round(coalesce(sum(l_extendedprice) FILTER (WHERE l_extendedprice > o_totalprice / 4), 0), 2) AS large, CAST(count(*) FILTER (WHERE l_quantity > 10) AS DOUBLE) / nullif(count(l_orderkey), 0) AS share
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def repeat_nested_aggregates(spark, d):
+    """The same aggregates over arrays, with predicates that look at the submission."""
+    return columns(submissions(spark, d), over_lines(), "o_orderkey", large="round(sum-if(${l_extendedprice}, ${l_extendedprice} > ${o_totalprice} div 4), 2)", share="count-if(${lines}, ${l_quantity} > 10) div count(${lines})")
 
 
 @query("""
