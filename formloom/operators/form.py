@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..expressions.compiler import BOOLEAN, DATE, KINDS, NUMBER, Repeat, Scope, Value, compile_expr
-from ..expressions.syntax import ExpressionError, Ref, parse, references
+from ..expressions.syntax import Call, ExpressionError, Ref, parse, references
 from ..functions import text
 
 _ALIASES = {"constraint_message": "constraint message", "required_message": "required message", "read_only": "read only", "relevant": "relevance"}
@@ -147,6 +147,8 @@ def evaluate(form: Form, submissions: DataFrame, scope: Scope | None = None) ->
                 value = F.coalesce(value, F.lit(f.cells["default"]).cast(df.schema[name].dataType))
             if f.cells.get("calculation"):
                 made = compile_expr(f.cells["calculation"], replace(scope, stored=value.cast("string")))
+                if parse(f.cells["calculation"]) == Call("now"):  # stored alone, it is a date
+                    made = Value(made.date(), DATE)
                 made_col = {NUMBER: made.number, DATE: made.date}.get(f.kind, made.string)() if f.type not in ("calculate", "calculate_here") else made.col
                 value = made_col if f.type in ("calculate", "calculate_here") else F.coalesce(value, made_col)
                 if f.type in ("calculate", "calculate_here"):

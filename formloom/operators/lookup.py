@@ -77,6 +77,33 @@ def search(source: DataFrame, value: str, labels: str, kind: str | None = None,
     return rows.select(F.col(value).cast("string").alias("value"), label.alias("label")).distinct()
 
 
+def parse_search(appearance: str) -> list[Expr] | None:
+    """The arguments of search() in an appearance (source, kind, columns, text, filter column, filter text), or None."""
+    at = appearance.find("search(")
+    if at < 0:
+        return None
+    depth, quote = 0, ""
+    for k in range(at, len(appearance)):
+        c = appearance[k]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return list(parse(appearance[at : k + 1]).args)
+    raise ValueError(f"search( is not closed in {appearance!r}")
+
+
+def search_by(appearance: str, sources: dict[str, DataFrame], value: str, labels: str) -> DataFrame:
+    """search() as written in an appearance, where its texts are constants."""
+    args = [a.value for a in parse_search(appearance)]
+    return search(sources[args[0]], value, labels, *args[1:])
+
+
 def search_each(submissions: DataFrame, source: DataFrame, key: str, kind: str, columns: str, text: Column, value: str) -> DataFrame:
     """search() for every submission's own text: (key, value), distinct.
 

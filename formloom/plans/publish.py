@@ -123,6 +123,23 @@ def enumerator_ids(n: Column, prefix: str = "", suffix: str = "", digits: int =
     return F.upper(made) if capitals else made
 
 
+def enumerator_id_pattern(prefix: str = "", suffix: str = "", digits: int = 4, capitals: bool = False) -> str:
+    """What a valid id looks like, for rlike."""
+    quote = lambda s: "\\Q" + s + "\\E" if s else ""
+    return f"^{quote(prefix)}[0-9{'A-Z' if capitals else ''}]{{{digits}}}{quote(suffix)}$"
+
+
+def publishable(form, encrypted: bool) -> list[str]:
+    """Fields that may leave an encrypted form (publishable = yes), or all of another."""
+    return [f.name for f in form.fields.values() if not encrypted or (f.cells.get("publishable") or "").lower() == "yes"]
+
+
+def case_columns(dataset: DataFrame, cases: dict) -> DataFrame:
+    """What a case list shows: the columns chosen for tables, or all of it as a tree."""
+    shown = [c for c in cases.get("showColumnsWhenTable", []) if c in dataset.columns]
+    return dataset.select(*shown) if cases.get("displayMode") == "table" and shown else dataset
+
+
 def outgoing(dataset: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Spreadsheet publishing: CSV with a header, one file a partition."""
     dataset.select(*(columns or dataset.columns)).write.mode("overwrite").option("header", True).csv(path)

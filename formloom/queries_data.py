@@ -164,6 +164,11 @@ def search_matches_filter(spark, d):
     return lookup.search(table(spark, d, "customer"), "c_name", "c_mktsegment", "matches", "c_mktsegment", "BUILDING", "c_nationkey", "7")
 
 
+@query("SELECT DISTINCT p_brand AS value, p_name AS label FROM part WHERE contains(p_name, 'red') AND p_type = 'PROMO'")
+def search_appearance(spark, d):
+    return lookup.search_by("minimal search('parts', 'contains', 'p_name', 'red', 'p_type', 'PROMO')", {"parts": table(spark, d, "part")}, "p_brand", "p_name")
+
+
 @query("SELECT DISTINCT n_nationkey, c_name AS value FROM nation JOIN customer ON CAST(c_nationkey AS VARCHAR) = CAST(n_nationkey AS VARCHAR)")
 def search_each_matches(spark, d):
     return lookup.search_each(table(spark, d, "nation"), table(spark, d, "customer"), "n_nationkey", "matches", "c_nationkey", F.col("n_nationkey").cast("string"), "c_name")
@@ -408,3 +413,26 @@ def choices_sorted(spark, d):
 @query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def workbook_merge(spark, d):
     return lookup.merged_workbook(table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, d, "nation"), "n_nationkey", ["n_name"]).select("c_custkey", "c_name", "n_name")
+
+
+@query("SELECT s_suppkey, s_suppkey < 100 AS valid FROM supplier")
+def enumerator_ids_valid(spark, d):
+    ids = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("E-"), F.lpad(F.col("s_suppkey").cast("string"), 2, "0"), F.when(F.col("s_suppkey") >= 100, "x").otherwise("")).alias("id"))
+    return ids.select("s_suppkey", F.rlike("id", F.lit(publish.enumerator_id_pattern("E-", "", 2))).alias("valid"))
+
+
+@query("SELECT p_partkey, 'size=' || p_size || ';kind=' || lower(p_type) AS parameters FROM part")
+def plug_in_parameters(spark, d):
+    from .sources.bundle import parameter_map
+
+    own = parameter_map("custom-dial(size=${p_size}, kind=lower(${p_type}))", scope_of({"p_size": "number", "p_type": "string"}))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(own), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("parameters"))
+
+
+@query("""
+WITH x AS (SELECT s_suppkey AS k, s_name AS v, 0 AS part, s_suppkey AS place FROM supplier WHERE s_suppkey <= 3
+UNION ALL SELECT n_nationkey, n_name, 1, n_nationkey + 1 FROM nation UNION ALL SELECT 97, 'Other', 2, 1) SELECT part, CAST(place AS BIGINT) AS place, CAST(k AS VARCHAR) AS value, v AS label FROM x""")
+def choices_mixed(spark, d):
+    static = lambda df, k, v, n: df.select(F.col(n).cast("bigint").alias("place"), F.col(k).cast("string").alias("value"), F.col(v).alias("label"))
+    last = spark.createDataFrame([(1, "97", "Other"), (2, "no number", "Never")], "place int, value string, label string")
+    return choices.mixed(static(table(spark, d, "supplier").where("s_suppkey <= 3"), "s_suppkey", "s_name", "s_suppkey"), static(table(spark, d, "nation").withColumn("n", F.col("n_nationkey") + 1), "n_nationkey", "n_name", "n"), static(last, "value", "label", "place"))

@@ -141,6 +141,16 @@ def parameters(appearance: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, eq, v in pairs if eq}
 
 
+def parameter_map(appearance: str, scope):
+    """The parameters as a map column, with their expressions evaluated."""
+    from pyspark.sql import functions as F
+
+    from ..expressions.compiler import compile_expr
+
+    pairs = [x for k, v in parameters(appearance).items() for x in (F.lit(k), compile_expr(v, scope).string())]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
 def main(args: list[str]) -> int:
     """Reports on a folder or zip; 0: no errors."""
     if len(args) != 1 or args[0] in ("-h", "--help"):

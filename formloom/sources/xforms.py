@@ -241,3 +241,22 @@ def _nested(schema: str) -> str:
         name, _, kind = part.partition(" ")
         out.append(f"{name}:{kind}")
     return ",".join(out)
+
+
+def main(args: list[str]) -> int:
+    """Prints a form as JSON."""
+    import json
+    from dataclasses import asdict
+    from pathlib import Path
+
+    if len(args) != 1:
+        print("usage: python -m formloom.sources.xforms FILE")
+        return 1
+    print(json.dumps(asdict(parse(Path(args[0]).read_text("utf-8-sig"))), ensure_ascii=False, indent=2))
+    return 0
+
+
+if __name__ == "__main__":
+    import sys
+
+    sys.exit(main(sys.argv[1:]))
