@@ -213,6 +213,7 @@ def one_of_each(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42,
     filtered by a join on the id, which no two rows that stay share.
     """
     found = near_duplicates(docs, most, width, seed, id_col, text_col)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(keep(first, "representatives"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__one")).distinct()
+    # joined and told apart by the same column, so the texts are dealt out once
+    return docs.withColumn("__one", key).join(keep(first, "representatives"), "__one", "left_semi").dropDuplicates(["__one"]).drop("__one")
