@@ -199,12 +199,16 @@ def interpolate(label: str, scope: Scope, group_labels: dict[str, str] | None =
             parts.append(F.lit(group_labels[piece]))
         elif scope.repeat_of(piece):
             r = scope.repeat_of(piece)
-            parts.append(F.array_join(F.transform(r.array, lambda x, n=piece, k=r.members[piece]: Value(x[n], k).string()), ", "))
+            parts.append(_all_instances(r, piece))
         else:
             parts.append(compile_expr(Ref(piece), scope).string())
     return text.concat(*parts)
 
 
+def _all_instances(r: Repeat, member: str) -> Column:
+    return F.array_join(F.transform(r.array, lambda x: Value(x[member], r.members[member]).string()), ", ")
+
+
 def instance_name(form: Form, scope: Scope | None = None) -> Column:
     return compile_expr(form.settings["instance_name"], scope or form.scope()).string()
 

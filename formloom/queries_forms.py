@@ -9,7 +9,7 @@ from .convert import common
 from .expressions.compiler import compile_expr
 from .functions import text
 from .operators import form as forms
-from .plans import patches, rows
+from .plans import patches, rows, text_search
 from .rules import form_rules, translation_rules
 from .sources.sheets import sheet_frame
 
@@ -269,3 +269,14 @@ def filtered_expression(spark, d):
     scope = order_form().scope()
     df = table(spark, d, "orders").where(compile_expr("${o_totalprice} > 300000", scope).truth())
     return df.select("o_orderkey", compile_expr("not(${o_custkey} < 0)", scope).col.alias("adult"), F.lit(3).alias("n"))
+
+
+@query("""
+WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
+t AS (SELECT id, len(w) AS size, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'was')) AS b FROM w),
+c AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t)
+SELECT id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)), 6) AS score
+FROM t, c WHERE a > 0 OR b > 0 ORDER BY ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) DESC, id LIMIT 20""")
+def text_search_ranked(spark, d):
+    talks = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return text_search.search(talks, "id", "text", "The was!", 20).withColumn("score", F.round("score", 6))

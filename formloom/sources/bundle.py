@@ -151,6 +151,22 @@ def parameter_map(appearance: str, scope):
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
+def answers_valid(answer, field_type: str):
+    """Whether stored answers have the form that a plug-in must give for the field's type; blank is fine."""
+    from pyspark.sql import functions as F
+
+    shapes = {"integer": r"^-?[0-9]{1,9}$", "decimal": r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)$", "select_one": r"^\S+$", "select_multiple": r"^\S+( \S+)*$", "text": r"(?s)^.*$"}
+    return answer.isNull() | (answer == "") | F.rlike(answer, F.lit(shapes[field_type]))
+
+
+def field_properties(form, name: str, language: str | None = None) -> dict:
+    """What a plug-in is told about its field."""
+    f = form.fields[name]
+    cell = lambda c: f.cells.get(f"{c}:{language}" if language else c) or f.cells.get(c)
+    choices = [{"CHOICE_INDEX": k, "CHOICE_VALUE": v, "CHOICE_LABEL": lab} for k, (v, lab) in enumerate(form.choice_values(f.list_name, language).items())] if f.list_name else []
+    return {"FIELDTYPE": f.type.split(" ")[0], "LABEL": cell("label"), "HINT": cell("hint"), "APPEARANCE": f.cells.get("appearance"), "READONLY": f.cells.get("read only") == "yes", "CHOICES": choices, "PARAMETERS": parameters(f.cells.get("appearance") or "")}
+
+
 def main(args: list[str]) -> int:
     """Reports on a folder or zip; 0: no errors."""
     if len(args) != 1 or args[0] in ("-h", "--help"):

@@ -194,3 +194,35 @@ def test_long_aggregates_equal_nested(spark):
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ExpressionError):
         repeat_plans.aggregate(parents, lines, "k", "p", "m", members, scope, {"x": "sum-if(${v}, index() > 1)"})
+
+
+def test_labels_show_groups_and_instances(spark):
+    f = form.Form([{"type": "text", "name": "a"}, {"type": "begin repeat", "name": "r"}, {"type": "integer", "name": "n"}, {"type": "end repeat"}])
+    df = spark.sql("select 'x' a, array(named_struct('n', 1D), named_struct('n', 2.5D)) r")
+    assert df.select(form.interpolate("${a}: ${n} in ${g}", f.scope(), {"g": "Group"})).first()[0] == "x: 1, 2.5 in Group"
+    asked = form.Form([{"type": "calculate", "name": "when", "calculation": "now()"}])
+    assert form.evaluate(asked, spark.range(1)).schema["when"].dataType.simpleString() == "date"
+
+
+def test_search_in_appearances():
+    from formloom.expressions.syntax import Literal, Ref
+
+    args = lookup.parse_search("minimal search('src', 'contains', 'a,b', ${x}, 'col', concat('(', ${f}))")
+    assert args[0] == Literal("src") and args[3] == Ref("x") and len(args) == 6 and lookup.parse_search("minimal") is None
+
+
+def test_plug_in_contracts(spark):
+    from formloom.sources import bundle
+
+    df = spark.createDataFrame([("12", "a b"), ("1.5", "a  b"), (None, "")], "i string, m string")
+    assert [tuple(r) for r in df.select(bundle.answers_valid(F.col("i"), "integer"), bundle.answers_valid(F.col("m"), "select_multiple")).collect()] == [(True, True), (False, False), (True, True)]
+    f = form.Form([{"type": "select_one l", "name": "q", "label": "Q", "appearance": "custom-x(k=1)"}], [{"list_name": "l", "value": "1", "label": "One"}])
+    p = bundle.field_properties(f, "q")
+    assert p["CHOICES"][0]["CHOICE_LABEL"] == "One" and p["PARAMETERS"] == {"k": "1"}
+
+
+def test_publishing_limits(spark):
+    f = form.Form([{"type": "text", "name": "a", "publishable": "yes"}, {"type": "text", "name": "b"}])
+    assert publish.publishable(f, True) == ["a"] and publish.publishable(f, False) == ["a", "b"]
+    data = spark.createDataFrame([("1", "2")], "a string, b string")
+    assert publish.case_columns(data, {"displayMode": "table", "showColumnsWhenTable": ["b"]}).columns == ["b"] and publish.case_columns(data, {"displayMode": "tree"}).columns == ["a", "b"]
