@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,6 @@ from .arrow_io import keep, map_rows
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _LOW = 0x5555555555555555
-#: Segments (of two bits) in each of the grid's six groups.
-GROUPS = (6, 6, 5, 5, 5, 5)
-
-
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text, a bounded part of it at a time."""
     at = 0
@@ -91,13 +88,21 @@ def thermometer(fp: Column) -> Column:
     return fp.bitwiseOR(up).bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(fp.bitwiseAND(up).bitwiseAND(F.lit(_LOW)), 1))
 
 
-def grid_masks() -> list[int]:
-    """For each choice of three groups, the bits of their segments (as signed longs)."""
-    parts, at = [], 0
-    for n in GROUPS:
-        parts.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    masks = [a | b | c for a, b, c in combinations(parts, 3)]
+def groups_for(n: int, most: int = 3) -> int:
+    """How many groups make the least work for n fingerprints: the cells each is put into, and the strangers met there.
+
+    Two bits' count is worth 1.5 bits of surprise on even fingerprints; 1.3 are
+    reckoned here, since texts share phrases.
+    """
+    work = lambda g: comb(g, most) * (1 + n / 2 ** (1.3 * 32 * (g - most) / g))
+    return min(range(2 * most, 5 * most), key=work)
+
+
+def grid_masks(groups: int = 6, most: int = 3) -> list[int]:
+    """For each choice of all but ``most`` groups, the bits of their segments (as signed longs)."""
+    ends = [round(32 * k / groups) for k in range(groups + 1)]
+    parts = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(ends, ends[1:])]
+    masks = [sum(chosen) for chosen in combinations(parts, groups - most)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -127,11 +132,12 @@ def forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_between(classes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
-    """Links (a, b) between distinct fingerprints whose components are those of all links within ``most`` (at most 3) bits."""
+def links_between(classes: DataFrame, most: int = 3, block: int = 4096, groups: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints whose components are those of all links within ``most`` bits."""
+    groups = groups or groups_for(classes.count(), most)
     code = thermometer(F.col("fp"))
     cells = classes.select("fp", code.alias("code")).select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(grid_masks())])).alias("at")
+        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(grid_masks(groups, most))])).alias("at")
     ).select("at.grid", "at.cell", "fp")
     sizes = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cells.join(sizes, ["grid", "cell"]).withColumn("k", F.ceil(F.col("n") / block).cast("int"))

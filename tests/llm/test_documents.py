@@ -72,11 +72,11 @@ def close_fingerprints(seed, n):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_links_and_components(spark, block):
+@pytest.mark.parametrize(("block", "groups"), [(4096, None), (3, 6), (4096, 9)])
+def test_links_and_components(spark, block, groups):
     fps = close_fingerprints(5, 300)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = sim.links_between(spark.createDataFrame([(f,) for f in set(signed)], "fp bigint"), 3, block)
+    links = sim.links_between(spark.createDataFrame([(f,) for f in set(signed)], "fp bigint"), 3, block, groups)
     labels = {r["node"]: r["label"] for r in sim.components(links).collect()}
     want = brute_components(fps)
     got: dict = {}
@@ -85,6 +85,20 @@ def test_links_and_components(spark, block):
     assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want))
 
 
+def test_grid_meets_every_close_pair():
+    rng = random.Random(9)
+    assert sim.groups_for(10**5) == 6 and 8 <= sim.groups_for(10**8) < sim.groups_for(10**10) <= 14
+    for groups in (6, 7, 11):
+        masks = [m & (2**64 - 1) for m in sim.grid_masks(groups)]
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a
+            for k in rng.sample(range(64), 3):
+                b ^= 1 << k
+            code = lambda x: ((x | x >> 1) & sim._LOW) | ((x & x >> 1 & sim._LOW) << 1)
+            assert any(code(a) & m == code(b) & m for m in masks) and (code(a) ^ code(b)).bit_count() <= 3
+
+
 def test_a_dense_cell_gives_a_forest():
     fps = np.array([1 << k for k in range(60)], np.uint64).view(np.int64)
     assert len(sim.forest(fps, 3)) == 59
