@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,10 +32,12 @@ def map_rows(df: DataFrame, cols: list[str], rows: Callable[[pa.RecordBatch], It
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names (set to a local one only where it is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh path in the folder that spark.checkpoint.dir names. Only a local session, as in tests, gets one of its own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or "/tmp/formloom-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/formloom-checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
