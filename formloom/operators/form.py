@@ -16,9 +16,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..expressions.compiler import BOOLEAN, DATE, KINDS, NUMBER, Repeat, Scope, Value, compile_expr
+from ..expressions.compiler import BOOLEAN, DATE, DATETIME, KINDS, NUMBER, Repeat, Scope, Value, compile_expr
 from ..expressions.syntax import Call, ExpressionError, Ref, parse, references
 from ..functions import text
+from .repeats import counted
 
 _ALIASES = {"constraint_message": "constraint message", "required_message": "required message", "read_only": "read only", "relevant": "relevance"}
 _NO_DATA = {"note", "begin group", "end group", "begin repeat", "end repeat"}
@@ -125,40 +126,63 @@ def levels(wanted: dict[str, set[str]]) -> list[list[str]]:
     return out
 
 
+_SQL = {NUMBER: "double", BOOLEAN: "boolean", DATE: "date", DATETIME: "timestamp"}
+
+
+def _all_hold(conditions: list[str], scope: Scope) -> Column:
+    shown = compile_expr(conditions[0], scope).truth()
+    for c in conditions[1:]:
+        shown = shown & compile_expr(c, scope).truth()
+    return shown
+
+
+def _answer(f: Field, value: Column, kind: str, scope: Scope) -> Value:
+    """A field's value with its default and calculation, before relevance."""
+    if f.cells.get("default"):
+        value = F.coalesce(value, F.lit(f.cells["default"]).cast(_SQL.get(kind, "string")))
+    if not f.cells.get("calculation"):
+        return Value(value, kind)
+    made = compile_expr(f.cells["calculation"], replace(scope, stored=value.cast("string")))
+    if f.type in ("calculate", "calculate_here"):
+        return Value(made.date(), DATE) if parse(f.cells["calculation"]) == Call("now") else made  # now() stored alone is a date
+    typed = {NUMBER: made.number, DATE: made.date, DATETIME: made.datetime}.get(kind, made.string)()
+    return Value(F.coalesce(value, typed), kind)
+
+
 def evaluate(form: Form, submissions: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Submissions as the form leaves them: hidden fields empty, defaults filled, calculations done.
 
     A field's relevance is in the column __rel_<field>, where it can be false.
+    A repeat (of the first level) is evaluated as one value: its number of
+    instances, then its members in each instance, level by level.  ``scope``
+    learns the kinds of calculated fields on the way.
     """
     scope = scope or form.scope()
-    plain = [f for f in form.fields.values() if not f.repeat and f.type not in _NO_DATA]
-    missing = [f for f in plain if f.name not in submissions.columns]
-    df = submissions.withColumns({f.name: F.lit(None).cast({NUMBER: "double", BOOLEAN: "boolean", DATE: "date"}.get(f.kind, "string")) for f in missing}) if missing else submissions
-    needs: dict[str, set[str]] = {}
-    for f in plain:
-        sources = form.relevance(f) + [f.cells[k] for k in ("calculation",) if f.cells.get(k)]
-        needs[f.name] = {n for s in sources for n in references(parse(s))} & {g.name for g in plain} - {f.name}
+    plain = {f.name: f for f in form.fields.values() if not f.repeat and f.type not in _NO_DATA}
+    tops = [r for r, parent in form.repeats.items() if parent is None]
+    missing = {f.name: F.lit(None).cast(_SQL.get(f.kind, "string")) for f in plain.values() if f.name not in submissions.columns}
+    df = submissions.withColumns(missing) if missing else submissions
+    at_top = {f.name: _top(form, f.repeat) for f in form.fields.values() if f.repeat} | {r: _top(form, r) for r in form.repeats}
+    node = lambda name: at_top.get(name, name)
+    sources = {n: form.relevance(f) + [f.cells.get("calculation")] for n, f in plain.items()}
+    for r in tops:
+        inner = [f for f in form.fields.values() if f.repeat and _top(form, f.repeat) == r]
+        sources[r] = [form.groups[g].get("relevance") for g in _around(form, r)] + [form.groups[r].get("repeat_count")] + [x for f in inner for x in (*form.relevance(f), f.cells.get("calculation"))]
+    needs = {n: {node(x) for s in texts if s for x in references(parse(s))} & sources.keys() - {n} for n, texts in sources.items()}
     for layer in levels(needs):
         new: dict[str, Column] = {}
         for name in layer:
-            f = form.fields[name]
-            value = F.col(name)
-            if f.cells.get("default"):
-                value = F.coalesce(value, F.lit(f.cells["default"]).cast(df.schema[name].dataType))
-            if f.cells.get("calculation"):
-                made = compile_expr(f.cells["calculation"], replace(scope, stored=value.cast("string")))
-                if parse(f.cells["calculation"]) == Call("now"):  # stored alone, it is a date
-                    made = Value(made.date(), DATE)
-                made_col = {NUMBER: made.number, DATE: made.date}.get(f.kind, made.string)() if f.type not in ("calculate", "calculate_here") else made.col
-                value = made_col if f.type in ("calculate", "calculate_here") else F.coalesce(value, made_col)
-                if f.type in ("calculate", "calculate_here"):
-                    scope.fields[name] = Value(F.col(name), made.kind)
-            conditions = form.relevance(f)
-            if conditions:
-                shown = compile_expr(conditions[0], scope).truth()
-                for c in conditions[1:]:
-                    shown = shown & compile_expr(c, scope).truth()
-                new[f"__rel_{name}"] = shown
+            if name in tops:
+                if name in df.columns:
+                    new[name] = _repeat(form, name, df, scope)
+                continue
+            f = plain[name]
+            made = _answer(f, F.col(name), f.kind, scope)
+            if f.type in ("calculate", "calculate_here"):
+                scope.fields[name] = Value(F.col(name), made.kind)
+            value = made.col
+            if conditions := form.relevance(f):
+                new[f"__rel_{name}"] = shown = _all_hold(conditions, scope)
                 value = F.when(shown, value)
                 scope.relevant[name] = F.col(f"__rel_{name}")
             new[name] = value
@@ -166,27 +190,116 @@ def evaluate(form: Form, submissions: DataFrame, scope: Scope | None = None) ->
     return df
 
 
+def _top(form: Form, repeat: str) -> str:
+    while form.repeats[repeat] is not None:
+        repeat = form.repeats[repeat]
+    return repeat
+
+
+def _around(form: Form, repeat: str) -> list[str]:
+    """The blocks around a repeat, itself last."""
+    held = next((f.groups for f in form.fields.values() if repeat in f.groups), (repeat,))
+    return list(held[: held.index(repeat) + 1])
+
+
+def _members(form: Form, repeat: str) -> dict[str, Field]:
+    return {f.name: f for f in form.fields.values() if f.repeat == repeat and f.type not in _NO_DATA}
+
+
+def _own_conditions(form: Form, f: Field) -> list[str]:
+    """What must hold in an instance for a member to show: the groups within the repeat, and its own."""
+    inside = f.groups[f.groups.index(f.repeat) + 1 :]
+    return [x for x in [*(form.groups[g].get("relevance") for g in inside), f.cells.get("relevance")] if x]
+
+
+def _repeat(form: Form, name: str, df: DataFrame, scope: Scope) -> Column:
+    rows = F.col(name)
+    members = _members(form, name)
+    there = df.schema[name].dataType.elementType.names
+    if form.groups[name].get("repeat_count"):
+        rows = counted(rows, compile_expr(form.groups[name]["repeat_count"], scope).number())
+    kinds = dict(scope.repeats[name].members)
+    needs = {n: {x for s in (*_own_conditions(form, f), f.cells.get("calculation")) if s for x in references(parse(s))} & members.keys() - {n} for n, f in members.items()}
+    held = list(dict.fromkeys([*there, *members]))
+    known = set(there)
+    for layer in levels(needs):
+        if not any(form.fields[n].cells.get("calculation") or form.fields[n].cells.get("default") or _own_conditions(form, form.fields[n]) or n not in known for n in layer):
+            continue
+
+        rows = F.transform(rows, _instance(form, name, layer, held, frozenset(known), kinds, scope))
+        known |= set(held)
+    scope.repeats[name] = Repeat(name, F.col(name), kinds, None)
+    shown = [c for c in (form.groups[g].get("relevance") for g in _around(form, name)) if c]
+    return F.when(_all_hold(shown, scope), rows).otherwise(F.slice(rows, 1, 0)) if shown else rows
+
+
+def _instance(form: Form, name: str, layer: list[str], held: list[str], known: frozenset, kinds: dict[str, str], scope: Scope):
+    """The function that evaluates one layer of members in an instance."""
+
+    def each(x: Column, i: Column) -> Column:
+        inside = scope.inside(Repeat(name, F.col(name), {n: k for n, k in kinds.items() if n in known}), x, (i + 1).cast("double"))
+        out = []
+        for n in held:
+            kind = kinds.get(n, "string")
+            value = x[n] if n in known else F.lit(None).cast(_SQL.get(kind, "string"))
+            if n in layer:
+                f = form.fields[n]
+                made = _answer(f, value, kind, inside)
+                if f.type in ("calculate", "calculate_here"):
+                    kinds[n] = made.kind
+                value = F.when(_all_hold(c, inside), made.col) if (c := _own_conditions(form, f)) else made.col
+            out.append(value.alias(n))
+        return F.struct(*out)
+
+    return each
+
+
+def _tests(form: Form, f: Field, value: Value, shown: Column, scope: Scope) -> list[tuple[str, str | None, Column]]:
+    """(rule, message, whether it is broken) of a field."""
+    blank = value.string().isNull() | (value.string() == "")
+    out = []
+    if f.cells.get("constraint"):
+        holds = compile_expr(f.cells["constraint"], replace(scope, current=value)).truth()
+        out.append(("constraint", f.cells.get("constraint message"), ~blank & ~holds))
+    if (f.cells.get("required") or "").lower() == "yes":
+        out.append(("required", f.cells.get("required message"), shown & blank))
+    if f.type == "integer":
+        out.append(("nine_digits", None, F.coalesce(F.abs(value.number()) >= 1e9, F.lit(False))))
+    return out
+
+
+def _flags(name: str, tests: list, index: Column) -> list[Column]:
+    return [F.when(bad, F.struct(F.lit(name).alias("field"), F.lit(rule).alias("rule"), F.lit(message).cast("string").alias("message"), index.cast("int").alias("index"))) for rule, message, bad in tests]
+
+
 def violations(form: Form, evaluated: DataFrame, key: str, scope: Scope | None = None) -> DataFrame:
-    """(key, field, rule, message) of every constraint that fails and every required blank; one pass, no join."""
+    """(key, field, rule, message, index) of every constraint that fails and every required blank; index is the instance's, in repeats. One pass, no join."""
     scope = scope or form.scope()
-    tests = []
+    found: list[Column] = []
     for f in form.fields.values():
         if f.repeat or f.type in _NO_DATA:
             continue
-        value = Value(F.col(f.name), f.kind)
-        rel = F.col(f"__rel_{f.name}") if f"__rel_{f.name}" in evaluated.columns else F.lit(True)
-        blank = value.string().isNull() | (value.string() == "")
-        if f.cells.get("constraint"):
-            holds = compile_expr(f.cells["constraint"], replace(scope, current=value)).truth()
-            tests.append((f.name, "constraint", f.cells.get("constraint message"), ~blank & ~holds))
-        if (f.cells.get("required") or "").lower() == "yes":
-            tests.append((f.name, "required", f.cells.get("required message"), rel & blank))
-        if f.type == "integer":
-            tests.append((f.name, "nine_digits", None, F.coalesce(F.abs(value.number()) >= 1e9, F.lit(False))))
-    found = [F.when(bad, F.struct(F.lit(n).alias("field"), F.lit(rule).alias("rule"), F.lit(msg).cast("string").alias("message"))) for n, rule, msg, bad in tests]
-    if not found:
-        found = [F.lit(None).cast("struct<field:string,rule:string,message:string>")]
-    return evaluated.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v")).select(key, "v.*")
+        shown = F.col(f"__rel_{f.name}") if f"__rel_{f.name}" in evaluated.columns else F.lit(True)
+        found += _flags(f.name, _tests(form, f, Value(F.col(f.name), f.kind), shown, scope), F.lit(None))
+    kind = "array<struct<field:string,rule:string,message:string,index:int>>"
+    parts = [F.array(*found) if found else F.array().cast(kind)]
+    for r, parent in form.repeats.items():
+        if parent is None and r in evaluated.columns:
+            parts.append(_repeat_flags(form, r, scope, kind))
+    listed = F.filter(F.concat(*parts), lambda x: x.isNotNull())
+    return evaluated.select(key, F.explode(listed).alias("v")).select(key, "v.*")
+
+
+def _repeat_flags(form: Form, name: str, scope: Scope, kind: str) -> Column:
+    def each(x: Column, i: Column) -> Column:
+        inside = scope.inside(scope.repeats[name], x, (i + 1).cast("double"))
+        flags = []
+        for n, f in _members(form, name).items():
+            shown = _all_hold(c, inside) if (c := _own_conditions(form, f)) else F.lit(True)
+            flags += _flags(n, _tests(form, f, Value(x[n], f.kind), shown, inside), i + 1)
+        return F.array(*flags) if flags else F.array().cast(kind)
+
+    return F.flatten(F.transform(F.coalesce(F.col(name), F.array()), each))
 
 
 def interpolate(label: str, scope: Scope, group_labels: dict[str, str] | None = None) -> Column:

@@ -58,7 +58,46 @@ UNION ALL SELECT o_orderkey, 'comment', 'required', 'say why' FROM b WHERE band
 def relevance_constraint_violations(spark, d):
     f = order_form()
     scope = f.scope()
-    return forms.violations(f, forms.evaluate(f, orders(spark, d), scope), "o_orderkey", scope)
+    return forms.violations(f, forms.evaluate(f, orders(spark, d), scope), "o_orderkey", scope).drop("index")
+
+
+#: A form whose repeat computes within instances and is summed outside.
+LINE_FORM = [
+    {"type": "decimal", "name": "o_totalprice"},
+    {"type": "begin repeat", "name": "lines", "relevance": "${o_totalprice} > 50000"},
+    {"type": "decimal", "name": "l_quantity", "constraint": ". <= 48", "constraint message": "too many"},
+    {"type": "decimal", "name": "l_extendedprice"},
+    {"type": "decimal", "name": "l_discount", "relevance": "${l_quantity} > 5", "required": "yes"},
+    {"type": "calculate", "name": "net", "calculation": "${l_extendedprice} * (1 - ${l_discount})", "relevance": "${l_quantity} > 5"},
+    {"type": "calculate", "name": "share", "calculation": "${net} div ${o_totalprice} + index()"},
+    {"type": "end repeat", "name": "lines"},
+    {"type": "calculate", "name": "total", "calculation": "sum(${net})"},
+    {"type": "calculate", "name": "many", "calculation": "count-if(${lines}, ${share} > 2)"},
+]
+
+
+def _line_orders(spark, d):
+    from .queries_data import submissions
+
+    return submissions(spark, d).select("o_orderkey", "o_totalprice", "lines")
+
+
+@query("""
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
+n AS (SELECT l_orderkey, i, CASE WHEN l_quantity > 5 THEN l_extendedprice * (1 - l_discount) END AS net FROM x)
+SELECT o_orderkey, round(coalesce(sum(net) FILTER (WHERE o_totalprice > 50000), 0), 4) AS total, CAST(count(*) FILTER (WHERE o_totalprice > 50000 AND net / o_totalprice + i > 2) AS DOUBLE) AS many FROM orders LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY 1""")
+def form_evaluate_repeats(spark, d):
+    out = forms.evaluate(forms.Form([dict(r) for r in LINE_FORM]), _line_orders(spark, d))
+    return out.select("o_orderkey", F.round("total", 4).alias("total"), "many")
+
+
+@query("""
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
+SELECT o_orderkey, 'l_quantity' AS field, 'constraint' AS rule, 'too many' AS message, CAST(i AS INTEGER) AS "index" FROM orders JOIN x ON l_orderkey = o_orderkey WHERE o_totalprice > 50000 AND l_quantity > 48""")
+def repeat_violations(spark, d):
+    f = forms.Form([dict(r) for r in LINE_FORM])
+    scope = f.scope()
+    return forms.violations(f, forms.evaluate(f, _line_orders(spark, d), scope), "o_orderkey", scope)
 
 
 @query("SELECT o_orderkey, 'Order of ' || o_orderpriority || ' by ' || o_custkey || '!' AS label FROM orders")

@@ -226,3 +226,16 @@ def test_publishing_limits(spark):
     assert publish.publishable(f, True) == ["a"] and publish.publishable(f, False) == ["a", "b"]
     data = spark.createDataFrame([("1", "2")], "a string, b string")
     assert publish.case_columns(data, {"displayMode": "table", "showColumnsWhenTable": ["b"]}).columns == ["b"] and publish.case_columns(data, {"displayMode": "tree"}).columns == ["a", "b"]
+
+
+def test_repeats_are_evaluated(spark):
+    f = form.Form([
+        {"type": "integer", "name": "n"}, {"type": "begin group", "name": "g", "relevance": "${n} > 0"}, {"type": "begin repeat", "name": "r", "repeat_count": "${n}"}, {"type": "integer", "name": "a", "default": "7"},
+        {"type": "begin group", "name": "inner", "relevance": "${a} < 7"}, {"type": "calculate", "name": "b", "calculation": "${a} * index() + ${n}"}, {"type": "end group"}, {"type": "text", "name": "c", "required": "yes", "relevance": "${b} > 3"}, {"type": "end repeat"}, {"type": "end group"}, {"type": "calculate", "name": "s", "calculation": "sum(${b})"},
+    ])
+    df = spark.sql("select 2D n, array(named_struct('a', 1D, 'c', 'x'), named_struct('a', 2D, 'c', ''), named_struct('a', 3D, 'c', 'x')) r union all select 3D, array(named_struct('a', cast(null as double), 'c', 'y')) union all select 0D, array(named_struct('a', 1D, 'c', 'z'))")
+    scope = f.scope()
+    out = form.evaluate(f, df, scope)
+    got = {r["n"]: ([(x["a"], x["b"], x["c"]) for x in r["r"]], r["s"]) for r in out.collect()}
+    assert got == {2.0: ([(1.0, 3.0, None), (2.0, 6.0, "")], 9.0), 3.0: ([(7.0, None, None)] * 3, 0.0), 0.0: ([], 0.0)}
+    assert [(r["n"], r["field"], r["rule"], r["index"]) for r in form.violations(f, out, "n", scope).collect()] == [(2.0, "c", "required", 2)]
