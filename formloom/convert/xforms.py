@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..expressions.syntax import Call, Literal, Name, parse, print_expr, transform
+from ..expressions.syntax import Call, Literal, parse, print_expr, transform
 from ..sources.xforms import XForm, leaf
 from .common import FULL, LOSSY, PARTIAL, Converted, expression, hint_text, label_text, range_constraint, safe_name, shared_lists, suffixed
 
@@ -128,4 +128,4 @@ def _cases(text: str | None, dataset: str, out: Converted, item: str) -> str | N
     return text
 
 
-__all__ = ["Name", "convert", "field_names"]
+__all__ = ["convert", "field_names"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from ..operators.form import canonical_header
-from .common import DROPPED, FULL, LOSSY, PARTIAL, Converted, expression, hint_text, label_text, range_constraint, safe_names
+from ..sources.dataset_xml import Dataset
+from .common import DROPPED, FULL, LOSSY, PARTIAL, Converted, expression, hint_text, label_text, range_constraint, safe_name, safe_names
 
 _SLOTS = {"relevance": True, "constraint": True, "calculation": False, "choice_filter": True, "repeat_count": False}
 #: Settings that are carried over, and those that go (with what to say).
@@ -139,7 +141,27 @@ def _settings(settings: dict, out: Converted) -> None:
                     r[to] = r.pop(c)
 
 
-def entities(rows: list[dict]) -> dict[str, list[str]]:
-    """Entity declarations as datasets: name: columns saved to it (by save_to)."""
-    names = [r.get("list_name") or r.get("dataset") for r in rows if r.get("list_name") or r.get("dataset")]
-    return {n: [] for n in names}
+def entities(declared: list[dict], survey: list[dict], out: Converted, form_id: str) -> list[Dataset]:
+    """Entity declarations as datasets that the form publishes into.
+
+    Fields with save_to become columns; create_if becomes a calculated gate
+    (1 publishes), which is appended to the converted survey.
+    """
+    made = []
+    for e in declared:
+        name = e.get("list_name") or e.get("dataset")
+        if not name:
+            continue
+        saved = {r["name"]: r["save_to"] for r in survey if r.get("save_to") and r.get("name")}
+        names = safe_names(list(saved), out.note)
+        key = re.sub(r"\W", "", str(e.get("entity_id") or "")) or f"{name}_id"
+        if not e.get("entity_id"):
+            out.survey.append({"type": "calculate", "name": key, "calculation": "once(uuid())"})
+        link = {"dataLinkClass": "FORM", "dataLinkType": "INCOMING", "linkObjectId": form_id, "joiningField": key, "fieldMap": json.dumps([{"formField": names[f], "datasetField": c, "updateLogicAction": "REPLACE", "updateLogicOptions": None} for f, c in saved.items()])}
+        if e.get("create_if"):
+            gate = f"publish_{safe_name(name)}"
+            out.survey.append({"type": "calculate", "name": gate, "calculation": f"if({expression(e['create_if'], out, gate, True)}, 1, 0)"})
+            link["relevanceField"] = gate
+        made.append(Dataset(name, e.get("label") or name, columns=["id", *saved.values()], forms=[form_id], links=[link], unique="id"))
+        out.note("survey", PARTIAL, f"entity list {name} is a dataset now: upload it before the form")
+    return made

@@ -68,5 +68,12 @@ def test_explored_kinds(spark):
 
 
 def test_entities():
-    assert xlsforms.entities([{"list_name": "trees"}, {}]) == {"trees": []}
+    survey = [{"type": "text", "name": "tree kind", "save_to": "kind"}, {"type": "text", "name": "other"}]
+    out = xlsforms.convert(survey, [], {"form_id": "f"})
+    made = xlsforms.entities([{"list_name": "trees", "create_if": "${other} = 'y'"}, {}], survey, out, "f")
+    assert [d.id for d in made] == ["trees"] and made[0].columns == ["id", "kind"] and not made[0].problems()
+    link = made[0].publish_links()[0]
+    assert link.fields[0].form_field == "tree_kind" and link.relevance_field == "publish_trees" and link.joining_field == "trees_id"
+    added = {r["name"]: r["calculation"] for r in out.survey if r["type"] == "calculate"}
+    assert added == {"trees_id": "once(uuid())", "publish_trees": "if(${other} = 'y', 1, 0)"}
     assert xlsforms.language_name("English (en)") == "English"
