@@ -116,6 +116,23 @@ def predicate(source: str | Expr, scope: Scope) -> Column:
     return compile_expr(source, scope).truth()
 
 
+def where(source: str | Expr, scope: Scope) -> Column:
+    """The expression as a filter: rows kept are those of ``predicate``, in a form that reaches the scan.
+
+    In a filter unknown is false already, so conjunctions, disjunctions and
+    comparisons need no wrapping; everything else is wrapped as elsewhere.
+    """
+    c = _Compiler(scope)
+
+    def plain(e: Expr) -> Column:
+        if isinstance(e, Binary) and e.op in ("and", "or"):
+            return plain(e.left) & plain(e.right) if e.op == "and" else plain(e.left) | plain(e.right)
+        v = c.value(e)
+        return v.col if isinstance(e, Binary) and v.kind == BOOLEAN else v.truth()
+
+    return plain(parse(source) if isinstance(source, str) else source)
+
+
 class _Compiler:
     def __init__(self, scope: Scope):
         self.scope = scope
@@ -570,4 +587,4 @@ for _name in ("abs", "log10", "sin", "cos", "tan", "asin", "acos", "atan", "sqrt
     setattr(_Compiler, f"f_{_name}", _simple(_name))
 
 FUNCTIONS = sorted(n[2:].replace("jr_", "jr:").replace("_", "-") for n in dir(_Compiler) if n.startswith("f_"))
-__all__ = ["FUNCTIONS", "KINDS", "Repeat", "Scope", "Value", "compile_expr", "number_text", "predicate", "scope_of"]
+__all__ = ["FUNCTIONS", "KINDS", "Repeat", "Scope", "Value", "compile_expr", "number_text", "predicate", "scope_of", "where"]

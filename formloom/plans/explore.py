@@ -72,34 +72,46 @@ class Workbook:
         return cls(out, [(r["field"], r["filter"]) for r in filters], [(r["field"], r["exclusion"]) for r in exclusions], settings)
 
 
-def condition(c: Column, text: str) -> Column:
-    """Whether c is among "v1";"v2" or within ("min","max");... (inclusive). Blank is not."""
+def _test(c: Column, text: str) -> Column:
+    """Whether c is among "v1";"v2" or within ("min","max");... (inclusive); unknown where c is blank or no such value."""
     ranges = re.findall(r'\(\s*"([^"]*)"\s*,\s*"([^"]*)"\s*\)', text)
-    if ranges:
-        out = None
-        for lo, hi in ranges:
-            ends = [x.strip() for x in (lo, hi)]
-            if all(re.fullmatch(r"-?\d+(\.\d+)?|", x) for x in ends):
-                value, ends = c.try_cast("double"), [F.lit(x).try_cast("double") if x else None for x in ends]
-            else:
-                value, ends = c.try_cast("timestamp"), [F.lit(x).try_cast("timestamp") if x else None for x in ends]
-            one = F.lit(True)
-            if ends[0] is not None:
-                one = one & (value >= ends[0])
-            if ends[1] is not None:
-                one = one & (value <= ends[1])
-            one = one & value.isNotNull()
-            out = one if out is None else out | one
-        return F.coalesce(out, F.lit(False))
-    return F.coalesce(c.cast("string").isin(re.findall(r'"([^"]*)"', text)), F.lit(False))
+    if not ranges:
+        return c.cast("string").isin(re.findall(r'"([^"]*)"', text))
+    out = None
+    for lo, hi in ranges:
+        ends = [x.strip() for x in (lo, hi)]
+        kind = "double" if all(re.fullmatch(r"-?\d+(\.\d+)?|", x) for x in ends) else "timestamp"
+        value = c.try_cast(kind)
+        parts = [value >= F.lit(ends[0]).try_cast(kind)] if ends[0] else []
+        parts += [value <= F.lit(ends[1]).try_cast(kind)] if ends[1] else []
+        one = parts[0] & parts[1] if len(parts) == 2 else parts[0] if parts else value.isNotNull()
+        out = one if out is None else out | one
+    return out
+
+
+def condition(c: Column, text: str) -> Column:
+    """The test with unknown as false."""
+    return F.coalesce(_test(c, text), F.lit(False))
+
+
+def keep(data: DataFrame, name: str, text: str) -> DataFrame:
+    """Rows that pass; a filter drops unknowns by itself, so the test reaches the scan."""
+    return data.where(_test(F.col(name), text))
+
+
+def drop(data: DataFrame, name: str, text: str) -> DataFrame:
+    """Rows that do not pass, blanks included; where the type allows, in a form that reaches the scan."""
+    c, kind = F.col(name), data.schema[name].dataType.typeName()
+    sure = "(" not in text if kind == "string" else kind in ("double", "float", "integer", "long", "timestamp", "date")
+    return data.where(c.isNull() | ~_test(c, text)) if sure else data.where(~condition(c, text))
 
 
 def base(book: Workbook, data: DataFrame) -> DataFrame:
     """What all summaries start from: global filters kept, global exclusions dropped."""
     for name, text in book.global_filters:
-        data = data.where(condition(F.col(name), text))
+        data = keep(data, name, text)
     for name, text in book.global_exclusions:
-        data = data.where(~condition(F.col(name), text))
+        data = drop(data, name, text)
     return data
 
 
@@ -125,7 +137,7 @@ def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
     """The summary's result as a small DataFrame."""
     x = F.col(s.field)
     if s.exclusion:
-        data = data.where(~condition(x, s.exclusion))
+        data = drop(data, s.field, s.exclusion)
     if s.type == "text":
         t = x.cast("string")
         some = t.isNotNull() & (t != "")

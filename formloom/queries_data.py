@@ -38,7 +38,7 @@ WITH c AS (SELECT o_orderkey, o_orderpriority, coalesce(sum(l_extendedprice) FIL
            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice BETWEEN 50000 AND 400000 GROUP BY 1, 2)
 SELECT o_orderpriority AS category, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 6) AS percent FROM c WHERE big > 40000 GROUP BY 1""")
 def priority_share(spark, d):
-    df = table(spark, d, "orders").where(explore.condition(F.col("o_totalprice"), '("50000","400000")'))
+    df = explore.keep(table(spark, d, "orders"), "o_totalprice", '("50000","400000")')
     e = {"o_orderpriority": "${o_orderpriority}", "big": "sum-if(${l_extendedprice}, ${l_quantity} >= 25) > 40000"}
     kept = repeat_plans.aggregate(df, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "lines", LINES, over_lines(), e).where("big")
     out = explore.compile_summary(explore.Summary("categorical", "o_orderpriority", options="count,percent"), kept)

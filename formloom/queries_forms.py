@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .convert import common
-from .expressions.compiler import compile_expr
+from .expressions.compiler import compile_expr, where
 from .functions import text
 from .operators import form as forms
 from .plans import patches, rows, text_search
@@ -127,8 +127,8 @@ WITH s AS (SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row, p_type AS type, p
 f AS (SELECT * FROM s WHERE type IN ('ECONOMY', 'STANDARD', 'PROMO') AND (hint <> '' OR regexp_matches(name, '(?i)BLUE')) AND NOT label = 'Brand#2' AND excel_row BETWEEN 20 AND 1500)
 SELECT excel_row, name, label, (SELECT count(*) FROM f) > 70 AS more_results FROM f ORDER BY label DESC, name, excel_row LIMIT 50 OFFSET 20""")
 def row_query_page(spark, d):
-    where = {"and": [{"in": ["type", ["ECONOMY", "STANDARD", "PROMO"]]}, {"or": [{"has": ["hint"]}, {"regex": ["name", "(?i)BLUE"]}]}, {"not": {"eq": ["label", "Brand#2"]}}, {"between": ["excel_row", 20, 1500, "inclusive"]}]}
-    return rows.query(part_sheet(spark, d), where, [("label", "desc"), ("name", "asc")], 20, 50, ["excel_row", "name", "label"])
+    tree = {"and": [{"in": ["type", ["ECONOMY", "STANDARD", "PROMO"]]}, {"or": [{"has": ["hint"]}, {"regex": ["name", "(?i)BLUE"]}]}, {"not": {"eq": ["label", "Brand#2"]}}, {"between": ["excel_row", 20, 1500, "inclusive"]}]}
+    return rows.query(part_sheet(spark, d), tree, [("label", "desc"), ("name", "asc")], 20, 50, ["excel_row", "name", "label"])
 
 
 @query("""
@@ -306,7 +306,7 @@ def language_inventory(spark, d):
 @query("SELECT o_orderkey, true AS adult, 3 AS n FROM orders WHERE o_totalprice > 300000")
 def filtered_expression(spark, d):
     scope = order_form().scope()
-    df = table(spark, d, "orders").where(compile_expr("${o_totalprice} > 300000", scope).truth())
+    df = table(spark, d, "orders").where(where("${o_totalprice} > 300000", scope))
     return df.select("o_orderkey", compile_expr("not(${o_custkey} < 0)", scope).col.alias("adult"), F.lit(3).alias("n"))
 
 

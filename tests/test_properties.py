@@ -68,3 +68,32 @@ def test_bins_hold_every_row_once(spark):
         assert sum(r["n"] for r in out) == 500 and {r["bin"] for r in out} == set(range(1, bins + 1))
         edges = sorted((r["bin"], r["from_value"], r["to_value"]) for r in out)
         assert all(a[2] < b[1] for a, b in zip(edges, edges[1:]))
+
+
+def test_filters_keep_what_predicates_keep(spark):
+    from formloom.expressions.compiler import predicate, where
+
+    df = spark.createDataFrame([(a, b, t) for a in (None, 1.0, 5.0) for b in (None, 1.0, 7.0) for t in (None, "", "x")], "a double, b double, t string").persist()
+    scope = scope_of({"a": "number", "b": "number", "t": "string"})
+    for e in ("${a} > ${b}", "${a} != ${b} and ${t} = 'x'", "not(${a} > ${b}) or ${t} != 'x'", "${a} > 2 or (${b} < 3 and ${t} != '')", "${a}", "empty(${t}) and ${a} >= 1", "if(${a} > 2, ${b} > 2, ${t} = 'x')", "not(${a} = 1 and ${b} = 1)"):
+        assert sorted(map(str, df.where(where(e, scope)).collect())) == sorted(map(str, df.where(predicate(e, scope)).collect())), e
+
+
+def test_exclusions_are_the_rest(spark):
+    data = [(None, None), ("3", 3.0), ("x", 5.0), ("7", 7.0), ("2024-01-05", 0.0)]
+    df = spark.createDataFrame(data, "s string, v double").persist()
+    for name in ("s", "v"):
+        for text in ('"3";"x"', '("2","5")', '("0","0")', '("2","");("","1")', '("2024-01-01","2024-02-01")'):
+            kept, rest = explore.keep(df, name, text), explore.drop(df, name, text)
+            assert kept.count() + rest.count() == 5 and rest.where(F.col(name).isNull()).count() == 1, (name, text)
+
+
+def test_filters_reach_the_scan(spark, data):
+    from formloom.expressions.compiler import where
+
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    scope = scope_of({"o_totalprice": "number", "o_orderstatus": "string", "o_custkey": "number"})
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,300000.0)" in shown(orders.where(where("${o_totalprice} > 300000 and ${o_custkey} < 50", scope)))
+    assert "GreaterThanOrEqual(o_totalprice,10.0)" in shown(explore.keep(orders, "o_totalprice", '("10","20")'))
+    assert "Not(" in shown(explore.drop(orders, "o_orderstatus", '"F"')).split("PushedFilters")[1]
