@@ -4,13 +4,14 @@ sum, count, min, max and join (each also with -if) of a repeat become one
 grouped aggregation over its instances, combined before the shuffle, and one
 join to the submissions; a repeat of any size takes no more room than its
 aggregates (joined texts excepted).  The rest of each expression is then
-compiled over the results.  What needs instances by number (indexed-repeat,
-rank-index) stays with the nested form.
+compiled over the results.  indexed-repeat and rank-index(-if) with a written
+number are aggregates too: one window numbers and ranks the instances, by the
+same key that the aggregation needs, so nothing is dealt out twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..expressions.compiler import NUMBER, STRING, Scope, Value, compile_expr
@@ -18,7 +19,8 @@ from ..expressions.syntax import Call, Expr, ExpressionError, Literal, Ref, chil
 from ..functions.text import empty_text
 
 _OF_FIELD = {"sum", "min", "max", "sum-if", "min-if", "max-if"}
-_BY_NUMBER = {"indexed-repeat", "rank-index", "rank-index-if", "index"}
+_BY_NUMBER = {"indexed-repeat", "rank-index", "rank-index-if"}
+_INDEX = "__index"
 
 
 def aggregate(parents: DataFrame, instances: DataFrame, key: str, foreign: str, repeat: str, members: dict[str, str], scope: Scope, expressions: dict[str, str | Expr], order: list[str] | None = None) -> DataFrame:
@@ -38,8 +40,16 @@ def aggregate(parents: DataFrame, instances: DataFrame, key: str, foreign: str,
     if outer:  # predicates that look at the submission: its fields beside each instance
         rows = rows.join(parents.select(F.col(key).alias("__parent"), *[scope.fields[o].col.alias(f"__f_{o}") for o in sorted(outer)]), rows[foreign] == F.col("__parent"))
         inner |= {o: Value(F.col(f"__f_{o}"), scope.fields[o].kind) for o in outer}
-    inside = Scope(**{**scope.__dict__, "fields": inner, "repeats": {}, "within": repeat})
-    made = [(k, *_aggregate(e, inside, members, order)) for e, k in wanted.items()]
+    inside = Scope(**{**scope.__dict__, "fields": inner, "repeats": {}, "within": repeat, "index": F.col(_INDEX).cast("double")})
+    if any(isinstance(x, Call) and (x.name in _BY_NUMBER or x.name == "index") for e in wanted for x in _all(e)):
+        if not order:
+            raise ExpressionError("instances by number need their order")
+        rows = rows.withColumn(_INDEX, F.row_number().over(Window.partitionBy(foreign).orderBy(*order)))
+    made = []
+    for e, k in wanted.items():
+        if e.name.startswith("rank-index"):
+            rows = rows.withColumn(f"__r{k}", _rank(e, inside, foreign))
+        made.append((k, *_aggregate(e, inside, order, f"__r{k}")))
     grouped = rows.groupBy(F.col(foreign).alias("__key")).agg(*[c.alias(f"__a{k}") for k, c, _, _ in made])
     joined = parents.join(grouped, parents[key] == F.col("__key"), "left")
     fields = {**scope.fields, **{f"__a{k}": Value(F.col(f"__a{k}") if empty is None else F.coalesce(F.col(f"__a{k}"), empty), kind) for k, _, kind, empty in made}}
@@ -48,6 +58,13 @@ def aggregate(parents: DataFrame, instances: DataFrame, key: str, foreign: str,
 
 
 def _is_aggregate(e: Call, repeat: str, members: dict[str, str]) -> bool:
+    if e.name in _BY_NUMBER:
+        field, at = (e.args[0], e.args[2]) if e.name == "indexed-repeat" and len(e.args) == 3 else (e.args[1], e.args[0]) if e.name != "indexed-repeat" and len(e.args) > 1 else (None, None)
+        if not (isinstance(field, Ref) and field.name in members):
+            return False
+        if not (isinstance(at, Literal) and isinstance(at.value, float)):
+            raise ExpressionError(f"{e.name}() over long rows needs its number written out")
+        return True
     of = e.args[1] if e.name in ("join", "join-if") and len(e.args) > 1 else e.args[0] if e.args else None
     if not isinstance(of, Ref):
         return False
@@ -55,8 +72,6 @@ def _is_aggregate(e: Call, repeat: str, members: dict[str, str]) -> bool:
         return of.name == repeat
     if of.name not in members or not (e.name in _OF_FIELD and (e.name.endswith("-if") or len(e.args) == 1) or e.name in ("join", "join-if")):
         return False
-    if any(isinstance(x, Call) and x.name in _BY_NUMBER for a in e.args for x in _all(a)):
-        raise ExpressionError(f"{e.name}() by instance number needs the nested form")
     return True
 
 
@@ -66,8 +81,23 @@ def _all(e: Expr):
         yield from _all(c)
 
 
-def _aggregate(e: Call, inside: Scope, members: dict[str, str], order: list[str] | None) -> tuple[Column, str, Column | None]:
+def _rank(e: Call, inside: Scope, foreign: str) -> Column:
+    """Rank of each instance by value, highest first, ties by number; NULL where it has no rank."""
+    value = compile_expr(e.args[1], inside).number()
+    ok = value.isNotNull()
+    if e.name.endswith("-if"):
+        ok = ok & compile_expr(e.args[2], inside).truth()
+    return F.when(ok, F.row_number().over(Window.partitionBy(foreign, ok).orderBy(value.desc(), _INDEX)))
+
+
+def _aggregate(e: Call, inside: Scope, order: list[str] | None, ranked: str) -> tuple[Column, str, Column | None]:
     """The aggregate, its kind, and its value over no instances (None: blank)."""
+    if e.name.startswith("rank-index"):
+        return F.coalesce(F.max(F.when(F.col(_INDEX) == int(e.args[0].value), F.col(ranked))), F.lit(999)).cast("double"), NUMBER, F.lit(999.0)
+    if e.name == "indexed-repeat":
+        value = compile_expr(e.args[0], inside)
+        at = lambda n: F.max(F.when(F.col(_INDEX) == n, F.struct(value.col.alias("v"))))
+        return F.coalesce(at(int(e.args[2].value)), at(1))["v"], value.kind, None  # an instance that is not there falls back to the first
     name, where = e.name.removesuffix("-if"), None
     if e.name.endswith("-if"):
         where = compile_expr(e.args[-1], inside).truth()

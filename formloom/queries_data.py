@@ -30,7 +30,7 @@ def columns(df, scope, key, **expressions):
 def aggregated(spark, d, **expressions):
     """Repeat aggregates straight from the line items, without nesting them."""
     orders, scope = table(spark, d, "orders"), over_lines()
-    return repeat_plans.aggregate(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "lines", LINES, scope, expressions)
+    return repeat_plans.aggregate(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "lines", LINES, scope, expressions, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
 
 
 @query("""
@@ -64,7 +64,7 @@ def repeat_min_max_if(spark, d):
 SELECT o_orderkey, round(coalesce(sum(l_extendedprice) FILTER (WHERE l_extendedprice > o_totalprice / 4), 0), 2) AS large, CAST(count(*) FILTER (WHERE l_quantity > 10) AS DOUBLE) / nullif(count(l_orderkey), 0) AS share
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def repeat_nested_aggregates(spark, d):
-    """The same aggregates over arrays, with predicates that look at the submission."""
+    """Aggregates over arrays, with predicates that look at the submission."""
     return columns(submissions(spark, d), over_lines(), "o_orderkey", large="round(sum-if(${l_extendedprice}, ${l_extendedprice} > ${o_totalprice} div 4), 2)", share="count-if(${lines}, ${l_quantity} > 10) div count(${lines})")
 
 
@@ -83,7 +83,7 @@ p AS (SELECT l_orderkey, max(l_partkey) FILTER (WHERE i = 1) AS a, max(l_partkey
 SELECT o_orderkey, CAST(a AS BIGINT) AS first_part, CAST(coalesce(b, a) AS BIGINT) AS second_part, CAST(coalesce(c, a) AS BIGINT) AS fortieth_part FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""")
 def repeat_indexed(spark, d):
     part = lambda k: f"indexed-repeat(${{l_partkey}}, ${{lines}}, {k})"
-    return columns(submissions(spark, d), over_lines(), "o_orderkey", first_part=part(1), second_part=part(2), fortieth_part=part(40))
+    return aggregated(spark, d, first_part=part(1), second_part=part(2), fortieth_part=part(40))
 
 
 @query("""
@@ -109,7 +109,7 @@ b AS (SELECT l_orderkey, i, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 SELECT o_orderkey, CAST(coalesce(max(a.r) FILTER (WHERE a.i = 1), 999) AS DOUBLE) AS rank_first, CAST(coalesce(max(b.r) FILTER (WHERE b.i = 2), 999) AS DOUBLE) AS rank_second_small
 FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey GROUP BY 1""")
 def rank_index_if(spark, d):
-    return columns(submissions(spark, d), over_lines(), "o_orderkey", rank_first="rank-index(1, ${l_extendedprice})", rank_second_small="rank-index-if(2, ${l_extendedprice}, ${l_quantity} < 25)")
+    return aggregated(spark, d, rank_first="rank-index(1, ${l_extendedprice})", rank_second_small="rank-index-if(2, ${l_extendedprice}, ${l_quantity} < 25)")
 
 
 @query("""

@@ -185,7 +185,7 @@ def test_long_aggregates_equal_nested(spark):
     parents = spark.createDataFrame([(k, float(k), f"p{k}") for k in range(6)], "k int, limit double, name string")
     lines = spark.createDataFrame([(j % 5, j, float(j * 37 % 11) if j % 7 else None, f"t{j}") for j in range(40)], "p int, o int, v double, t string")
     members = {"v": "number", "t": "string"}
-    e = {"a": "sum-if(${v}, ${v} > ${limit})", "b": "count(${m}) + count-if(${m}, ${v} > 3)", "c": "max(${v})", "d": "min-if(${t}, ${v} > 2)", "e": "join-if('|', ${t}, ${v} > 5)", "f": "concat(${name}, string(sum(${v})))", "g": "max(${limit}, 2)"}
+    e = {"a": "sum-if(${v}, ${v} > ${limit})", "b": "count(${m}) + count-if(${m}, ${v} > 3)", "c": "max(${v})", "d": "min-if(${t}, ${v} > 2)", "e": "join-if('|', ${t}, ${v} > 5)", "f": "concat(${name}, string(sum(${v})))", "g": "max(${limit}, 2)", "h": "indexed-repeat(${t}, ${m}, 3)", "i": "indexed-repeat(${v}, ${m}, 99)", "j": "rank-index(2, ${v})", "k2": "rank-index-if(1, ${v}, ${v} > ${limit})", "l": "sum-if(${v}, index() > 2)"}
     kinds = {"k": "number", "limit": "number", "name": "string"}
     long = repeat_plans.aggregate(parents, lines, "k", "p", "m", members, scope_of(kinds, {"m": members}), e, ["o"])
     nested = repeats.nest(parents, lines, "k", "p", ["o"], {m: m for m in members}, "m")
@@ -193,7 +193,7 @@ def test_long_aggregates_equal_nested(spark):
     want = nested.select("k", *[compile_expr(t, scope).col.alias(n) for n, t in e.items()])
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ExpressionError):
-        repeat_plans.aggregate(parents, lines, "k", "p", "m", members, scope, {"x": "sum-if(${v}, index() > 1)"})
+        repeat_plans.aggregate(parents, lines, "k", "p", "m", members, scope, {"x": "rank-index(${k}, ${v})"}, ["o"])
 
 
 def test_labels_show_groups_and_instances(spark):
