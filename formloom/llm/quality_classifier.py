@@ -238,7 +238,7 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
     values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     rows = [values[a:b] for a, b in zip(ends, ends[1:])]
     target = np.array([posterior[p] for p in train.column("pattern").to_pylist()]).reshape(-1, len(CLASSES))
-    order = sorted(range(len(rows)), key=lambda k: rows[k].tobytes())  # whatever the order they came in
+    order = sorted(range(len(rows)), key=lambda k: (rows[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
     return Scorer(fit_linear([rows[k] for k in order], target[order])), {"share": share, "vote": vote}
 
 
