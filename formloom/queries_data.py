@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
+from .catalogue import CATALOGUE, query, table
 from .expressions.compiler import compile_expr, scope_of
 from .functions import dates, geo, lists
 from .operators import choices, lookup, repeat_plans, repeats
 from .plans import explore, publish
+from .session import shared_folder
+from .streaming.publisher import VersionedDataset, publish_stream
 
 LINES = {"l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_partkey": "number", "l_linenumber": "number"}
 
@@ -378,6 +382,21 @@ n AS (SELECT CAST(user_id AS VARCHAR) AS id, string_agg(event_type, ',' ORDER BY
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN 'none' END AS last, CASE WHEN o.id IS NOT NULL THEN '100' END AS total, t || CASE WHEN o.id IS NOT NULL THEN ',start' ELSE '' END AS log FROM o FULL JOIN n ON o.id = n.id""")
 
 
+@query(CATALOGUE["publish_add"].oracle)
+def publish_stream_add(spark, d):
+    """The same sums from a stream: two micro-batches, the first of them replayed."""
+    folder = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex[:12]}"
+    events = table(spark, d, "events").select("event_id", "user_id", "value", F.when(F.col("value") > 10, "1").otherwise("0").alias("shown"))
+    target = VersionedDataset(spark, f"{folder}/dataset", _dataset(spark, d))
+    link = publish.Link("user_id", "id", [publish.FieldMap("value", "total", publish.ADD)], relevance_field="shown")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for checkpoint in ("a", "a") if part else ("a", "b"):  # "b" knows nothing of "a": its batch 0 is a replay
+            source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+            publish_stream(source, link, target, ["event_id"], f"{folder}/{checkpoint}").awaitTermination()
+    return target.read().withColumn("total", F.round(F.col("total").cast("double"), 4))
+
+
 @query("""
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)
 SELECT l_orderkey, max(l_partkey) FILTER (WHERE i = 1) AS part_1, max(l_partkey) FILTER (WHERE i = 2) AS part_2, max(l_quantity) FILTER (WHERE i = 1) AS qty_1, max(l_quantity) FILTER (WHERE i = 2) AS qty_2 FROM x GROUP BY 1""")

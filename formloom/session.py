@@ -21,3 +21,11 @@ def session(app: str = "formloom", master: str | None = None, **settings: str) -
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session gets one of its own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or "/tmp/formloom").rstrip("/")
