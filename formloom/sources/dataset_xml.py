@@ -64,7 +64,7 @@ def read(xml: str) -> Dataset:
     return Dataset(
         _text(d, "id") or "", _text(d, "title") or "", _text(d, "datasetType") or "SERVER", _text(d, "discriminator") or "DATA",
         [x.strip() for x in (_text(d, "fieldNames") or "").split(",") if x.strip()], [(x.text or "").strip() for x in d.iterfind("formLinks/formLink/formId")],
-        [{x.tag: (x.text or "").strip() for x in link} for link in d.iterfind("dataLinks/dataLink")], cases, {x.tag: (x.text or "").strip() for x in d.find("idFormatOptions") or []},
+        [{x.tag: (x.text or "").strip() for x in link} for link in d.iterfind("dataLinks/dataLink")], cases, {x.tag: (x.text or "").strip() for x in d.iterfind("idFormatOptions/*")},
         _text(d, "uniqueRecordField") or None, _text(d, "allowOfflineUpdates") == "true", int(_text(root.find("instance"), "version") or 1),
     )
 
