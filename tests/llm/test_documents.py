@@ -1,7 +1,9 @@
 import base64
 import gzip
+import io
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -160,6 +162,29 @@ def test_nested_layers(inner, outer):
     assert sec.scan(clean)[1] == [] and clean.startswith("before ") and clean.endswith(" after")
 
 
+def _tar(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as f:
+        info = tarfile.TarInfo("a.env")
+        info.size = len(data)
+        f.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+PLAIN = SECRET.encode()
+BYTES = {
+    "nbsp": (SECRET + "\u00a0").encode(), "bom": ("\ufeff" + SECRET).encode(), "nul": PLAIN + b"\0", "esc": b"\x1b[0m" + PLAIN + b"\x0c", "emoji": (SECRET + " \U0001f469\u200d\U0001f4bb").encode(), "latin1": b"\xe9 " + PLAIN,
+    "utf16le": SECRET.encode("utf-16-le"), "utf16be": SECRET.encode("utf-16-be"), "utf16bom": SECRET.encode("utf-16"), "utf16odd": b"\xe9" + SECRET.encode("utf-16-be"), "tar": _tar(PLAIN), "tar.gz": gzip.compress(_tar(PLAIN)), "nested": b"\0\xff " + base64.b64encode(b"\xe9 " + PLAIN) + b" \0",
+}
+
+
+@pytest.mark.parametrize("name", BYTES)
+def test_layers_of_any_bytes(name):
+    text = f"before {base64.b64encode(BYTES[name]).decode()} after"
+    spans = sec.scan(text)[1]
+    assert {text[a:b] for a, b, k in spans if k == "assign"} == {text.split()[1]} and sec.redact(text, spans) == "before [SECRET] after"
+
+
 def test_escapes_map_exactly():
     text = "x %74oken%20%3D%20abcdefghijklmnop y"
     assert [text[a:b] for a, b, k in sec.scan(text)[1] if k == "assign"] == ["%74oken%20%3D%20abcdefghijklmnop"]
