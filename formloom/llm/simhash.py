@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow_io import keep, map_rows
 
@@ -199,27 +200,50 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+def _classes(docs: DataFrame, most: int, width: int, seed: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and per fingerprint: fp, first (its smallest id), component (a label), component_id."""
     fps = keep(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
     classes = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
     labels = components(links_between(classes, most, block))
     linked = labels.join(classes, F.col("node") == F.col("fp")).select("fp", "label", "first")
     lowest = linked.groupBy("label").agg(F.min("first").alias("lowest"))
-    lowest = linked.join(lowest, "label").select("fp", "lowest")
-    # stored, so that the join below stands alone and a fingerprint shared by very many rows can be split at run time
-    of = keep(classes.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "components")
-    return fps.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lowest = linked.join(lowest, "label").select("fp", "label", "lowest")
+    # stored, so that a join with it stands alone and a fingerprint shared by very many rows can be split at run time
+    of = classes.join(lowest, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("component"), F.coalesce("lowest", "first").alias("component_id"))
+    return fps, keep(of, "components")
+
+
+def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    fps, of = _classes(docs, most, width, seed, id_col, text_col, block)
+    return fps.join(of.select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_fingerprint(docs: DataFrame, width: int, seed: int, text_col: str) -> DataFrame:
+    """docs with its fingerprints as a further column __fp."""
+    at = docs.columns.index(text_col)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fp = np.array([fingerprint(t, width, seed) for t in batch.column(at).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    return map_rows(docs, docs.columns, rows, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
-def one_of_each(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each component: that of smallest id (of rows that share it, any one).
+def one_of_each(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of smallest id (a null id comes last; of rows that share id and fingerprint, any one).
 
-    The ids that stay are found on ids and fingerprints alone; the texts are
-    filtered by a join on the id, which no two rows that stay share.
+    The rows that stay are found on ids and fingerprints alone; the texts are
+    filtered by a join on the id where only one row has it.  Rows that share
+    their id, or have none, are told apart by their fingerprints too.
     """
-    found = near_duplicates(docs, most, width, seed, id_col, text_col)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__one")).distinct()
-    # joined and told apart by the same column, so the texts are dealt out once
-    return docs.withColumn("__one", key).join(keep(first, "representatives"), "__one", "left_semi").dropDuplicates(["__one"]).drop("__one")
+    fps, of = _classes(docs, most, width, seed, id_col, text_col, block)
+    one = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("one")).select(F.col("one.first").alias("__one"), F.col("one.fp").alias("__fp"))
+    shared = keep(fps.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("__one")), "shared-ids")
+    one = keep(one, "representatives")
+    own = docs.join(one.join(shared, "__one", "left_anti").where("__one is not null"), docs[id_col] == F.col("__one"), "left_semi")
+    unsure = docs.where(F.col(id_col).isNull()).unionAll(docs.join(shared, docs[id_col] == F.col("__one"), "left_semi"))
+    unsure = with_fingerprint(unsure, width, seed, text_col).withColumn("__one", F.col(id_col))
+    # joined and told apart by the same columns, so the texts are dealt out once
+    told = unsure.join(one, unsure["__one"].eqNullSafe(one["__one"]) & (unsure["__fp"] == one["__fp"]), "left_semi").dropDuplicates(["__one", "__fp"])
+    return own.unionAll(told.drop("__one", "__fp"))

@@ -129,6 +129,15 @@ def test_near_duplicates(odd, none):
     assert sim.near_duplicates(none).count() == 0 and sim.one_of_each(none).count() == 0
 
 
+def test_one_of_each_keeps_every_component(spark):
+    """Null ids, and ids over several texts, do not stand for one another."""
+    far = [" ".join(f"{w}{k}" for k in range(40)) for w in ("ape", "bee", "cat", "dog", "elk")]
+    assert all((sim.fingerprint(a) ^ sim.fingerprint(b)).bit_count() > 3 for a in far for b in far if a != b)
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (7, far[2]), (7, far[3]), (9, far[3]), (9, far[3]), (7, far[2]), (8, far[4]), (None, far[4])]
+    got = sim.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, far[0]), (None, far[1]), (7, far[2]), (7, far[3]), (8, far[4])], key=str)
+
+
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
 
 
