@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import io
+import lzma
 import random
 import re
 import tarfile
@@ -194,6 +196,28 @@ def test_layers_of_any_bytes(name):
     assert {text[a:b] for a, b, k in spans if k == "assign"} == {text.split()[1]} and sec.redact(text, spans) == "before [SECRET] after"
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_streams_are_read_to_their_end(pack):
+    rng = random.Random(8)
+    filler = " ".join(str(rng.random())[2:9] for _ in range(4000)).encode()
+    wide = SECRET.encode("utf-16-le")
+    for raw in (pack(b"first member ") + pack(PLAIN), pack(filler + b" " + PLAIN + b" " + filler), pack("é".encode() * 5000 + b" " + PLAIN), pack(pack(filler) + pack(PLAIN)), pack(b"\0\0".join([filler, wide, filler]))):
+        text = f"before {base64.b64encode(raw).decode()} after"
+        for most in (3001, 3002, 10_000, sec.MAX_LAYER):
+            assert sec.redact(text, sec.scan(text, most)[1]) == "before [SECRET] after"
+    text = f"before {base64.b64encode(pack(b'+' * 5000 + b' ' + PLAIN)).decode()} after"
+    assert {k for *_, k in sec.scan(text, 1000)[1]} == {"unread"} and sec.redact(text, sec.scan(text, 1000)[1]) == "before [SECRET] after"
+
+
+def test_parts_cut_nothing():
+    rng = random.Random(9)
+    words = ["token", " ", " ", " = ", "abcdefghijkl", ",", "%41", "\n", "QUJDREVGR0hJSktMTU5PUA==", "word", " word word word ", "\\x41", "0123456789abcdef"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) for _ in range(60))
+        cut = sec._cut(text.encode())
+        assert all(not a < cut < b for a, b, _ in sec.scan(text)[1]), (text, cut)
+
+
 def test_escapes_map_exactly():
     text = "x %74oken%20%3D%20abcdefghijklmnop y"
     assert [text[a:b] for a, b, k in sec.scan(text)[1] if k == "assign"] == ["%74oken%20%3D%20abcdefghijklmnop"]
