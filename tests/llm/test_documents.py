@@ -209,6 +209,34 @@ def test_streams_are_read_to_their_end(pack):
     assert {k for *_, k in sec.scan(text, 1000)[1]} == {"unread"} and sec.redact(text, sec.scan(text, 1000)[1]) == "before [SECRET] after"
 
 
+def _wrapped(data, width=76, by="\n"):
+    code = base64.b64encode(data).decode()
+    return by.join(code[k : k + width] for k in range(0, len(code), width))
+
+
+PACKED = gzip.compress(PLAIN + b" " + bytes(range(256)))
+RUNS = {
+    **{f"wrapped {w} {by!r} {n}": _wrapped(data, w, by) for w in (10, 19, 76) for by in ("\n", "\r\n", "\\n", "\\r\\n", "\n  ") for n, data in (("plain", b"x" * 60 + PLAIN), ("gzip", PACKED))},
+    **{f"joined {p} {k}": p + base64.b64encode(b"." * k + PLAIN).decode().rstrip("=") for p in ("/v1/", "blob_", "x-", "ab/c-", "q") for k in range(3)},
+    **{f"url {p.__name__}": urllib.parse.quote(p(PLAIN)) for p in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)},
+    "form": urllib.parse.quote_plus(PACKED), "all url": "".join(f"%{c:02x}" for c in PACKED), "hex escapes": "".join(f"\\x{c:02x}" for c in PACKED), "octal": "".join(f"\\{c:03o}" for c in PACKED), "unicode": "".join(f"\\u{c:04x}" for c in PACKED),
+    "joined gzip": "blob_" + base64.urlsafe_b64encode(PACKED).decode(),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_runs_and_byte_strings(name):
+    text = f"before {RUNS[name]} after"
+    assert sec.redact(text, sec.scan(text)[1]) == "before [SECRET] after"
+
+
+@pytest.mark.parametrize("raw", [PACKED, zlib.compress(PLAIN), bz2.compress(PLAIN)])
+def test_repr_of_compressed_bytes(raw):
+    text = f"before {raw!r} after"
+    clean = sec.redact(text, sec.scan(text)[1])
+    assert "[SECRET]" in clean and clean.startswith("before b") and clean.endswith(" after")
+
+
 def test_parts_cut_nothing():
     rng = random.Random(9)
     words = ["token", " ", " ", " = ", "abcdefghijkl", ",", "%41", "\n", "QUJDREVGR0hJSktMTU5PUA==", "word", " word word word ", "\\x41", "0123456789abcdef"]
