@@ -47,6 +47,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def vector_salt(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's components."""
+    weights = np.random.default_rng(0).integers(0, 1 << 63, x.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.ascontiguousarray(x).view(np.uint64)
+    return ((bits ^ bits >> np.uint64(29)) * weights).sum(axis=1, dtype=np.uint64)
+
+
 class Forest:
     """Trees as arrays: projection, threshold, and the two children (a leaf has its number below zero)."""
 
@@ -105,18 +112,22 @@ class Forest:
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: id, ids and exact distances of its k nearest rows of another id."""
+    """Per query: id, and the k nearest other ids with their exact distances; of an id's rows the nearest counts."""
     rough = (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
     rough[q_ids[:, None] == ids[None, :]] = np.inf
-    for row, one, me in zip(rough, q, q_ids, strict=True):
-        if len(row) > k:
-            edge = np.partition(row, k - 1)[k - 1]
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0]) if len(ids) else np.zeros(0, np.int64)
+    least = rough if len(starts) == len(ids) else np.minimum.reduceat(rough[:, by_id], starts, axis=1)
+    for row, low, one, me in zip(rough, least, q, q_ids, strict=True):
+        if len(low) > k:
+            edge = np.partition(low, k - 1)[k - 1]
             near = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge) + one @ one))
         else:
             near = np.arange(len(row))
         near = near[ids[near] != me]
         d = np.sqrt(((x[near] - one) ** 2).sum(axis=1))
-        order = np.lexsort((ids[near], d))[:k]
+        order = np.lexsort((ids[near], d))
+        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
         yield int(me), ids[near][order], d[order]
 
 
@@ -166,7 +177,12 @@ def nearest(
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            # an id's rows are dealt to several blocks by their vectors; exact copies add nothing
+            whole = np.ascontiguousarray(np.column_stack([ids.view(np.float64), x]))
+            first = np.sort(np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True)[1])
+            batch, ids, x = batch.take(pa.array(first)), ids[first], x[first]
+            salt = (vector_salt(x) ^ ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            salt = (salt >> np.uint64(33)).astype(np.int64)
             at, which = f.leaves(x), np.repeat(np.arange(len(ids)), trees)
             own = [(w, n, s % part[n, 0], j, 1) for w, n, s in zip(which.tolist(), at.ravel().tolist(), salt[which].tolist(), strict=True) for j in range(part[n, 1])]
             for w in np.flatnonzero(ids % every == 0).tolist():

@@ -66,3 +66,26 @@ def test_forest_visits_all_and_ties():
     assert set(f.leaves(x)[0]) & set(f.visit(x[0], 3))
     same = list(best(np.zeros((1, 2)), np.array([7]), np.ones((4, 2)), np.array([9, 3, 7, 5]), 2))
     assert same[0][1].tolist() == [3, 5]
+
+
+def test_an_id_repeated_more_than_k_times(spark, monkeypatch):
+    import formloom.llm.ann_forest as ann
+
+    monkeypatch.setattr(ann, "ROW_BLOCK", 100)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 8))
+    ids = np.arange(900)
+    ids[1:300] = 5  # near the query and one of a third of all rows
+    x[1:300] = x[0] + 1e-3 * rng.standard_normal((299, 8))
+    found = list(best(x[:1], ids[:1], x, ids, 3))[0]
+    assert len(set(found[1].tolist())) == 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip([*ids, *ids], [*x, *x])], "vec_id bigint, embedding array<double>")
+    got = held(nearest(df, probe=1.0).collect())
+    for q in (0, 300, 800):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want: dict = {}
+        for j in np.lexsort((ids, d)):
+            if ids[j] != q:
+                want.setdefault(int(ids[j]), d[j])
+        assert [i for i, _ in got[q]] == list(want)[:10] and np.allclose([s for _, s in got[q]], list(want.values())[:10])
+    assert len(np.unique(ann.vector_salt(x[1:300]) % np.uint64(97))) > 50
