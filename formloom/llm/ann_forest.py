@@ -1,33 +1,35 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 A tree splits at the median of a random projection.  The trees are fitted on a
-bounded sample (``sample`` rows, those of smallest id hash) and every row is
-then dealt to one leaf of each tree.  A query goes down all trees at once: one
-priority queue, shared by the trees, holds the branches not taken, by their
-distance from the query; leaves are visited in its order until ``probe`` of
-all leaves are.  Candidates in visited leaves are ranked by the exact distance
-on the original vectors.
-
-Queries and rows of a leaf meet in blocks of bounded size (a leaf full of
-copies is just more blocks), each block returns its best ``k`` for a query, and
-the last step merges those.
-
-Vectors without structure are the hard case: on uniform random directions in
-64 dimensions a recall of 0.9 needs about two fifths of the rows as
-candidates, whatever the index; ``probe`` is set for that case.  Structured
-vectors do with much less.
+bounded sample (at most about ``sample`` rows, chosen by a hash of id and
+vector) and are as deep as the table asks for: leaves of ``leaf_rows`` rows, as
+far as the sample can place their splits.  Every row is then dealt to one leaf
+of each tree.  A query goes down all trees at once: one priority queue, shared
+by the trees, holds the branches not taken, by their distance from the query;
+leaves are visited in its order.  Candidates in visited leaves are ranked by
+the exact distance on the original vectors.
+
+How many leaves are visited is not fixed but measured: for at most ``probes``
+queries the true neighbours among all rows are found, and the visits are the
+fewest that meet ``recall`` of them.  So vectors without structure, where no
+index helps (uniform directions in 64 dimensions need two thirds of the rows as
+candidates), get what they need, and structured ones do with much less.
+
+A leaf's rows stay in blocks of bounded size (a leaf full of copies is just
+more blocks), once for each tree; queries are sent to the blocks and stream
+past the rows, so no row is copied for queries however many there are.  Each
+block returns its best ``k`` for a query, and the last step merges those.
 
 Defined results: rows whose id is null, or whose vector is null, zero, of
-another length than the sample's most frequent, or holds a null or non-finite
-component, take no part; ties go to the smaller id; a repeated id counts once,
-at its smaller distance; an empty table gives no rows; further columns are
-not read.
+another length than the table's most frequent (of equally frequent ones the
+shorter), or holds a null or non-finite component, take no part; ties go to the
+smaller id; a repeated id counts once, at its smaller distance; an empty table
+gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .arrow_io import bound_batches
 
-#: Rows of a leaf, and queries, that meet in one block.
-ROW_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rows of a leaf in one block, and queries compared with it at once.
+ROW_BLOCK, QUERIES = 16_384, 256
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -131,103 +133,177 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: in
         yield int(me), ids[near][order], d[order]
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The first place of each different (id, vector), ascending: exact copies add nothing."""
+    whole = np.ascontiguousarray(np.column_stack([ids.view(np.float64), x]))
+    return np.sort(np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True)[1])
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """The rows (id, v) that take part."""
+    v = F.col("v")
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].alias("v"))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0))
+
+
+def true_neighbours(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, forest: Forest) -> list:
+    """(query_id, leaves of the neighbour in each tree) of the k nearest among all rows, for a bounded number of queries."""
+    spark = rows.sparkSession
+    asked, trees = spark.sparkContext.broadcast((q_ids, q)), spark.sparkContext.broadcast(forest)
+
+    def each(batches) -> Iterator[pa.RecordBatch]:
+        (of, points), kept, held = asked.value, None, []
+
+        def merge(kept):
+            ids, x = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            if kept is not None:
+                ids, x = np.concatenate([kept[0], ids]), np.concatenate([kept[1], x])
+            got = list(best(points, of, x, ids, k))
+            # only rows that are near some query go on
+            near = np.isin(ids, np.unique(np.concatenate([g[1] for g in got]))) if got else np.zeros(len(ids), bool)
+            return (ids[near][(one := distinct_rows(ids[near], x[near]))], x[near][one]) if near.any() else None
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), matrix(batch.column(1))))
+                if sum(len(h[0]) for h in held) >= ROW_BLOCK:
+                    kept, held = merge(kept), []
+        if held:
+            kept = merge(kept)
+        if kept is None:
+            return
+        ids, x = kept
+        at = trees.value.leaves(x)
+        for me, point in zip(of, points, strict=True):
+            d = np.sqrt(((x - point) ** 2).sum(axis=1))
+            order = np.lexsort((ids, d))
+            order = order[ids[order] != me]
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+            if len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), me)), pa.array(ids[order]), pa.array(d[order]), pa.array(at[order].tolist(), pa.list_(pa.int64()))], names=["query_id", "vec_id", "score", "leaves"])
+
+    found = rows.mapInArrow(each, "query_id bigint, vec_id bigint, score double, leaves array<bigint>")
+    found = found.groupBy("query_id", "vec_id").agg(F.min_by("leaves", "score").alias("leaves"), F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "leaves").collect()
+
+
+def visits_for(rows: DataFrame, forest: Forest, k: int, every: int, probes: int, recall: float) -> int:
+    """The fewest leaf visits that meet ``recall`` of the true neighbours of at most ``probes`` queries."""
+    some = rows.where(F.col("id") % every == 0).orderBy(F.xxhash64("id", "v"), "id").limit(probes).toArrow()
+    q_ids, q = some.column("id").to_numpy(), matrix(some.column("v").combine_chunks())
+    q_ids, first = np.unique(q_ids, return_index=True)
+    q = q[first]
+    if not len(q):
+        return 1
+    place = {}
+    for me, point in zip(q_ids.tolist(), q, strict=True):
+        place[me] = np.zeros(forest.n_leaves + 1, np.int64)
+        place[me][forest.visit(point, forest.n_leaves)] = np.arange(1, forest.n_leaves + 1)
+    need = sorted(int(place[r["query_id"]][r["leaves"]].min()) for r in true_neighbours(rows, q_ids, q, k, forest))
+    return need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)] if need else 1
+
+
 def nearest(
-    vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 4, probe: float = 0.4, sample: int = 16_384, leaf: int = 256, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 4, recall: float = 0.96, probes: int = 128, sample: int = 65_536, leaf_rows: int = 1024, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by ``every``, against all rows.
 
-    The driver gets the sample, and two counts for each leaf; what is
-    broadcast is the forest, of a size set by the sample.
+    The driver gets the sample, the neighbours of ``probes`` queries and a
+    count for each leaf; what is broadcast is the forest (at most a split for
+    16 rows of the sample), those queries and the counts: all of a size set by
+    the parameters.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    v = F.col("v")
-    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    sizes = Counter(len(x) for x in drawn.column("v").to_pylist()) if drawn.num_rows else Counter()
-    dim = sizes.most_common(1)[0][0] if sizes else 0
+    rows = usable(vectors, id_col, vector_col)
+    kind = rows.schema["v"].dataType.simpleString()
+    lengths = sorted(((-r["n"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()))
+    if not lengths:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    total, dim = -lengths[0][0], lengths[0][1]
     rows = rows.where(F.size("v") == dim)
-    fit = np.array([x for x in drawn.column("v").to_pylist() if len(x) == dim], np.float64).reshape(-1, max(dim, 1))
-    forest = Forest(fit, trees, max(32, min(leaf, len(fit) // 16)), seed)
-    n_visit = int(np.ceil(probe * forest.n_leaves))
+    drawn = rows
+    if total > sample:
+        drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id", "v"), 33) < int(sample / total * 2**31))
+    fit = matrix(drawn.distinct().limit(2 * sample).toArrow().column("v").combine_chunks()).reshape(-1, dim)
+    fit = fit[np.lexsort(fit.T[::-1])] if len(fit) else fit
+    leaf = max(32, -(-len(fit) * leaf_rows // max(total, 1)), 1)
+    forest = Forest(fit, trees, min(leaf, max(32, len(fit) // 32)), seed)
+    n_visit = visits_for(rows, forest, k, every, probes, recall)
     shared = spark.sparkContext.broadcast(forest)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        n = np.zeros((f.n_leaves + 1, 2), np.int64)
+        n = np.zeros(f.n_leaves + 1, np.int64)
         for batch in batches:
             if batch.num_rows:
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                np.add.at(n[:, 0], f.leaves(x).ravel(), 1)
-                for q in x[ids % every == 0]:
-                    np.add.at(n[:, 1], f.visit(q, n_visit), 1)
-        leaf_of = np.flatnonzero(n.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(leaf_of), pa.array(n[leaf_of, 0]), pa.array(n[leaf_of, 1])], names=["leaf", "n_rows", "n_queries"])
-
-    counted = rows.mapInArrow(count, "leaf bigint, n_rows bigint, n_queries bigint").groupBy("leaf").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_queries").alias("n_queries")).collect()
-    parts = np.ones((forest.n_leaves + 1, 2), np.int64)
-    for r in counted:
-        parts[r["leaf"]] = max(1, -(-r["n_rows"] // ROW_BLOCK)), max(1, -(-r["n_queries"] // QUERY_BLOCK))
+                np.add.at(n, f.leaves(matrix(batch.column(1))).ravel(), 1)
+        leaf_of = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf_of), pa.array(n[leaf_of])], names=["leaf", "n"])
+
+    parts = np.ones(forest.n_leaves + 1, np.int64)
+    for r in rows.mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        parts[r["leaf"]] = -(-r["n"] // ROW_BLOCK)
     blocks = spark.sparkContext.broadcast(parts)
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         f, part = shared.value, blocks.value
+
+        def out(batch: pa.RecordBatch, which: np.ndarray, leaf: np.ndarray, block: np.ndarray, role: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(np.full(len(leaf), role)), *batch.take(pa.array(which)).columns], names=["leaf", "block", "role", "id", "v"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            # an id's rows are dealt to several blocks by their vectors; exact copies add nothing
-            whole = np.ascontiguousarray(np.column_stack([ids.view(np.float64), x]))
-            first = np.sort(np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True)[1])
+            first = distinct_rows(ids, x)
             batch, ids, x = batch.take(pa.array(first)), ids[first], x[first]
+            # an id's rows are dealt to several blocks by their vectors
             salt = (vector_salt(x) ^ ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             salt = (salt >> np.uint64(33)).astype(np.int64)
-            at, which = f.leaves(x), np.repeat(np.arange(len(ids)), trees)
-            own = [(w, n, s % part[n, 0], j, 1) for w, n, s in zip(which.tolist(), at.ravel().tolist(), salt[which].tolist(), strict=True) for j in range(part[n, 1])]
+            at, which = f.leaves(x).ravel(), np.repeat(np.arange(len(ids)), trees)
+            yield out(batch, which, at, salt[which] % part[at], 0)
             for w in np.flatnonzero(ids % every == 0).tolist():
-                own += [(w, n, i, int(salt[w] % part[n, 1]), 0) for n in f.visit(x[w], n_visit) for i in range(part[n, 0])]
-            a = np.array(own, np.int64).reshape(-1, 5)
-            take = batch.take(pa.array(a[:, 0].copy()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(a[:, c].copy()) for c in (1, 2, 3, 4)), *take.columns], names=["leaf", "i", "j", "role", "id", "v"])
+                leaf = np.repeat(seen := np.array(f.visit(x[w], n_visit)), part[seen])
+                block = np.arange(len(leaf)) - np.repeat(np.cumsum(part[seen]) - part[seen], part[seen])
+                yield out(batch, np.full(len(leaf), w), leaf, block, 1)
 
-    key = ["leaf", "i", "j"]
-    kind = rows.schema["v"].dataType.simpleString()
-    met = rows.mapInArrow(deal, f"leaf bigint, i bigint, j bigint, role bigint, id bigint, v {kind}").repartition(*key).sortWithinPartitions(*key, "role", "id")
+    met = rows.mapInArrow(deal, f"leaf bigint, block bigint, role bigint, id bigint, v {kind}").repartition("leaf", "block").sortWithinPartitions("leaf", "block", "role", "id")
 
     def search(batches) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            role = t.column("role").to_numpy()
-            n = int((role == 0).sum())
-            if 0 < n < len(role):
-                ids, x = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())
-                for a in range(0, n, 256):
-                    b = min(n, a + 256)
-                    got = list(best(x[a:b], ids[a:b], x[n:], ids[n:], k))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))],
-                        names=["query_id", "vec_id", "score"],
-                    )
+        key, ids, x, held = None, None, None, []
+
+        def rows_of() -> tuple[np.ndarray, np.ndarray]:
+            if not held:
+                return np.zeros(0, np.int64), np.zeros((0, dim))
+            ids, x = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            return ids[(one := distinct_rows(ids, x))], x[one]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            before = held[-1] if held else None
-            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
-            if before is not None and any(before.column(c)[before.num_rows - 1].as_py() != keys[0, c] for c in range(3)):
-                yield from group(pa.Table.from_batches(held))
-                held = []
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                held.append(batch.slice(a, b - a))
-                if b < batch.num_rows:
-                    yield from group(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield from group(pa.Table.from_batches(held))
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            all_ids, points = batch.column("id").to_numpy(), matrix(batch.column("v"))
+            for a, b in zip(cuts, cuts[1:]):
+                if (now := tuple(keys[a, :2].tolist())) != key:
+                    key, ids, held = now, None, []
+                if keys[a, 2] == 0:
+                    one = distinct_rows(all_ids[a:b], points[a:b])
+                    held.append((all_ids[a:b][one], points[a:b][one]))
+                    if sum(len(h[0]) for h in held) > 2 * ROW_BLOCK:
+                        held = [rows_of()]
+                    continue
+                if ids is None:
+                    (ids, x), held = rows_of(), []
+                for c in range(a, b if len(ids) else a, QUERIES):
+                    got = list(best(points[c : min(b, c + QUERIES)], all_ids[c : min(b, c + QUERIES)], x, ids, k))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))],
+                        names=["query_id", "vec_id", "score"],
+                    )
 
     found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

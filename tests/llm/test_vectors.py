@@ -49,12 +49,12 @@ def test_many_copies(spark, monkeypatch):
     import formloom.llm.ann_forest as ann
 
     monkeypatch.setattr(ann, "ROW_BLOCK", 50)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "QUERIES", 2)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((900, 8))
     x[:400] = x[0]
     df = spark.createDataFrame([(k, x[k].tolist()) for k in range(900)], "vec_id bigint, embedding array<double>")
-    got, want = held(nearest(df, probe=1.0).collect()), brute(np.arange(900), x)
+    got, want = held(nearest(df, recall=1.0).collect()), brute(np.arange(900), x)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
@@ -80,7 +80,7 @@ def test_an_id_repeated_more_than_k_times(spark, monkeypatch):
     found = list(best(x[:1], ids[:1], x, ids, 3))[0]
     assert len(set(found[1].tolist())) == 3
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip([*ids, *ids], [*x, *x])], "vec_id bigint, embedding array<double>")
-    got = held(nearest(df, probe=1.0).collect())
+    got = held(nearest(df, recall=1.0).collect())
     for q in (0, 300, 800):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         want: dict = {}
@@ -89,3 +89,22 @@ def test_an_id_repeated_more_than_k_times(spark, monkeypatch):
                 want.setdefault(int(ids[j]), d[j])
         assert [i for i, _ in got[q]] == list(want)[:10] and np.allclose([s for _, s in got[q]], list(want.values())[:10])
     assert len(np.unique(ann.vector_salt(x[1:300]) % np.uint64(97))) > 50
+
+
+def test_structured_vectors_need_few_leaves(spark):
+    from formloom.llm.ann_forest import usable, visits_for
+
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((200, 16))
+    x = centres[rng.integers(0, 200, 20_000)] + 0.05 * rng.standard_normal((20_000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    forest = Forest(x[::5], 4, 64, 1)
+    assert visits_for(usable(df, "vec_id", "embedding"), forest, 10, 100, 64, 0.96) < forest.n_leaves / 8
+    got, want = held(nearest(df).collect()), brute(np.arange(len(x)), x)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]) / 10 >= 0.9
+
+
+def test_lengths_are_counted_over_the_table(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(1, 40)] + [(100, [0.5, 0.5])] + [(1000 + k, [1.0, 2.0, 3.0]) for k in range(39)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {r["vec_id"] for r in nearest(df, sample=8).collect()} <= set(range(1, 40))
