@@ -16,7 +16,7 @@ Only distinct fingerprints enter, so copies cost nothing.  A cell passes on a
 spanning forest of its links (fewer links than members, the same components).
 A cell with more than ``block`` members is cut into blocks, and each pair of
 blocks is a group of its own: bounded memory, no link lost.  Components come
-from repeated contraction towards the smallest neighbour, as tables in the
+from randomised contraction in a logarithmic number of rounds, as tables in the
 shared folder.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link
@@ -42,6 +42,8 @@ from .arrow_io import keep, map_rows
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _LOW = 0x5555555555555555
+
+
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text, a bounded part of it at a time."""
     at = 0
@@ -182,22 +184,31 @@ def links_between(classes: DataFrame, most: int = 3, block: int = 4096, groups:
 def components(links: DataFrame) -> DataFrame:
     """Per node of the links (a, b): node and label, one label for each connected component.
 
-    Each round hooks every node to its smallest neighbour and contracts the
-    links; both tables are written to the shared folder, so lineage stays short.
+    Randomised contraction: in each round the nodes are put in a new order by a
+    hash, every node is replaced by the first of itself and its neighbours, and
+    links inside one are dropped.  The expected number of nodes left falls by a
+    constant factor a round whatever the shape (chains, stars), so the rounds
+    are logarithmic.  Each round's replacements are written to the shared
+    folder; they are then followed from the last, smallest one back, so every
+    node is joined once.
     """
-    links, labels = keep(links, "links"), None
+    links, hops = keep(links, "links"), []
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
-        if labels is None:
-            labels = up.select(F.col("a").alias("node"), F.col("up").alias("label"))
-        else:
-            labels = labels.join(up, F.col("label") == F.col("a"), "left").select("node", F.coalesce("up", "label").alias("label"))
-        labels = keep(labels, "labels")
+        order = lambda c, turn=len(hops): F.xxhash64(F.lit(turn), c)
+        first = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        up = keep(first.select("a", F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("up")), "hooks")
+        hops.append(up)
         other = up.select(F.col("a").alias("b"), F.col("up").alias("up_b"))
         links = links.join(up, "a").join(other, "b").where("up <> up_b")
         links = keep(links.select(F.least("up", "up_b").alias("a"), F.greatest("up", "up_b").alias("b")).distinct(), "links")
-    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if not hops:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = hops.pop().select(F.col("a").alias("node"), F.col("up").alias("label"))
+    while hops:
+        later = labels.select(F.col("node").alias("up"), "label")
+        labels = keep(hops.pop().join(later, "up", "left").select(F.col("a").alias("node"), F.coalesce("label", "up").alias("label")), "labels")
+    return labels
 
 
 def _classes(docs: DataFrame, most: int, width: int, seed: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
@@ -219,31 +230,42 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int =
     return fps.join(of.select("fp", "component_id"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_fingerprint(docs: DataFrame, width: int, seed: int, text_col: str) -> DataFrame:
-    """docs with its fingerprints as a further column __fp."""
+def with_fingerprint(docs: DataFrame, name: str, width: int, seed: int, text_col: str) -> DataFrame:
+    """docs with its fingerprints as a further column."""
     at = docs.columns.index(text_col)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t, width, seed) for t in batch.column(at).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "__fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, name])
+
+    return map_rows(docs, docs.columns, rows, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
 
-    return map_rows(docs, docs.columns, rows, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish``, or it with underscores before it, that names none of the columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while wish in taken:
+        wish = f"_{wish}"
+    return wish
 
 
 def one_of_each(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
-    """One row of docs, with all its columns, for each component: that of smallest id (a null id comes last; of rows that share id and fingerprint, any one).
+    """One row of docs, with all its columns, for each component: that of smallest id.
 
-    The rows that stay are found on ids and fingerprints alone; the texts are
-    filtered by a join on the id where only one row has it.  Rows that share
-    their id, or have none, are told apart by their fingerprints too.
+    A null id comes last, and of rows that share id and fingerprint any one
+    stays.  The rows that stay are found on ids and fingerprints alone; the
+    texts are filtered by a join on the id where only one row has it.  Rows
+    that share their id, or have none, are told apart by their fingerprints too.
     """
     fps, of = _classes(docs, most, width, seed, id_col, text_col, block)
-    one = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("one")).select(F.col("one.first").alias("__one"), F.col("one.fp").alias("__fp"))
-    shared = keep(fps.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("__one")), "shared-ids")
-    one = keep(one, "representatives")
-    own = docs.join(one.join(shared, "__one", "left_anti").where("__one is not null"), docs[id_col] == F.col("__one"), "left_semi")
-    unsure = docs.where(F.col(id_col).isNull()).unionAll(docs.join(shared, docs[id_col] == F.col("__one"), "left_semi"))
-    unsure = with_fingerprint(unsure, width, seed, text_col).withColumn("__one", F.col(id_col))
-    # joined and told apart by the same columns, so the texts are dealt out once
-    told = unsure.join(one, unsure["__one"].eqNullSafe(one["__one"]) & (unsure["__fp"] == one["__fp"]), "left_semi").dropDuplicates(["__one", "__fp"])
-    return own.unionAll(told.drop("__one", "__fp"))
+    one_id, fp = free_name(docs.columns, "stays_id"), free_name(docs.columns, "stays_fp")
+    lowest = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("one"))
+    one = keep(lowest.select(F.col("one.first").alias(one_id), F.col("one.fp").alias(fp)), "representatives")
+    shared = keep(fps.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias(one_id)), "shared-ids")
+    alone = one.join(shared, one_id, "left_anti").where(F.col(one_id).isNotNull())
+    own = docs.join(alone, docs[id_col] == alone[one_id], "left_semi")
+    unsure = docs.where(docs[id_col].isNull()).unionAll(docs.join(shared, docs[id_col] == shared[one_id], "left_semi"))
+    # joined and told apart by the same columns, so these texts are dealt out once
+    unsure = with_fingerprint(unsure, fp, width, seed, text_col).withColumn(one_id, F.col(id_col))
+    told = unsure.join(one, unsure[one_id].eqNullSafe(one[one_id]) & (unsure[fp] == one[fp]), "left_semi").dropDuplicates([one_id, fp])
+    return own.unionAll(told.drop(one_id, fp))

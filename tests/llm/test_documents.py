@@ -116,6 +116,16 @@ def test_components_of_a_long_chain(spark):
     assert sim.components(links.limit(0)).count() == 0
 
 
+def test_rounds_are_logarithmic(spark, monkeypatch):
+    rounds = []
+    kept = sim.keep
+    monkeypatch.setattr(sim, "keep", lambda df, what: (rounds.append(what), kept(df, what))[1])
+    chain, star = [(k, k + 1) for k in range(1000)], [(5000, 2000 + k) for k in range(1000)]
+    labels = {r["node"]: r["label"] for r in sim.components(spark.createDataFrame(chain + star, "a bigint, b bigint")).collect()}
+    assert len({labels[k] for k in range(1001)}) == 1 == len({labels[2000 + k] for k in range(1000)} | {labels[5000]}) and labels[0] != labels[5000]
+    assert rounds.count("hooks") <= 24
+
+
 def test_near_duplicates(odd, none):
     rows = odd.collect()
     got = sim.near_duplicates(odd).collect()
@@ -140,6 +150,12 @@ def test_one_of_each_keeps_every_component(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, far[0]), (None, far[1]), (7, far[2]), (7, far[3]), (8, far[4])], key=str)
 
 
+def test_one_of_each_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "one text", 5, 6), (1, "another thing here", 7, 8), (None, "one text", 9, 9)], "doc_id bigint, text string, Stays_ID bigint, stays_fp bigint")
+    got = sim.one_of_each(df)
+    assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == ["another thing here", "one text"]
+
+
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
 
 
