@@ -1,19 +1,26 @@
 """License scans by patience alignment with license texts.
 
-A template matches where enough of its words align with the text in order.
-Alignment is patience alignment: words that occur once in the text part and
-once in the template are anchors, the longest increasing subsequence of them
-is kept, and the gaps between kept anchors are aligned the same way; a gap
+A template (a name, a notice or a text of a license) is found at a place where
+enough of its words align with the text in order, and few others stand between
+them.  Alignment is patience alignment: words that occur once in the text part
+and once in the template are anchors, the longest increasing subsequence of
+them is kept, and the gaps between kept anchors are aligned the same way; a gap
 without anchors is settled by its longest common subsequence (bit-parallel).
 Coverage is the share of the template's words that are aligned.
 
-Where to align: a template's key words are those that are not common words.
-They make up more of it than may be missing, so a text without any of them
-cannot reach ``least`` coverage and is passed over; else alignment runs over
-windows around key words that lie near each other.
+Coverage alone cannot tell a license from its neighbour, so words decide too.
+In names and notices the words that name a license, its version or variant
+(*telling* words: apache, lesser, nc, 2.0 ...) must all stand at the place, and
+no other telling word may stand there.  Templates have marked passages of
+which nine words in ten must be there.  Where several templates fit one place
+the one of most aligned words wins, weighed by the words left over on both
+sides; every place is reported.
 
-Defined results: null and empty texts have no license; of equal coverages the
-longer template wins, then the name; a license repeated in a text counts once;
+Where to align: a template is tried only in texts that hold its telling words,
+or enough of its others, in windows of twice its length around them, then in closer ones.
+
+Defined results: null and empty texts have no license; of equally good
+templates the name decides; a license at several places has one place each;
 rows are independent, so repeated rows and null ids change nothing; further
 columns are not read.
 """
@@ -24,49 +31,110 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from importlib.resources import files
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow_io import map_rows
 
-#: Notices and texts of public licenses, as their stewards publish them.
-TEMPLATES = {
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
-        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
-        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-        See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
-        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
-        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
-    "MIT-line": "Released under the MIT License.",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
-        copyright notice and this permission notice appear in all copies.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
-        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-}
-#: Common words, which are no sign of a license.
-COMMON = frozenset("a all an and any are as at be by can code copies copy following for free in is it law list may met must no not of on or other shall see that the this to under use with you".split())
-_WORD = re.compile(r"\w+(?:[.-]\w+)*")
+_WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+_MARKED = re.compile(r"\[\[(.*?)\]\]", re.DOTALL)
+_VERSION = re.compile(r"v?(\d{1,2}(?:\.\d{1,2})*)")
+_SHORT = re.compile(r"(?:[al]?gpl|mpl|epl)v?\d[\d.]*")
+#: Words that name a license or tell its variants apart.
+TELLING = frozenset(
+    """mit isc bsd 0bsd apache mozilla mpl eclipse epl boost bsl zlib unlicense unencumbered gnu gpl lgpl agpl gfdl affero lesser library
+    cc cc0 creative commons by nc sa nd noncommercial sharealike noderivatives noderivs attribution zero simplified new modified later only style rights reserved spdx""".split()
+)
+#: Words that are telling only in names: elsewhere they are everyday words.
+_EVERYDAY = frozenset("by new only style library later zero rights reserved modified simplified creative commons attribution".split())
 
 
+@dataclass(frozen=True)
 class Template:
-    def __init__(self, name: str, text: str, least: float):
-        self.name, self.words = name, [w.lower() for w in _WORD.findall(text)]
-        self.keys = {w for w in self.words if w not in COMMON and len(w) > 2}
-        telling = sum(w in self.keys for w in self.words)
-        if telling <= (1 - least) * len(self.words):
-            raise ValueError(f"{name}: too few of its words are key words for a coverage of {least}")
+    license: str
+    kind: str  # name, notice or text
+    words: tuple[str, ...]
+    marked: tuple[tuple[str, ...], ...] = ()
+
+    def telling(self) -> frozenset[str]:
+        return frozenset(w for w in self.words if is_telling(w, self.kind)) if self.kind != "text" else frozenset()
+
+
+def is_telling(word: str, kind: str) -> bool:
+    return bool(_VERSION.fullmatch(word) or _SHORT.fullmatch(word)) or word in TELLING and (kind == "name" or word not in _EVERYDAY)
+
+
+def split_words(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) in lower case; a version's leading v is left out."""
+    out = []
+    for m in _WORD.finditer(text):
+        w = m[0].lower()
+        v = _VERSION.fullmatch(w)
+        out.append((m.start(), m.end(), v[1] if v else w))
+    return out
+
+
+def template(license: str, kind: str, text: str) -> Template:
+    words = lambda t: tuple(w for _, _, w in split_words(t))
+    return Template(license, kind, words(text.replace("[[", "").replace("]]", "")), tuple(words(m) for m in _MARKED.findall(text)))
+
+
+def written(text: str) -> list[Template]:
+    """Templates of a file in which "@ id kind" begins each."""
+    out = []
+    for part in re.split(r"^@ ", text, flags=re.MULTILINE)[1:]:
+        head, _, body = part.partition("\n")
+        out.append(template(*head.split(), body))
+    return out
+
+
+def families() -> list[Template]:
+    """Names of licenses that come in versions and variants, by rule, and the short identifiers of all."""
+    out = []
+    for (short, name), v in product({"": "", "L": "Lesser ", "A": "Affero "}.items(), ("2", "2.1", "3")):
+        if (v == "2.1") != (short == "L" and v != "3") or (short == "A" and v != "3"):
+            continue
+        id_, full = f"{short}GPL-{v}{'' if '.' in v else '.0'}", f"GNU {name}General Public License"
+        for text in (f"{full}, version {v}", f"{full} v{v}", f"{full} {v}", f"GNU {short}GPL v{v}", f"{short}GPL version {v}", f"{short}GPL {v}", f"{short}GPLv{v}"):
+            out.append(template(f"{id_}-only", "name", text))
+            for later in ("or later", "or any later version", "or (at your option) any later version"):
+                out.append(template(f"{id_}-or-later", "name", f"{text}, {later}"))
+        out.append(template(f"{id_}-only", "name", f"This work is licensed under the {full}, version {v}."))
+        out.append(
+            template(
+                f"{id_}-or-later", "notice",
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the [[{full}]] as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.",
+            )
+        )
+        date = {"GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}[id_]
+        out.append(
+            template(
+                f"{id_}-text", "notice",
+                f"{full} Version {v}, {date} Copyright (C) Free Software Foundation, Inc. [[Everyone is permitted to copy and distribute verbatim copies of this license document]], but changing it is not allowed.",
+            )
+        )
+    for v in ("1.1", "2.0"):
+        out += [template(f"MPL-{v}", "name", t) for t in (f"Mozilla Public License, version {v}", f"Mozilla Public License {v}", f"MPL {v}")]
+    for v in ("1.0", "2.0"):
+        out += [template(f"EPL-{v}", "name", t) for t in (f"Eclipse Public License, version {v}", f"Eclipse Public License {v}", f"Eclipse Public License - v {v}", f"EPL {v}")]
+    long = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    for parts, v in product(("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"), ("2.0", "2.5", "3.0", "4.0")):
+        full = "-".join(long[p] for p in parts.split("-"))
+        where = {"4.0": "International", "3.0": "Unported"}.get(v, "Generic")
+        texts = [f"CC {parts} {v}", f"CC {parts} version {v}", f"Licensed under CC {parts} {v}.", f"Creative Commons {full} {v}", f"Creative Commons {full} {v} {where} License", f"{full} {v} {where}", f"{full} {v}"]
+        texts.append(f"This work is licensed under a Creative Commons {full} {v} {where} License.")
+        out += [template(f"CC-{parts}-{v}", "name", t) for t in texts]
+    return out
+
+
+def templates() -> list[Template]:
+    known = written(files(__package__).joinpath("licenses.txt").read_text(encoding="utf-8")) + families()
+    ids = sorted({t.license for t in known if t.license not in ("all-rights-reserved", "BSD") and not t.license.endswith("-text")})
+    return known + [template(i, "name", f"SPDX-License-Identifier: {i}") for i in ids]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -83,96 +151,172 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a bit for each word of b."""
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, a bit for each word of b."""
     where: dict[str, int] = {}
     for j, w in enumerate(b):
         where[w] = where.get(w, 0) | 1 << j
     full = (1 << len(b)) - 1
-    free = full
+    rows = [full]  # a zero: the length grows at this word of b
     for w in a:
+        free = rows[-1]
         hit = free & where.get(w, 0)
-        free = (free + hit | free - hit) & full
-    return len(b) - free.bit_count()
+        rows.append((free + hit | free - hit) & full)
+    out, i, j = [], len(a), len(b) - 1
+    while i and j >= 0:
+        if rows[i] >> j & 1:
+            j -= 1
+        elif rows[i - 1] >> j & 1:
+            i -= 1
+            out.append((i, j))
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
 
 
-def aligned(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Words of b aligned with a, and the first and last word of a that surely are (-1: none)."""
-    n, first, last = 0, len(a), -1
-    todo = [(0, len(a), 0, len(b))]
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of words of a aligned with words of b, both ascending."""
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, i2, j, j2 = todo.pop()
         while i < i2 and j < j2 and a[i] == b[j]:
-            n, first, last, i, j = n + 1, min(first, i), max(last, i), i + 1, j + 1
+            out.append((i, j))
+            i, j = i + 1, j + 1
         while i < i2 and j < j2 and a[i2 - 1] == b[j2 - 1]:
             i2, j2 = i2 - 1, j2 - 1
-            n, first, last = n + 1, min(first, i2), max(last, i2)
+            out.append((i2, j2))
         if i == i2 or j == j2:
             continue
         once_a, once_b = ({w for w, c in Counter(x).items() if c == 1} for x in (a[i:i2], b[j:j2]))
         at = {w: k for k, w in enumerate(b[j:j2], j) if w in once_b}
         anchors = increasing([(k, at[w]) for k, w in enumerate(a[i:i2], i) if w in once_a and w in at])
         if anchors:
-            n += len(anchors)
-            first, last = min(first, anchors[0][0]), max(last, anchors[-1][0])
+            out += anchors
             ends = [(i - 1, j - 1), *anchors, (i2, j2)]
             todo += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(ends, ends[1:]) if p + 1 < q and r + 1 < s]
-        elif got := common_length(a[i:i2], b[j:j2]):
-            n += got
-            shared = set(b[j:j2])
-            hits = [k for k in range(i, i2) if a[k] in shared]
-            first, last = min(first, hits[0]), max(last, hits[-1])
-    return n, (first if last >= 0 else -1), last
+        else:
+            out += [(i + p, j + q) for p, q in common(a[i:i2], b[j:j2])]
+    return sorted(out)
+
+
+def densest(pairs: list[tuple[int, int]], size: int, need: int) -> tuple[float, int, int, int]:
+    """Of runs of at least ``need`` aligned pairs: (weight, pairs, first word, last word) of the best.
+
+    The weight is the number of pairs, times their share of all words that the
+    template and the place have between them.
+    """
+    best = (0.0, 0, 0, 0)
+    for p in range(len(pairs) - need + 1):
+        for q in range(len(pairs), p + need - 1, -1):
+            n, first, last = q - p, pairs[p][0], pairs[q - 1][0]
+            best = max(best, (n * n / (size + last - first + 1 - n), n, first, last))
+    return best
+
+
+@dataclass(frozen=True)
+class Found:
+    weight: float
+    coverage: float
+    matched: int
+    license: str
+    first: int
+    last: int
+
+
+class Matcher:
+    """One template made ready."""
+
+    def __init__(self, t: Template, least: float):
+        self.t, self.size, self.least = t, len(t.words), least
+        self.need = -(-len(t.words) * round(1000 * least) // 1000)
+        self.telling = t.telling()
+        marked = [w for m in t.marked for w in m]
+        if not self.telling and not marked:
+            raise ValueError(f"{t.license}: a template needs telling words or a marked passage")
+        self.spare = [len(m) // 10 for m in t.marked]
+        # words one of which any text that fits must hold, and words near which it lies
+        self.hubs = set(t.words) if t.kind == "text" else self.telling or set(marked)
+        self.roots = {max(self.telling, key=lambda w: (w not in _EVERYDAY, len(w), w))} if self.telling else set(sorted(set(t.marked[0]), key=lambda w: (-len(w), w))[: self.spare[0] + 1])
+
+    def fits(self, part: list[str], pairs: list[tuple[int, int]]) -> Found | None:
+        if len(pairs) < self.need:
+            return None
+        weight, n, first, last = densest(pairs, self.size, self.need)
+        place = part[first : last + 1]
+        if n < (self.least if self.t.kind != "text" else self.least - 0.2) * len(place):
+            return None
+        here = set(place)
+        if not self.telling <= here or self.telling and any(w not in self.telling and is_telling(w, self.t.kind) for w in here):
+            return None
+        for m, spare in zip(self.t.marked, self.spare, strict=True):
+            if len(common(place, list(m))) < len(m) - spare:
+                return None
+        return Found(weight, n / self.size, n, self.t.license, first, last)
+
+    def places(self, words: list[str], at: dict[str, list[int]]) -> list[Found]:
+        hits = sorted(k for w in self.hubs for k in at.get(w, ()))
+        found, size = [], self.size
+        cuts = [0, *(k for k in range(1, len(hits)) if hits[k] - hits[k - 1] > size), len(hits)] if hits else [0]
+        for p, q in zip(cuts, cuts[1:]):
+            a, b = max(0, hits[p] - size), min(len(words), hits[q - 1] + size + 1)
+            # windows of twice the template meet every copy; a worn one between others' words needs the closest windows
+            for length, step in ((2 * size, max(1, size // 2)), (int(size / self.least), max(1, size // 8))):
+                here = []
+                for start in range(a, max(a + 1, b - length + step), step):
+                    part = words[start : start + length]
+                    if self.telling <= set(part) and (got := self.fits(part, aligned(part, list(self.t.words)))):
+                        here.append(Found(got.weight, got.coverage, got.matched, got.license, got.first + start, got.last + start))
+                found += here
+                if here:
+                    break
+        return found
 
 
 class LicenseScanner:
-    def __init__(self, templates: dict[str, str], least: float = 0.8):
-        self.least = least
-        self.templates = [Template(n, t, least) for n, t in sorted(templates.items())]
-        self.keys = sorted(set().union(*(t.keys for t in self.templates)))
-        # a key is looked for only if no other key lies inside it
-        self.roots = [k for k in self.keys if not any(o != k and o in k for o in self.keys)]
+    def __init__(self, known: list[Template], least: float = 0.8):
+        self.matchers = [Matcher(t, least) for t in dict.fromkeys(known)]
+        self.roots = set().union(*(m.roots for m in self.matchers))
+        # a root is looked for only if no other root lies inside it
+        self.inside = sorted(r for r in self.roots if not any(o != r and o in r for o in self.roots))
 
     def scan(self, text: str | None) -> list[tuple[float, int, str, int, int]]:
-        """(coverage, aligned words, name, start, end) of each template found; best first."""
+        """(coverage, aligned words, license, start, end) of each place, the heaviest first; places do not overlap."""
         low = (text or "").lower()
-        if not any(r in low for r in self.roots):
+        if not any(r in low for r in self.inside):
             return []
-        places = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
-        words = [p[2] for p in places]
-        present, found = set(words), []
-        for t in self.templates:
-            if t.keys.isdisjoint(present):
-                continue
-            size, best = len(t.words), None
-            hits = [k for k, w in enumerate(words) if w in t.keys]
-            cuts = [0, *(k for k in range(1, len(hits)) if hits[k] - hits[k - 1] > size), len(hits)]
-            for p, q in zip(cuts, cuts[1:]):
-                if len({words[k] for k in hits[p:q]}) < len(t.keys) - (1 - self.least) * size:
-                    continue
-                a = max(0, hits[p] - size)
-                n, first, last = aligned(words[a : hits[q - 1] + size + 1], t.words)
-                if n >= self.least * size and (best is None or n > best[1]):
-                    best = (n / size, n, t.name, places[a + first][0], places[a + last][1])
-            if best:
-                found.append(best)
-        return sorted(found, key=lambda f: (-f[0], -f[1], f[2]))
+        parts = split_words(text)
+        words = [w for _, _, w in parts]
+        at: dict[str, list[int]] = {}
+        for k, w in enumerate(words):
+            at.setdefault(w, []).append(k)
+        found = []
+        for m in self.matchers:
+            if (m.telling <= at.keys() if m.telling else not m.roots.isdisjoint(at.keys())) and sum(w in at for w in m.t.words) >= m.need:
+                found += m.places(words, at)
+        taken, out = [], []
+        for f in sorted(set(found), key=lambda f: (-f.weight, f.license, f.first)):
+            if all(f.last < a or f.first > b for a, b in taken):
+                taken.append((f.first, f.last))
+                out.append((f.coverage, f.matched, f.license, parts[f.first][0], parts[f.last][1]))
+        return out
 
 
 _SCANNERS: dict[tuple, LicenseScanner] = {}
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, license (the best, null for none), coverage, n_matched, start, end (of its aligned words), licenses (all found, best first)."""
-    templates = TEMPLATES if templates is None else templates
-    which = (least, *sorted(templates.items()))
+def license_scan(docs: DataFrame, known: list[Template] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, license (the best, null for none), coverage, n_matched, start, end (of its aligned words), licenses (all found, best first), places (license:start:end of each, in the order of the text)."""
+    known = templates() if known is None else known
+    which = (least, *known)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if which not in _SCANNERS:
-            _SCANNERS[which] = LicenseScanner(templates, least)
+            _SCANNERS[which] = LicenseScanner(known, least)
         got = [_SCANNERS[which].scan(t) for t in batch.column(1).to_pylist()]
         best = [g[0] if g else (0.0, 0, None, None, None) for g in got]
         cols = [pa.array([b[k] for b in best], kind) for k, kind in ((2, pa.string()), (0, pa.float64()), (1, pa.int64()), (3, pa.int64()), (4, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([",".join(f[2] for f in g) for g in got], pa.string())], names=[id_col, "license", "coverage", "n_matched", "start", "end", "licenses"])
+        cols += [pa.array([",".join(dict.fromkeys(f[2] for f in g)) for g in got], pa.string()), pa.array([",".join(f"{f[2]}:{f[3]}:{f[4]}" for f in sorted(g, key=lambda f: f[3])) for g in got], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "license", "coverage", "n_matched", "start", "end", "licenses", "places"])
 
-    return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` bigint, license string, coverage double, n_matched bigint, start bigint, end bigint, licenses string")
+    return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` bigint, license string, coverage double, n_matched bigint, start bigint, end bigint, licenses string, places string")

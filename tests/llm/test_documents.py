@@ -286,20 +286,96 @@ def test_secret_spans(odd, none):
     assert sec.secret_spans(none).count() == 0 and sec.redacted(none).count() == 0
 
 
+KNOWN = lic.templates()
+
+
 def test_licenses(odd, none):
-    s = lic.LicenseScanner(lic.TEMPLATES)
+    s = lic.LicenseScanner(KNOWN)
     rng = random.Random(6)
-    for name, text in lic.TEMPLATES.items():
+    for t in KNOWN:
+        text = " ".join(t.words)
         full = f"Some words before. {text} And words behind it."
-        best = s.scan(full)[0]
-        assert best[0] == 1.0 and best[2] == name and full[best[3] :].split()[0].strip('"') == text.split()[0].strip('"')
-        worn = " ".join(w for w in text.split() if rng.random() > 0.1)
-        if len(text.split()) > 40:
-            assert 0.8 <= s.scan("filler " * 200 + worn + " filler" * 200)[0][0] < 1 and s.scan("filler " * 200 + worn)[0][2] == name
-    assert s.scan((lic.TEMPLATES["MIT-line"] + "\n") * 5)[0][0] == 1.0 and s.scan(None) == [] and s.scan("the license of a software") == []
+        found = s.scan(full)
+        assert found[0][:3] == (1.0, len(t.words), t.license) and full[found[0][3] : found[0][4]] == text, (t, found)
+        if len(t.words) > 60:
+            worn = " ".join(w for w in t.words if w in t.telling() or any(w in m for m in t.marked) or rng.random() > 0.1)
+            for more in ("", " filler" * 200):
+                got = s.scan("filler " * 200 + worn + more)[0]
+                assert 0.8 <= got[0] < 1 and got[2] == t.license
+    assert s.scan(None) == [] and s.scan("the license of a software") == []
     assert lic.license_scan(odd).where("license is not null").count() == 0 and lic.license_scan(odd).count() == odd.count() and lic.license_scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("released under the license agreement of the vendor", ""), ("Released under the BSD License", "BSD"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+        ("Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC-4.0"), ("Attribution-NonCommercial 4.0", "CC-BY-NC-4.0"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "CC-BY-NC-SA-4.0"),
+        ("GNU General Public License, version 2", "GPL-2.0-only"), ("GNU Lesser General Public License, version 3", "LGPL-3.0-only"), ("GNU Affero General Public License v3 or later", "AGPL-3.0-or-later"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+        ("subject to the Mozilla Public License, version 2.0", "MPL-2.0"), ("Licensed under the Apache License, Version 1.1", "Apache-1.1"), ("MIT License", "MIT"), ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+        ("mit dem neuen Gesetz", ""), ("version 2.0 of the program by the new library", ""), ("the MIT License, and again the MIT License; all rights reserved", "MIT,MIT,all-rights-reserved"),
+    ],
+)
+def test_neighbours_are_told_apart(text, want):
+    found = lic.LicenseScanner(KNOWN).scan(text)
+    assert ",".join(f[2] for f in sorted(found, key=lambda f: f[3])) == want
+
+
+def test_every_place_of_long_texts():
+    text = {t.license: " ".join(t.words) for t in KNOWN if t.kind == "text" and len(t.words) > 90}
+    doc = "\n\n".join(["some prose here"] + [text["MIT"], text["BSD-3-Clause"], text["MIT"], text["BSD-2-Clause"]] + ["more prose"] * 50 + [text["MIT"]])
+    found = sorted(lic.LicenseScanner(KNOWN).scan(doc), key=lambda f: f[3])
+    assert [f[2] for f in found] == ["MIT", "BSD-3-Clause", "MIT", "BSD-2-Clause", "MIT"] and all(f[0] == 1 for f in found)
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [0] * len(b) if not row else row
+        last, old = 0, row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+    return row[-1]
+
+
+def test_scan_against_all_windows():
+    """Templates found are those that some window, by its full longest common subsequence, meets."""
+    rng = random.Random(8)
+    some = [t for t in KNOWN if t.kind == "name" and len(t.words) <= 8][::9] + [t for t in KNOWN if t.license in ("MIT", "Apache-2.0", "BSD", "CC-BY-4.0") and t.kind == "name"]
+    matchers = [lic.Matcher(t, 0.8) for t in dict.fromkeys(some)]
+    filler = "a the of in under license public 2.0 3 by version work software is not free".split()
+    wrong = found = 0
+    for _ in range(2000):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(1, 2)):
+            part = list(rng.choice(some).words)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                k = rng.randrange(len(part))
+                part[k : k + rng.randint(0, 1)] = [rng.choice(filler)] * rng.randint(0, 1)
+                part = part or ["x"]
+            words += part + [rng.choice(filler) for _ in range(rng.randint(0, 6))]
+        at: dict = {}
+        for k, w in enumerate(words):
+            at.setdefault(w, []).append(k)
+        for m in matchers:
+            if not m.telling <= at.keys():
+                assert m.places(words, at) == []
+                continue
+            want = False
+            for i in range(len(words)):
+                for j in range(i + m.need, min(len(words), i + 2 * m.size) + 1):
+                    here = words[i:j]
+                    if m.telling <= set(here) and not any(w not in m.telling and lic.is_telling(w, "name") for w in here):
+                        n = longest(here, m.t.words)
+                        want = want or n >= m.need and n >= 0.8 * len(here)
+            got = bool(m.places(words, at))
+            found += want
+            wrong += got != want
+            assert want or not got  # nothing is found that no window meets
+    assert found > 1500 and wrong <= 0.005 * found, (wrong, found)
+
+
 def test_patience_never_beats_the_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(1500):
@@ -308,9 +384,12 @@ def test_patience_never_beats_the_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 d[i + 1, j + 1] = d[i, j] + 1 if x == y else max(d[i, j + 1], d[i + 1, j])
-        assert lic.common_length(a, b) == d[-1, -1] >= lic.aligned(a, b)[0]
+        pairs = lic.common(a, b)
+        assert len(pairs) == d[-1, -1] >= len(lic.aligned(a, b))
+        for found in (pairs, lic.aligned(a, b)):
+            assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
         if a == b:
-            assert lic.aligned(a, b)[0] == len(a)
+            assert len(lic.aligned(a, b)) == len(a)
         pairs = [(k, rng.randrange(20)) for k in range(rng.randint(0, 12))]
         got = lic.increasing(pairs)
         best = [1] * len(pairs)
