@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..expressions.syntax import Call, Literal, parse, print_expr, transform
-from ..sources.xforms import XForm, leaf
+from ..sources.xforms import XForm, leaf_of
 from .common import FULL, LOSSY, PARTIAL, Converted, expression, hint_text, label_text, range_constraint, safe_name, shared_lists, suffixed
 
 #: Target types by the schema type of the bind.
@@ -119,7 +119,7 @@ def _cases(text: str | None, dataset: str, out: Converted, item: str) -> str | N
     """Reads of the case database as pulldata(), and functions without an equivalent taken out."""
     if not text:
         return text
-    text = _CASE_READ.sub(lambda m: f"pulldata('{dataset}', '{m[2]}', 'id', {'${' + leaf(m[1]) + '}' if '/' in m[1] and '(' not in m[1] else m[1]})", text)
+    text = _CASE_READ.sub(lambda m: f"pulldata('{dataset}', '{m[2]}', 'id', {'${' + leaf_of(m[1]) + '}' if '/' in m[1] and '(' not in m[1] else m[1]})", text)
     if any(f in text for f in NO_EQUIVALENT):
         out.note(item, LOSSY, f"no equivalent: {text}")
         return print_expr(transform(parse(text), lambda e: Literal("") if isinstance(e, Call) and e.name in NO_EQUIVALENT else e)) if "instance(" not in text else ""

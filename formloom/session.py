@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Form expressions contain ${...}, which Spark would replace in SQL text; UTC keeps dates the same on every machine.
 SETTINGS = {
@@ -29,3 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or "/tmp/formloom").rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: it is computed once, and its lineage ends here."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -19,8 +19,8 @@ XFORM = """<h:html xmlns:h="http://www.w3.org/1999/xhtml" xmlns="http://www.w3.o
 <range ref="/data/pain" start="0" end="10" step="1"><label>Pain</label></range><input><label>lost</label></input></h:body></h:html>"""
 
 
-def test_xforms():
-    f = xforms.parse(XFORM)
+def test_xforms(spark):
+    f = xforms.parse(spark, XFORM)
     assert (f.title, f.form_id, f.languages) == ("Visit", "visit_1", ["en", "fr"])
     assert [q["type"] for q in f.questions] == ["input", "select1", "begin_group", "begin_repeat", "input", "end_repeat", "end_group", "range"]
     age = f.questions[0]
@@ -29,19 +29,20 @@ def test_xforms():
     assert [h["name"] for h in f.hidden] == ["start", "twice"] and len(f.warnings) == 3
     for bad in ("<h/>", XFORM.replace("<model>", "<m>").replace("</model>", "</m>")):
         with pytest.raises(ValueError):
-            xforms.parse(bad)
+            xforms.parse(spark, bad)
 
 
 def test_xforms_by_spark(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XFORM)
     (tmp_path / "b.xml").write_text("no xml")
-    got = {r["title"]: r for r in xforms.read_xforms(spark, str(tmp_path)).selectExpr("title", "get(questions, 0).labels['fr'] AS fr", "error").collect()}
-    assert got["Visit"]["fr"] == "Âge" and got[None]["error"]
-    assert xforms.questions(spark, xforms.parse(XFORM)).count() == 10
+    got = xforms.read_xforms(spark, str(tmp_path))
+    forms = {r["path"].rpartition("/")[2]: r for r in got.forms.collect()}
+    assert forms["a.xml"]["title"] == "Visit" and not forms["a.xml"]["error"] and forms["b.xml"]["error"]
+    assert got.questions.where("seq = 0").first()["labels"]["fr"] == "Âge" and got.questions.count() == 10
 
 
-def test_xforms_conversion():
-    out = convert_xforms.convert(xforms.parse(XFORM), language_names={"en": "English", "fr": "French"})
+def test_xforms_conversion(spark):
+    out = convert_xforms.convert(xforms.parse(spark, XFORM), language_names={"en": "English", "fr": "French"})
     rows = {r["name"]: r for r in out.survey if not r["type"].startswith("end")}
     assert rows["start"]["type"] == "start" and rows["twice"] == {"name": "twice", "type": "calculate", "calculation": "${a} * 2"}
     assert rows["a"]["label"] == "Age of ${name}" and rows["a"]["label:French"] == "Âge" and rows["a"]["constraint"] == ". < 120 and . != ${g_r_a}" and rows["a"]["media:image"] == "x.png"
