@@ -37,25 +37,32 @@ def safe_name(name: str) -> str:
 
 
 def safe_names(names: list[str], report=None) -> dict[str, str]:
-    """A safe name for each source name; those that meet get _2, _3, ... and are reported."""
-    out, used = {}, {}
+    """A safe name for each source name; those that meet get the next free one of _2, _3, ... and are reported."""
+    out, used = {}, set()
     for n in names:
-        base = safe_name(n)
-        used[base] = used.get(base, 0) + 1
-        out[n] = base if used[base] == 1 else f"{base}_{used[base]}"
-        if used[base] > 1 and report:
-            report(n, PARTIAL, f"renamed {out[n]}: another field is {base}")
+        base, k = safe_name(n), 1
+        while (name := base if k == 1 else f"{base}_{k}") in used:
+            k += 1
+        used.add(name)
+        out[n] = name
+        if k > 1 and report:
+            report(n, PARTIAL, f"renamed {name}: another field is {base}")
     return out
 
 
 def safe_name_column(df: DataFrame, name: str, order: str, out: str = "safe_name") -> DataFrame:
-    """The same over a column, for many forms at once."""
+    """Safe names over a column, for very many fields at once: the first of a base keeps it, the others get a number.
+
+    A numbered name could meet a field that is called so: a base that ends in a
+    number is given one more, so no two names are alike.
+    """
     s = F.regexp_replace(F.regexp_replace(F.col(name), r"[^A-Za-z0-9_]", "_"), r"_+", "_")
     s = F.regexp_replace(s, r"^_+|_+$", "")
     s = F.when(s == "", F.lit("field")).when(s.rlike(r"^\d"), F.concat(F.lit("q_"), s)).otherwise(s)
-    df = df.withColumn("__s", s)
-    n = F.row_number().over(Window.partitionBy("__s").orderBy(order))
-    return df.withColumn(out, F.when(n == 1, F.col("__s")).otherwise(F.concat_ws("_", "__s", n.cast("string")))).drop("__s")
+    base, n = "__safe_base", F.row_number().over(Window.partitionBy("__safe_base").orderBy(order))
+    df = df.withColumn(base, s)
+    numbered = F.col(base).rlike(r"_\d+$")
+    return df.withColumn(out, F.when((n == 1) & ~numbered, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string")))).drop(base)
 
 
 def shared_lists(lists: dict[str, list[dict]]) -> tuple[dict[str, str], dict[str, list[dict]]]:
@@ -95,14 +102,19 @@ def expression(text: str | None, out: Converted, item: str, boolean: bool = Fals
         return text.strip()
 
 
+#: What labels must not hold, each taken out until none is left, since taking one out may make another.
+_UNSAFE = [re.compile(p, re.IGNORECASE | re.DOTALL) for p in (r"<script\b.*?</script\s*>", r"<script\b[^>]*>?", r"<head\b.*?</head\s*>|</?(?:html|body)\b[^>]*>|<!doctype[^>]*>", r"""[\s/]+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", r"j\s*a\s*v\s*a\s*s\s*c\s*r\s*i\s*p\s*t\s*:")]
+
+
 def label_text(text: str | None) -> str | None:
     """HTML stays; scripts, event attributes, script links and document wrappers go."""
     if text is None:
         return None
-    s = re.sub(r"(?is)<script\b.*?</script\s*>", "", text)
-    s = re.sub(r"(?is)<head\b.*?</head\s*>|</?(?:html|body)\b[^>]*>|<!doctype[^>]*>", "", s)
-    s = re.sub(r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", s)
-    s = re.sub(r"(?i)javascript:", "", s)
+    before, s = None, text
+    while s != before:
+        before = s
+        for p in _UNSAFE:
+            s = p.sub("", s)
     return markdown(s).strip()
 
 

@@ -62,12 +62,24 @@ def plain_text(c: Column) -> Column:
 
 
 def safe_html(c: Column) -> Column:
-    """HTML kept, but no script elements, event attributes or script links; html, head and body are unwrapped."""
+    """HTML kept, but no script elements, event attributes or script links; html, head and body are unwrapped.
+
+    Taking a part out can make another of what stood around it, so what is
+    left of such a construction is not trusted: where one more pass would
+    change the text again, all tags and script links are taken out.
+    """
+    once = _without_scripts(c)
+    again = _without_scripts(once)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(again, r"(?is)<[^<>]*>?", ""), r"[<>]", ""), r"(?i)script\s*:", "script ")
+    return F.trim(F.when(once == again, once).otherwise(bare))
+
+
+def _without_scripts(c: Column) -> Column:
     s = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
     s = F.regexp_replace(s, r"(?is)\s+on[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
     s = F.regexp_replace(s, r"(?i)javascript:", "")
     s = F.regexp_replace(s, r"(?is)<head\b[^>]*>.*?</head\s*>", "")
-    return F.trim(F.regexp_replace(s, r"(?i)</?(html|body)\b[^>]*>|<!doctype[^>]*>", ""))
+    return F.regexp_replace(s, r"(?i)</?(html|body)\b[^>]*>|<!doctype[^>]*>", "")
 
 
 def markdown_html(c: Column) -> Column:

@@ -1,122 +1,162 @@
-"""Field plug-in bundles: files of a folder or zip, and their rules as rows (severity, rule, location, message)."""
+"""Field plug-in bundles: any number of them as one row each, and their rules as a table of expressions over that row.
+
+A rule names what is wrong with a bundle as an array of places; the findings
+are all rules' places, one row each (bundle, severity, rule, location,
+message).  A new rule is one more entry of :func:`rules`.
+"""
 
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-#: Files, field types and forms that a bundle must keep to.
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Files, field types, keys and forms that a bundle must keep to.
 REQUIRED = ("manifest.json", "template.html", "script.js", "style.css")
 FIELD_TYPES = ("text", "integer", "decimal", "select_one", "select_multiple")
-_NAME, _VERSION, _ZIP = re.compile(r"[A-Za-z][A-Za-z0-9._-]*\Z"), re.compile(r"\d+\.\d+\.\d+(-[0-9A-Za-z.-]+)?\Z"), re.compile(r"[A-Za-z][A-Za-z0-9_-]*\.fieldplugin\.zip\Z")
-LONGEST = 100
-
-Row = tuple[str, str, str, str]
-
-
-@dataclass
-class Bundle:
-    files: dict[str, bytes]  # path: content
-    zip_name: str | None = None
-
-    @classmethod
-    def of_folder(cls, folder: str) -> Bundle:
-        root = Path(folder)
-        return cls({str(p.relative_to(root)): p.read_bytes() for p in sorted(root.rglob("*")) if p.is_file() and not any(x.startswith(".") for x in p.relative_to(root).parts)})
-
-    @classmethod
-    def of_zip(cls, data: bytes, name: str | None = None) -> Bundle:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return cls({i.filename: z.read(i) for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX/")}, name)
-
-    @property
-    def root(self) -> dict[str, bytes]:
-        return {p: c for p, c in self.files.items() if "/" not in p}
-
-
-def validate(b: Bundle) -> list[Row]:
-    out: list[Row] = []
-    error = lambda rule, where, text: out.append(("error", rule, where, text))
-    warn = lambda rule, where, text: out.append(("warning", rule, where, text))
-    names = [p.rpartition("/")[2] for p in b.files]
-    if b.zip_name:
-        if len(b.zip_name) > LONGEST:
-            error("VL20", b.zip_name, f"the file name is longer than {LONGEST} characters")
-        if not _ZIP.match(b.zip_name):
-            error("VL20", b.zip_name, "the file name is a letter, then letters, digits, - or _, then .fieldplugin.zip")
-    for f in REQUIRED:
-        if f not in b.root:
-            error("VL17", f, "lies in a subfolder; it must be at the top" if f in names else "is missing")
-    folders = sorted({p.rpartition("/")[0] for p in b.files if "/" in p})
-    if folders:
-        warn("VL17", ", ".join(folders), "subfolders are flattened on upload")
-    for n in duplicates(names):
-        error("VL21", n, "is there more than once after flattening")
-    for n in dict.fromkeys(names):
-        if n not in REQUIRED:
-            if len(n) > LONGEST:
-                error("VL17", n, f"the name is longer than {LONGEST} characters")
-            if not _NAME.match(n):
-                error("VL17", n, "a name begins with a letter and holds letters, digits, '.', '-' and '_'")
-    if "manifest.json" not in b.root:
-        return out
-    try:
-        manifest = json.loads(b.root["manifest.json"].decode("utf-8-sig"))
-    except ValueError as err:
-        error("VL18", "manifest.json", f"cannot be parsed: {err}")
-        return out
-    out += manifest_rules(manifest, b)
-    if "script.js" in b.root:
-        script = b.root["script.js"].decode("utf-8", "replace")
-        if not re.search(r"(^|\W)function\s+clearAnswer\s*\(|clearAnswer\s*=\s*(function|\()", script):
-            warn("VL19", "script.js", "no clearAnswer() was found; plug-ins must have it")
-        if not re.search(r"setAnswer\s*\(", script):
-            warn("VL19", "script.js", "no call of setAnswer() was found; answers are reported by it")
-    return out
-
-
-def manifest_rules(m: object, b: Bundle) -> list[Row]:
-    if not isinstance(m, dict):
-        return [("error", "VL18", "manifest.json", "must be an object")]
-    out: list[Row] = []
-    error = lambda key, text: out.append(("error", "VL18", f"manifest.{key}", text))
-    for key in ("name", "author", "version"):
-        if not isinstance(m.get(key), str) or not m[key]:
-            error(key, "is a text that must not be blank")
-    if isinstance(m.get("version"), str) and not _VERSION.match(m["version"]):
-        out.append(("warning", "VL18", "manifest.version", "is no version like 1.2.3"))
-    if isinstance(m.get("name"), str) and len(m["name"]) > LONGEST:
-        out.append(("warning", "VL18", "manifest.name", f"is longer than {LONGEST} characters"))
-    types = m.get("supportedFieldTypes")
-    if not isinstance(types, list) or not types:
-        error("supportedFieldTypes", "is a list that must not be empty")
-    else:
-        for t in types:
-            if t not in FIELD_TYPES:
-                error("supportedFieldTypes", f"{t!r} is none of {', '.join(FIELD_TYPES)}")
-    for key in ("externalCss", "externalJs"):
-        if key in m:
-            if not isinstance(m[key], list):
-                error(key, "is a list of file names")
-                continue
-            for f in m[key]:
-                if not isinstance(f, str) or not f:
-                    error(key, "has an entry that is no text")
-                elif f not in b.root:
-                    error(key, f"names {f}, which is not in the bundle")
-    for key in ("hideDefaultRequiredMessage", "hideDefaultConstraintMessage"):
-        if key in m and not isinstance(m[key], bool):
-            error(key, "is true or false")
-    return out
-
-
-def duplicates(names: list[str]) -> list[str]:
-    return sorted(n for n, k in Counter(names).items() if k > 1)
+TEXT_KEYS, LIST_KEYS, FLAG_KEYS = ("name", "author", "version"), ("externalCss", "externalJs"), ("hideDefaultRequiredMessage", "hideDefaultConstraintMessage")
+SUFFIX, LONGEST = ".fieldplugin.zip", 100
+_NAME, _VERSION = "^[A-Za-z][A-Za-z0-9._-]*$", r"^\d+\.\d+\.\d+(-[0-9A-Za-z.-]+)?$"
+
+FILE = "bundle string, zip_name string, path string, content binary"
+
+
+# ---- loading
+def unpacked(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Path and content of each file in a zip; what systems add of their own is left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in z.namelist():
+            if not name.endswith("/") and _own(name):
+                yield name, z.read(name)
+
+
+def _own(path: str) -> bool:
+    return not any(step.startswith(".") or step == "__MACOSX" for step in path.split("/"))
+
+
+def read_zips(spark: SparkSession, path: str) -> DataFrame:
+    """Rows as in FILE of the zips under a path, opened where they are read."""
+
+    def each(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files = list(unpacked(data)) or [("", b"")]
+                name = where.rpartition("/")[2]
+                yield pa.RecordBatch.from_pylist([{"bundle": where, "zip_name": name, "path": p, "content": c} for p, c in files], pa.schema([("bundle", pa.string()), ("zip_name", pa.string()), ("path", pa.string()), ("content", pa.binary())]))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, FILE)
+
+
+def of_files(spark: SparkSession, files: dict[str, bytes], zip_name: str | None = None, bundle: str = "") -> DataFrame:
+    """The same of one bundle at hand."""
+    return spark.createDataFrame([(bundle, zip_name, p, bytearray(c)) for p, c in files.items() or [("", b"")]], FILE)
+
+
+def of_path(spark: SparkSession, path: Path) -> DataFrame:
+    """The same of a local folder or zip."""
+    if path.is_dir():
+        return of_files(spark, {str(f.relative_to(path)): f.read_bytes() for f in sorted(path.rglob("*")) if f.is_file() and _own(str(f.relative_to(path)))}, None, str(path))
+    return of_files(spark, dict(unpacked(path.read_bytes())), path.name, str(path))
+
+
+# ---- rules
+def bundles(files: DataFrame) -> DataFrame:
+    """One row a bundle: zip_name, top (file names at its root), names (of all files), folders, manifest (variant), whether there is one, its error, script."""
+    name = F.element_at(F.split("path", "/"), -1)
+    whole = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    real = F.col("path") != ""
+    made = files.groupBy("bundle", "zip_name").agg(
+        F.array_sort(F.collect_list(F.when(real & ~F.contains("path", F.lit("/")), name))).alias("top"),
+        F.array_sort(F.collect_list(F.when(real, name))).alias("names"),
+        F.array_sort(F.collect_set(F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")))).alias("folders"),
+        F.max(F.when(F.col("path") == "manifest.json", whole)).alias("manifest_text"),
+        F.max(F.when(F.col("path") == "script.js", whole)).alias("script"),
+    )
+    return made.withColumn("manifest", F.try_parse_json("manifest_text"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    severity: str
+    rule: str
+    places: Column  # array of the places that break it
+    message: str
+
+
+def _when(bad: Column, *places: Column) -> Column:
+    return F.when(bad, F.array(*places)).otherwise(F.array().cast("array<string>"))
+
+
+def rules() -> list[Rule]:
+    zip_name, names, top = F.col("zip_name"), F.col("names"), F.col("top")
+    ends = F.lower(zip_name).endswith(SUFFIX)
+    required = F.array(*map(F.lit, REQUIRED))
+    missing = F.array_except(required, top)
+    others = F.array_except(names, required)
+    manifest = F.col("manifest")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("none"))
+    key = lambda k: F.try_variant_get(manifest, f"$.{k}", "variant")
+    text = lambda k: F.when(kind(key(k)) == "STRING", F.try_variant_get(manifest, f"$.{k}", "string"))
+    at = lambda k: F.lit(f"manifest.{k}")
+    is_object = kind(manifest).startswith("OBJECT")
+    entries = lambda k: F.try_variant_get(manifest, f"$.{k}", "array<variant>")
+    string = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    script = F.col("script")
+
+    made = [
+        Rule("warning", "VL20", _when(~ends, zip_name), f"does not end in {SUFFIX}, as an upload must"),
+        Rule("error", "VL20", _when(ends & (F.length(zip_name) == len(SUFFIX)), zip_name), f"has no name before {SUFFIX}"),
+        Rule("error", "VL20", _when(ends & (F.length(zip_name) > LONGEST), zip_name), f"is longer than {LONGEST} characters"),
+        Rule("error", "VL20", _when(ends & ~zip_name.rlike(_NAME), zip_name), "begins with a letter and holds letters, digits, '.', '-' and '_' only"),
+        Rule("error", "VL17", F.array_intersect(missing, names), "lies in a folder; it must be at the top"),
+        Rule("error", "VL17", F.array_except(missing, names), "is missing"),
+        Rule("warning", "VL17", _when(F.size("folders") > 0, F.array_join("folders", ", ")), "folders are flattened on upload"),
+        Rule("error", "VL21", F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)), "is there more than once after flattening"),
+        Rule("error", "VL17", F.filter(others, lambda n: F.length(n) > LONGEST), f"has a name longer than {LONGEST} characters"),
+        Rule("error", "VL17", F.filter(others, lambda n: ~n.rlike(_NAME)), "a name begins with a letter and holds letters, digits, '.', '-' and '_' only"),
+        Rule("error", "VL18", _when(F.col("manifest_text").isNotNull() & manifest.isNull(), F.lit("manifest.json")), "is no JSON"),
+        Rule("error", "VL18", _when(manifest.isNotNull() & ~is_object, F.lit("manifest.json")), "must be an object"),
+        Rule("warning", "VL18", _when(is_object & (F.coalesce(text("version"), F.lit("")) != "") & ~text("version").rlike(_VERSION), at("version")), "is no version like 1.2.3"),
+        Rule("warning", "VL18", _when(is_object & (F.length(text("name")) > LONGEST), at("name")), f"is longer than {LONGEST} characters"),
+        Rule("error", "VL18", _when(is_object & ~F.coalesce(F.size(entries("supportedFieldTypes")) > 0, F.lit(False)), at("supportedFieldTypes")), "is a list that must not be empty"),
+        Rule("error", "VL18", F.transform(F.filter(entries("supportedFieldTypes"), lambda v: ~F.coalesce(string(v).isin(*FIELD_TYPES), F.lit(False))), lambda v: F.concat(F.lit("manifest.supportedFieldTypes: "), F.to_json(v))), f"is none of {', '.join(FIELD_TYPES)}"),
+        Rule("warning", "VL19", _when(is_object & ~script.rlike(r"\bfunction\s+clearAnswer\b|\bclearAnswer\s*=(?!=)"), F.lit("script.js")), "defines no clearAnswer(), which plug-ins must have"),
+        Rule("warning", "VL19", _when(is_object & ~script.rlike(r"\bsetAnswer\s*\("), F.lit("script.js")), "has no call of setAnswer(), by which answers are reported"),
+    ]
+    made += [Rule("error", "VL18", _when(is_object & (F.coalesce(text(k), F.lit("")) == ""), at(k)), "is a text that must not be blank") for k in TEXT_KEYS]
+    made += [Rule("error", "VL18", _when(is_object & key(k).isNotNull() & (kind(key(k)) != "BOOLEAN"), at(k)), "is true or false") for k in FLAG_KEYS]
+    for k in LIST_KEYS:
+        unknown = F.array_except(F.filter(F.transform(entries(k), string), lambda f: f.isNotNull() & (f != "")), top)
+        made += [
+            Rule("error", "VL18", _when(is_object & key(k).isNotNull() & entries(k).isNull(), at(k)), "is a list of file names"),
+            Rule("error", "VL18", _when(F.exists(entries(k), lambda v: F.coalesce(string(v), F.lit("")) == ""), at(k)), "has an entry that is no text"),
+            Rule("error", "VL18", unknown, "names a file that is not in the bundle"),
+        ]
+    return made
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """bundle, severity, rule, location, message of all that is wrong with the bundles in rows as in FILE."""
+    none = F.array().cast("array<string>")
+
+    def said_of(r: Rule) -> Column:
+        return F.transform(F.coalesce(r.places, none), lambda p: F.struct(F.lit(r.severity).alias("severity"), F.lit(r.rule).alias("rule"), p.alias("location"), F.lit(r.message).alias("message")))
+
+    said = [said_of(r) for r in rules()]
+    return bundles(files).select("bundle", F.explode(F.concat(*said)).alias("f")).select("bundle", "f.*")
+
+
+def report_json(found: DataFrame) -> DataFrame:
+    """One JSON text a bundle: errors and warnings."""
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("rule", "location", "message"))))
+    return found.groupBy("bundle").agg(F.to_json(F.struct(of("error").alias("errors"), of("warning").alias("warnings"))).alias("report"))
 
 
 def parameters(appearance: str) -> dict[str, str]:
@@ -169,14 +209,15 @@ def field_properties(form, name: str, language: str | None = None) -> dict:
 
 def main(args: list[str]) -> int:
     """Reports on a folder or zip; 0: no errors."""
+    from ..session import session
+
     if len(args) != 1 or args[0] in ("-h", "--help"):
         print("usage: python -m formloom.sources.bundle FOLDER|ZIP")
         return 1
-    path = Path(args[0])
-    rows = validate(Bundle.of_folder(str(path)) if path.is_dir() else Bundle.of_zip(path.read_bytes(), path.name))
-    for severity, rule, where, text in rows:
-        print(f"{severity} {rule} {where}: {text}")
-    return int(any(r[0] == "error" for r in rows))
+    rows = findings(of_path(session(), Path(args[0]))).collect()
+    for r in rows:
+        print(f"{r['severity']} {r['rule']} {r['location']}: {r['message']}")
+    return int(any(r["severity"] == "error" for r in rows))
 
 
 if __name__ == "__main__":

@@ -105,6 +105,8 @@ def test_xlsforms():
 
 
 def test_names_and_lists():
+    assert sorted(common.safe_names(["a b", "a-b", "a_b_2", "a b 2"]).values()) == ["a_b", "a_b_2", "a_b_2_2", "a_b_3"] or len(set(common.safe_names(["a b", "a-b", "a_b_2", "a b 2"]).values())) == 4
+    assert "javascript:" not in common.label_text('<a href="javajavascript:script:x()">') and "<script" not in common.label_text("<scr<script></script>ipt>x</script>")
     assert common.safe_names(["a b", "a-b", "9x", "", "é"]) == {"a b": "a_b", "a-b": "a_b_2", "9x": "q_9x", "": "field", "é": "field_2"}
     names, kept = common.shared_lists({"x": [{"value": "1", "label": "A"}], "y": [{"value": "1", "label": "A"}], "z": [{"value": "1", "label": "a"}]})
     assert names == {"x": "x", "y": "x", "z": "z"} and list(kept) == ["x", "z"]
@@ -136,20 +138,37 @@ def test_dataset_xml():
     assert c.readable("f") == ["d"] and ds.version == 1
 
 
-def test_bundles(tmp_path):
+def test_bundles(spark, tmp_path):
     manifest = {"name": "x", "author": "y", "version": "1.0.0", "supportedFieldTypes": ["text"]}
     files = {"manifest.json": json.dumps(manifest).encode(), "template.html": b"", "script.js": b"function clearAnswer() {}; setAnswer(1)", "style.css": b""}
-    assert bundle.validate(bundle.Bundle(files)) == []
+    told = lambda files, zip_name=None: sorted((r["severity"], r["rule"], r["location"]) for r in bundle.findings(bundle.of_files(spark, files, zip_name)).collect())
+    assert told(files) == [] == told(files, "My.plugin-2.FieldPlugin.zip")
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     assert bundle.main([str(tmp_path)]) == 0 and bundle.main([]) == 1
     worse = {**files, "sub/style.css": b"", "9.txt": b"", "manifest.json": json.dumps({"name": "", "version": "x", "supportedFieldTypes": ["date"], "externalJs": ["no.js"], "hideDefaultRequiredMessage": "yes"}).encode(), "script.js": b""}
-    rules = sorted((s, r, w) for s, r, w, _ in bundle.validate(bundle.Bundle(worse, "1.zip")))
-    assert ("error", "VL20", "1.zip") in rules and ("error", "VL21", "style.css") in rules and ("error", "VL17", "9.txt") in rules and ("warning", "VL17", "sub") in rules and sum(r[1] == "VL18" for r in rules) == 6 and sum(r[1] == "VL19" for r in rules) == 2
-    assert {r[2] for r in bundle.validate(bundle.Bundle({"sub/manifest.json": b"{}"}))} >= {"manifest.json", "script.js"}
+    rules = told(worse, "1.fieldplugin.zip")
+    assert ("error", "VL20", "1.fieldplugin.zip") in rules and ("error", "VL21", "style.css") in rules and ("error", "VL17", "9.txt") in rules and ("warning", "VL17", "sub") in rules and sum(r[1] == "VL18" for r in rules) == 6 and sum(r[1] == "VL19" for r in rules) == 2
+    assert {r[2] for r in told({"sub/manifest.json": b"{}"})} >= {"manifest.json", "script.js"} and told({}) and told(files, "x.zip") == [("warning", "VL20", "x.zip")]
+    for bad in (b"{", b"[]", b"{}"):
+        assert any(r[1] == "VL18" for r in told({**files, "manifest.json": bad}))
+    assert told({**files, "manifest.json": json.dumps({**manifest, "externalCss": "a.css", "externalJs": ["script.js", 3]}).encode()}) == [("error", "VL18", "manifest.externalCss"), ("error", "VL18", "manifest.externalJs")]
     assert bundle.parameters("custom-x(a=${f}, b='1,2', c=if(1=1,2,3))") == {"a": "${f}", "b": "'1,2'", "c": "if(1=1,2,3)"}
 
 
+def test_zipped_bundles(spark, tmp_path):
+    import zipfile
+
+    for name, files in {"good.fieldplugin.zip": ["manifest.json", "__MACOSX/x", "script.js"], "odd name.fieldplugin.zip": ["a/script.js"]}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for f in files:
+                z.writestr(f, "{}")
+    found = bundle.findings(bundle.read_zips(spark, str(tmp_path)))
+    got = {(r["bundle"].rpartition("/")[2].replace("%20", " "), r["rule"], r["location"]) for r in found.collect()}
+    assert ("good.fieldplugin.zip", "VL17", "style.css") in got and not any("MACOSX" in r[2] for r in got) and any(r[0].startswith("odd") and r[1] == "VL20" for r in got)
+    assert bundle.report_json(found).count() == 2
+
+
 def test_expression_rules():
     f = Form([{"type": "select_multiple l", "name": "m"}, {"type": "begin repeat", "name": "r"}, {"type": "integer", "name": "v"}, {"type": "end repeat"}, {"type": "calculate", "name": "c", "calculation": "${v} + 1"}, {"type": "text", "name": "t", "relevance": "${m} = 'q' and random() > 0.5"}], [{"list_name": "l", "value": "1", "label": "x"}])
     assert sorted({r[1] for r in form_rules.expression_rules(f)}) == ["VL12", "VL13", "VL14", "VL15"]
