@@ -82,6 +82,7 @@ class Scope:
     relevant: dict[str, Column] = field(default_factory=dict)
     labels: dict[str, dict[str, str]] = field(default_factory=dict)  # field: value: label
     key: Column | None = None
+    of: str = ""  # the field whose expression this is
     stored: Column | None = None  # what once() has already given
     today: Column = field(default_factory=F.current_date)
     now: Column = field(default_factory=F.current_timestamp)
@@ -136,6 +137,7 @@ def where(source: str | Expr, scope: Scope) -> Column:
 class _Compiler:
     def __init__(self, scope: Scope):
         self.scope = scope
+        self.drawn = 0  # calls of chance so far
 
     def value(self, e: Expr) -> Value:
         match e:
@@ -427,7 +429,7 @@ class _Compiler:
         return Value(geo.area(geo.points(self.str(a))), NUMBER)
 
     def f_geo_scatter(self, a, metres):
-        return Value(geo.scatter(self.str(a), self.num(metres), self._key()))
+        return Value(geo.scatter(self.str(a), self.num(metres), *self._draw()))
 
     def f_short_geopoint(self, a):
         return Value(geo.short(self.str(a)))
@@ -551,17 +553,19 @@ class _Compiler:
             return Value(F.coalesce(*[v.col for v in values]), values[0].kind)
         return Value(F.coalesce(*[F.nullif(v.string(), F.lit("")) for v in values]))
 
-    # chance, the same in every run
-    def _key(self) -> Column:
+    # chance: the same in every run, another for each submission, field, instance and place in the expression
+    def _draw(self) -> list[Column]:
         if self.scope.key is None:
             raise ExpressionError("chance needs the submission's key")
-        return self.scope.key
+        self.drawn += 1
+        place = [self.scope.key.cast("string"), F.lit(self.scope.of), F.lit(str(self.drawn))]
+        return place if self.scope.index is None else [*place, self.scope.index.cast("int").cast("string")]
 
     def f_random(self):
-        return Value(text.keyed_random(self._key(), "random"), NUMBER)
+        return Value(text.keyed_random(*self._draw()), NUMBER)
 
     def f_uuid(self):
-        return Value(text.keyed_uuid(self._key(), "uuid"))
+        return Value(text.keyed_uuid(*self._draw()))
 
     def f_once(self, e):
         v = self.value(e)

@@ -42,11 +42,11 @@ def area(ring: Column) -> Column:
     return F.abs(total) * F.lit(RADIUS * RADIUS / 2)
 
 
-def scatter(c: Column, metres: Column, key: Column) -> Column:
+def scatter(c: Column, metres: Column, *key: Column) -> Column:
     """A point at most ``metres`` away, the same each time for the same key; even over the disc."""
     p = point(c)
-    turn = keyed_random(key, "bearing") * F.lit(6.283185307179586)
-    far = F.sqrt(keyed_random(key, "radius")) * metres
+    turn = keyed_random(*key, F.lit("bearing")) * F.lit(6.283185307179586)
+    far = F.sqrt(keyed_random(*key, F.lit("radius"))) * metres
     lat = p["lat"] + F.degrees(far * F.cos(turn) / RADIUS)
     lon = p["lon"] + F.degrees(far * F.sin(turn) / (RADIUS * F.greatest(F.cos(F.radians(p["lat"])), F.lit(1e-9))))
     return F.when(p.isNotNull(), F.concat_ws(" ", lat.cast("string"), lon.cast("string"), F.coalesce(number_text(p["alt"]), F.lit("0")), F.coalesce(number_text(p["acc"]), F.lit("0"))))

@@ -43,16 +43,16 @@ def keyed_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[empty_text(p) for p in parts]), 256)
 
 
-def keyed_random(key: Column, salt: str) -> Column:
-    """A number in [0, 1) that depends on key and salt alone, not on partitions or retries."""
-    return F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+def keyed_random(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone, not on partitions or retries: the first 52 bits of their hash."""
+    return F.conv(F.substring(keyed_hash(*parts), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def keyed_uuid(key: Column, salt: str) -> Column:
-    """A name-based id in the form of a version 5 UUID."""
-    h = F.sha1(F.concat_ws("\u001f", key.cast("string"), F.lit(salt)))
+def keyed_uuid(*parts: Column) -> Column:
+    """A name-based id in the form of a UUID."""
+    h = keyed_hash(*parts)
     part = lambda a, n: F.substring(h, a, n)
-    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
 
 
 def plain_text(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..expressions.compiler import Scope, Value, predicate
+from ..functions.text import keyed_hash
 
 
 def cascading(choices: list[dict], choice_filter: str, scope: Scope) -> Column:
@@ -34,7 +35,7 @@ def randomized(values: Column, seed: Column, fixed_top: int = 0, fixed_bottom: i
     """The values in an order set by the seed; the first and last ones stay where they are."""
     n = F.size(values)
     middle = F.slice(values, fixed_top + 1, F.greatest(n - fixed_top - fixed_bottom, F.lit(0)))
-    mixed = F.transform(F.array_sort(F.transform(middle, lambda v: F.struct(F.xxhash64(seed, v).alias("h"), v.alias("v")))), lambda x: x["v"])
+    mixed = F.transform(F.array_sort(F.transform(middle, lambda v: F.struct(keyed_hash(seed.cast("string"), v.cast("string")).alias("h"), v.alias("v")))), lambda x: x["v"])
     return F.concat(F.slice(values, 1, fixed_top), mixed, F.slice(values, F.greatest(n - fixed_bottom, F.lit(fixed_top)) + 1, fixed_bottom))
 
 

@@ -142,7 +142,7 @@ def _answer(f: Field, value: Column, kind: str, scope: Scope) -> Value:
         value = F.coalesce(value, F.lit(f.cells["default"]).cast(_SQL.get(kind, "string")))
     if not f.cells.get("calculation"):
         return Value(value, kind)
-    made = compile_expr(f.cells["calculation"], replace(scope, stored=value.cast("string")))
+    made = compile_expr(f.cells["calculation"], replace(scope, stored=value.cast("string"), of=f.name))
     if f.type in ("calculate", "calculate_here"):
         return Value(made.date(), DATE) if parse(f.cells["calculation"]) == Call("now") else made  # now() stored alone is a date
     typed = {NUMBER: made.number, DATE: made.date, DATETIME: made.datetime}.get(kind, made.string)()
@@ -259,7 +259,7 @@ def _tests(form: Form, f: Field, value: Value, shown: Column, scope: Scope) -> l
     blank = value.string().isNull() | (value.string() == "")
     out = []
     if f.cells.get("constraint"):
-        holds = compile_expr(f.cells["constraint"], replace(scope, current=value)).truth()
+        holds = compile_expr(f.cells["constraint"], replace(scope, current=value, of=f.name)).truth()
         out.append(("constraint", f.cells.get("constraint message"), ~blank & ~holds))
     if (f.cells.get("required") or "").lower() == "yes":
         out.append(("required", f.cells.get("required message"), shown & blank))

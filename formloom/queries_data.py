@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def over_lines(**more):
 
 
 def columns(df, scope, key, **expressions):
-    return df.select(*([key] if isinstance(key, str) else key), *[compile_expr(e, scope).col.alias(n) for n, e in expressions.items()])
+    return df.select(*([key] if isinstance(key, str) else key), *[compile_expr(e, replace(scope, of=n)).col.alias(n) for n, e in expressions.items()])
 
 
 def aggregated(spark, d, **expressions):
@@ -287,13 +288,21 @@ def geo_area(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.round(geo.area(geo.points(ring)) / 1e6, 3).alias("km2"))
 
 
-@query()
+_DRAW = "CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), c_custkey, '{0}', '1')), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496"
+
+
+@query(f"""
+WITH c AS (SELECT *, sha256(concat_ws(chr(31), c_custkey, 'code', '1')) AS h FROM customer)
+SELECT c_custkey, {_DRAW.format("draw")} AS draw, CASE WHEN {_DRAW.format("arm")} < 0.5 THEN 'treatment' ELSE 'control' END AS arm,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS code, sha256(c_mktsegment || chr(31) || 'x') AS seal FROM c""")
 def treatment_assignment(spark, d):
     scope = scope_of({"c_mktsegment": "string"}, key=F.col("c_custkey"))
     return columns(table(spark, d, "customer"), scope, "c_custkey", draw="once(random())", arm="once(if(random() < 0.5, 'treatment', 'control'))", code="once(uuid())", seal="hash(${c_mktsegment}, 'x')")
 
 
-@query()
+@query("""
+WITH v AS (SELECT unnest(['b', 'c', 'd', 'e']) AS v)
+SELECT c_custkey, 'a ' || string_agg(v, ' ' ORDER BY sha256(concat_ws(chr(31), c_custkey, v))) || ' f' AS shown FROM customer, v GROUP BY 1""")
 def randomized_choices(spark, d):
     values = F.array(*[F.lit(x) for x in "abcdef"])
     return table(spark, d, "customer").select("c_custkey", F.array_join(choices.randomized(values, F.col("c_custkey"), 1, 1), " ").alias("shown"))
