@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import queries_data, queries_forms  # noqa: E402
+from . import queries_data, queries_forms, queries_more  # noqa: E402
 
 flagship = queries_data.priority_share
-__all__ = ["CATALOGUE", "Query", "flagship", "queries_data", "queries_forms", "query", "table"]
+__all__ = ["CATALOGUE", "Query", "flagship", "queries_data", "queries_forms", "queries_more", "query", "table"]

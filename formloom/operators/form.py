@@ -153,9 +153,9 @@ def evaluate(form: Form, submissions: DataFrame, scope: Scope | None = None) ->
     """Submissions as the form leaves them: hidden fields empty, defaults filled, calculations done.
 
     A field's relevance is in the column __rel_<field>, where it can be false.
-    A repeat (of the first level) is evaluated as one value: its number of
-    instances, then its members in each instance, level by level.  ``scope``
-    learns the kinds of calculated fields on the way.
+    A repeat is evaluated as one value: its number of instances, then its
+    members and inner repeats in each instance, level by level, to any depth.
+    ``scope`` learns the kinds of calculated fields on the way.
     """
     scope = scope or form.scope()
     plain = {f.name: f for f in form.fields.values() if not f.repeat and f.type not in _NO_DATA}
@@ -213,36 +213,67 @@ def _own_conditions(form: Form, f: Field) -> list[str]:
 
 
 def _repeat(form: Form, name: str, df: DataFrame, scope: Scope) -> Column:
-    rows = F.col(name)
+    """A top-level repeat as the form leaves it; ``scope`` learns the kinds of its members."""
+    rows, kinds = _rows(form, name, F.col(name), df.schema[name].dataType.elementType, scope)
+    scope.repeats[name] = Repeat(name, F.col(name), kinds, None)
+    shown = [c for c in (form.groups[g].get("relevance") for g in _around(form, name)) if c]
+    return F.when(_all_hold(shown, scope), rows).otherwise(F.slice(rows, 1, 0)) if shown else rows
+
+
+def _inner(form: Form, name: str) -> list[str]:
+    return [r for r, parent in form.repeats.items() if parent == name]
+
+
+def _inner_conditions(form: Form, name: str, inner: str) -> list[str]:
+    """What must hold for an inner repeat to be there: it and the groups between it and the repeat around it."""
+    around = _around(form, inner)
+    return [c for c in (form.groups[g].get("relevance") for g in around[around.index(name) + 1 :]) if c]
+
+
+def _rows(form: Form, name: str, rows: Column, instance, scope: Scope) -> tuple[Column, dict[str, str]]:
+    """The instances of a repeat, its inner repeats included, evaluated layer by layer; and the members' kinds."""
     members = _members(form, name)
-    there = df.schema[name].dataType.elementType.names
+    inner = [r for r in _inner(form, name) if r in instance.names]
     if form.groups[name].get("repeat_count"):
         rows = counted(rows, compile_expr(form.groups[name]["repeat_count"], scope).number())
-    kinds = dict(scope.repeats[name].members)
-    needs = {n: {x for s in (*_own_conditions(form, f), f.cells.get("calculation")) if s for x in references(parse(s))} & members.keys() - {n} for n, f in members.items()}
-    held = list(dict.fromkeys([*there, *members]))
-    known = set(there)
+    kinds = {f.name: f.kind for f in members.values()}
+    texts = {n: [*_own_conditions(form, f), f.cells.get("calculation")] for n, f in members.items()}
+    for r in inner:
+        below = [f for f in form.fields.values() if f.repeat and r in f.groups]
+        texts[r] = [*_inner_conditions(form, name, r), form.groups[r].get("repeat_count"), *(x for f in below for x in (*form.relevance(f), f.cells.get("calculation")))]
+    at = {f.name: next((r for r in inner if f.repeat and r in f.groups), f.name) for f in form.fields.values()}
+    needs = {n: {at.get(x, x) for s in found if s for x in references(parse(s))} & texts.keys() - {n} for n, found in texts.items()}
+    held = list(dict.fromkeys([*instance.names, *members]))
+    known = set(instance.names)
     for layer in levels(needs):
-        if not any(form.fields[n].cells.get("calculation") or form.fields[n].cells.get("default") or _own_conditions(form, form.fields[n]) or n not in known for n in layer):
+        idle = lambda n: n not in inner and n in known and not (form.fields[n].cells.get("calculation") or form.fields[n].cells.get("default") or _own_conditions(form, form.fields[n]))
+        if all(map(idle, layer)):
             continue
-
-        rows = F.transform(rows, _instance(form, name, layer, held, frozenset(known), kinds, scope))
+        rows = F.transform(rows, _instance(form, name, layer, held, frozenset(known), kinds, instance, scope))
         known |= set(held)
-    scope.repeats[name] = Repeat(name, F.col(name), kinds, None)
-    shown = [c for c in (form.groups[g].get("relevance") for g in _around(form, name)) if c]
-    return F.when(_all_hold(shown, scope), rows).otherwise(F.slice(rows, 1, 0)) if shown else rows
+    return rows, kinds
+
 
+def _inner_scope(form: Form, name: str, x: Column, inside: Scope, instance=None) -> Scope:
+    """The scope of an instance, with its inner repeats as its own arrays."""
+    own = {r: Repeat(r, x[r], {f.name: f.kind for f in _members(form, r).values()}, name) for r in _inner(form, name) if instance is None or r in instance.names}
+    return replace(inside, repeats={**inside.repeats, **own})
 
-def _instance(form: Form, name: str, layer: list[str], held: list[str], known: frozenset, kinds: dict[str, str], scope: Scope):
+
+def _instance(form: Form, name: str, layer: list[str], held: list[str], known: frozenset, kinds: dict[str, str], instance, scope: Scope):
     """The function that evaluates one layer of members in an instance."""
 
     def each(x: Column, i: Column) -> Column:
         inside = scope.inside(Repeat(name, F.col(name), {n: k for n, k in kinds.items() if n in known}), x, (i + 1).cast("double"))
+        inside = _inner_scope(form, name, x, inside, instance)
         out = []
         for n in held:
             kind = kinds.get(n, "string")
             value = x[n] if n in known else F.lit(None).cast(_SQL.get(kind, "string"))
-            if n in layer:
+            if n in layer and n in form.repeats:
+                value, _ = _rows(form, n, value, instance[n].dataType.elementType, inside)
+                value = F.when(_all_hold(c, inside), value).otherwise(F.slice(value, 1, 0)) if (c := _inner_conditions(form, name, n)) else value
+            elif n in layer:
                 f = form.fields[n]
                 made = _answer(f, value, kind, inside)
                 if f.type in ("calculate", "calculate_here"):
@@ -273,7 +304,7 @@ def _flags(name: str, tests: list, index: Column) -> list[Column]:
 
 
 def violations(form: Form, evaluated: DataFrame, key: str, scope: Scope | None = None) -> DataFrame:
-    """(key, field, rule, message, index) of every constraint that fails and every required blank; index is the instance's, in repeats. One pass, no join."""
+    """(key, field, rule, message, index) of every constraint that fails and every required blank; index is the (innermost) instance's, in repeats. One pass, no join."""
     scope = scope or form.scope()
     found: list[Column] = []
     for f in form.fields.values():
@@ -285,21 +316,24 @@ def violations(form: Form, evaluated: DataFrame, key: str, scope: Scope | None =
     parts = [F.array(*found) if found else F.array().cast(kind)]
     for r, parent in form.repeats.items():
         if parent is None and r in evaluated.columns:
-            parts.append(_repeat_flags(form, r, scope, kind))
+            parts.append(_repeat_flags(form, r, F.col(r), evaluated.schema[r].dataType.elementType, scope, kind))
     listed = F.filter(F.concat(*parts), lambda x: x.isNotNull())
     return evaluated.select(key, F.explode(listed).alias("v")).select(key, "v.*")
 
 
-def _repeat_flags(form: Form, name: str, scope: Scope, kind: str) -> Column:
+def _repeat_flags(form: Form, name: str, rows: Column, instance, scope: Scope, kind: str) -> Column:
     def each(x: Column, i: Column) -> Column:
-        inside = scope.inside(scope.repeats[name], x, (i + 1).cast("double"))
+        inside = _inner_scope(form, name, x, scope.inside(Repeat(name, rows, {f.name: f.kind for f in _members(form, name).values() if f.name in instance.names}), x, (i + 1).cast("double")), instance)
         flags = []
         for n, f in _members(form, name).items():
-            shown = _all_hold(c, inside) if (c := _own_conditions(form, f)) else F.lit(True)
-            flags += _flags(n, _tests(form, f, Value(x[n], f.kind), shown, inside), i + 1)
-        return F.array(*flags) if flags else F.array().cast(kind)
-
-    return F.flatten(F.transform(F.coalesce(F.col(name), F.array()), each))
+            if n in instance.names:
+                shown = _all_hold(c, inside) if (c := _own_conditions(form, f)) else F.lit(True)
+                flags += _flags(n, _tests(form, f, Value(x[n], f.kind), shown, inside), i + 1)
+        own = F.array(*flags) if flags else F.array().cast(kind)
+        deeper = [_repeat_flags(form, r, x[r], instance[r].dataType.elementType, inside, kind) for r in _inner(form, name) if r in instance.names]
+        return F.concat(own, *deeper) if deeper else own
+
+    return F.flatten(F.transform(F.coalesce(rows, F.array()), each))
 
 
 def interpolate(label: str, scope: Scope, group_labels: dict[str, str] | None = None) -> Column:

@@ -129,8 +129,16 @@ def binned(df: DataFrame, c: Column, bins: int, name: str) -> DataFrame:
 
 
 def categories(df: DataFrame, c: Column) -> DataFrame:
+    """Counts and percentages; the total is one row, so no task sees all categories."""
     counts = df.where(c.isNotNull()).groupBy(c.cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    total = counts.agg(F.sum("n").alias("__all"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("category", "n", (100.0 * F.col("n") / F.col("__all")).alias("percent"))
+
+
+def shown(s: Summary, out: DataFrame) -> DataFrame:
+    """Of counts and percentages, what the options ask for; both where they ask for neither."""
+    asked = [(o, c) for o, c in (("count", "n"), ("percent", "percent")) if s.has(o)]
+    return out.drop(*{"n", "percent"} - {c for _, c in asked}) if asked else out
 
 
 def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
@@ -144,17 +152,19 @@ def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
         size = F.when(some, F.length(t))
         return data.agg(F.count_if(some).alias("n"), F.count_if(~F.coalesce(some, F.lit(False))).alias("blank"), F.countDistinct(F.when(some, t)).alias("n_distinct"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("mean_length"))
     if s.type == "categorical":
-        return categories(data, x)
+        return shown(s, categories(data, x))
     if s.type == "numeric":
         v = x.try_cast("double")
         if s.bins:
             shares = binned(data.select(v.alias("v")).where("v is not null"), F.col("v"), s.bins, "bin").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("from_value"), F.max("v").alias("to_value"))
             return shares
-        return data.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+        measures = {"count": F.count(v).alias("n"), "mean": F.avg(v).alias("mean"), "min": F.min(v).alias("min"), "max": F.max(v).alias("max")}
+        return data.agg(*([m for o, m in measures.items() if s.has(o)] or measures.values()))
     if s.type == "temporal":
         t = x.try_cast("timestamp")
         if s.bins:
-            return binned(data.select(F.unix_micros(t).alias("v")).where("v is not null"), F.col("v"), s.bins, "bin").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+            at = binned(data.select(F.unix_micros(t).alias("v")).where("v is not null"), F.col("v"), s.bins, "bin").groupBy("bin")
+            return at.agg(F.count(F.lit(1)).alias("n"), F.timestamp_micros(F.min("v")).alias("from_time"), F.timestamp_micros(F.max("v")).alias("to_time"))
         unit = s.unit()
         at = F.date_trunc(unit, t) if unit else t
         return data.where(t.isNotNull()).groupBy(at.alias("period")).agg(F.count(F.lit(1)).alias("n"))
@@ -184,12 +194,14 @@ def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
         if s.bins_2:
             both, b = binned(both, y.try_cast("double"), s.bins_2, "__b"), F.col("__b").cast("string")
         counts = both.groupBy(a.alias("row"), b.alias("column")).agg(F.count(F.lit(1)).alias("n"))
-        return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("row")))
+        totals = counts.groupBy("row").agg(F.sum("n").alias("__all"))
+        return shown(s, counts.join(totals, "row").select("row", "column", "n", (100.0 * F.col("n") / F.col("__all")).alias("percent")))
     if s.type == "trend":
         t = y.try_cast("timestamp")
+        none = "none" in [o.strip() for o in f"{s.options},{s.options_2}".split(",")]
         unit = s.unit() or s.unit(s.options_2) or "day"
         v = x.try_cast("double")
-        return data.where(t.isNotNull()).groupBy(F.date_trunc(unit, t).alias("period")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
+        return data.where(t.isNotNull()).groupBy((t if none else F.date_trunc(unit, t)).alias("period")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
     raise ValueError(s.type)
 
 

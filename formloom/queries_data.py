@@ -332,7 +332,7 @@ SELECT bin, count(*) AS n, min(v) AS from_value, max(v) AS to_value FROM b GROUP
 summary("summary_temporal_week", S("temporal", "ts", options="weeks"), "events", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS period, count(*) AS n FROM events GROUP BY 1")
 summary("summary_temporal_month", S("temporal", "o_orderdate", options="months"), "orders", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS n FROM orders GROUP BY 1")
 summary("summary_temporal_bins", S("temporal", "ts", bins=6), "events", """
-WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events) SELECT CAST(least(floor((epoch_us(ts) - lo) / (CAST(hi - lo AS DOUBLE) / 6)) + 1, 6) AS INTEGER) AS bin, count(*) AS n FROM events, r GROUP BY 1""")
+WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events) SELECT CAST(least(floor((epoch_us(ts) - lo) / (CAST(hi - lo AS DOUBLE) / 6)) + 1, 6) AS INTEGER) AS bin, count(*) AS n, CAST(min(ts) AS TIMESTAMP) AS from_time, CAST(max(ts) AS TIMESTAMP) AS to_time FROM events, r GROUP BY 1""")
 summary("summary_text", S("text", "text"), "documents", "SELECT count(text) FILTER (WHERE text <> '') AS n, count(*) FILTER (WHERE coalesce(text, '') = '') AS blank, count(DISTINCT text) FILTER (WHERE text <> '') AS n_distinct, min(length(text)) FILTER (WHERE text <> '') AS min_length, max(length(text)) AS max_length, round(avg(length(text)), 6) AS mean_length FROM documents", ["mean_length"])
 summary("summary_crosstab", S("crosstab", "c_mktsegment", "c_nationkey"), "customer", 'SELECT c_mktsegment AS "row", CAST(c_nationkey AS VARCHAR) AS "column", count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 6) AS percent FROM customer GROUP BY 1, 2', ["percent"])
 summary("summary_crosstab_mean", S("crosstab", "o_orderstatus", "o_totalprice", options="mean"), "orders", 'SELECT o_orderstatus AS "row", round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1', ["mean"])
