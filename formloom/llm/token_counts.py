@@ -3,11 +3,16 @@
 Method: the byte-level BPE and its pre-tokeniser are compiled, on demand, to
 one deterministic transducer whose transitions carry emitted-token counts
 (:mod:`.bpe_machine`).  A text is cut into chunks of ``chunk_chars``.  A chunk
-is summed up as a *state map*: from any entry state, what it counts and where
-it ends.  After a letter and a space every entry state leads to the same
-state, so the map is the part up to there (replayed from whatever state comes
-in) and constants behind it.  Maps compose associatively, and the counts of
-long texts come from a parallel prefix scan over their chunks' maps.
+is summed up as a *state map*: entry state -> (exit state, tokens counted).
+Its entry states are those that the text before it can lead to: the ``lead``
+characters before the chunk are run from states of every kind, and as a word's
+beginning settles the state whatever came before, nearly always one entry is
+left.  Maps compose associatively (a state the next map does not know has no
+image), and the counts of long texts come from a parallel prefix scan over
+their chunks' maps.  Where the scan gives the start no image (a run without any
+boundary, longer than the lead), the chunks from there on are entered by the
+state that was really reached, so counts are exact in every case, and nothing
+but states and numbers is held for a chunk.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; the file's
 special string inside a text counts as one token, as the library's default
@@ -26,10 +31,9 @@ from pyspark.sql import DataFrame
 from .arrow_io import map_rows
 from .bpe_machine import CountingTransducer, MergeTable
 
-_SETTLED = re.compile("[A-Za-z] ")
 _LOADED: dict[str, "TokenCounter"] = {}
 
-ChunkMap = tuple  # (lead text, state after or None where nothing settles the entry, tokens behind the lead)
+StateMap = dict  # entry state: (exit state, tokens)
 
 
 def scan(items: Sequence, combine: Callable) -> list:
@@ -45,14 +49,14 @@ def scan(items: Sequence, combine: Callable) -> list:
 class TokenCounter:
     """Counts for one byte-level BPE file."""
 
-    def __init__(self, path: str, chunk_chars: int = 1 << 16):
+    def __init__(self, path: str, chunk_chars: int = 1 << 16, lead: int = 256):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         self.pieces = library.pre_tokenizer.pre_tokenize_str
         self.special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
         self.special_at = re.compile("|".join(sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.chunk_chars = chunk_chars
+        self.chunk_chars, self.lead = chunk_chars, min(lead, chunk_chars)
         self.machine = CountingTransducer(MergeTable(path), self._classify)
 
     def _classify(self, c: str) -> str:
@@ -62,18 +66,20 @@ class TokenCounter:
                 return kind
         return "S"
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        m = _SETTLED.search(chunk)
-        if m is None:
-            return chunk, None, 0
-        after, gain = self.machine.run(self.machine.space, chunk[m.end():])
-        return chunk[: m.end()], after, gain
+    def entries(self, lead: str) -> list:
+        """The states that a text ending in ``lead`` can be in, as far as the lead settles it."""
+        found = {}
+        for seed in ("", " ", "a", "1", "!"):
+            node = self.machine.run(self.machine.run(self.machine.start, seed)[0], lead)[0]
+            found[id(node)] = node
+        return list(found.values())
 
-    def compose(self, first: ChunkMap, second: ChunkMap) -> ChunkMap:
-        if first[1] is None:
-            return first[0] + second[0], second[1], second[2]
-        node, gain = self.machine.run(first[1], second[0])
-        return first[0], node if second[1] is None else second[1], first[2] + gain + second[2]
+    def chunk_map(self, entries: list, chunk: str) -> StateMap:
+        return {id(node): self.machine.run(node, chunk) for node in entries}
+
+    @staticmethod
+    def compose(first: StateMap, second: StateMap) -> StateMap:
+        return {e: (second[id(x)][0], n + second[id(x)][1]) for e, (x, n) in first.items() if id(x) in second}
 
     def count_plain(self, text: str) -> int:
         machine = self.machine
@@ -82,9 +88,16 @@ class TokenCounter:
         size = self.chunk_chars
         if len(text) <= size:
             return machine.run(machine.start, text)[1]
-        maps = [self.chunk_map(text[k : k + size]) for k in range(0, len(text), size)]
-        lead, _, gain = scan(maps, self.compose)[-1]
-        return machine.run(machine.start, lead)[1] + gain
+        chunks = range(0, len(text), size)
+        maps = [self.chunk_map(self.entries(text[k - self.lead : k]) if k else [machine.start], text[k : k + size]) for k in chunks]
+        whole = scan(maps, self.compose)[-1].get(id(machine.start))
+        if whole is not None:
+            return whole[1]
+        node, total = machine.start, 0
+        for k, known in zip(chunks, maps, strict=True):
+            node, gain = known.get(id(node)) or machine.run(node, text[k : k + size])
+            total += gain
+        return total
 
     def count(self, text: str | None) -> int:
         if not text:
