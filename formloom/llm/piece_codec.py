@@ -8,12 +8,15 @@ admissible path to it.  The forward pass keeps that path as one backpointer a
 node; a new piece can only start at the last ``longest piece`` nodes, and of
 those only at nodes whose characters since then still begin a piece.  Whenever
 the backpointer paths of all such nodes run through one boundary, the ids up
-to it are committed and the nodes before it are dropped.
+to it are committed and the nodes before it are dropped: at once where one such
+node is left, and else by following the paths back each time the window has
+grown to two longest pieces.
 
 No piece has a space mark behind another character, a line break anywhere, or a
 stop behind a letter (the codec asks the vocabulary which stops that holds for),
 so every path runs through the boundaries there: the text is committed part by
-part, and a committed part, once encoded, is remembered.
+part, and the commits of a part, once found, are remembered.  (One step of the
+pass for every character of every text would be over 2,000 CPU seconds a GB.)
 
 Characters the vocabulary lacks become byte pieces.
 
@@ -98,11 +101,11 @@ class PieceModel:
         return [got] if got is not None else [self.bytes[b] for b in piece.encode()]
 
 
-def viterbi(model: PieceModel, text: str, commit) -> int:
-    """Runs over ``text`` and calls ``commit`` with each piece once it is sure; returns the largest number of nodes held."""
+def viterbi(model: PieceModel, text: str, commit) -> tuple[int, int]:
+    """Runs over ``text`` and calls ``commit`` with each piece once it is sure; returns the number of commits and the most nodes held."""
     whole, begins, apart = model.whole, model.begins, model.apart
     last: dict[int, str] = {0: ""}  # node: last piece of the path to it
-    done, open_, most = 0, [0], 1
+    done, open_, most, commits = 0, [0], 1, 0
 
     def settle(ends: list[int]) -> int:
         """The last boundary that the paths to all ``ends`` share."""
@@ -114,8 +117,9 @@ def viterbi(model: PieceModel, text: str, commit) -> int:
         return paths.pop()
 
     def flush(until: int) -> None:
-        nonlocal done
+        nonlocal done, commits
         out, k = [], until
+        commits += until > done
         while k > done:
             out.append(last[k])
             k -= len(last[k])
@@ -138,13 +142,13 @@ def viterbi(model: PieceModel, text: str, commit) -> int:
         open_ = [k for k in open_ if text[k:i] in begins]
         open_.append(i)
         most = max(most, len(last))
-        if i - done >= 2 * model.longest:
+        if len(open_) == 1 or i - done >= 2 * model.longest:
             until = settle(open_)
             if until > done:
                 joined = last[until]
                 flush(until)
     flush(len(text))
-    return most
+    return commits, most
 
 
 class PieceCodec:
@@ -152,29 +156,29 @@ class PieceCodec:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, tuple[bytes, int, int]] = {}
         letter = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
         stops = "".join(c for c in ".,;:!?" if not any(re.search(letter + re.escape(c), p) for p in self.model.piece))
         line = "" if any("\n" in p for p in self.model.piece) else "\n"
         self.parts = re.compile((f"{line}|" if line else "") + f"{MARK}*{letter}+(?=[{MARK}{re.escape(stops)}{line}]|\\Z)|{MARK}*[^{MARK}{line}]+|{MARK}+")
 
-    def learn(self, part: str) -> bytes:
+    def learn(self, part: str) -> tuple[bytes, int, int]:
         out = array("I")
-        viterbi(self.model, part, lambda piece: out.extend(self.model.ids(piece)))
-        packed = out.tobytes()
+        commits, most = viterbi(self.model, part, lambda piece: out.extend(self.model.ids(piece)))
+        got = out.tobytes(), commits, most
         if len(part) <= self.LONGEST_PART:
-            self.memo[part] = packed
-        return packed
+            self.memo[part] = got
+        return got
 
-    def encode(self, text: str | None) -> bytes:
-        """Packed unsigned 32-bit ids of the whole text."""
+    def encode(self, text: str | None) -> tuple[bytes, int, int]:
+        """Packed unsigned 32-bit ids of the whole text, how often ids were committed, and the most nodes the window held."""
         if not text:
-            return b""
+            return b"", 0, 0
         if len(self.memo) > self.MAX_PARTS:
             self.memo.clear()
         memo, line = self.memo, (MARK if self.model.prefix else "") + text.replace(" ", MARK)
-        parts = self.parts.findall(line)
-        return b"".join([memo.get(p) or self.learn(p) for p in parts])
+        packed, commits, most = zip(*[memo.get(p) or self.learn(p) for p in self.parts.findall(line)])
+        return b"".join(packed), sum(commits), max(most)
 
     def decode(self, packed: bytes) -> str:
         ids = array("I", packed)
@@ -191,16 +195,17 @@ def codec(path: str) -> PieceCodec:
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per row: id, ids (packed little-endian 32-bit; left out unless ``with_ids``), n_ids, ids_crc32, round_trip (they decode to the text)."""
+    """Per row: id, ids (packed little-endian 32-bit; left out unless ``with_ids``), n_ids, ids_crc32, n_commits and most_nodes (of the window), round_trip (they decode to the text)."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c, texts = codec(path), batch.column(1).to_pylist()
-        got = [c.encode(t) for t in texts]
+        made = [c.encode(t) for t in texts]
+        got = [x[0] for x in made]
         cols = [pa.array(got, pa.binary())] if with_ids else []
-        cols += [pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array([c.decode(x) == (t or "") for x, t in zip(got, texts, strict=True)], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, *(["ids"] if with_ids else []), "n_ids", "ids_crc32", "round_trip"])
+        cols += [pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2)), pa.array([c.decode(x) == (t or "") for x, t in zip(got, texts, strict=True)], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, *(["ids"] if with_ids else []), "n_ids", "ids_crc32", "n_commits", "most_nodes", "round_trip"])
 
-    return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` bigint, {'ids binary, ' if with_ids else ''}n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` bigint, {'ids binary, ' if with_ids else ''}n_ids bigint, ids_crc32 bigint, n_commits bigint, most_nodes bigint, round_trip boolean")
 
 
 def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
