@@ -108,8 +108,10 @@ def search_each(submissions: DataFrame, source: DataFrame, key: str, kind: str,
     """search() for every submission's own text: (key, value), distinct.
 
     "matches" is an equality, so it joins by it, once for each column searched.
-    The other kinds have no equality: each text is compared with every source
-    row, which is what the operation asks for; only distinct texts are compared.
+    The other kinds join by one too, and test the pairs that it leaves:
+    "startswith" and "endswith" by the ends of each length that is asked for,
+    "contains" by the first three characters of the text (fewer, if it is
+    shorter; a blank text is in every row).  Only distinct texts are joined.
     """
     texts = submissions.select(key, text.alias("__text"))
     if kind == "matches":
@@ -118,8 +120,19 @@ def search_each(submissions: DataFrame, source: DataFrame, key: str, kind: str,
         for p in parts[1:]:
             index = index.unionByName(p)
         return texts.join(index.distinct(), "__text").select(key, "value").distinct()
-    asked = texts.select("__text").distinct()
-    hits = asked.join(source, search_test(kind, columns, F.col("__text"))).select("__text", F.col(value).cast("string").alias("value")).distinct()
+    asked = texts.where(F.col("__text").isNotNull()).select("__text").distinct()
+    size = F.length("__text") if kind != "contains" else F.least(F.length("__text"), F.lit(3))
+    sizes = asked.select(size.alias("n")).agg(F.collect_set("n").alias("__sizes"))  # one row
+    cells = source.select(F.col(value).cast("string").alias("value"), F.explode(F.array(*[empty_text(F.col(c.strip()).cast("string")) for c in columns.split(",")])).alias("__cell")).distinct()
+    cells = cells.join(F.broadcast(sizes), F.lit(True)).select("value", "__cell", F.explode("__sizes").alias("n")).where(F.length("__cell") >= F.col("n"))
+    cell, n = F.col("__cell"), F.col("n")
+    if kind == "contains":
+        grams = F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(cell) - n + 1, F.lit(1))), lambda k: F.substring(cell, k, n)))
+        cells = cells.select("value", "__cell", F.explode(F.array_distinct(grams)).alias("__part"), "n")
+    else:
+        cells = cells.select("value", "__cell", (F.substring(cell, F.lit(1), n) if kind == "startswith" else F.substring(cell, F.length(cell) - n + 1, n)).alias("__part"), "n")
+    asked = asked.select("__text", F.substring("__text", F.lit(1), size).alias("__part"), size.alias("n"))
+    hits = asked.join(cells, ["n", "__part"]).where(_TESTS[kind](cell, F.col("__text"))).select("__text", "value").distinct()
     return texts.join(hits, "__text").select(key, "value").distinct()
 
 

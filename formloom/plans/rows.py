@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 PAGE = 100  # fixed value: rows of a page at most
 SLOTS = ("relevance", "constraint", "calculation", "choice_filter")
 FULLTEXT = {"survey": ("name", "labels_concat_lower", "hints_concat_lower"), "choices": ("list_name", "value", "labels_concat_lower"), "settings": ("form_title", "form_id")}
@@ -148,19 +150,18 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ro
     """(seed, node, depth): what each seed depends on (or what depends on it), with the least number of steps.
 
     The frontier is joined with the edges until nothing new is found or
-    max_depth is reached; each round is cut from the lineage by a checkpoint
-    where the session has a folder for it.
+    max_depth is reached; each round is written to the shared folder, which
+    cuts its lineage.
     """
     source, target = ("target", "source") if reverse else ("source", "target")
     e = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
     found = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     front, depth = found, 0
-    can_cut = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     while max_depth is None or depth < max_depth:
         depth += 1
         new = front.join(e, "node").select("seed", F.col("next").alias("node")).distinct()
         new = new.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        new = new.checkpoint() if can_cut else new.persist()
+        new = stored(new, "closure")
         if new.isEmpty():
             break
         found, front = found.unionByName(new), new

@@ -141,11 +141,11 @@ def pulldata_lookup(spark, d):
     wanted = {"customer": "c_name", "balance": "c_acctbal", "segment": "c_mktsegment", "c_nationkey": "c_nationkey"}
     text = {n: f"pulldata('customer', '{c}', 'c_custkey', ${{o_custkey}})" for n, c in wanted.items()}
     text["balance"] = f"number({text['balance']})"
-    df, scope = lookup.Pulled({"customer": table(spark, d, "customer")}).join(table(spark, d, "orders"), list(text.values()), scope)
+    df, scope = lookup.Pulled({"customer": table(spark, d, "customer")}, {"customer": ["c_custkey", "c_name"]}).join(table(spark, d, "orders"), list(text.values()), scope)
     df = columns(df, scope, "o_orderkey", **text)
     scope = scope_of({"c_nationkey": "string"})
     nation = "pulldata('nation', 'n_name', 'n_nationkey', ${c_nationkey})"
-    df, scope = lookup.Pulled({"nation": table(spark, d, "nation")}).join(df, [nation], scope)
+    df, scope = lookup.Pulled({"nation": table(spark, d, "nation")}, {"nation": ["n_nationkey"]}).join(df, [nation], scope)
     return columns(df, scope, ["o_orderkey", "customer", "balance", "segment"], nation=nation)
 
 
@@ -256,7 +256,8 @@ def date_functions(spark, d):
 
 @query("SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / CAST(86400 AS DOUBLE) AS part_of_day, strftime(ts, '%H:%M:%S') AS time FROM events")
 def time_of_day(spark, d):
-    return table(spark, d, "events").select("event_id", dates.decimal_time(F.date_format("ts", "HH:mm:ss")).alias("part_of_day"), dates.format_date_time(F.col("ts"), "%H:%M:%S").alias("time"))
+    events = table(spark, d, "events").withColumn("clock", F.date_format("ts", "HH:mm:ss"))
+    return columns(events, scope_of({"ts": "datetime", "clock": "string"}), "event_id", part_of_day="decimal-time(${clock})", time="format-date-time(${ts}, '%H:%M:%S')")
 
 
 @query("""
@@ -285,7 +286,7 @@ def geo_area(spark, d):
     a = (F.col("n_nationkey") % 40).cast("string")
     b = (F.col("n_nationkey") % 40 + 1).cast("string")
     ring = F.concat_ws(";", *[F.concat_ws(" ", lat, F.lit(lon)) for lat, lon in ((a, "10"), (a, "11"), (b, "11"), (b, "10"))])
-    return table(spark, d, "nation").select("n_nationkey", F.round(geo.area(geo.points(ring)) / 1e6, 3).alias("km2"))
+    return columns(table(spark, d, "nation").withColumn("ring", ring), scope_of({"ring": "string"}), "n_nationkey", km2="round(area(${ring}) div 1000000, 3)")
 
 
 _DRAW = "CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), c_custkey, '{0}', '1')), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496"
@@ -399,7 +400,7 @@ def publish_stream_add(spark, d):
     target = VersionedDataset(spark, f"{folder}/dataset", _dataset(spark, d))
     link = publish.Link("user_id", "id", [publish.FieldMap("value", "total", publish.ADD)], relevance_field="shown")
     for part in (0, 1):
-        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
         for checkpoint in ("a", "a") if part else ("a", "b"):  # "b" knows nothing of "a": its batch 0 is a replay
             source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
             publish_stream(source, link, target, ["event_id"], f"{folder}/{checkpoint}").awaitTermination()
@@ -430,12 +431,10 @@ def enumerator_ids(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", publish.enumerator_ids(F.col("s_suppkey"), "en-", "-x", 6, True).alias("code"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS value, row_number() OVER (ORDER BY CAST(n_regionkey AS DOUBLE), n_name) AS place FROM nation QUALIFY place <= 10")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS value, row_number() OVER (ORDER BY CAST(n_regionkey AS DOUBLE), n_name) AS place FROM nation")
 def choices_sorted(spark, d):
-    from pyspark.sql import Window
-
-    rows = choices.sorted_by(table(spark, d, "nation"), "n_regionkey", "n_name").limit(10)
-    return rows.select(F.col("n_nationkey").cast("string").alias("value"), F.row_number().over(Window.orderBy(F.col("n_regionkey").cast("double"), "n_name")).cast("bigint").alias("place"))
+    rows = choices.sorted_by(table(spark, d, "nation"), "n_regionkey", "n_name").agg(F.collect_list(F.col("n_nationkey").cast("string")).alias("v"))  # a list of choices is short
+    return rows.select(F.posexplode("v").alias("p", "value")).select("value", (F.col("p") + 1).cast("bigint").alias("place"))
 
 
 @query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -458,9 +457,9 @@ def plug_in_parameters(spark, d):
 
 
 @query("""
-WITH x AS (SELECT s_suppkey AS k, s_name AS v, 0 AS part, s_suppkey AS place FROM supplier WHERE s_suppkey <= 3
+WITH x AS (SELECT s_suppkey AS k, s_name AS v, 0 AS part, s_suppkey AS place FROM supplier
 UNION ALL SELECT n_nationkey, n_name, 1, n_nationkey + 1 FROM nation UNION ALL SELECT 97, 'Other', 2, 1) SELECT part, CAST(place AS BIGINT) AS place, CAST(k AS VARCHAR) AS value, v AS label FROM x""")
 def choices_mixed(spark, d):
     static = lambda df, k, v, n: df.select(F.col(n).cast("bigint").alias("place"), F.col(k).cast("string").alias("value"), F.col(v).alias("label"))
     last = spark.createDataFrame([(1, "97", "Other"), (2, "no number", "Never")], "place int, value string, label string")
-    return choices.mixed(static(table(spark, d, "supplier").where("s_suppkey <= 3"), "s_suppkey", "s_name", "s_suppkey"), static(table(spark, d, "nation").withColumn("n", F.col("n_nationkey") + 1), "n_nationkey", "n_name", "n"), static(last, "value", "label", "place"))
+    return choices.mixed(static(table(spark, d, "supplier"), "s_suppkey", "s_name", "s_suppkey"), static(table(spark, d, "nation").withColumn("n", F.col("n_nationkey") + 1), "n_nationkey", "n_name", "n"), static(last, "value", "label", "place"))

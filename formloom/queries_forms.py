@@ -203,13 +203,15 @@ def validate_form(spark, d):
 
 
 @query("""
-SELECT 'VL01' AS rule, l_orderkey || '/' || l_linenumber AS location, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-UNION ALL SELECT 'VL04', CAST(o_orderkey AS VARCHAR), 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+SELECT 'VL01' AS rule, 'name used more than once: ' || l_orderkey || '/' || l_linenumber AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'VL04', 'no such list: o' || o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def validate_duplicates_orphans(spark, d):
     items, heads = table(spark, d, "lineitem"), table(spark, d, "orders")
-    twice = items.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    orphans = heads.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    return twice.select(F.lit("VL01").alias("rule"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("location"), "n").unionByName(orphans.select(F.lit("VL04").alias("rule"), F.col("o_orderkey").cast("string").alias("location"), F.lit(0).cast("bigint").alias("n")))
+    lines = items.select(F.monotonically_increasing_id().alias("excel_row"), F.lit("text").alias("type"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("name"))
+    twice = form_rules.unique_names(lines)
+    selects = heads.select(F.col("o_orderkey").alias("excel_row"), F.concat(F.lit("select_one o"), "o_orderkey").alias("type"), F.col("o_orderkey").cast("string").alias("name"))
+    choices = items.select(F.col("l_orderkey").alias("excel_row"), F.concat(F.lit("o"), "l_orderkey").alias("list_name"), F.col("l_linenumber").cast("string").alias("value"), F.lit("x").alias("label"))
+    return twice.unionByName(form_rules.lists_exist(selects, choices)).select("rule", "message")
 
 
 @query("SELECT list_name, kept_name FROM (VALUES ('yn', 'yn'), ('yesno', 'yn'), ('order', 'order'), ('case', 'case')) AS t(list_name, kept_name)")
@@ -292,10 +294,10 @@ def html_plain_text(spark, d):
 
 
 @query(r"""
-SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)\s+on[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')) AS n_chars FROM pages""")
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)\s+on[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'), '(?i)javascript:', '', 'g') AS s FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(s, '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g'), '(?i)</?(html|body)\b[^>]*>|<!doctype[^>]*>', '', 'g'), ' ') AS safe FROM a""")
 def html_sanitize(spark, d):
-    s = F.regexp_replace("html", r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(s, r"(?is)\s+on[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")).cast("bigint").alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", text.safe_html(F.col("html")).alias("safe"))
 
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")

@@ -239,3 +239,18 @@ def test_repeats_are_evaluated(spark):
     got = {r["n"]: ([(x["a"], x["b"], x["c"]) for x in r["r"]], r["s"]) for r in out.collect()}
     assert got == {2.0: ([(1.0, 3.0, None), (2.0, 6.0, "")], 9.0), 3.0: ([(7.0, None, None)] * 3, 0.0), 0.0: ([], 0.0)}
     assert [(r["n"], r["field"], r["rule"], r["index"]) for r in form.violations(f, out, "n", scope).collect()] == [(2.0, "c", "required", 2)]
+
+
+@pytest.mark.parametrize("kind", ["contains", "startswith", "endswith", "matches"])
+def test_search_each_against_all_pairs(spark, kind):
+    import random
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    asked = [(k, word(rng.randint(0, 5))) for k in range(60)] + [(60, None)]
+    cells = [(k, word(rng.randint(0, 7)) or None, word(rng.randint(1, 4))) for k in range(80)]
+    got = lookup.search_each(spark.createDataFrame(asked, "key int, t string"), spark.createDataFrame(cells, "id int, a string, b string"), "key", kind, "a,b", F.col("t"), "id")
+    test = {"contains": str.__contains__, "startswith": str.startswith, "endswith": str.endswith, "matches": str.__eq__}[kind]
+    empty = (lambda c: c) if kind == "matches" else (lambda c: c or "")
+    want = {(k, str(i)) for k, t in asked if t is not None for i, *cs in cells if any(empty(c) is not None and test(empty(c), t) for c in cs)}
+    assert {(r["key"], r["value"]) for r in got.collect()} == want
