@@ -51,18 +51,20 @@ def safe_names(names: list[str], report=None) -> dict[str, str]:
 
 
 def safe_name_column(df: DataFrame, name: str, order: str, out: str = "safe_name") -> DataFrame:
-    """Safe names over a column, for very many fields at once: the first of a base keeps it, the others get a number.
+    """Safe names over a column, for very many fields at once: of those that meet, all but the first get _2, _3, ...
 
-    A numbered name could meet a field that is called so: a base that ends in a
-    number is given one more, so no two names are alike.
+    Where a numbered name is another field's own, the number stands behind two
+    underscores, which no field's own name has: no two names are alike.
     """
     s = F.regexp_replace(F.regexp_replace(F.col(name), r"[^A-Za-z0-9_]", "_"), r"_+", "_")
     s = F.regexp_replace(s, r"^_+|_+$", "")
     s = F.when(s == "", F.lit("field")).when(s.rlike(r"^\d"), F.concat(F.lit("q_"), s)).otherwise(s)
-    base, n = "__safe_base", F.row_number().over(Window.partitionBy("__safe_base").orderBy(order))
-    df = df.withColumn(base, s)
-    numbered = F.col(base).rlike(r"_\d+$")
-    return df.withColumn(out, F.when((n == 1) & ~numbered, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string")))).drop(base)
+    base, place, taken = F.col("__base"), F.col("__place"), F.col("__taken")
+    df = df.withColumn("__base", s).withColumn("__place", F.row_number().over(Window.partitionBy("__base").orderBy(order)))
+    df = df.withColumn("__numbered", F.concat_ws("_", base, place.cast("string")))
+    df = df.join(df.select(base.alias("__taken")).distinct(), (F.col("__numbered") == taken) & (place > 1), "left")
+    named = F.when(place == 1, base).when(taken.isNull(), F.col("__numbered")).otherwise(F.concat_ws("__", base, place.cast("string")))
+    return df.withColumn(out, named).drop("__base", "__place", "__numbered", "__taken")
 
 
 def shared_lists(lists: dict[str, list[dict]]) -> tuple[dict[str, str], dict[str, list[dict]]]:
