@@ -8,6 +8,7 @@ import re
 import tarfile
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -471,6 +472,31 @@ def test_classifier_on_held_out_labels(spark):
     assert clean > 0.98 and junk < 0.15 and toxic < 0.05
 
 
+def test_classifier_in_every_language(spark):
+    """Abuse in languages without a word list is learnt from reviewed labels, where there are some hundreds."""
+    folder = Path("/root/testdata/check_s")
+    if not folder.is_dir():
+        pytest.skip("needs more reviewed rows than the smaller tables have")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    reviewed = docs.join(labels, "doc_id", "left_semi")
+    held = labels.where("doc_id % 4 = 0").join(docs.select("doc_id", "lang"), "doc_id")
+    out = qc.classify(reviewed, labels.where("doc_id % 4 <> 0")).join(held, "doc_id")
+    shares = {r["lang"]: r for r in out.groupBy("lang").agg(F.avg(F.when(F.expr("toxic = 1"), F.col("kept").cast("double"))).alias("toxic"), F.avg(F.when(F.expr("quality = 1 AND toxic = 0"), F.col("kept").cast("double"))).alias("clean")).collect()}
+    assert set(shares) >= {"en", "de", "es", "fr"}
+    for lang in ("en", "de", "es", "fr"):
+        assert shares[lang]["toxic"] < 0.05 and shares[lang]["clean"] > 0.98, (lang, shares[lang])
+
+
+@pytest.mark.parametrize("texts", [[None, None], ["", "same", "same", "same"], ["word " * 200_000]])
+def test_classifier_on_odd_rows(spark, texts):
+    """Null ids, ties and very long texts: rows of one text are judged alike, and none is lost."""
+    docs = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(None, 1, 0), (0, 1, 0), (0, 0, 1)], "doc_id bigint, quality int, toxic int")
+    out = qc.classify(docs, labels).collect()
+    assert len(out) == len(texts) and all(abs(r["p_clean"] + r["p_junk"] + r["p_toxic"] - 1) < 1e-9 for r in out)
+    assert qc.quality_kept(docs, labels).count() == sum(r["kept"] for r in out)
+
+
 def test_classifier_edges(odd, none):
     out = qc.classify(odd)
     assert out.count() == odd.count() and all(abs(r["p_clean"] + r["p_junk"] + r["p_toxic"] - 1) < 1e-9 for r in out.collect())
@@ -497,3 +523,14 @@ def test_pipeline_stages(spark, data):
     assert cleaned.columns == columns and cleaned.count() == one.count() and all(not sec.scan(r["text"])[0] for r in cleaned.collect())
     packed = stages["best_fit_packing"](spark, cleaned, data)
     assert packed.select("doc_id").distinct().count() == cleaned.count()
+
+
+def test_pipeline_on_odd_and_no_rows(odd, none, spark, tmp_path):
+    """All stages, one after another, on nulls, empty, repeated and very long texts, and on an empty table."""
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality bigint, toxic bigint")
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and (name == "odd" or out.count() == 0)
+        assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
