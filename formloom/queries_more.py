@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .convert import common
+from .convert import common, xlsforms
+from .convert import qsf as convert_qsf
+from .convert import xforms as convert_xforms
 from .expressions.compiler import compile_expr, predicate, scope_of
 from .operators import form as forms
 from .plans import explore, patches, publish, rows, sessions
 from .queries_forms import part_sheet
 from .rules import form_rules, translation_rules
 from .session import shared_folder
-from .sources import bundle, dataset_xml, sheets, xforms
+from .sources import bundle, dataset_xml, qsf, sheets, xforms
 
 
 def _columns(df, scope, key, **expressions):
@@ -508,3 +511,96 @@ def converted_names(spark, d):
     raw = {0: "a--b", 1: "1x", 2: "??"}
     made = [(r["n_nationkey"], common.safe_name(raw.get(r["n_nationkey"] % 4, f"n{r['n_nationkey']}"))) for r in table(spark, d, "nation").select("n_nationkey").toLocalIterator()]
     return spark.createDataFrame(made, table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("").alias("safe")).schema)
+
+
+# ---- conversions and workbooks
+
+
+def _converted(spark, out, columns):
+    rows = [tuple(r.get(c) for c in columns) for r in out.survey if not r["type"].startswith("end")]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+
+
+@query("""
+SELECT * FROM (VALUES ('begin group', 'g_1', '<b>G</b>', NULL, NULL), ('integer', 'q_1st', NULL, '. >= 0 and . <= 10', '${a_b} = ''x'''), ('select_one yn', 'a_b', 'A', NULL, NULL), ('select_one yn', 'bike_own', 'Bike: Own?', NULL, NULL), ('select_one yn', 'car_own', 'Car: Own?', NULL, NULL))
+ AS t(type, name, label, "constraint", relevance)""")
+def convert_xlsform(spark, d):
+    """Another dialect's sheet: names, labels, ranges, operators, matrices."""
+    out = xlsforms.convert(
+        [{"type": "begin_group", "name": "g 1", "label::English (en)": "**G**"}, {"type": "range", "name": "1st", "parameters": "start=0 end=10 step=1", "relevant": "${a-b} == 'x'"}, {"type": "select_one yn", "name": "a-b", "label::English (en)": "A <script>x</script>", "hint": "<i>h</i>"},
+         {"type": "end_group"}, {"type": "begin_kobomatrix", "name": "m", "kobo--matrix_list": "rows", "label": "M"}, {"type": "select_one yn", "name": "own", "label": "Own?"}, {"type": "end_kobomatrix"}, {"type": "rank", "name": "r"}, {"type": "select_one_from_file towns.csv", "name": "t"}, {"type": "csv-external", "name": "x"}],
+        [{"list_name": "yn", "name": "y", "label::English (en)": "Yes"}, {"list_name": "rows", "name": "bike", "label": "Bike"}, {"list_name": "rows", "name": "car", "label": "Car"}], {"form_title": "T", "form_id": "t", "default_language": "English (en)"})
+    return _converted(spark, out, ("type", "name", "label", "constraint", "relevance")).where("name IN ('g_1', 'q_1st', 'a_b', 'bike_own', 'car_own')")
+
+
+@query("""SELECT * FROM (VALUES ('integer', 'age', '${age}', '. > 7', NULL), ('select_one kind', 'kind', 'Kind', NULL, '${age} > 1'), ('calculate', 'twice', NULL, NULL, NULL)) AS t(type, name, label, "constraint", relevance)""")
+def convert_xform(spark, d):
+    """An XForm converted: types by schema, references by name, a calculation that only a bind knows."""
+    xml = """<h:html xmlns:h="http://www.w3.org/1999/xhtml" xmlns="http://www.w3.org/2002/xforms"><h:head><h:title>T</h:title><model><instance><data id="t"><age/></data></instance>
+<bind nodeset="/data/age" type="xsd:int" constraint=". &gt; 7"/><bind nodeset="/data/kind" relevant="/data/age &gt; 1"/><bind nodeset="/data/twice" calculate="/data/age * 2"/></model></h:head><h:body>
+<input ref="/data/age"><label><output value="/data/age"/></label></input><select1 ref="/data/kind"><label>Kind</label><item><label>Yes</label><value>y</value></item></select1></h:body></h:html>"""
+    return _converted(spark, convert_xforms.convert(xforms.parse(spark, xml)), ("type", "name", "label", "constraint", "relevance"))
+
+
+def _qsf(k, kind, selector, **more):
+    return {"QuestionID": f"QID{k}", "DataExportTag": f"Q{k}", "QuestionText": f"Text {k}", "QuestionType": kind, "Selector": selector, **more}
+
+
+def _choices(*names):
+    return {"Choices": {str(k): {"Display": n} for k, n in enumerate(names, 1)}, "ChoiceOrder": [str(k) for k in range(1, len(names) + 1)]}
+
+
+def _survey_file():
+    leaf = lambda k, op, choice=1: {"LeftOperand": f"q://QID{k}/SelectableChoice/{choice}", "Operator": op, "RightOperand": None, "Type": "Expression"}
+    questions = [
+        _qsf(1, "MC", "SAVR", **_choices("Yes", "No", "Other"), RecodeValues={"1": "10", "2": "20", "3": "30"}, Validation={"Settings": {"ForceResponse": "ON"}}), _qsf(2, "MC", "MAVR", **_choices("A", "B")),
+        _qsf(3, "TE", "SL", Validation={"Settings": {"ForceResponse": "OFF", "ForceResponseType": "ON"}}, DisplayLogic={"0": {"0": leaf(1, "Selected"), "1": leaf(2, "Selected") | {"Conjuction": "Or"}, "Type": "If"}, "Type": "BooleanExpression"}),
+        _qsf(4, "Matrix", "Likert", SubSelector="SingleAnswer", **_choices("Price", "Place"), ChoiceDataExportTags={"1": "price", "2": "place"}, Answers={"1": {"Display": "Bad"}, "2": {"Display": "Good"}}, AnswerOrder=["1", "2"]),
+        _qsf(5, "CS", "HR", **_choices("Food", "Rent")), _qsf(6, "Slider", "HSLIDER", Configuration={"CSSliderMin": 1, "CSSliderMax": 5, "NumDecimals": "1"}), _qsf(7, "Timing", "PageTimer"), _qsf(8, "Unheard", "Of"), _qsf(9, "TE", "FORM", **_choices("Street", "City")),
+    ]
+    questions[0]["Choices"]["3"]["TextEntry"] = "true"
+    element = lambda k, **more: {"Type": "Question", "QuestionID": f"QID{k}", **more}
+    skip = [{"Locator": "q://QID1/SelectableChoice/2", "Condition": "Selected", "SkipToDestination": "QID4"}]
+    blocks = [{"ID": "B1", "Description": "First", "BlockElements": [element(1, SkipLogic=skip), element(2), {"Type": "Page Break"}, element(3), element(4)]}, {"ID": "B2", "Description": "Second", "BlockElements": [element(k) for k in range(5, 10)]}]
+    flow = [{"Type": "EmbeddedData", "EmbeddedData": [{"Field": "panel", "Value": "p1"}]}, {"Type": "Block", "ID": "B1"}, {"Type": "Branch", "BranchLogic": {"0": {"0": leaf(1, "NotSelected"), "Type": "If"}}, "Flow": [{"Type": "Block", "ID": "B2"}]}]
+    elements = [{"Element": "SQ", "PrimaryAttribute": q["QuestionID"], "Payload": q} for q in questions] + [{"Element": "BL", "Payload": blocks}, {"Element": "FL", "Payload": {"Flow": flow}}]
+    return json.dumps({"SurveyEntry": {"SurveyName": "S"}, "SurveyElements": elements})
+
+
+@query("""
+SELECT * FROM (VALUES ('panel', 'calculate', NULL, NULL, '''p1''', NULL), ('Q1', 'select_one Q1', NULL, NULL, NULL, 'yes'), ('Q1_other', 'text', 'selected(${Q1}, ''30'')', NULL, NULL, NULL), ('Q2', 'select_multiple Q2', 'not(${Q1} = ''20'')', NULL, NULL, NULL),
+ ('Q3', 'text', '(${Q1} = ''10'' or selected(${Q2}, ''1'')) and (not(${Q1} = ''20''))', NULL, NULL, NULL), ('Q4_price', 'select_one Q4', NULL, NULL, NULL, NULL), ('Q4_place', 'select_one Q4', NULL, NULL, NULL, NULL),
+ ('Q5_total', 'calculate', NULL, '. = 100', '${Q5_row1} + ${Q5_row2}', NULL), ('Q6', 'decimal', NULL, '. >= 1 and . <= 5', NULL, NULL), ('Q8', 'note', NULL, NULL, NULL, NULL)) AS t(name, type, relevance, "constraint", calculation, required)""")
+def convert_survey(spark, d):
+    """A survey file converted: recoded choices, display and skip logic, matrices, sums, sliders, embedded data."""
+    out = _converted(spark, convert_qsf.convert(qsf.parse(_survey_file())), ("name", "type", "relevance", "constraint", "calculation", "required"))
+    return out.where("name IN ('panel', 'Q1', 'Q1_other', 'Q2', 'Q3', 'Q4_price', 'Q4_place', 'Q5_total', 'Q6', 'Q8')")
+
+
+@query("SELECT 'Q7' AS item, 'dropped' AS status UNION ALL SELECT 'Q8', 'lossy'")
+def conversion_report(spark, d):
+    """What a conversion lost, and that its Markdown says so."""
+    out = convert_qsf.convert(qsf.parse(_survey_file()))
+    text = common.report_markdown(out, "Report")
+    rows_ = [(r[0], r[1]) for r in out.report if r[1] in ("dropped", "lossy") and r[0].startswith("Q") and f"`{r[0]}` ({r[1]})" in text]
+    return spark.createDataFrame(rows_, "item string, status string")
+
+
+@query("SELECT CAST(n_nationkey + 2 AS INTEGER) AS excel_row, n_name AS name, 'in ' || n_regionkey || ' & <b>' AS label FROM nation")
+def workbook_sheets(spark, d):
+    """A sheet written to a workbook and read again."""
+    n = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    data = sheets.write_xlsx({"survey": [{"type": "text", "name": r["n_name"], "label": f"in {r['n_regionkey']} & <b>"} for r in n], "choices": [], "settings": [{"form_id": "x"}]})
+    return sheets.sheet_frame(spark, sheets.read_xlsx(data)["survey"]).select("excel_row", "name", "label")
+
+
+@query("SELECT 4 AS bins, 'v' AS field, 'w' AS filtered")
+def workbook_of_summaries(spark, d):
+    book = sheets.workbook_of(sheets.write_xlsx({"summaries": [{"type": "numeric", "field": "v", "bins": 4}], "global_filters": [{"field": "w", "filter": '("1","2")'}]}))
+    return spark.createDataFrame([(book.summaries[0].bins, book.summaries[0].field, book.global_filters[0][0])], "bins int, field string, filtered string")
+
+
+@query("SELECT '| Term | fr |' AS line, true AS there UNION ALL SELECT '| cat | chat |', true")
+def glossary_table(spark, d):
+    lines = translation_rules.glossary_markdown([("cat", {"fr": "chat"})], ["fr"]).splitlines()
+    return spark.createDataFrame([(x, x in lines) for x in ("| Term | fr |", "| cat | chat |")], "line string, there boolean")
