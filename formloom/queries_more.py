@@ -209,12 +209,12 @@ def _summary(name, s, source, oracle, digits=()):
 
 
 S = explore.Summary
-_summary("option_count", S("categorical", "o_orderstatus", options="count,bar"), "orders", "SELECT o_orderstatus AS category, count(*) AS n FROM orders GROUP BY 1")
-_summary("option_percent", S("categorical", "o_orderstatus", options="percent,pie"), "orders", "SELECT o_orderstatus AS category, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 6) AS percent FROM orders GROUP BY 1", ["percent"])
-_summary("option_mean_max", S("numeric", "o_totalprice", options="mean,max"), "orders", "SELECT round(avg(o_totalprice), 6) AS mean, max(o_totalprice) AS max FROM orders", ["mean"])
-_summary("option_none", S("trend", "value", "ts", options_2="none"), "events", "SELECT CAST(ts AS TIMESTAMP) AS period, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1", ["mean"])
-_summary("option_months_2", S("trend", "o_totalprice", "o_orderdate", options_2="months"), "orders", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1", ["mean"])
-_summary("option_heatmap", S("crosstab", "o_orderstatus", "o_orderpriority", options="count,heatmap"), "orders", 'SELECT o_orderstatus AS "row", o_orderpriority AS "column", count(*) AS n FROM orders GROUP BY 1, 2')
+_summary("explore_count", S("categorical", "o_orderstatus", options="count,bar"), "orders", "SELECT o_orderstatus AS category, count(*) AS n FROM orders GROUP BY 1")
+_summary("explore_percent", S("categorical", "o_orderstatus", options="percent,pie"), "orders", "SELECT o_orderstatus AS category, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (), 6) AS percent FROM orders GROUP BY 1", ["percent"])
+_summary("explore_mean_max", S("numeric", "o_totalprice", options="mean,max"), "orders", "SELECT round(avg(o_totalprice), 6) AS mean, max(o_totalprice) AS max FROM orders", ["mean"])
+_summary("explore_none", S("trend", "value", "ts", options_2="none"), "events", "SELECT CAST(ts AS TIMESTAMP) AS period, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1", ["mean"])
+_summary("explore_months_2", S("trend", "o_totalprice", "o_orderdate", options_2="months"), "orders", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1", ["mean"])
+_summary("explore_heatmap", S("crosstab", "o_orderstatus", "o_orderpriority", options="count,heatmap"), "orders", 'SELECT o_orderstatus AS "row", o_orderpriority AS "column", count(*) AS n FROM orders GROUP BY 1, 2')
 
 
 @query("SELECT CAST(c_custkey % 160 - 80 AS DOUBLE) AS lat, CAST(c_custkey % 350 - 175 AS DOUBLE) AS lon FROM customer WHERE c_acctbal > 0")
