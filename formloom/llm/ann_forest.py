@@ -244,8 +244,9 @@ def nearest(
         yield pa.RecordBatch.from_arrays([pa.array(leaf_of), pa.array(n[leaf_of])], names=["leaf", "n"])
 
     parts = np.ones(forest.n_leaves + 1, np.int64)
-    for r in rows.mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
-        parts[r["leaf"]] = -(-r["n"] // ROW_BLOCK)
+    if total > ROW_BLOCK:  # else one block holds any leaf
+        for r in rows.mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+            parts[r["leaf"]] = -(-r["n"] // ROW_BLOCK)
     blocks = spark.sparkContext.broadcast(parts)
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
