@@ -3,9 +3,12 @@
 Counts of each text (words are runs of anything but ASCII white space) feed
 three measures, as integers: symbols in a thousand words, tenths of a
 character in the mean word, repeated lines in a thousand.  A sketch of a
-measure is its histogram over integer buckets up to ``MOST``: a bounded number
-of counts, merged by adding, the same in whatever order parts arrive; its
-quantiles are exact to one bucket.  Sketches are kept for each language and
+measure is its histogram over buckets of ``DIGITS`` leading decimal digits:
+single values up to 10,000, within a thousandth beyond, so a bounded number of
+counts (9,000 for each further power of ten) whatever the values.  Sketches
+merge by adding, the same in whatever order parts arrive; quantiles are exact
+to one bucket.  Only the sketch is rounded: a text's own measure meets the
+threshold as it is, however large.  Sketches are kept for each language and
 source; one with under ``min_rows`` texts is merged into its language's, and
 that into the corpus's.  A text fails where a measure lies above the upper
 quartile by more than three times the spread of the quartiles (at least
@@ -35,7 +38,7 @@ _SPLIT, _WORD, _SYMBOL = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]", "[#*$%&|<
 _AT = 28  # bits of a window's position
 #: Measures of a text: name, value, smallest distance from the upper quartile at which a text fails.
 MARGIN = {"symbols": 100, "word_length": 40, "dup_lines": 400}
-MOST = 10_000
+DIGITS = 4
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -79,14 +82,18 @@ def with_counts(docs: DataFrame, text: Column, width: int = 5) -> DataFrame:
 
 
 def _measures() -> dict[str, Column]:
-    most = F.lit(MOST).cast("bigint")
-    part = lambda a, b: F.least(F.expr(f"{a} div greatest({b}, 1)"), most)
+    part = lambda a, b: F.expr(f"{a} div greatest({b}, 1)")
     return {"symbols": part("1000 * n_symbols", "n_words"), "word_length": part("10 * word_chars", "n_words"), "dup_lines": part("1000 * n_dup_lines", "n_lines")}
 
 
+def bucket(v: Column) -> Column:
+    """The least value with the same number of digits and the same ``DIGITS`` leading ones."""
+    return v - v % F.pow(F.lit(10), F.greatest(F.length(v.cast("string")) - DIGITS, F.lit(0))).cast("bigint")
+
+
 def sketches(counts: DataFrame) -> DataFrame:
     """Histograms (lang, source, measure, bucket, n) of texts with words; merged by adding n."""
-    at = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("bucket")) for m, v in _measures().items()])).alias("at")
+    at = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in _measures().items()])).alias("at")
     return counts.where("n_words > 0").select("lang", "source", at).groupBy("lang", "source", "at.measure", "at.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,9 +110,9 @@ def limits(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
     wide = quart.groupBy("level", "l", "s").agg(F.max("total").alias("total"), *[
         F.max(F.when(F.col("measure") == m, F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), margin))).alias(f"most_{m}") for m in MARGIN])
     most = [f"most_{m}" for m in MARGIN]
-    own, lang, whole = (wide.where(F.col("level") == k).select(*(["l", "s"][: 2 - k]), "total", F.struct(*most).alias(f"at{k}")) for k in range(3))
+    own, lang, whole = (wide.where(F.col("level") == k).select("level", *(["l", "s"][: 2 - k]), "total", F.struct(*most).alias(f"at{k}")) for k in range(3))
     lang = lang.select(F.col("l").alias("ll"), F.col("total").alias("total1"), "at1")
-    joined = own.join(lang, F.col("l").eqNullSafe(F.col("ll")), "left").join(whole.select("at2"), F.lit(True), "left")
+    joined = own.join(lang, F.col("l").eqNullSafe(F.col("ll")), "left").join(whole.select(F.col("level").alias("top"), "at2"), F.col("level") + 2 == F.col("top"), "left")
     chosen = F.when(F.col("total") >= min_rows, F.col("at0")).when(F.col("total1") >= min_rows, F.col("at1")).otherwise(F.col("at2"))
     return joined.select(F.col("l").alias("__lang"), F.col("s").alias("__source"), chosen.alias("__most")).select("__lang", "__source", "__most.*")
 

@@ -8,9 +8,9 @@ c AS (SELECT rid, sum(least(5, coalesce(lead_i - i, 5))) AS covered FROM (SELECT
 m AS (SELECT d.doc_id, d.lang, d.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
       FROM d JOIN w USING (rid) LEFT JOIN c USING (rid)),
-v AS (SELECT *, least(1000 * n_symbols // greatest(n_words, 1), 10000) AS symbols, least(10 * word_chars // greatest(n_words, 1), 10000) AS word_length,
-             least(1000 * n_dup_lines // greatest(n_lines, 1), 10000) AS dup_lines FROM m),
-h AS (SELECT lang, source, measure, bucket FROM (SELECT lang, source, unnest(['symbols', 'word_length', 'dup_lines']) AS measure, unnest([symbols, word_length, dup_lines]) AS bucket FROM v WHERE n_words > 0)),
+v AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols, 10 * word_chars // greatest(n_words, 1) AS word_length,
+             1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines FROM m),
+h AS (SELECT lang, source, measure, value - value % CAST(pow(10, greatest(length(CAST(value AS VARCHAR)) - 4, 0)) AS BIGINT) AS bucket FROM (SELECT lang, source, unnest(['symbols', 'word_length', 'dup_lines']) AS measure, unnest([symbols, word_length, dup_lines]) AS value FROM v WHERE n_words > 0)),
 lv AS (SELECT 0 AS lvl, lang AS l, source AS s, measure, bucket FROM h UNION ALL SELECT 1, lang, NULL, measure, bucket FROM h UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM h),
 q AS (SELECT lvl, l, s, measure, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
       FROM (SELECT *, count(*) OVER (PARTITION BY lvl, l, s, measure ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER (PARTITION BY lvl, l, s, measure) AS total FROM lv)

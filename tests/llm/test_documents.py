@@ -8,6 +8,7 @@ import re
 import tarfile
 import urllib.parse
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -437,6 +438,24 @@ def test_sketches_merge(spark):
     assert sorted(map(tuple, rules.limits(both).collect())) == sorted(map(tuple, rules.limits(rules.sketches(counts)).collect()))
 
 
+def test_measures_beyond_ten_thousand(spark):
+    """Buckets keep four digits of large values, and a text's own measure meets the threshold, however large both are."""
+    words = " a b c d e f g h i j k l m n"
+    texts = ["plain" + words] * 4 + ["#" * (2000 + k) + words for k in range(120)] + ["#" * 2400 + words, "#" * 9000 + words]
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    four = lambda v: v if v < 10_000 else int(str(v)[:4] + "0" * (len(str(v)) - 4))
+    within, most = [True] * len(texts), {}
+    for name, margin, values in (("symbols", 100, [1000 * t.count("#") // 15 for t in texts]), ("word_length", 40, [10 * sum(map(len, t.split())) // 15 for t in texts])):
+        buckets = sorted(map(four, values))
+        got = rules.sketches(rules.with_counts(df, F.col("text"))).where(F.col("measure") == name).collect()
+        assert {r["bucket"]: r["n"] for r in got} == Counter(buckets)
+        low, high = (buckets[-(-k * len(texts) // 4) - 1] for k in (1, 3))
+        most[name] = high + max(3 * (high - low), margin)
+        within = [w and v <= most[name] for w, v in zip(within, values)]
+    assert most["symbols"] > 100_000 and within[-2:] == [False, False] and sum(within) == len(texts) - 2
+    assert [r["kept"] for r in rules.quality_rules(df).orderBy("doc_id").collect()] == within
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, data, name):
     assert_same(QUERIES[name](spark, data), connect(data), ORACLES[name])
