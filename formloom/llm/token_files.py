@@ -1,7 +1,9 @@
 """Token ids in Arrow files of fixed-size-list batches, and zero-copy reads of them.
 
-Documents are dealt by ranges of their id, so the files in order hold all ids
-in ascending id order.  A file is an Arrow IPC file: record batches with two
+Texts are encoded where they are read and stay there: their ids, stored once in
+the shared folder in as few bytes as the vocabulary allows, are what is dealt
+by ranges of the document's id, so the files in order hold all ids in ascending
+id order.  A file is an Arrow IPC file: record batches with two
 fixed-size-list columns, ``ids`` (rows of ``row_len`` ids; 16-bit where the
 vocabulary allows) and ``mask`` (false behind the last id).  Row k of a file
 begins at id k * row_len, so any row, and any document by its start, is a view
@@ -13,7 +15,7 @@ manifest, written once all tasks are done, names the files that count.  A task
 that is run again leaves an unnamed file at worst.
 
 Defined results: null text is empty (the end id alone); null ids come first;
-rows of one id stand in the order of their texts' hashes; an empty table has
+rows of one id stand in the order of their ids' hashes; an empty table has
 no files and no rows; further columns are not read.
 """
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_io import bound_batches, keep, shared_dir
+from .arrow_io import bound_batches, keep, map_rows, shared_dir
 from .word_ids import encoder
 
 _ROWS = 256  # rows of a record batch
@@ -125,30 +127,44 @@ class TokenFile:
             start, n = start + len(view), n - len(view)
 
 
+def encoded(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, and the text's ids with the end id as packed integers of ``id_type``."""
+    dtype = id_type(path, end_id)
+    tail = np.array([end_id], dtype).tobytes()
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        packed = [np.frombuffer(ids, "<u4").astype(dtype).tobytes() + tail for ids in encoder(path).encode(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "ids"])
+
+    return map_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ["id", "text"], rows, "id bigint, ids binary")
+
+
+def id_type(path: str, end_id: int) -> str:
+    return "<u2" if max(encoder(path).vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def write_token_files(docs: DataFrame, path: str, uri: str, end_id: int = 2, row_len: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns their manifest: part, n_docs, n_ids, ids_file, index_file."""
     spark = docs.sparkSession
     bound_batches(spark)
-    tail = np.array([end_id], "<u4").tobytes()
+    dtype = id_type(path, end_id)
 
     def write(batches) -> Iterator[pa.RecordBatch]:
         task, out, n_docs = TaskContext.get(), None, 0
-        enc = encoder(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                dtype = "<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
                 out = TokenFileWriter(uri, f"part-{task.partitionId():06d}-{task.taskAttemptId()}", row_len, dtype)
-            out.add(batch.column(0).to_pylist(), [np.frombuffer(ids + tail, "<u4") for ids in enc.encode(batch.column(1).to_pylist())])
+            out.add(batch.column(0).to_pylist(), [np.frombuffer(ids, dtype) for ids in batch.column(1).to_pylist()])
             n_docs += batch.num_rows
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), n_docs, out.total, *out.names)], names=["part", "n_docs", "n_ids", "ids_file", "index_file"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ranged = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    rows = keep(encoded(docs, path, end_id, id_col, text_col), "encoded")
+    ranged = rows.repartitionByRange(n, "id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"))
     return keep(ranged.mapInArrow(write, "part bigint, n_docs bigint, n_ids bigint, ids_file string, index_file string"), "manifest")
 
 
