@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,20 @@ from ..expressions.syntax import Call, Expr, Literal, parse, print_expr, walk
 from ..functions.text import empty_text
 
 
+def place_in_source(source: DataFrame) -> Column:
+    """A row's place: file, block and row for rows read from files, whatever tasks the blocks go to; else partition and row."""
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    try:
+        source.select(*place)
+    except AnalysisException:  # not rows of files
+        place = []
+    return F.struct(*place, F.monotonically_increasing_id())
+
+
 def first_by_key(source: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row a key: the first in source order; blank keys match nothing."""
+    """One row a key: the first by ``order``, or in source order; blank keys match nothing."""
     rows = source.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    rows = rows.withColumn("__at", F.struct(*[F.col(o) for o in order]) if order else F.monotonically_increasing_id())
+    rows = rows.withColumn("__at", F.struct(*[F.col(o) for o in order]) if order else place_in_source(rows))
     picked = F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), "__at")
     return rows.groupBy(F.col(key).cast("string").alias("__key")).agg(picked.alias("__row")).select("__key", "__row.*")
 
@@ -136,9 +147,9 @@ def search_each(submissions: DataFrame, source: DataFrame, key: str, kind: str,
     return texts.join(hits, "__text").select(key, "value").distinct()
 
 
-def merged_workbook(base: DataFrame, dataset: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def merged_workbook(base: DataFrame, dataset: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
     """Columns of a server dataset beside summaries' rows."""
-    table = first_by_key(dataset, key, columns)
+    table = first_by_key(dataset, key, columns, order)
     return base.join(table, base[key].cast("string") == table["__key"], "left").drop("__key")
 
 

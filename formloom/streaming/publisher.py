@@ -2,8 +2,9 @@
 
 Each batch reads the latest version, publishes into it and writes the next
 version, named by the batch; a marker file is written last.  A batch that is
-replayed finds its version marked and does nothing, so sums and concatenations
-count every submission once.
+replayed is no later than the latest version and does nothing, so sums and
+concatenations count every submission once.  The last ``kept`` versions stay;
+readers of older ones must be done by then.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from ..plans.publish import Link, publish
 
 
 class VersionedDataset:
-    def __init__(self, spark: SparkSession, path: str, initial: DataFrame):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, initial: DataFrame, kept: int = 3):
+        self.spark, self.path, self.kept = spark, path.rstrip("/"), max(2, kept)
         self.schema = initial.schema
         jvm = spark._jvm
         self._fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -36,13 +37,15 @@ class VersionedDataset:
 
     def write(self, batch: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        for old in self.versions()[: -self.kept]:
+            self._fs.delete(self._fs_path(f"{self.path}/v={old}"), True)
 
 
 def publish_stream(submissions: DataFrame, link: Link, dataset: VersionedDataset, order: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Starts the stream; ``trigger`` as for DataStreamWriter (default: all there is, then stop)."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if number not in dataset.versions():
+        if number > dataset.versions()[-1]:
             dataset.write(number, publish(batch, link, dataset.read(), order))
 
     return submissions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -166,7 +166,7 @@ def test_streaming_publish_counts_once(spark, tmp_path):
 
     schema = "o int, k string, n double"
     initial = spark.createDataFrame([("1", "0")], "id string, n string")
-    target = VersionedDataset(spark, str(tmp_path / "data"), initial)
+    target = VersionedDataset(spark, str(tmp_path / "data"), initial, kept=2)
     link = publish.Link("k", "id", [publish.FieldMap("n", "n", publish.ADD)])
     for k, batch in enumerate(([(1, "1", 2.0), (2, "2", 3.0)], [(3, "1", 5.0)])):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -174,11 +174,24 @@ def test_streaming_publish_counts_once(spark, tmp_path):
         q.awaitTermination(60)
     assert {r["id"]: r["n"] for r in target.read().collect()} == {"1": "7", "2": "3"}
     before = target.versions()
+    assert before == [0, 1]  # the initial version is gone
     q = publish_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), link, target, ["o"], str(tmp_path / "ck2"))  # all replayed
     q.awaitTermination(60)
     assert target.versions() == before and {r["id"]: r["n"] for r in target.read().collect()} == {"1": "7", "2": "3"}
 
 
+def test_first_row_of_a_key_is_that_of_the_first_file(spark, tmp_path):
+    """Whatever tasks the files go to: Spark deals large files first."""
+    lines = ["id,name", *(f"x{k},{'y' * 50}" for k in range(500))]
+    (tmp_path / "a.csv").write_text("id,name\nk,first\nk,second\n")
+    (tmp_path / "b.csv").write_text("\n".join([*lines, "k,third"]) + "\n")
+    source = spark.read.option("header", True).csv(str(tmp_path))
+    assert {r["__key"]: r["name"] for r in lookup.first_by_key(source, "id", ["name"]).where("__key = 'k'").collect()} == {"k": "first"}
+    assert lookup.first_by_key(source, "id", ["name"], ["name"]).where("__key = 'k'").first()["name"] == "first"
+    made = spark.createDataFrame([("k", "a"), ("k", "b"), (None, "c")], "id string, name string").coalesce(1)
+    assert [tuple(r) for r in lookup.first_by_key(made, "id", ["name"]).collect()] == [("k", "a")]
+
+
 def test_long_aggregates_equal_nested(spark):
     from formloom.operators import repeat_plans
 
