@@ -6,36 +6,8 @@ are pre-loaded data; events are an incoming stream; documents are text answers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    build: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None = None
-
-
-CATALOGUE: dict[str, Query] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function of (spark, sf_dir) under its own name."""
-
-    def register(build):
-        CATALOGUE[build.__name__] = Query(build, oracle)
-        return build
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from . import queries_data, queries_forms, queries_more  # noqa: E402
+from . import queries_data, queries_forms, queries_more
+from .registration import CATALOGUE, Query, query, table
 
 flagship = queries_data.priority_share
 __all__ = ["CATALOGUE", "Query", "flagship", "queries_data", "queries_forms", "queries_more", "query", "table"]

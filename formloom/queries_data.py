@@ -7,11 +7,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from .catalogue import CATALOGUE, query, table
 from .expressions.compiler import compile_expr, scope_of
 from .functions import dates, geo, lists
 from .operators import choices, lookup, repeat_plans, repeats
 from .plans import explore, publish
+from .registration import CATALOGUE, query, table
 from .session import shared_folder
 from .streaming.publisher import VersionedDataset, publish_stream
 

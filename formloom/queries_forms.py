@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
 from .convert import common
 from .expressions.compiler import compile_expr, where
 from .functions import text
 from .operators import form as forms
 from .plans import patches, rows, text_search
+from .registration import query, table
 from .rules import form_rules, translation_rules
 from .sources.sheets import sheet_frame
 

@@ -8,7 +8,6 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
 from .convert import common, xlsforms
 from .convert import qsf as convert_qsf
 from .convert import xforms as convert_xforms
@@ -16,6 +15,7 @@ from .expressions.compiler import compile_expr, predicate, scope_of
 from .operators import form as forms
 from .plans import explore, patches, publish, rows, sessions
 from .queries_forms import part_sheet
+from .registration import query, table
 from .rules import form_rules, translation_rules
 from .session import shared_folder
 from .sources import bundle, dataset_xml, qsf, sheets, xforms

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import pytest
 from compare import assert_same, connect
 
@@ -19,6 +22,11 @@ def test_query(spark, data, con, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("module", ["catalogue", "queries_data", "queries_forms", "queries_more"])
+def test_modules_import_first(module):
+    subprocess.run([sys.executable, "-c", f"import formloom.{module}"], check=True)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
