@@ -21,7 +21,7 @@ or enough of its others, in windows of twice its length around them, then in clo
 
 Defined results: null and empty texts have no license; of equally good
 templates the name decides; a license at several places has one place each;
-rows are independent, so repeated rows and null ids change nothing; further
+long texts are scanned whole, in windows; an empty table gives no rows; rows are independent, so repeated rows and null ids change nothing; further
 columns are not read.
 """
 

@@ -14,8 +14,11 @@ numbers its pieces within their length while it tokenises, the counts of each
 the plan gives sequence and offset.
 
 Defined results: null text is empty (one piece, the end id); repeated rows and
-null ids are packed like any other row; an empty table gives no pieces;
-further columns are not read.
+null ids are packed like any other row; a text of more than ``capacity`` tokens
+is cut into pieces of it and a shorter rest; of pieces of one length any may
+take a place, so sequence and offset of such ties may differ between runs, the
+number and fill of sequences may not; an empty table gives no pieces; further
+columns, also ones named like the results, are not read.
 """
 
 from __future__ import annotations

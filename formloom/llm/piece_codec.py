@@ -21,8 +21,9 @@ pass for every character of every text would be over 2,000 CPU seconds a GB.)
 Characters the vocabulary lacks become byte pieces.
 
 Defined results: null and empty texts have no ids and decode to the empty
-text; rows are independent, so repeated rows and null ids change nothing;
-further columns are not read.
+text; long texts are encoded whole; an empty table gives no rows; rows are
+independent, so repeated rows and null ids change nothing; further columns are
+not read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,11 @@ hash.  The scorer judges every whole text; a text stays if it is more likely
 clean than not.
 
 Defined results: null and empty texts have no words; no word speaks against
-them and the scorer's bias decides; repeated rows are judged alike; an empty
-table gives no rows; without reviewed labels the heuristics label alone;
+them and the scorer's bias decides; repeated rows and null ids are judged like
+any other; long texts are judged whole; a text exactly as likely clean as not
+stays, and of equally likely classes the first named is the label; reviewed rows
+without id, quality and toxic have no say, and of several for one id the graver
+counts; an empty table gives no rows; without reviewed labels the heuristics label alone;
 further columns are not read (``quality_kept`` passes them through).
 """
 
@@ -213,9 +216,9 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
     if reviewed is None:
         voted, chosen = voted.withColumn("label", F.lit(ABSTAIN)), texts.withColumn("label", F.lit(ABSTAIN))
     else:
-        label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).otherwise(ABSTAIN)
+        label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
         labels = reviewed.select(reviewed[id_col].alias("id"), label.alias("label")).groupBy("id").agg(F.max("label").alias("label"))
-        some = labels.where(F.col("label") != ABSTAIN).orderBy(F.xxhash64("id"), "id").limit(train_rows)
+        some = labels.where(F.col("label").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(train_rows)
         voted = voted.join(labels, "id", "left").withColumn("label", F.coalesce("label", F.lit(ABSTAIN)))
         chosen = texts.join(F.broadcast(some), "id")  # at most train_rows ids
         if chosen.isEmpty():

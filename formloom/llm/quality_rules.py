@@ -21,8 +21,9 @@ neighbours are compared by their words, and the words under equal windows are
 counted once.
 
 Defined results: null and empty texts have no words and fail; null language or
-source is a group of its own; repeated rows are judged alike; an empty table
-gives no rows; further columns pass through ``quality_filter`` unread, also
+source is a group of its own; repeated rows and null ids are judged like any
+other; a measure equal to its threshold passes; long texts are counted whole, up
+to 2**28 words; an empty table gives no rows; further columns pass through ``quality_filter`` unread, also
 ones named like a count.
 """
 

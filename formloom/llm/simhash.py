@@ -21,8 +21,10 @@ shared folder.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link
 like any other; rows with the same text share a component; null ids are kept
-and never are a component's id unless it has no other; an empty table gives no
-rows; further columns are not read.
+and never are a component's id unless it has no other; a bit set in exactly half
+the hashes is 0; long texts are read whole, a part at a time; an empty table
+gives no rows; further columns are not read (``one_of_each`` passes them
+through).
 """
 
 from __future__ import annotations

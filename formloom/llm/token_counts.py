@@ -16,8 +16,10 @@ but states and numbers is held for a chunk.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; the file's
 special string inside a text counts as one token, as the library's default
-has it; rows are independent, so repeated rows, ties, null ids and further
-columns (also ones named like the results) change nothing.
+has it; a very long text is run in chunks, one after another in its
+row's task; an empty table gives no rows; rows are independent, so repeated
+rows, ties, null ids and further columns (also ones named like the results)
+change nothing.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ manifest, written once all tasks are done, names the files that count.  A task
 that is run again leaves an unnamed file at worst.
 
 Defined results: null text is empty (the end id alone); null ids come first;
-rows of one id stand in the order of their texts' hashes; an empty table has
-no files and no rows; further columns are not read.
+rows of one id stand in the order of their texts' hashes, and such of one text
+are alike; a very long text runs over as many record batches as it needs; an
+empty table has no files and no rows; further columns, also ones named like the
+results, are not read.
 """
 
 from __future__ import annotations

@@ -516,6 +516,15 @@ def test_classifier_on_odd_rows(spark, texts):
     assert qc.quality_kept(docs, labels).count() == sum(r["kept"] for r in out)
 
 
+def test_empty_reviews_have_no_say(spark):
+    docs = spark.createDataFrame([(k, f"plain words of text number {k} " * 5) for k in range(40)], "doc_id bigint, text string")
+    kinds = "doc_id bigint, quality int, toxic int"
+    some = [(k, k % 2, int(k % 3 == 0)) for k in range(30)]
+    one = qc.fit(docs, spark.createDataFrame(some, kinds))[0].weight
+    more = qc.fit(docs, spark.createDataFrame([*some, *((k, None, None) for k in range(40)), (None, 0, 1)], kinds))[0].weight
+    assert np.array_equal(one, more)
+
+
 def test_classifier_edges(odd, none):
     out = qc.classify(odd)
     assert out.count() == odd.count() and all(abs(r["p_clean"] + r["p_junk"] + r["p_toxic"] - 1) < 1e-9 for r in out.collect())
