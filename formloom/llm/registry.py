@@ -12,12 +12,16 @@ from .ann_forest import nearest
 from .license_scan import license_scan
 from .packing import pack
 from .piece_codec import encode_pieces
+from .prefix_trie import conversation_trie
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_files_round_trip
+from .url_filter import url_verdicts
+from .url_labels import labelled_urls
+from .va_codes import vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +68,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+#: The rules that op11_url_filter applies.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(labelled_urls(), "url string, block int")
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, labelled)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("n_measured")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
@@ -76,6 +97,12 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ann_forest": op9_ann_forest,
     "op10_quality_rules": op10_quality_rules,
+    "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op10_quality_rules": (Path(__file__).parent / "quality_rules_oracle.sql").read_text()}
+ORACLES: dict[str, str] = {
+    name: (Path(__file__).parent / f"{sql}_oracle.sql").read_text()
+    for name, sql in (("op10_quality_rules", "quality_rules"), ("op12_vector_codes", "vector_codes"), ("op13_prefix_trie", "prefix_trie"))
+}
