@@ -1,7 +1,8 @@
 """Exploration workbooks: declarative summaries compiled to DataFrames over one filtered base.
 
 Bins use floor arithmetic over the observed range, with the largest value in
-the last bin.  Percentages are of the rows that are not blank.
+the last bin.  Percentages are of the rows that are not blank.  The option top
+of a text summary gives its most frequent texts (as many as bins says, or ten).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .frequent import top_values
 
 KINDS = ("text", "categorical", "numeric", "temporal", "geomap", "binary", "scatterplot", "crosstab", "trend", "map")
 UNITS = {"days": "day", "weeks": "week", "months": "month"}
@@ -141,12 +143,64 @@ def shown(s: Summary, out: DataFrame) -> DataFrame:
     return out.drop(*{"n", "percent"} - {c for _, c in asked}) if asked else out
 
 
+#: What the options mean, min and max ask for.
+MEASURES = {"mean": F.avg, "min": F.min, "max": F.max}
+
+
+def crosstab_totals(data: DataFrame, row: Column, column: Column, measures: dict[str, Column]) -> DataFrame:
+    """Cells, row totals, column totals and the grand total of a cross-tabulation, by one aggregation over grouping sets.
+
+    level says which a row is (cell, row, column, all); totals have blanks in
+    place of what they are over.  percent_row, percent_column and percent_all are
+    the counts' shares of their row, of their column, and of all.
+    """
+    level = F.element_at(F.array(*[F.lit(x) for x in ("cell", "row", "column", "all")]), F.grouping_id().cast("int") + 1)
+    cube = data.cube(row.alias("row"), column.alias("column")).agg(F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()], level.alias("level"))
+    of = lambda by, total: F.max(F.when(F.col("level") == total, F.col("n"))).over(Window.partitionBy(by))
+    every = cube.where("level = 'all'").select(F.col("n").alias("__all"))
+    share = lambda c: (100.0 * F.col("n") / c)
+    shares = cube.withColumns({"__row": of("row", "row"), "__column": of("column", "column")}).join(F.broadcast(every), F.lit(True))
+    in_row, in_column = F.col("level").isin("cell", "row"), F.col("level").isin("cell", "column")
+    shares = shares.withColumns({"percent_row": F.when(in_row, share(F.col("__row"))), "percent_column": F.when(in_column, share(F.col("__column"))), "percent_all": share(F.col("__all"))})
+    return shares.select("level", "row", "column", "n", *measures, "percent_row", "percent_column", "percent_all")
+
+
+def crosstab(s: Summary, data: DataFrame) -> DataFrame:
+    """Counts and shares by two fields, or measures of the second by the first.
+
+    Of the first field's options, percent is the share within the row; of the
+    second's, within the column (percent_2).  The option totals gives all totals
+    and shares, with mean, min and max of the second field where asked for.
+    """
+    x, y = F.col(s.field), F.col(s.field_2)
+    both, a, b = data.where(x.isNotNull()), x.cast("string"), y.cast("string")
+    if s.bins:
+        both, a = binned(both, x.try_cast("double"), s.bins, "__a"), F.col("__a").cast("string")
+    measures = {k: f(y.try_cast("double")) for k, f in MEASURES.items() if s.has(k)}
+    if measures and not s.has("totals"):
+        return both.groupBy(a.alias("row")).agg(*[m.alias(k) for k, m in measures.items()])
+    both = both.where(y.isNotNull())
+    if s.bins_2:
+        both, b = binned(both, y.try_cast("double"), s.bins_2, "__b"), F.col("__b").cast("string")
+    if s.has("totals"):
+        return crosstab_totals(both, a, b, measures)
+    counts = both.groupBy(a.alias("row"), b.alias("column")).agg(F.count(F.lit(1)).alias("n"))
+    within = lambda c: 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(c))
+    if s.has("percent") or not s.has("count"):
+        counts = counts.withColumn("percent", within("row"))
+    if "percent" in [o.strip() for o in s.options_2.split(",")]:
+        counts = counts.withColumn("percent_2", within("column"))
+    return shown(s, counts)
+
+
 def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
     """The summary's result as a small DataFrame."""
     x = F.col(s.field)
     if s.exclusion:
         data = drop(data, s.field, s.exclusion)
     if s.type == "text":
+        if s.has("top"):
+            return top_values(data, x, s.bins or 10)
         t = x.cast("string")
         some = t.isNotNull() & (t != "")
         size = F.when(some, F.length(t))
@@ -182,26 +236,14 @@ def compile_summary(s: Summary, data: DataFrame) -> DataFrame:
             return pairs.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
         return pairs
     if s.type == "crosstab":
-        both = data.where(x.isNotNull())
-        a = x.cast("string")
-        if s.bins:
-            both, a = binned(both, x.try_cast("double"), s.bins, "__a"), F.col("__a").cast("string")
-        for how, f in (("mean", F.avg), ("min", F.min), ("max", F.max)):
-            if s.has(how):
-                return both.groupBy(a.alias("row")).agg(f(y.try_cast("double")).alias(how))
-        b = y.cast("string")
-        both = both.where(y.isNotNull())
-        if s.bins_2:
-            both, b = binned(both, y.try_cast("double"), s.bins_2, "__b"), F.col("__b").cast("string")
-        counts = both.groupBy(a.alias("row"), b.alias("column")).agg(F.count(F.lit(1)).alias("n"))
-        totals = counts.groupBy("row").agg(F.sum("n").alias("__all"))
-        return shown(s, counts.join(totals, "row").select("row", "column", "n", (100.0 * F.col("n") / F.col("__all")).alias("percent")))
+        return crosstab(s, data)
     if s.type == "trend":
         t = y.try_cast("timestamp")
         none = "none" in [o.strip() for o in f"{s.options},{s.options_2}".split(",")]
         unit = s.unit() or s.unit(s.options_2) or "day"
         v = x.try_cast("double")
-        return data.where(t.isNotNull()).groupBy((t if none else F.date_trunc(unit, t)).alias("period")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
+        asked = {k: f for k, f in MEASURES.items() if s.has(k)} or {"mean": F.avg}
+        return data.where(t.isNotNull()).groupBy((t if none else F.date_trunc(unit, t)).alias("period")).agg(F.count(v).alias("n"), *[f(v).alias(k) for k, f in asked.items()])
     raise ValueError(s.type)
 
 

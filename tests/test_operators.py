@@ -267,3 +267,31 @@ def test_search_each_against_all_pairs(spark, kind):
     empty = (lambda c: c) if kind == "matches" else (lambda c: c or "")
     want = {(k, str(i)) for k, t in asked if t is not None for i, *cs in cells if any(empty(c) is not None and test(empty(c), t) for c in cs)}
     assert {(r["key"], r["value"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("tracked", "k"), [(10_000, 5), (8, 3), (8, 40)])
+def test_top_values(spark, tracked, k):
+    """Certain from the summary, from all values seen, and from full counts where the summary cannot tell."""
+    import collections
+    import random
+
+    from formloom.plans.frequent import top_values
+
+    rng = random.Random(k)
+    values = [rng.choice(["hot", "hot", "warm", "", None, f"v{rng.randrange(300)}"]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(7)
+    got = [(r.value, r.n) for r in top_values(df, F.col("v"), k, tracked).collect()]
+    n = collections.Counter(v for v in values if v)
+    assert got == sorted(n.items(), key=lambda x: (-x[1], x[0]))[:k]
+    assert top_values(df.limit(0), F.col("v"), k, tracked).collect() == []
+
+
+def test_crosstab_totals_by_hand(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("b", 2.0), (None, 2.0), ("b", None)], "x string, y double")
+    s = explore.Summary("crosstab", "x", "y", options="totals,mean,max")
+    got = {(r.row, r.column): r for r in explore.compile_summary(s, df).collect()}
+    assert len(got) == 3 + 2 + 2 + 1 and got["a", None].level == "row" and got[None, "2.0"].level == "column" and got[None, None].level == "all"
+    assert (got[None, None].n, got[None, None].percent_all, got[None, None].percent_row) == (4, 100.0, None)
+    cell = got["a", "1.0"]
+    assert (cell.n, round(cell.percent_row, 3), cell.percent_column, cell.percent_all) == (2, 66.667, 100.0, 50.0)
+    assert (got["a", None].max, got[None, None].mean) == (2.0, 1.5)
