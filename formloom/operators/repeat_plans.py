@@ -4,9 +4,14 @@ sum, count, min, max and join (each also with -if) of a repeat become one
 grouped aggregation over its instances, combined before the shuffle, and one
 join to the submissions; a repeat of any size takes no more room than its
 aggregates (joined texts excepted).  The rest of each expression is then
-compiled over the results.  indexed-repeat and rank-index(-if) with a written
-number are aggregates too: one window numbers and ranks the instances, by the
-same key that the aggregation needs, so nothing is dealt out twice.
+compiled over the results.
+
+indexed-repeat and rank-index(-if) with a written number n are aggregates too.
+The first n instances of a submission are found by a window that keeps n rows a
+submission and task before its shuffle; the rank of the n-th is then one more
+than the count of instances that come before it, which combines like any count.
+index() inside an expression numbers all instances, by ranges of (submission,
+order), so one submission may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from ..expressions.compiler import NUMBER, STRING, Scope, Value, compile_expr
 from ..expressions.syntax import Call, Expr, ExpressionError, Literal, Ref, children, parse, references, transform
 from ..functions.text import empty_text
+from .positions import numbers_within
 
 _OF_FIELD = {"sum", "min", "max", "sum-if", "min-if", "max-if"}
 _BY_NUMBER = {"indexed-repeat", "rank-index", "rank-index-if"}
@@ -41,18 +47,19 @@ def aggregate(parents: DataFrame, instances: DataFrame, key: str, foreign: str,
         rows = rows.join(parents.select(F.col(key).alias("__parent"), *[scope.fields[o].col.alias(f"__f_{o}") for o in sorted(outer)]), rows[foreign] == F.col("__parent"))
         inner |= {o: Value(F.col(f"__f_{o}"), scope.fields[o].kind) for o in outer}
     inside = Scope(**{**scope.__dict__, "fields": inner, "repeats": {}, "within": repeat, "index": F.col(_INDEX).cast("double")})
-    if any(isinstance(x, Call) and (x.name in _BY_NUMBER or x.name == "index") for e in wanted for x in _all(e)):
-        if not order:
-            raise ExpressionError("instances by number need their order")
-        rows = rows.withColumn(_INDEX, F.row_number().over(Window.partitionBy(foreign).orderBy(*order)))
-    made = []
-    for e, k in wanted.items():
-        if e.name.startswith("rank-index"):
-            rows = rows.withColumn(f"__r{k}", _rank(e, inside, foreign))
-        made.append((k, *_aggregate(e, inside, order, f"__r{k}")))
-    grouped = rows.groupBy(F.col(foreign).alias("__key")).agg(*[c.alias(f"__a{k}") for k, c, _, _ in made])
-    joined = parents.join(grouped, parents[key] == F.col("__key"), "left")
-    fields = {**scope.fields, **{f"__a{k}": Value(F.col(f"__a{k}") if empty is None else F.coalesce(F.col(f"__a{k}"), empty), kind) for k, _, kind, empty in made}}
+    calls = [x for e in wanted for x in _all(e) if isinstance(x, Call)]
+    if any(x.name in _BY_NUMBER or x.name == "index" for x in calls) and not order:
+        raise ExpressionError("instances by number need their order")
+    if any(x.name == "index" for x in calls):
+        rows = numbers_within(rows, [foreign], order, _INDEX)
+    by_number = {k: e for e, k in wanted.items() if e.name in _BY_NUMBER}
+    joined, rows = _nth(parents, rows, key, foreign, by_number, inside, order) if by_number else (parents, rows)
+    made = [(k, *_aggregate(e, inside, order, k)) for e, k in wanted.items() if e.name != "indexed-repeat"]
+    if made:
+        grouped = rows.groupBy(F.col(foreign).alias("__key")).agg(*[c.alias(f"__a{k}") for k, c, _, _ in made])
+        joined = joined.join(grouped, joined[key] == F.col("__key"), "left")
+    fetched = {f"__a{k}": Value(F.col(f"__p{k}"), compile_expr(e.args[0], inside).kind) for k, e in by_number.items() if e.name == "indexed-repeat"}
+    fields = {**scope.fields, **fetched, **{f"__a{k}": Value(F.col(f"__a{k}") if empty is None else F.coalesce(F.col(f"__a{k}"), empty), kind) for k, _, kind, empty in made}}
     final = Scope(**{**scope.__dict__, "fields": fields})
     return joined.select(parents[key], *[compile_expr(t, final).col.alias(n) for n, t in trees.items()])
 
@@ -81,23 +88,46 @@ def _all(e: Expr):
         yield from _all(c)
 
 
-def _rank(e: Call, inside: Scope, foreign: str) -> Column:
-    """Rank of each instance by value, highest first, ties by number; NULL where it has no rank."""
-    value = compile_expr(e.args[1], inside).number()
-    ok = value.isNotNull()
-    if e.name.endswith("-if"):
-        ok = ok & compile_expr(e.args[2], inside).truth()
-    return F.when(ok, F.row_number().over(Window.partitionBy(foreign, ok).orderBy(value.desc(), _INDEX)))
+def _number(e: Call) -> int:
+    return int((e.args[2] if e.name == "indexed-repeat" else e.args[0]).value)
 
 
-def _aggregate(e: Call, inside: Scope, order: list[str] | None, ranked: str) -> tuple[Column, str, Column | None]:
+def _ranked(e: Call, inside: Scope) -> tuple[Column, Column]:
+    """An instance's value in a ranking, and whether it has a rank."""
+    value = compile_expr(e.args[1], inside).number()
+    ok = value.isNotNull()
+    return value, ok & compile_expr(e.args[2], inside).truth() if e.name.endswith("-if") else ok
+
+
+def _nth(parents: DataFrame, rows: DataFrame, key: str, foreign: str, calls: dict[int, Call], inside: Scope, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """parents, and the instances, with what the n-th instance of each submission holds (__n0, __n1, ...)."""
+    most = max(map(_number, calls.values()))
+    place = F.row_number().over(Window.partitionBy(foreign).orderBy(*order))
+    first = rows.withColumn("__place", place).where(F.col("__place") <= most)
+    at = lambda n, c: F.max(F.when(F.col("__place") == n, F.struct(c.alias("v"))))
+    kept = []
+    for k, e in calls.items():
+        if e.name == "indexed-repeat":
+            value = compile_expr(e.args[0], inside).col
+            kept.append(F.coalesce(at(_number(e), value), at(1, value)))  # an instance that is not there falls back to the first
+        else:
+            value, ok = _ranked(e, inside)
+            kept.append(at(_number(e), F.when(ok, F.struct(value.alias("value"), F.struct(*order).alias("order")))))
+    nth = first.groupBy(F.col(foreign).alias("__of")).agg(*[c["v"].alias(f"__n{k}") for k, c in zip(calls, kept)])
+    if any(e.name != "indexed-repeat" for e in calls.values()):
+        ranks = nth.select("__of", *[f"__n{k}" for k, e in calls.items() if e.name != "indexed-repeat"])
+        rows = rows.join(ranks, rows[foreign] == F.col("__of")).drop("__of")
+    found = nth.select(F.col("__of").alias("__parent_of"), *[F.col(f"__n{k}").alias(f"__p{k}") for k in calls])
+    return parents.join(found, parents[key] == F.col("__parent_of"), "left"), rows
+
+
+def _aggregate(e: Call, inside: Scope, order: list[str] | None, k: int) -> tuple[Column, str, Column | None]:
     """The aggregate, its kind, and its value over no instances (None: blank)."""
     if e.name.startswith("rank-index"):
-        return F.coalesce(F.max(F.when(F.col(_INDEX) == int(e.args[0].value), F.col(ranked))), F.lit(999)).cast("double"), NUMBER, F.lit(999.0)
-    if e.name == "indexed-repeat":
-        value = compile_expr(e.args[0], inside)
-        at = lambda n: F.max(F.when(F.col(_INDEX) == n, F.struct(value.col.alias("v"))))
-        return F.coalesce(at(int(e.args[2].value)), at(1))["v"], value.kind, None  # an instance that is not there falls back to the first
+        value, ok = _ranked(e, inside)
+        nth = F.col(f"__n{k}")
+        before = ok & ((value > nth["value"]) | ((value == nth["value"]) & (F.struct(*order) < nth["order"])))
+        return F.when(F.max(nth["value"]).isNull(), 999.0).otherwise((F.count_if(before) + 1).cast("double")), NUMBER, F.lit(999.0)
     name, where = e.name.removesuffix("-if"), None
     if e.name.endswith("-if"):
         where = compile_expr(e.args[-1], inside).truth()

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.form import canonical_header
+from ..operators.positions import row_numbers
 from .rows import SLOTS
 
 SETTINGS = ("form_id", "form_title", "default_language", "instance_name")  # fixed values: what change_setting may set
@@ -148,8 +149,8 @@ def _row_patches(sheet: DataFrame, patches: list[dict], report: Report) -> DataF
     if adds:
         rows = [(float(p["insert_before_excel_row"]) - 0.5 if p.get("insert_before_excel_row") else float("inf"), k, *[text(p["__cells"].get(c)) for c in cols]) for k, p in enumerate(adds)]
         kept = kept.unionByName(spark.createDataFrame(rows, "__at double, __seq int, " + schema.split(", ", 1)[1]))
-    number = F.row_number().over(Window.orderBy("__at", "__seq")) + 1
-    return kept.select(number.alias("excel_row"), *[F.col(f"`{c}`") for c in cols])
+    numbered = row_numbers(kept, ["__at", "__seq"], "excel_row", start=2)
+    return numbered.select(F.col("excel_row").cast("int").alias("excel_row"), *[F.col(f"`{c}`") for c in cols])
 
 
 def _renames(s: Sheets, p: dict) -> Sheets:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import containing
+from ..operators.positions import numbers_within, running_sums
 from ..session import stored
 
 PAGE = 100  # fixed value: rows of a page at most
@@ -66,10 +68,8 @@ def compile_filter(tree: dict, columns: list[str], sheet: str = "survey") -> Col
     raise ValueError(f"unknown operator {op}")
 
 
-def query(sheet: DataFrame, where: dict | None = None, order_by: list[tuple[str, str]] | None = None, start: int = 0, limit: int = PAGE, columns: list[str] | None = None, kind: str = "survey") -> DataFrame:
-    """A page of rows; its last column more_results says whether rows follow."""
-    if not 0 < limit <= PAGE:
-        raise ValueError(f"limit is 1 to {PAGE}")
+def ordered(sheet: DataFrame, where: dict | None, order_by: list[tuple[str, str]] | None, kind: str = "survey") -> tuple[DataFrame, list[Column]]:
+    """The rows that match, and what they are ordered by."""
     rows = with_virtual(sheet)
     known = rows.columns
     if where:
@@ -78,11 +78,23 @@ def query(sheet: DataFrame, where: dict | None = None, order_by: list[tuple[str,
     for name, way in order_by or [("excel_row", "asc")]:
         c = F.col("excel_row").cast("bigint") if name == "excel_row" else _text(name, known)
         keys.append(c.desc() if way == "desc" else c.asc())
-    page = rows.orderBy(*keys, "excel_row").offset(start).limit(limit + 1)
-    place = F.row_number().over(Window.orderBy(*keys, "excel_row"))
+    return rows, [*keys, F.col("excel_row").asc()]
+
+
+def projected(sheet: DataFrame, known: list[str], columns: list[str] | None) -> list[Column]:
+    """The columns asked for, or the sheet's; those it lacks are blank."""
+    return [F.col(f"`{c}`") if c in known else F.lit(None).cast("string").alias(c) for c in columns or sheet.columns]
+
+
+def query(sheet: DataFrame, where: dict | None = None, order_by: list[tuple[str, str]] | None = None, start: int = 0, limit: int = PAGE, columns: list[str] | None = None, kind: str = "survey") -> DataFrame:
+    """A page of rows; its last column more_results says whether rows follow. For pages far in, see ``pages``."""
+    if not 0 < limit <= PAGE:
+        raise ValueError(f"limit is 1 to {PAGE}")
+    rows, keys = ordered(sheet, where, order_by, kind)
+    page = rows.orderBy(*keys).offset(start).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*keys))  # over a page
     page = page.withColumn("__n", place).withColumn("more_results", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > limit)
-    shown = columns or [c for c in sheet.columns]
-    return page.where(F.col("__n") <= limit).select(*[F.col(f"`{c}`") if c in known else F.lit(None).cast("string").alias(c) for c in shown], "more_results")
+    return page.where(F.col("__n") <= limit).select(*projected(sheet, rows.columns, columns), "more_results")
 
 
 def non_empty_columns(sheet: DataFrame) -> list[str]:
@@ -95,15 +107,21 @@ def non_empty_columns(sheet: DataFrame) -> list[str]:
 
 
 def marker_pairs(survey: DataFrame) -> DataFrame:
-    """(name, kind, begin_row, end_row) of groups and repeats: a begin pairs with the first later end of its depth."""
+    """(name, kind, begin_row, end_row) of groups and repeats: a begin pairs with the first later end of its depth.
+
+    Depth is a running sum over all markers.  Between two begins of one depth
+    lies an end of it, so the marker after a begin, among those of its depth, is
+    its end.  Sum and numbers are taken by ranges of rows.
+    """
     kind = F.regexp_replace("type", "_", " ")
     step = F.when(kind.startswith("begin"), 1).when(kind.startswith("end"), -1).otherwise(0)
-    by = Window.orderBy("excel_row")
     marks = survey.where(step != 0).select("excel_row", "name", kind.alias("k"), step.alias("step"))
-    depth = F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marks = marks.withColumn("depth", F.when(F.col("step") == 1, depth).otherwise(depth + 1))
-    ends = F.first(F.when(F.col("step") == -1, F.col("excel_row")), ignorenulls=True).over(Window.partitionBy("depth").orderBy("excel_row").rowsBetween(1, Window.unboundedFollowing))
-    return marks.withColumn("end_row", ends).where("step = 1").select("name", F.substring("k", 7, 20).alias("kind"), F.col("excel_row").alias("begin_row"), "end_row", "depth")
+    summed = running_sums(marks, ["excel_row"], {"open": F.col("step")})
+    deep = summed.withColumn("depth", F.when(F.col("step") == 1, F.col("open")).otherwise(F.col("open") + 1))
+    numbered = numbers_within(deep, ["depth"], ["excel_row"], "n")
+    ends = numbered.where("step = -1").select("depth", (F.col("n") - 1).alias("n"), F.col("excel_row").alias("end_row"))
+    begins = numbered.where("step = 1").join(ends, ["depth", "n"], "left")
+    return begins.select("name", F.substring("k", 7, 20).alias("kind"), F.col("excel_row").alias("begin_row"), "end_row", "depth")
 
 
 def row_kind(survey: DataFrame, which: str) -> DataFrame:
@@ -123,9 +141,9 @@ def get_row(survey: DataFrame, excel_row: int) -> DataFrame:
 
 
 def enclosing_groups(survey: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(excel_row, group, kind, depth) of the groups around each seed row: an interval join with the few pairs."""
-    p = marker_pairs(survey)
-    return seeds.select("excel_row").join(p, (F.col("begin_row") < F.col("excel_row")) & (F.col("excel_row") < F.col("end_row"))).select("excel_row", F.col("name").alias("group"), "kind", "depth")
+    """(excel_row, group, kind, depth) of the groups around each seed row."""
+    around = containing(seeds.select("excel_row"), "excel_row", marker_pairs(survey), "begin_row", "end_row")
+    return around.select("excel_row", F.col("name").alias("group"), "kind", "depth")
 
 
 # ---- dependencies
@@ -171,6 +189,34 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ro
     return found
 
 
+def closure_of_all(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(seed, node, depth) for every source: the least number of steps to all that it depends on, itself included where it lies on a cycle.
+
+    The relation is joined with itself: after k rounds it holds every path of up
+    to 2**k steps, so a chain of d steps takes log2(d) rounds. A path that is new
+    or shorter in a round is made of two of which one was new in the round
+    before, so only such pairs are joined.
+    """
+    known = stored(edges.select(F.col("source").alias("seed"), F.col("target").alias("node")).distinct().withColumn("depth", F.lit(1)), "reach")
+    new, reached = known, 1
+    while max_depth is None or reached < max_depth:
+        heads = known.select("seed", F.col("node").alias("by"), F.col("depth").alias("d1"))
+        tails = lambda r: r.select(F.col("seed").alias("by"), "node", F.col("depth").alias("d2"))
+        fresh = new.select("seed", F.col("node").alias("by"), F.col("depth").alias("d1"))
+        paths = heads.join(tails(new), "by").unionByName(fresh.join(tails(known), "by"))
+        paths = paths.select("seed", "node", (F.col("d1") + F.col("d2")).alias("depth"))
+        if max_depth is not None:
+            paths = paths.where(F.col("depth") <= max_depth)
+        old = known.select("seed", "node", F.col("depth").alias("was"))
+        found = stored(paths.groupBy("seed", "node").agg(F.min("depth").alias("depth")).join(old, ["seed", "node"], "left").where("was is null or depth < was"), "reach")
+        if found.isEmpty():
+            break
+        new = found.drop("was")
+        known = stored(known.unionByName(new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), "reach")
+        reached *= 2
+    return known
+
+
 def closure_sql(edges_view: str, seeds_view: str, max_depth: int) -> str:
     """The bounded closure as one recursive query."""
     return f"""WITH RECURSIVE reach(seed, node, depth) AS (

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.positions import numbers_within
+
 TRANSLATED = ("label", "hint", "constraint message", "required message", "media:image", "media:audio", "media:video")
 _TOKEN, _TAG = r"(\$\{[^}]+\})", r"(</?[A-Za-z][^>]*>)"
 
@@ -82,8 +84,18 @@ def changed_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 
 def spot_check(sheet: DataFrame, percent: float = 5.0, key: str = "excel_row") -> DataFrame:
-    """A sample that is the same in every run."""
-    return sheet.where(F.pmod(F.xxhash64(key), F.lit(10_000)) < int(percent * 100))
+    """(column, key): of each translated column, the smallest ``percent`` of its filled rows by hash, rounded up.
+
+    The same rows in every run, and as many as asked for from every column,
+    however short or long: the rows of a column are numbered by hash, by ranges.
+    """
+    columns = {c: F.col(f"`{c}`") for c in sheet.columns if ":" in c} or {"": F.lit("row")}  # without translations, of the rows
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text.alias("text")) for c, text in columns.items()]))
+    filled = sheet.select(F.col(key), cells.alias("c")).select("c.column", key, "c.text").where("coalesce(text, '') <> ''").drop("text")
+    turn = F.sha2(F.concat_ws(":", "column", F.col(key).cast("string")), 256)
+    numbered = numbers_within(filled.withColumn("__turn", turn), ["column"], ["__turn", key], "__n")
+    sizes = filled.groupBy(F.col("column").alias("of")).agg(F.ceil(F.count(F.lit(1)) * percent / 100).alias("wanted"))
+    return numbered.join(F.broadcast(sizes), F.col("column") == F.col("of")).where("__n <= wanted").select("column", key)  # a row a language
 
 
 def glossary_markdown(terms: list[tuple[str, dict[str, str]]], langs: list[str]) -> str:

@@ -33,9 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "/tmp/formloom").rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: it is computed once, and its lineage ends here."""
+def stored(df: DataFrame, what: str, folders: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back: it is computed once, and its lineage ends here. ``folders``: a column whose values get a folder each."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(folders) if folders else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
