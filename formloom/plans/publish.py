@@ -92,7 +92,11 @@ def publish(submissions: DataFrame, link: Link, dataset: DataFrame, order: list[
     """The dataset after the submissions; its key column is text."""
     if not link.enabled:
         return dataset
-    new = incoming(submissions, link, order)
+    return merged(dataset, incoming(submissions, link, order), link)
+
+
+def merged(dataset: DataFrame, new: DataFrame, link: Link) -> DataFrame:
+    """The dataset after one row a key of incoming parts."""
     old = dataset.withColumn(link.key, F.col(link.key).cast("string"))
     joined = old.join(new, old[link.key] == new["__key"], "full")
     out = {c: old[c] for c in dataset.columns if c != link.key}

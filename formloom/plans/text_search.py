@@ -18,15 +18,24 @@ def _times(term: str) -> Column:
     return F.size(F.filter("w", lambda w: w == term))
 
 
+def query_terms(query: str) -> list[str]:
+    terms = sorted({t for t in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
+    if not terms:
+        raise ValueError("no term to search for")
+    return terms
+
+
+def words(text: str) -> Column:
+    """The terms of a text, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def search(texts: DataFrame, key: str, text: str, query: str, top_k: int = DEFAULT) -> DataFrame:
     """(key, score) of the best rows; ties go to the smaller key."""
     if not 0 < top_k <= MOST:
         raise ValueError(f"top_k is 1 to {MOST}")
-    terms = sorted({t for t in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
-    if not terms:
-        raise ValueError("no term to search for")
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = texts.select(F.col(key).alias("key"), words.alias("w")).select("key", F.size("w").alias("size"), *[_times(t).alias(f"n{k}") for k, t in enumerate(terms)])
+    terms = query_terms(query)
+    rows = texts.select(F.col(key).alias("key"), words(text).alias("w")).select("key", F.size("w").alias("size"), *[_times(t).alias(f"n{k}") for k, t in enumerate(terms)])
     found = [F.count_if(F.col(f"n{k}") > 0).alias(f"df{k}") for k in range(len(terms))]
     corpus = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"), *found)
     some = F.greatest(*[F.col(f"n{k}") for k in range(len(terms))], F.lit(0)) > 0

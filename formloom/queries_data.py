@@ -11,9 +11,10 @@ from .expressions.compiler import compile_expr, scope_of
 from .functions import dates, geo, lists
 from .operators import choices, lookup, repeat_plans, repeats
 from .plans import explore, publish
+from .plans.published import PublishedDataset
 from .registration import CATALOGUE, query, table
 from .session import shared_folder
-from .streaming.publisher import VersionedDataset, publish_stream
+from .streaming.publisher import publish_stream
 
 LINES = {"l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_partkey": "number", "l_linenumber": "number"}
 
@@ -397,7 +398,7 @@ def publish_stream_add(spark, d):
     """The same sums from a stream: two micro-batches, the first of them replayed."""
     folder = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex[:12]}"
     events = table(spark, d, "events").select("event_id", "user_id", "value", F.when(F.col("value") > 10, "1").otherwise("0").alias("shown"))
-    target = VersionedDataset(spark, f"{folder}/dataset", _dataset(spark, d))
+    target = PublishedDataset(spark, f"{folder}/dataset", "id", _dataset(spark, d))
     link = publish.Link("user_id", "id", [publish.FieldMap("value", "total", publish.ADD)], relevance_field="shown")
     for part in (0, 1):
         events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .operators.positions import numbers_within
-from .plans import explore, rows
+from .plans import explore, publish, rows
 from .plans.pages import Pages
-from .queries_data import aggregated
+from .plans.published import PublishedDataset
+from .plans.text_index import TextIndex
+from .queries_data import _dataset, aggregated
 from .queries_forms import part_sheet
-from .registration import query, table
+from .registration import CATALOGUE, query, table
 from .rules import translation_rules
+from .session import shared_folder
 
 S = explore.Summary
 
@@ -173,3 +178,24 @@ def spot_check_rows(spark, d):
     """Seven and a half percent of each translated column's rows, exactly."""
     sheet = part_sheet(spark, d).withColumn("hint:de", F.concat("hint", F.lit(" de")))
     return translation_rules.spot_check(sheet, 7.5)
+
+
+# ---- runs and indices
+
+
+@query(CATALOGUE["publish_add"].oracle)
+def publish_in_runs(spark, d):
+    """Sums from the runs of two publishers, one batch of them sent twice, merged when read."""
+    events = table(spark, d, "events").select("event_id", "user_id", "value", F.when(F.col("value") > 10, "1").otherwise("0").alias("shown"))
+    target = PublishedDataset(spark, f"{shared_folder(spark)}/published-{uuid.uuid4().hex[:12]}", "id", _dataset(spark, d), buckets=4)
+    link = publish.Link("user_id", "id", [publish.FieldMap("value", "total", publish.ADD)], relevance_field="shown")
+    for part, writer, batch in ((0, "a", 0), (1, "b", 0), (1, "b", 0), (2, "a", 1)):
+        target.publish(events.where(F.col("event_id") % 3 == part), link, ["event_id"], writer, batch)
+    return target.read().withColumn("total", F.round(F.col("total").cast("double"), 4))
+
+
+@query(CATALOGUE["text_search_ranked"].oracle)
+def text_search_indexed(spark, d):
+    """The same hits by an index with block maxima."""
+    talks = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return TextIndex(talks, "id", "text", block=64).search("The was!", 20).withColumn("score", F.round("score", 6))

@@ -1,51 +1,23 @@
-"""Publishing as a stream: submissions arrive in micro-batches, the dataset is a folder of versions.
+"""Publishing as a stream: submissions arrive in micro-batches, each of which becomes a run of a published dataset.
 
-Each batch reads the latest version, publishes into it and writes the next
-version, named by the batch; a marker file is written last.  A batch that is
-replayed is no later than the latest version and does nothing, so sums and
-concatenations count every submission once.  The last ``kept`` versions stay;
-readers of older ones must be done by then.
+What a batch writes does not grow with the dataset, and a batch that is replayed
+is known by its number, so sums and concatenations count every submission once.
+Two streams may publish into one dataset under names of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.publish import Link, publish
+from ..plans.publish import Link
+from ..plans.published import PublishedDataset
 
 
-class VersionedDataset:
-    def __init__(self, spark: SparkSession, path: str, initial: DataFrame, kept: int = 3):
-        self.spark, self.path, self.kept = spark, path.rstrip("/"), max(2, kept)
-        self.schema = initial.schema
-        jvm = spark._jvm
-        self._fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self.versions():
-            self.write(-1, initial)
-
-    def versions(self) -> list[int]:
-        """Batches whose version is complete."""
-        if not self._fs.exists(self._fs_path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._fs_path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._fs_path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1]}")
-
-    def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        for old in self.versions()[: -self.kept]:
-            self._fs.delete(self._fs_path(f"{self.path}/v={old}"), True)
-
-
-def publish_stream(submissions: DataFrame, link: Link, dataset: VersionedDataset, order: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def publish_stream(submissions: DataFrame, link: Link, dataset: PublishedDataset, order: list[str], checkpoint: str, trigger: dict | None = None, writer: str = "stream") -> StreamingQuery:
     """Starts the stream; ``trigger`` as for DataStreamWriter (default: all there is, then stop)."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if number > dataset.versions()[-1]:
-            dataset.write(number, publish(batch, link, dataset.read(), order))
+        dataset.publish(batch, link, order, writer, number)
 
     return submissions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -106,3 +106,18 @@ def test_pages_are_those_of_the_query(spark):
     assert Pages(sheet.limit(0)).page().collect() == []
     with pytest.raises(ValueError):
         pages.page(0, 101)
+
+
+def test_text_index_equals_the_scan(spark):
+    from formloom.plans import text_index, text_search
+
+    rng = random.Random(4)
+    words = ["common"] * 30 + ["rare", "Other", "middling"] * 3 + [f"w{k}" for k in range(40)]
+    texts = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) or None) for k in range(600)], "id int, text string")
+    index = text_index.TextIndex(texts, "id", "text", block=4)
+    for query, k in (("rare other", 5), ("common", 20), ("middling w3 RARE", 7), ("nowhere", 5), ("w7", 20)):
+        got, want = index.search(query, k).collect(), text_search.search(texts, "id", "text", query, k).collect()
+        assert [(r.id, round(r.score, 9)) for r in got] == [(r.id, round(r.score, 9)) for r in want]
+    with pytest.raises(ValueError):
+        index.search("x", 21)
+    assert text_index.TextIndex(texts.limit(0), "id", "text").search("rare").collect() == []
