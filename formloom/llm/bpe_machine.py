@@ -110,8 +110,9 @@ class CountingTransducer:
     """Deterministic transducer from characters to net token counts (pre-tokeniser and merges in one).
 
     ``classify`` gives the class of a character: L letter, N number, S white
-    space, O other.  ``max_edges`` bounds the compiled part; beyond it
-    compilation begins anew (the counts stay the same).
+    space, O other.  ``max_edges`` bounds the compiled part: whoever runs it asks
+    ``full`` between chunks and then resets, and compilation begins anew.  States
+    are carried over by their keys, so the counts stay the same.
     """
 
     CONTRACTED = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}  # after an apostrophe
@@ -221,6 +222,15 @@ class CountingTransducer:
         return self._first(c)
 
     # ---- chunks
+    @staticmethod
+    def key(node: _Node) -> tuple:
+        """What a state is, whatever has been compiled: it outlives a reset."""
+        return node.kind, node.bpe.suffix, node.bpe.starts, node.last, node.owed
+
+    def of_key(self, key: tuple) -> _Node:
+        kind, suffix, starts, last, owed = key
+        return self._node(kind, self._state(suffix, starts), last, owed)
+
     def run(self, node: _Node, text: str) -> tuple[_Node, int]:
         total = 0
         for c in text:

@@ -12,7 +12,8 @@ image), and the counts of long texts come from a parallel prefix scan over
 their chunks' maps.  Where the scan gives the start no image (a run without any
 boundary, longer than the lead), the chunks from there on are entered by the
 state that was really reached, so counts are exact in every case, and nothing
-but states and numbers is held for a chunk.
+but states and numbers is held for a chunk.  The compiled part is bounded: it is
+asked for its size before each chunk, and compiled anew beyond the bound.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; the file's
 special string inside a text counts as one token, as the library's default
@@ -73,15 +74,22 @@ class TokenCounter:
         found = {}
         for seed in ("", " ", "a", "1", "!"):
             node = self.machine.run(self.machine.run(self.machine.start, seed)[0], lead)[0]
-            found[id(node)] = node
-        return list(found.values())
+            found[self.machine.key(node)] = None
+        return list(found)
 
     def chunk_map(self, entries: list, chunk: str) -> StateMap:
-        return {id(node): self.machine.run(node, chunk) for node in entries}
+        """Nothing in it holds on to the compiled part, which may be compiled anew between any two chunks."""
+        machine, out = self.machine, {}
+        for entry in entries:
+            if machine.full():
+                machine.reset()
+            node, tokens = machine.run(machine.of_key(entry), chunk)
+            out[entry] = machine.key(node), tokens
+        return out
 
     @staticmethod
     def compose(first: StateMap, second: StateMap) -> StateMap:
-        return {e: (second[id(x)][0], n + second[id(x)][1]) for e, (x, n) in first.items() if id(x) in second}
+        return {e: (second[x][0], n + second[x][1]) for e, (x, n) in first.items() if x in second}
 
     def count_plain(self, text: str) -> int:
         machine = self.machine
@@ -90,14 +98,14 @@ class TokenCounter:
         size = self.chunk_chars
         if len(text) <= size:
             return machine.run(machine.start, text)[1]
-        chunks = range(0, len(text), size)
-        maps = [self.chunk_map(self.entries(text[k - self.lead : k]) if k else [machine.start], text[k : k + size]) for k in chunks]
-        whole = scan(maps, self.compose)[-1].get(id(machine.start))
+        chunks, start = range(0, len(text), size), machine.key(machine.start)
+        maps = [self.chunk_map(self.entries(text[k - self.lead : k]) if k else [start], text[k : k + size]) for k in chunks]
+        whole = scan(maps, self.compose)[-1].get(start)
         if whole is not None:
             return whole[1]
-        node, total = machine.start, 0
+        state, total = start, 0
         for k, known in zip(chunks, maps, strict=True):
-            node, gain = known.get(id(node)) or machine.run(node, text[k : k + size])
+            state, gain = known.get(state) or self.chunk_map([state], text[k : k + size])[state]
             total += gain
         return total
 

@@ -35,6 +35,27 @@ def test_counts_are_the_librarys(library, chunk):
         assert c.count(t) == len(library.encode(t, add_special_tokens=False)), repr(t)
 
 
+def test_long_text_in_bounded_memory(library):
+    """Words that never occur twice: the compiled part begins anew many times within the text."""
+    import resource
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randrange(4, 12))) for _ in range(250_000))
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    c = TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    c.machine.max_edges, most, reset, begun = 100_000, 0, c.machine.reset, 0
+
+    def counted_reset():
+        nonlocal most, begun
+        most, begun = max(most, c.machine.edges), begun + 1
+        reset()
+
+    c.machine.reset = counted_reset
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert c.count(text) == want and begun > 5
+    assert most < 100_000 + 4 * c.chunk_chars and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 def test_counts_survive_a_reset(library):
     c = TokenCounter(BYTES)
     c.machine.max_edges = 200
@@ -47,10 +68,10 @@ def test_state_maps(library, monkeypatch):
     c = TokenCounter(BYTES, 100)
     text = "Some words, 12 numbers and more: naïve café – don't you think so?  中文字符 also. " * 60
     c.count(text)
-    maps = [c.chunk_map(c.entries(text[k - 100 : k]) if k else [c.machine.start], text[k : k + 100]) for k in range(0, len(text), 100)]
+    maps = [c.chunk_map(c.entries(text[k - 100 : k]) if k else [c.machine.key(c.machine.start)], text[k : k + 100]) for k in range(0, len(text), 100)]
     assert sum(map(len, maps)) <= 1.1 * len(maps)
     one, two = c.compose(c.compose(maps[0], maps[1]), maps[2]), c.compose(maps[0], c.compose(maps[1], maps[2]))
-    assert one == two and one[id(c.machine.start)][1] == len(library.encode(text[:300], add_special_tokens=False))
+    assert one == two and one[c.machine.key(c.machine.start)][1] == len(library.encode(text[:300], add_special_tokens=False))
     ran = []
     run = c.machine.run
     monkeypatch.setattr(c.machine, "run", lambda node, t: (ran.append(len(t)), run(node, t))[1])
