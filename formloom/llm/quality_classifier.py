@@ -1,23 +1,32 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristic labellers each vote for a class (clean, junk, toxic) or
-abstain, and so does a table of reviewed labels where it covers a text.  How
-often each is right is not known beforehand: expectation maximisation over the
-counts of vote patterns (all texts; a bounded number of patterns, however many
-texts) estimates for each labeller how it votes on each class, and the
-posterior of every pattern.  The posteriors are the soft labels of a linear
-scorer over hashed words, beginnings of words and labellers' votes, fitted on
-``train_rows`` texts: reviewed ones where there are any, those of smallest id
-hash.  The scorer judges every whole text; a text stays if it is more likely
-clean than not.
+abstain, and so does a table of reviewed labels where it covers a text.  Three
+of them look for abuse by words that the reviewed rows themselves teach: those
+whose beginnings or whole forms occur in toxic texts far more often than in
+clean ones of the same language (an excess added up over languages, in standard
+errors).  A text's rate of such words is held against the rate that best parts
+toxic from clean rows.  Rows that taught are voted on with words learnt from the
+other folds only, so no labeller has seen the rows it is measured on.
+
+How often each labeller is right is not known beforehand: expectation
+maximisation over the counts of vote patterns (all texts; a bounded number of
+patterns, however many texts) estimates for each labeller how it votes on each
+class, and the posterior of every pattern.  The posteriors are the soft labels
+of a linear scorer over hashed words, beginnings of words and labellers' votes,
+fitted on ``train_rows`` texts: reviewed ones where there are any, those of
+smallest id hash.  The scorer judges every whole text; a text stays if it is
+more likely clean than not.
 
 Defined results: null and empty texts have no words; no word speaks against
 them and the scorer's bias decides; repeated rows and null ids are judged like
 any other; long texts are judged whole; a text exactly as likely clean as not
 stays, and of equally likely classes the first named is the label; reviewed rows
 without id, quality and toxic have no say, and of several for one id the graver
-counts; an empty table gives no rows; without reviewed labels the heuristics label alone;
-further columns are not read (``quality_kept`` passes them through).
+counts; an empty table gives no rows; without reviewed labels the heuristics
+label alone, and as none of them knows abuse, nothing is called toxic; without a
+column of languages, or where it is null, texts are of one language; further
+columns are not read (``quality_kept`` passes them through).
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +45,11 @@ from .arrow_io import bound_batches, map_rows
 
 CLASSES = ("clean", "junk", "toxic")
 ABSTAIN = 3
-BITS = 18
-#: Words of abuse, as insults to a person and as contempt.
-INSULTS = frozenset("idiot moron loser clown stupid fool imbecile jerk dumb".split())
-CONTEMPT = frozenset("trash scum worthless pathetic disgusting garbage vermin filth despicable".split())
-#: Common English words.
-_ENGLISH = ("the", "of", "and", "to", "is")
+BITS = 20
+#: Hashes of a word: itself, and its first three, four and five letters.
+STRIDE = 4
+#: Parts of the reviewed rows; words remembered in a task; languages with words of their own.
+FOLDS, REMEMBERED, LANGUAGES = 4, 200_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CAPITALS = bytes(range(65, 91))
 _SMALL = bytes(range(97, 123))
@@ -50,7 +59,7 @@ _MARKS = b"#*$%&|<>!"
 class Measured:
     """What labellers and scorer read of one text."""
 
-    __slots__ = ("again", "capitals", "contempt", "english", "insults", "letters", "lines", "lines_again", "n", "per_word", "shouts", "vocabulary")
+    __slots__ = ("again", "capitals", "letters", "lines", "lines_again", "n", "per_word", "shouts", "vocabulary")
 
     def __init__(self, text: str | None):
         text = text or ""
@@ -59,7 +68,6 @@ class Measured:
         self.vocabulary = set(words)
         self.n = n = len(words)
         self.again = 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0
-        self.english = sum(map(words.count, _ENGLISH)) / max(1, n)
         without = lambda x: len(data) - len(data.translate(None, x))
         self.per_word, self.shouts = without(_MARKS) / max(1, n), without(b"!") / max(1, n)
         upper, lower = without(_CAPITALS), without(_SMALL)
@@ -67,14 +75,13 @@ class Measured:
         self.letters = sum(map(len, words)) / max(1, len(text) - without(b" \t\n\r"))
         lines = [x for x in data.split(b"\n") if x.strip()]
         self.lines, self.lines_again = len(lines), (len(lines) - len(set(lines))) / max(1, len(lines))
-        self.insults, self.contempt = len(self.vocabulary & INSULTS), len(self.vocabulary & CONTEMPT)
 
 
 def _junk(bad: bool) -> int:
     return 1 if bad else ABSTAIN
 
 
-#: Each labeller: name and vote. They overlap: marks and letters, capitals and shouts, repetition and lines, the word lists and their sum.
+#: Each labeller of form: name and vote. They overlap: marks and letters, capitals and shouts, repetition and lines.
 LABELLERS = {
     "marks": lambda m: _junk(m.per_word > 0.2),
     "letters": lambda m: ABSTAIN if m.n < 15 else 1 if m.letters < 0.76 else 0 if m.letters > 0.88 else ABSTAIN,
@@ -83,60 +90,147 @@ LABELLERS = {
     "repetition": lambda m: _junk(m.n > 20 and m.again > 0.5),
     "lines": lambda m: _junk(m.lines > 3 and m.lines_again > 0.45),
     "prose": lambda m: 0 if m.per_word < 0.05 and m.capitals < 0.2 and m.shouts < 0.05 and m.again < 0.4 else ABSTAIN,
-    "insults": lambda m: 2 if m.insults else ABSTAIN,
-    "contempt": lambda m: 2 if m.contempt else ABSTAIN,
-    "abuse": lambda m: 2 if m.insults + m.contempt > 1 else ABSTAIN,
-    "civil": lambda m: 0 if not m.insults + m.contempt else ABSTAIN,
 }
+#: Those of learnt words: their rate, twice that rate, and whole words.
+LEARNT = ("abuse", "abuse_much", "abuse_words")
 #: Reviewed labels vote last.
-_N_VOTES = len(LABELLERS) + 1
+N_VOTES = len(LABELLERS) + len(LEARNT) + 1
+NAMES = (*LABELLERS, *LEARNT)
 
 
-#: These look for English words and have no say on other texts.
-_ENGLISH_ONLY = np.array([name in ("insults", "contempt", "abuse", "civil") for name in LABELLERS] + [False])
+def word_hashes(word: str) -> list[int]:
+    """STRIDE hashes; -1 where the word is no longer than that beginning."""
+    mask = (1 << BITS) - 1
+    return [zlib.crc32(f"={word}".encode("utf-8", "surrogatepass")) & mask] + [zlib.crc32(f"{word[:k]}-".encode("utf-8", "surrogatepass")) & mask if len(word) > k else -1 for k in (3, 4, 5)]
+
+
+@dataclass
+class Abuse:
+    """Hashes that tell abuse, learnt from all reviewed rows, or without each fold of them; the rate that parts toxic from clean."""
+
+    words: list[frozenset] = field(default_factory=lambda: [frozenset()] * (FOLDS + 1))
+    rate: float = 1.0
+    folds: dict = field(default_factory=dict)  # of the rows that taught, by id
+
+    def votes(self, hits: int, whole: int, n: int, known: bool) -> tuple[int, ...]:
+        """hits: words with a telling hash; whole: those telling as a whole; n: different words; known: whether any word could tell."""
+        if not known:
+            return (ABSTAIN,) * len(LEARNT)
+        share = hits / max(1, n)
+        toxic = lambda yes: 2 if yes else ABSTAIN
+        return 2 if hits and share >= self.rate else 0, toxic(hits and share >= 2 * self.rate), toxic(whole and share >= self.rate / 2)
+
+    def tells(self, fold: int = FOLDS):
+        """Whether a word tells abuse, and as a whole, as far as the fold may know."""
+        telling = self.words[fold]
+
+        def both(word: str) -> tuple[bool, bool]:
+            own = word_hashes(word)
+            return not telling.isdisjoint(own), own[0] in telling
+
+        return Remembered(both)
+
+    def of_text(self, m: Measured, tells: dict, fold: int = FOLDS) -> tuple[int, ...]:
+        told = [tells[w] for w in m.vocabulary] if self.words[fold] else []
+        return self.votes(sum(x for x, _ in told), sum(x for _, x in told), len(m.vocabulary), bool(self.words[fold]))
+
+
+class Remembered(dict):
+    """A function of words that remembers what it found, of so many words at most."""
 
+    def __init__(self, made):
+        super().__init__()
+        self.made = made
 
-def votes(m: Measured) -> int:
-    """The vote pattern: two bits a labeller, two left for a reviewed label, then whether the text is English."""
-    out = int(m.english > 0.05) << 2 * _N_VOTES
-    for k, vote in enumerate(LABELLERS.values()):
-        out |= vote(m) << 2 * k
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[word] = self.made(word)
+        return got
+
+
+def packed(votes: Iterator[int]) -> int:
+    """A vote pattern: two bits a labeller."""
+    return sum(v << 2 * k for k, v in enumerate(votes))
+
+
+def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fold: np.ndarray, ids: list, sure: float = 5.0, lift: float = 2.5, least: int = 4) -> Abuse:
+    """``rows``: the hashes of each text's words, STRIDE a word.
+
+    A hash tells abuse if toxic rows have it ``lift`` times as often as by the
+    share of toxic rows in their language, by ``sure`` standard errors, and
+    ``least`` of them do.
+    """
+    size = 1 << BITS
+    of = [np.unique(r[r >= 0]) for r in rows]
+    groups = sorted(set(lang.tolist()), key=lambda g: -(lang == g).sum())
+    count = lambda at: np.bincount(np.concatenate([of[k] for k in at]), minlength=size) if len(at) else np.zeros(size, int)
+    seen, expected, spread = (np.zeros((FOLDS + 1, size), np.float32) for _ in range(3))
+    for n, g in enumerate([*groups[:LANGUAGES], None]):
+        here = lang == g if g is not None else ~np.isin(lang, groups[:LANGUAGES])
+        held = [[np.nonzero(here & (label == c) & (fold == f))[0] for f in range(FOLDS)] for c in (2, 0)]
+        toxic, clean = ([count(at) for at in x] for x in held)
+        for f in range(FOLDS + 1):
+            others = [k for k in range(FOLDS) if k != f]
+            n_toxic, n_clean = (sum(len(x[k]) for k in others) for x in held)
+            if n_toxic and n_clean:
+                share, a = n_toxic / (n_toxic + n_clean), sum(toxic[k] for k in others)
+                both = a + sum(clean[k] for k in others)
+                seen[f] += a
+                expected[f] += share * both
+                spread[f] += share * (1 - share) * both
+    tells = (seen >= least) & (seen - expected >= sure * np.sqrt(spread)) & (seen + 0.5 >= lift * (expected + 0.5))
+    words = [frozenset(np.nonzero(t)[0].tolist()) for t in tells]
+    out = Abuse(words, 1.0, dict(zip(ids, fold.tolist())))
+    shares = np.array([tells[f][r.reshape(-1, STRIDE)].any(axis=1, where=r.reshape(-1, STRIDE) >= 0).mean() if len(r) else 0.0 for r, f in zip(rows, fold)])
+    bad, good = np.sort(shares[(label == 2) & (shares > 0)]), np.sort(shares[label == 0])
+    if len(bad) and len(good):
+        gain = (len(bad) - np.arange(len(bad))) / len(bad) - (len(good) - np.searchsorted(good, bad)) / len(good)
+        best = int(gain.argmax())
+        below = good[good < bad[best]]
+        out.rate = float((bad[best] + (below[-1] if len(below) else 0.0)) / 2)
     return out
 
 
+def posteriors(patterns: np.ndarray, share: np.ndarray, vote: np.ndarray, say: np.ndarray) -> np.ndarray:
+    """Of each class for each pattern; ``say``: labellers that ever vote. Without a review the reviewer has no say."""
+    cast = patterns[:, None] >> 2 * np.arange(N_VOTES)[None, :] & 3
+    has_say = np.broadcast_to(say[None, :], cast.shape).copy()
+    has_say[:, -1] &= cast[:, -1] != ABSTAIN
+    score = np.log(share)[None, :] + sum(np.log(vote[k][:, cast[:, k]]).T * has_say[:, k : k + 1] for k in range(N_VOTES))
+    post = np.exp(score - score.max(axis=1, keepdims=True))
+    return post / post.sum(axis=1, keepdims=True)
+
+
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class shares, each labeller's vote probabilities by class, and each pattern's posterior.
+    """Class shares, each labeller's vote probabilities by class, and which labellers have a say.
 
     The start says that a labeller is seldom wrong and often silent; what each
     is worth, silence included, is then read off the patterns it had a say on.
+    A labeller that never votes has no say, and a class that none votes for no share.
     """
     n_class = len(CLASSES)
-    cast = patterns[:, None] >> 2 * np.arange(_N_VOTES)[None, :] & 3
-    has_say = ~_ENGLISH_ONLY[None, :] | (patterns >> 2 * _N_VOTES & 1 > 0)[:, None]
-    has_say[:, -1] = cast[:, -1] != ABSTAIN  # no review, no say
-    vote = np.full((_N_VOTES, n_class, 4), 0.02)
+    cast = patterns[:, None] >> 2 * np.arange(N_VOTES)[None, :] & 3
+    say = (cast != ABSTAIN).any(axis=0)
+    named = np.array([(cast == c).any() for c in range(n_class)])
+    vote = np.full((N_VOTES, n_class, 4), 0.02)
     vote[:, np.arange(n_class), np.arange(n_class)] = 0.3
     vote[:, :, ABSTAIN] = 1 - vote[:, :, :n_class].sum(axis=2)
-    share = np.array([0.7, 0.15, 0.15])
-    post = np.zeros((len(patterns), n_class))
+    only = lambda x: np.where(named, x, 1e-9) if named.any() else x
+    share = only(np.array([0.7, 0.15, 0.15]))
     for _ in range(rounds):
-        score = np.log(share)[None, :] + sum(np.log(vote[k][:, cast[:, k]]).T * has_say[:, k : k + 1] for k in range(_N_VOTES))
-        post = np.exp(score - score.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        weight = post * counts[:, None]
-        share = (weight.sum(axis=0) + 1) / (weight.sum() + n_class)
-        for k in range(_N_VOTES):
-            seen = np.stack([weight[(cast[:, k] == v) & has_say[:, k]].sum(axis=0) for v in range(4)], axis=1)
+        weight = posteriors(patterns, share / share.sum(), vote, say) * counts[:, None]
+        share = only((weight.sum(axis=0) + 1) / (weight.sum() + n_class))
+        for k in range(N_VOTES):
+            mine = cast[:, k] != ABSTAIN if k == N_VOTES - 1 else np.full(len(cast), say[k])
+            seen = np.stack([weight[(cast[:, k] == v) & mine].sum(axis=0) for v in range(4)], axis=1)
             vote[k] = (seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 2)
-    return share, vote, post
+    return share / share.sum(), vote, say
 
 
-def features(m: Measured) -> list[int]:
-    """Hashed presence of each word, of its first four and five letters, and of each measure's vote against the text."""
-    mask = (1 << BITS) - 1
-    own = (f"={name}{v}" for name, vote in LABELLERS.items() if (v := vote(m)) in (1, 2))
-    begins = {f"{w[:k]}-" for w in m.vocabulary for k in (4, 5) if len(w) > k}
-    return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in (*m.vocabulary, *begins, *own)})
+def against(votes: list[int]) -> list[int]:
+    """Hashes of the votes against a text."""
+    return [zlib.crc32(f"={name}{v}!".encode()) & ((1 << BITS) - 1) for name, v in zip(NAMES, votes) if v in (1, 2)]
 
 
 def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0) -> np.ndarray:
@@ -189,60 +283,102 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, bat
 
 
 class Scorer:
-    def __init__(self, weight: np.ndarray):
-        self.weight = weight.astype(np.float32)
+    def __init__(self, weight: np.ndarray, abuse: Abuse):
+        self.weight, self.abuse = weight.astype(np.float32), abuse
+        self.live = self.weight[:-1].any(axis=1)
+        self._words = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_words": None}
+
+    def _word(self, word: str) -> tuple[list[int], bool, bool]:
+        """The hashes with a weight; whether the word tells abuse, and as a whole."""
+        own, telling = word_hashes(word), self.abuse.words[FOLDS]
+        return [h for h in own if h >= 0 and self.live[h]], not telling.isdisjoint(own), own[0] in telling
 
     def __call__(self, text: str | None) -> np.ndarray:
-        logit = self.weight[features(Measured(text))].sum(axis=0, dtype=np.float64) + self.weight[-1]
+        if self._words is None:
+            self._words = Remembered(self._word)
+        m, found, hits, whole = Measured(text), set(), 0, 0
+        for w in m.vocabulary:
+            live, hit, word = self._words[w]
+            found.update(live)
+            hits += hit
+            whole += word
+        form = [vote(m) for vote in LABELLERS.values()]
+        found.update(against([*form, *self.abuse.votes(hits, whole, len(m.vocabulary), bool(self.abuse.words[FOLDS]))]))
+        logit = self.weight[sorted(found)].sum(axis=0, dtype=np.float64) + self.weight[-1]
         p = np.exp(logit - logit.max())
         return p / p.sum()
 
 
-def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Scorer, dict]:
+def _sample(texts: DataFrame, labels: DataFrame | None, train_rows: int) -> pa.Table:
+    """Of at most ``train_rows`` texts, reviewed ones where there are any: id, lang, label, the votes on form, and the words' hashes."""
+    chosen = texts.withColumn("label", F.lit(ABSTAIN))
+    if labels is not None:
+        some = labels.where(F.col("label").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(train_rows)
+        reviewed = texts.join(F.broadcast(some), "id")  # at most train_rows ids
+        chosen = chosen if reviewed.isEmpty() else reviewed
+    drawn = chosen.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(train_rows).repartition(16)
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        m = [Measured(t) for t in batch.column(2).to_pylist()]
+        form = pa.array([packed(vote(x) for vote in LABELLERS.values()) for x in m], pa.int64())
+        at = pa.array([[h for w in sorted(x.vocabulary) for h in word_hashes(w)] for x in m], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(3), form, at], names=["id", "lang", "label", "form", "at"])
+
+    return map_rows(drawn, ["id", "lang", "text", "label"], hashed, "id string, lang string, label int, form bigint, at array<int>").toArrow()
+
+
+def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Scorer, dict]:
     """The scorer, and what the label model found: class shares and each labeller's vote probabilities.
 
     ``reviewed`` has id, quality and toxic (0 or 1). The driver gets the counts
     of vote patterns and ``train_rows`` rows of hashes.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    bound_batches(docs.sparkSession)
+    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(lang, F.lit("")).alias("lang"), docs[text_col].alias("text"))
+    labels = None
+    if reviewed is not None:
+        label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+        labels = reviewed.select(reviewed[id_col].alias("id"), label.alias("label")).where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
+    train = _sample(texts, labels, train_rows)
+    lists = train.column("at").combine_chunks()
+    values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if len(train) else (np.empty(0, np.int32), np.zeros(1, int))
+    rows = [values[a:b] for a, b in zip(ends, ends[1:])]
+    ids, label, form = (train.column(c).to_pylist() for c in ("id", "label", "form"))
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids], int)
+    label = np.array(label, int)
+    abuse = learn_abuse(rows, label, np.array(train.column("lang").to_pylist(), object), fold, ids)
+    shared = docs.sparkSession.sparkContext.broadcast(abuse)  # some thousand hashes, and train_rows ids
 
     def cast(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(Measured(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["id", "pattern"])
-
-    voted = map_rows(texts, ["id", "text"], cast, "id bigint, pattern bigint")
-    shift = 2 * len(LABELLERS)
-    if reviewed is None:
-        voted, chosen = voted.withColumn("label", F.lit(ABSTAIN)), texts.withColumn("label", F.lit(ABSTAIN))
-    else:
-        label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
-        labels = reviewed.select(reviewed[id_col].alias("id"), label.alias("label")).groupBy("id").agg(F.max("label").alias("label"))
-        some = labels.where(F.col("label").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(train_rows)
-        voted = voted.join(labels, "id", "left").withColumn("label", F.coalesce("label", F.lit(ABSTAIN)))
-        chosen = texts.join(F.broadcast(some), "id")  # at most train_rows ids
-        if chosen.isEmpty():
-            chosen = texts.withColumn("label", F.lit(ABSTAIN))
-    pattern = F.col("pattern").bitwiseOR(F.shiftleft(F.col("label").cast("bigint"), shift))
+        learnt, out = shared.value, []
+        tells = [learnt.tells(f) for f in range(FOLDS + 1)]
+        for i, t in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            m, f = Measured(t), learnt.folds.get(i, FOLDS)
+            out.append(packed([*(vote(m) for vote in LABELLERS.values()), *learnt.of_text(m, tells[f], f)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "pattern"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    voted = map_rows(texts, ["id", "text"], cast, f"id {kind}, pattern bigint")
+    voted = voted.join(labels, "id", "left") if labels is not None else voted.withColumn("label", F.lit(ABSTAIN))
+    pattern = F.col("pattern").bitwiseOR(F.shiftleft(F.coalesce("label", F.lit(ABSTAIN)).cast("bigint"), 2 * (N_VOTES - 1)))
     counted = voted.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     patterns, counts = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))
-    share, vote, post = em(patterns, counts)
-    posterior = dict(zip(patterns.tolist(), post))
-
-    drawn = chosen.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(train_rows).repartition(16)
-
-    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = [Measured(t) for t in batch.column(0).to_pylist()]
-        label = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([votes(x) | y << shift for x, y in zip(m, label, strict=True)], pa.int64()), pa.array([features(x) for x in m], pa.list_(pa.int32()))], names=["pattern", "at"])
-
-    train = map_rows(drawn, ["text", "label"], hashed, "pattern bigint, at array<int>").toArrow()
-    lists = train.column("at").combine_chunks()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    rows = [values[a:b] for a, b in zip(ends, ends[1:])]
-    target = np.array([posterior[p] for p in train.column("pattern").to_pylist()]).reshape(-1, len(CLASSES))
-    order = sorted(range(len(rows)), key=lambda k: (rows[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
-    return Scorer(fit_linear([rows[k] for k in order], target[order])), {"share": share, "vote": vote}
+    share, vote, say = em(patterns, counts)
+
+    own, cast_on = [], np.zeros(len(rows), np.int64)
+    for k, r in enumerate(rows):
+        words, telling = r.reshape(-1, STRIDE).tolist(), abuse.words[fold[k]]
+        learnt = abuse.votes(sum(not telling.isdisjoint(w) for w in words), sum(w[0] in telling for w in words), len(words), bool(telling))
+        form_votes = [form[k] >> 2 * j & 3 for j in range(len(LABELLERS))]
+        cast_on[k] = packed([*form_votes, *learnt, int(label[k])])
+        own.append(np.unique(np.concatenate([r[r >= 0], np.array(against([*form_votes, *learnt]), np.int32)])))
+    target = posteriors(cast_on, share, vote, say) if len(rows) else np.zeros((0, len(CLASSES)))
+    order = sorted(range(len(own)), key=lambda k: (own[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
+    return Scorer(fit_linear([own[k] for k in order], target[order]), abuse), {"share": share, "vote": vote, "rate": abuse.rate}
 
 
 def classify(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
