@@ -240,3 +240,10 @@ def form_summary(survey: DataFrame, choices: DataFrame) -> DataFrame:
     )
     c = choices.agg(F.count(F.lit(1)).alias("n_choices"), F.countDistinct("list_name").alias("n_lists"), (F.coalesce(F.max("excel_row"), F.lit(1)) + 1).alias("next_choice_row"))
     return s.join(F.broadcast(c), F.lit(True))
+
+
+def preview(sheet: DataFrame, kind: str = "survey", n: int = 10) -> DataFrame:
+    """The first n rows of a sheet, as a summary shows them: the columns that name a row, and its label."""
+    shown = {"survey": ("excel_row", "type", "name", "label"), "choices": ("excel_row", "list_name", "value", "label")}[kind]
+    cells = [F.col(c) if c in sheet.columns else F.lit(None).cast("string").alias(c) for c in shown]
+    return sheet.orderBy("excel_row").limit(n).select(*cells)

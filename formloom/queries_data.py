@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from .expressions.compiler import compile_expr, scope_of
-from .functions import dates, geo, lists
+from .functions import lists
 from .operators import choices, lookup, repeat_plans, repeats
 from .plans import explore, publish
 from .plans.published import PublishedDataset

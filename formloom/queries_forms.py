@@ -11,7 +11,6 @@ from .operators import form as forms
 from .plans import patches, rows, text_search
 from .registration import query, table
 from .rules import form_rules, translation_rules
-from .sources.sheets import sheet_frame
 
 #: A form over orders: groups, relevance, a default, chained calculations, constraints, required fields.
 ORDER_FORM = [
@@ -138,68 +137,7 @@ def row_query_fulltext(spark, d):
     return rows.query(part_sheet(spark, d), {"fulltext": ["brand#2[35] de"]}, columns=["excel_row", "labels_concat_lower"])
 
 
-# ---- dependencies and markers: a form of nested blocks
-
-NESTED = [
-    {"type": "text", "name": "a"},
-    {"type": "begin group", "name": "g1", "relevance": "${a} = 'x'"},
-    {"type": "integer", "name": "b", "constraint": ". > 0"},
-    {"type": "begin repeat", "name": "r", "relevance": "${b} > 1"},
-    {"type": "decimal", "name": "c", "calculation": "${b} * 2 + ${ a }"},
-    {"type": "end repeat", "name": "r"},
-    {"type": "calculate", "name": "d", "calculation": "sum(${c}) + ${e}"},
-    {"type": "end group", "name": "g1"},
-    {"type": "calculate", "name": "e", "calculation": "${d} + ${missing}", "relevance": "selected(${a}, 'y')"},
-    {"type": "select_one yn", "name": "f", "choice_filter": "k = ${a}"},
-    {"type": "select_multiple gone", "name": "a", "label": "twice **bold**"},
-    {"type": "text", "name": "2nd", "label": "not safe"},
-]
-_EDGES = "edges(source, target, slot) AS (VALUES ('g1', 'a', 'relevance'), ('r', 'b', 'relevance'), ('c', 'b', 'calculation'), ('c', 'a', 'calculation'), ('d', 'c', 'calculation'), ('d', 'e', 'calculation'), ('e', 'd', 'calculation'), ('e', 'missing', 'calculation'), ('e', 'a', 'relevance'), ('f', 'a', 'choice_filter'))"
-
-
-def nested_sheet(spark):
-    return sheet_frame(spark, [r | {"excel_row": k + 2} for k, r in enumerate(NESTED)])
-
-
-@query(f"WITH {_EDGES} SELECT * FROM edges")
-def dependency_edges(spark, d):
-    return rows.refs(nested_sheet(spark))
-
-
-@query(f"""
-WITH RECURSIVE {_EDGES}, reach(seed, node, depth) AS (SELECT source, source, 0 FROM edges UNION SELECT seed, target, depth + 1 FROM reach JOIN edges ON source = node WHERE depth < 6)
-SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM reach WHERE depth > 0 AND seed IN ('d', 'e', 'r') AND seed <> node GROUP BY 1, 2""")
-def dependency_closure(spark, d):
-    edges = rows.refs(nested_sheet(spark))
-    return rows.closure(edges, nested_sheet(spark).where("name in ('d', 'e', 'r')").select("name"))
-
-
-@query(f"""
-WITH RECURSIVE {_EDGES}, reach(seed, node, depth) AS (SELECT target, target, 0 FROM edges UNION SELECT seed, source, depth + 1 FROM reach JOIN edges ON target = node WHERE depth < 2)
-SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM reach WHERE depth > 0 AND seed IN ('a', 'b') AND seed <> node GROUP BY 1, 2""")
-def dependency_closure_in(spark, d):
-    sheet = nested_sheet(spark)
-    return rows.closure(rows.refs(sheet), sheet.where("name in ('a', 'b')").select("name"), max_depth=2, reverse=True)
-
-
-@query("SELECT * FROM (VALUES ('g1', 'group', 3, 9, 1), ('r', 'repeat', 5, 7, 2)) AS t(name, kind, begin_row, end_row, depth)")
-def group_markers(spark, d):
-    return rows.marker_pairs(nested_sheet(spark)).select("name", "kind", "begin_row", "end_row", F.col("depth").cast("int").alias("depth"))
-
-
-@query("""SELECT * FROM (VALUES (4, 'g1'), (5, 'g1'), (6, 'g1'), (6, 'r'), (7, 'g1'), (8, 'g1')) AS t(excel_row, "group")""")
-def groups_enclosing(spark, d):
-    sheet = nested_sheet(spark)
-    return rows.enclosing_groups(sheet, sheet).select("excel_row", "group")
-
-
-@query("""
-SELECT * FROM (VALUES ('VL01', '2', 'name used more than once: a'), ('VL02', '13', 'name has other characters: 2nd'), ('VL04', '12', 'no such list: gone'), ('VL05', 'empty', 'no row with value and label'), ('VL06', 'e', 'calculation refers to unknown missing'),
-  ('VL08', '12', 'Markdown in a label; use HTML'), ('VL09', 'settings', 'form_id must begin with a letter and hold letters, digits, _ and - only'), ('VL11', 'yn', 'value used more than once: y'), ('VL24', '6', 'calculation: a field''s name has no spaces')) AS t(rule, location, message)""")
-def validate_form(spark, d):
-    choices = sheet_frame(spark, [{"excel_row": k + 2, "list_name": n, "value": v, "label": lab} for k, (n, v, lab) in enumerate([("yn", "y", "Yes"), ("yn", "n", "No"), ("yn", "y", "Yes again"), ("empty", "1", None)])])
-    settings = sheet_frame(spark, [{"form_title": "T", "form_id": "1x"}])
-    return form_rules.validate(nested_sheet(spark), choices, settings).select("rule", "location", "message")
+# ---- rules
 
 
 @query("""
@@ -214,12 +152,6 @@ def validate_duplicates_orphans(spark, d):
     return twice.unionByName(form_rules.lists_exist(selects, choices)).select("rule", "message")
 
 
-@query("SELECT list_name, kept_name FROM (VALUES ('yn', 'yn'), ('yesno', 'yn'), ('order', 'order'), ('case', 'case')) AS t(list_name, kept_name)")
-def choice_lists_shared(spark, d):
-    data = [("yn", "y", "Yes"), ("yn", "n", "No"), ("yesno", "y", "Yes"), ("yesno", "n", "No"), ("order", "n", "No"), ("order", "y", "Yes"), ("case", "y", "yes"), ("case", "n", "No")]
-    return common.list_prints(sheet_frame(spark, [{"excel_row": k + 2, "list_name": n, "value": v, "label": x} for k, (n, v, x) in enumerate(data)])).select("list_name", "kept_name")
-
-
 @query("""
 WITH x AS (SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace(n_name || '-' || (n_nationkey % 3), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^[A-Z]+_', '') AS s FROM nation),
 y AS (SELECT n_nationkey, 'q_' || s AS s, row_number() OVER (PARTITION BY s ORDER BY n_nationkey) AS n FROM x)
@@ -247,12 +179,6 @@ def patch_apply(spark, d):
     return new.choices
 
 
-@query("SELECT name, calculation, relevance FROM (VALUES ('c', '${size} * 2 + ${a}', NULL), ('d', 'sum(${c}) + ${e}', NULL), ('e', '${d} + ${missing}', 'selected(${a}, ''y'')'), ('r', NULL, '${size} > 1'), ('g1', NULL, '${a} = ''x'''), ('size', NULL, NULL)) AS t(name, calculation, relevance)")
-def patch_rename(spark, d):
-    new, _ = patches.apply(patches.Sheets(nested_sheet(spark), nested_sheet(spark), {}), [{"op": "rename", "kind": "field", "old_name": "b", "new_name": "size"}])
-    return new.survey.where("name in ('c', 'd', 'e', 'g1', 'size') or (name = 'r' and type like 'begin%')").where("type not like 'end%'").select("name", F.regexp_replace("calculation", r"\$\{ a \}", "\\${a}").alias("calculation"), "relevance")
-
-
 # ---- translations and texts
 
 

@@ -421,15 +421,6 @@ def sheet_rules(spark, d):
     return form_rules.unique_names(survey).select("rule", "message").unionByName(form_rules.lists_exist(selects, choices).select("rule", "message"))
 
 
-@query("SELECT rule, count(*) AS n FROM (VALUES ('VL12'), ('VL13'), ('VL14'), ('VL15')) AS t(rule) GROUP BY 1")
-def expression_findings(spark, d):
-    f = forms.Form(
-        [{"type": "select_multiple l", "name": "m"}, {"type": "begin repeat", "name": "r"}, {"type": "integer", "name": "v"}, {"type": "end repeat"}, {"type": "calculate", "name": "c", "calculation": "${v} + 1"}, {"type": "text", "name": "t", "relevance": "${m} = 'q' and random() > 0.5"}],
-        [{"list_name": "l", "value": "1", "label": "x"}],
-    )
-    return spark.createDataFrame([(r[1],) for r in form_rules.expression_rules(f)], "rule string").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- sources: a form, a bundle or a survey made of each row, and read as any number of files
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,19 @@ def expression_rules(form: Form) -> list[tuple]:
     return out
 
 
+def expression_rules_of(survey: DataFrame, choices: DataFrame, form: str = "form") -> DataFrame:
+    """(form, severity, rule, location, message) for a table of forms: the sheets of one form, some hundred rows, are a group."""
+    kind = survey.schema[form].dataType.simpleString()
+
+    def one(key, sheet, listed):
+        rows_of = lambda df: [{k: v for k, v in r.items() if k != form and v is not None and v == v} for r in df.to_dict("records")]
+        rows = sorted(rows_of(sheet), key=lambda r: r["excel_row"])
+        found = expression_rules(Form(rows, rows_of(listed)))
+        return pd.DataFrame([(key[0], *x) for x in found], columns=[form, "severity", "rule", "location", "message"])
+
+    return survey.groupBy(form).cogroup(choices.groupBy(form)).applyInPandas(one, f"`{form}` {kind}, {SCHEMA}")
+
+
 #: What a symptom seen in use points to (VL24).
 SYMPTOMS = {
     r"\bif\([^,()]*\)": "if() needs a value for true and one for false",
@@ -142,6 +156,13 @@ def report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def warnings(found: DataFrame) -> DataFrame:
+    """A line a rule for a form's summary: severity, rule, how many findings, and the first of them by place and message."""
+    place = F.struct(F.col("location").try_cast("bigint").alias("at"), "location", "message")
+    lines = found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    return lines.select("severity", "rule", "n", F.col("first.location").alias("first_location"), F.col("first.message").alias("first_message"))
+
+
 def checklist(form: Form) -> dict[str, bool]:
     """The conversion checklist as questions about a converted form."""
     fields = list(form.fields.values())

@@ -22,7 +22,7 @@ def test_query(spark, data, con, name):
         assert df.count() > 0
 
 
-@pytest.mark.parametrize("module", ["catalogue", "queries_data", "queries_forms", "queries_more"])
+@pytest.mark.parametrize("module", ["catalogue", "queries_data", "queries_forms", "queries_more", "queries_rules", "queries_scale"])
 def test_modules_import_first(module):
     subprocess.run([sys.executable, "-c", f"import formloom.{module}"], check=True)
 

@@ -190,3 +190,26 @@ def test_translation_rules(spark):
     big = spark.range(20_000).withColumnRenamed("id", "excel_row")
     assert 800 < translation_rules.spot_check(big).count() < 1200
     assert "| Term |" in translation_rules.glossary_markdown([("cat", {"fr": "chat"})], ["fr"])
+
+
+def test_expression_rules_of_many_forms(spark):
+    """The same findings as from each form alone, whatever the tasks its rows lie in."""
+    import random
+
+    rows, choices = [], []
+    for f in range(6):
+        rows += [(f, 2, "select_multiple l", "m", None, None), (f, 3, "begin repeat", "r", None, None), (f, 4, "integer", "v", None, None), (f, 5, "end repeat", None, None, None)]
+        rows.append((f, 6, "calculate", "c", "${v} + 1" if f % 2 else "1 + 1", None))
+        rows.append((f, 7, "text", "t", None, "${m} = 'q'" if f % 3 else None))
+        choices.append((f, 2, "l", "1", "One"))
+    random.Random(1).shuffle(rows)
+    survey = spark.createDataFrame(rows, "form int, excel_row int, type string, name string, calculation string, relevance string").repartition(5)
+    listed = spark.createDataFrame(choices, "form int, excel_row int, list_name string, value string, label string")
+    got = {}
+    for r in form_rules.expression_rules_of(survey, listed).collect():
+        got.setdefault(r["form"], []).append(tuple(r)[1:])
+    for f in range(6):
+        names = ("excel_row", "type", "name", "calculation", "relevance")
+        own = [{k: v for k, v in zip(names, r[1:]) if v is not None} for r in sorted(rows) if r[0] == f]
+        want = form_rules.expression_rules(Form(own, [{"list_name": "l", "value": "1", "label": "One"}]))
+        assert sorted(got.get(f, [])) == sorted(map(tuple, want))
