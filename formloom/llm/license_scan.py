@@ -16,6 +16,12 @@ which nine words in ten must be there.  Where several templates fit one place
 the one of most aligned words wins, weighed by the words left over on both
 sides; every place is reported.
 
+An SPDX expression (``SPDX-License-Identifier: (MIT OR Apache-2.0+)``) names each
+of its licenses; its identifiers are read as they stand, those without "only" or
+"or later" as they were meant before there were these, and ``+`` as or later.
+The German word "mit" is not the license: in small letters it counts only beside
+a word for a license, or in an address.
+
 Where to align: a template is tried only in texts that hold its telling words,
 or enough of its others, in windows of twice its length around them, then in closer ones.
 
@@ -43,14 +49,16 @@ from .arrow_io import map_rows
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 _MARKED = re.compile(r"\[\[(.*?)\]\]", re.DOTALL)
 _VERSION = re.compile(r"v?(\d{1,2}(?:\.\d{1,2})*)")
+_SPDX = re.compile(r"SPDX-License-Identifier:[\x20\t]*", re.IGNORECASE)
+_SPDX_TOKEN = re.compile(r"[\x20\t]*([A-Za-z0-9][A-Za-z0-9.\-]*\+?|[()])")
 _SHORT = re.compile(r"(?:[al]?gpl|mpl|epl)v?\d[\d.]*")
 #: Words that name a license or tell its variants apart.
 TELLING = frozenset(
     """mit isc bsd 0bsd apache mozilla mpl eclipse epl boost bsl zlib unlicense unencumbered gnu gpl lgpl agpl gfdl affero lesser library
-    cc cc0 creative commons by nc sa nd noncommercial sharealike noderivatives noderivs attribution zero simplified new modified later only style rights reserved spdx""".split()
+    cc cc0 creative commons by nc sa nd noncommercial sharealike noderivatives noderivs attribution zero simplified new modified later newer only style rights reserved spdx""".split()
 )
 #: Words that are telling only in names: elsewhere they are everyday words.
-_EVERYDAY = frozenset("by new only style library later zero rights reserved modified simplified creative commons attribution".split())
+_EVERYDAY = frozenset("by new newer only style library later zero rights reserved modified simplified creative commons attribution".split())
 
 
 @dataclass(frozen=True)
@@ -68,13 +76,21 @@ def is_telling(word: str, kind: str) -> bool:
     return bool(_VERSION.fullmatch(word) or _SHORT.fullmatch(word)) or word in TELLING and (kind == "name" or word not in _EVERYDAY)
 
 
+_LICENSED = re.compile(r"[\s\-]+(?:(?i:licen[sc]e|lizenz)|style)")
+_LICENSED_BEFORE = re.compile(r"(?i:licen[sc]e[ds]?|lizenz|under)[\s:\-]+\Z|/\Z")
+
+
 def split_words(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, word) in lower case; a version's leading v is left out."""
+    """(start, end, word) in lower case; a version's leading v is left out, and a plus behind it is "later"."""
     out = []
     for m in _WORD.finditer(text):
         w = m[0].lower()
         v = _VERSION.fullmatch(w)
+        if w == "mit" and m[0] != "MIT" and not _LICENSED.match(text, m.end()) and not _LICENSED_BEFORE.search(text, max(0, m.start() - 16), m.start()):
+            w = "mit-"
         out.append((m.start(), m.end(), v[1] if v else w))
+        if text[m.end() : m.end() + 1] == "+" and w[-1].isdigit():
+            out.append((m.end(), m.end() + 1, "later"))
     return out
 
 
@@ -99,10 +115,13 @@ def families() -> list[Template]:
         if (v == "2.1") != (short == "L" and v != "3") or (short == "A" and v != "3"):
             continue
         id_, full = f"{short}GPL-{v}{'' if '.' in v else '.0'}", f"GNU {name}General Public License"
-        for text in (f"{full}, version {v}", f"{full} v{v}", f"{full} {v}", f"GNU {short}GPL v{v}", f"{short}GPL version {v}", f"{short}GPL {v}", f"{short}GPLv{v}"):
+        dotted = () if "." in v else (f"{full}, version {v}.0", f"{full} v{v}.0", f"{short}GPL v{v}.0", f"{short}GPLv{v}.0")
+        for text in (*dotted, f"{full}, version {v}", f"{full} v{v}", f"{full} {v}", f"GNU {short}GPL v{v}", f"{short}GPL version {v}", f"{short}GPL {v}", f"{short}GPLv{v}"):
             out.append(template(f"{id_}-only", "name", text))
-            for later in ("or later", "or any later version", "or (at your option) any later version"):
-                out.append(template(f"{id_}-or-later", "name", f"{text}, {later}"))
+            for later in (", or later", ", or newer", ", or any later version", ", or (at your option) any later version", "+"):
+                out.append(template(f"{id_}-or-later", "name", f"{text}{later}"))
+        for host, end in product(("gnu.org", "www.gnu.org"), ("", ".html", ".txt", ".en.html")):
+            out.append(template(f"{id_}-only", "name", f"{host}/licenses/{short.lower()}gpl-{v}{'' if '.' in v else '.0'}{end}"))
         out.append(template(f"{id_}-only", "name", f"This work is licensed under the {full}, version {v}."))
         out.append(
             template(
@@ -127,14 +146,56 @@ def families() -> list[Template]:
         where = {"4.0": "International", "3.0": "Unported"}.get(v, "Generic")
         texts = [f"CC {parts} {v}", f"CC {parts} version {v}", f"Licensed under CC {parts} {v}.", f"Creative Commons {full} {v}", f"Creative Commons {full} {v} {where} License", f"{full} {v} {where}", f"{full} {v}"]
         texts.append(f"This work is licensed under a Creative Commons {full} {v} {where} License.")
+        texts.append(f"creativecommons.org/licenses/{parts.lower()}/{v}")
         out += [template(f"CC-{parts}-{v}", "name", t) for t in texts]
+    zero = ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0", "creativecommons.org/publicdomain/zero/1.0")
+    names = {
+        "CC0-1.0": zero,
+        "MIT": ("License: MIT", "MIT licensed", "licensed under MIT", "opensource.org/licenses/MIT", "opensource.org/license/mit"),
+        "Apache-2.0": ("Apache 2.0", "License: Apache 2.0", "www.apache.org/licenses/LICENSE-2.0", "apache.org/licenses/LICENSE-2.0", "opensource.org/licenses/Apache-2.0"),
+        "BSD-3-Clause": ("3-Clause BSD License", "BSD 3-Clause", "opensource.org/licenses/BSD-3-Clause"), "BSD-2-Clause": ("2-Clause BSD License", "BSD 2-Clause", "opensource.org/licenses/BSD-2-Clause"),
+        "ISC": ("License: ISC", "opensource.org/licenses/ISC"), "MPL-2.0": ("mozilla.org/MPL/2.0", "www.mozilla.org/MPL/2.0", "opensource.org/licenses/MPL-2.0"),
+    }
+    return out + [template(i, "name", t) for i, texts in names.items() for t in texts]
+
+
+def identifiers(known: list[Template]) -> dict[str, str]:
+    """SPDX identifiers in small letters, older ones among them, and what they are called here."""
+    ids = {t.license for t in known if t.license not in ("all-rights-reserved", "BSD") and not t.license.endswith("-text")}
+    out = {i.lower(): i for i in ids}
+    for i in ids:
+        if i.endswith("-or-later"):
+            stem = i.removesuffix("-or-later")
+            out[f"{stem}+".lower()] = i
+            out[stem.lower()] = f"{stem}-only"
+    return out
+
+
+def expression_ids(text: str, at: int) -> list[tuple[int, int, str]]:
+    """(start, end, identifier) of an SPDX expression that begins at a place, as far as it is one."""
+    out, wanted, depth = [], True, 0
+    while m := _SPDX_TOKEN.match(text, at):
+        t = m[1]
+        if wanted and t == "(":
+            depth += 1
+        elif wanted and t != ")" and t.upper() not in ("AND", "OR", "WITH"):
+            out.append((m.start(1), m.end(1), t))
+            wanted = False
+        elif not wanted and t == ")" and depth:
+            depth -= 1
+        elif not wanted and t in ("AND", "OR", "and", "or"):
+            wanted = True
+        elif not wanted and t in ("WITH", "with") and (e := _SPDX_TOKEN.match(text, m.end())):
+            m = e  # an exception's name
+        else:
+            break
+        at = m.end()
     return out
 
 
 def templates() -> list[Template]:
     known = written(files(__package__).joinpath("licenses.txt").read_text(encoding="utf-8")) + families()
-    ids = sorted({t.license for t in known if t.license not in ("all-rights-reserved", "BSD") and not t.license.endswith("-text")})
-    return known + [template(i, "name", f"SPDX-License-Identifier: {i}") for i in ids]
+    return known
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,8 +265,12 @@ def densest(pairs: list[tuple[int, int]], size: int, need: int) -> tuple[float,
     """Of runs of at least ``need`` aligned pairs: (weight, pairs, first word, last word) of the best.
 
     The weight is the number of pairs, times their share of all words that the
-    template and the place have between them.
+    template and the place have between them. For long templates the run is the
+    one of the greatest sum of a point a pair less a quarter of one for each other
+    word between: one pass, and near the heaviest.
     """
+    if len(pairs) > 400:
+        return _run(pairs, size, need)
     best = (0.0, 0, 0, 0)
     for p in range(len(pairs) - need + 1):
         for q in range(len(pairs), p + need - 1, -1):
@@ -214,6 +279,22 @@ def densest(pairs: list[tuple[int, int]], size: int, need: int) -> tuple[float,
     return best
 
 
+def _run(pairs: list[tuple[int, int]], size: int, need: int) -> tuple[float, int, int, int]:
+    score, start, best = 0.0, 0, (0.0, 0, 0)
+    for k, (at, _) in enumerate(pairs):
+        gap = (at - pairs[k - 1][0] - 1) / 4 if k else 0.0
+        if score <= gap:
+            score, start = 0.0, k
+        else:
+            score -= gap
+        score += 1
+        best = max(best, (score, start, k))
+    _, p, q = best
+    p, q = min(p, max(0, q + 1 - need)), max(q, min(len(pairs) - 1, p + need - 1))
+    n, first, last = q - p + 1, pairs[p][0], pairs[q][0]
+    return (n * n / (size + last - first + 1 - n), n, first, last) if n >= need else (0.0, 0, 0, 0)
+
+
 @dataclass(frozen=True)
 class Found:
     weight: float
@@ -276,6 +357,7 @@ class Matcher:
 class LicenseScanner:
     def __init__(self, known: list[Template], least: float = 0.8):
         self.matchers = [Matcher(t, least) for t in dict.fromkeys(known)]
+        self.ids = identifiers(known)
         self.roots = set().union(*(m.roots for m in self.matchers))
         # a root is looked for only if no other root lies inside it
         self.inside = sorted(r for r in self.roots if not any(o != r and o in r for o in self.roots))
@@ -283,14 +365,19 @@ class LicenseScanner:
     def scan(self, text: str | None) -> list[tuple[float, int, str, int, int]]:
         """(coverage, aligned words, license, start, end) of each place, the heaviest first; places do not overlap."""
         low = (text or "").lower()
-        if not any(r in low for r in self.inside):
+        named = [x for m in _SPDX.finditer(text or "") for x in expression_ids(text, m.end()) if x[2].lower() in self.ids]
+        if not named and not any(r in low for r in self.inside):
             return []
         parts = split_words(text)
         words = [w for _, _, w in parts]
         at: dict[str, list[int]] = {}
         for k, w in enumerate(words):
             at.setdefault(w, []).append(k)
+        starts = [a for a, _, _ in parts]
         found = []
+        for a, b, i in named:  # heavier than any name
+            first, last = bisect_left(starts, a), bisect_left(starts, b) - 1
+            found.append(Found(float("inf"), 1.0, last - first + 1, self.ids[i.lower()], first, last))
         for m in self.matchers:
             if (m.telling <= at.keys() if m.telling else not m.roots.isdisjoint(at.keys())) and sum(w in at for w in m.t.words) >= m.need:
                 found += m.places(words, at)

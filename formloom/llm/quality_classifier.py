@@ -49,7 +49,7 @@ BITS = 20
 #: Hashes of a word: itself, and its first three, four and five letters.
 STRIDE = 4
 #: Parts of the reviewed rows; words remembered in a task; languages with words of their own.
-FOLDS, REMEMBERED, LANGUAGES = 4, 200_000, 64
+FOLDS, REMEMBERED, LANGUAGES = 4, 300_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CAPITALS = bytes(range(65, 91))
 _SMALL = bytes(range(97, 123))
@@ -98,10 +98,36 @@ N_VOTES = len(LABELLERS) + len(LEARNT) + 1
 NAMES = (*LABELLERS, *LEARNT)
 
 
-def word_hashes(word: str) -> list[int]:
+def word_hashes(word: str) -> tuple[int, int, int, int]:
     """STRIDE hashes; -1 where the word is no longer than that beginning."""
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(f"={word}".encode("utf-8", "surrogatepass")) & mask] + [zlib.crc32(f"{word[:k]}-".encode("utf-8", "surrogatepass")) & mask if len(word) > k else -1 for k in (3, 4, 5)]
+    mask, n, crc = (1 << BITS) - 1, len(word), zlib.crc32
+    return (
+        crc(word.encode()) & mask, crc(word[:3].encode(), 3) & mask if n > 3 else -1,
+        crc(word[:4].encode(), 4) & mask if n > 4 else -1, crc(word[:5].encode(), 5) & mask if n > 5 else -1,
+    )
+
+
+class Telling:
+    """What a function of words finds, of the few words where it finds anything; the others are remembered, so many at most."""
+
+    def __init__(self, made):
+        self.made, self.found, self.nothing = made, {}, set()
+
+    def __call__(self, words: set[str]) -> list:
+        out = []
+        for w in words - self.nothing:
+            got = self.found.get(w)
+            if got is None:
+                got = self.made(w)
+                if got is None:
+                    if len(self.nothing) >= REMEMBERED:
+                        self.nothing.clear()
+                    self.nothing.add(w)
+                    continue
+                if len(self.found) < REMEMBERED:
+                    self.found[w] = got
+            out.append(got)
+        return out
 
 
 @dataclass
@@ -120,33 +146,19 @@ class Abuse:
         toxic = lambda yes: 2 if yes else ABSTAIN
         return 2 if hits and share >= self.rate else 0, toxic(hits and share >= 2 * self.rate), toxic(whole and share >= self.rate / 2)
 
-    def tells(self, fold: int = FOLDS):
-        """Whether a word tells abuse, and as a whole, as far as the fold may know."""
+    def tells(self, fold: int = FOLDS) -> Telling:
+        """Of words that tell abuse, as far as the fold may know: whether as a whole."""
         telling = self.words[fold]
 
-        def both(word: str) -> tuple[bool, bool]:
+        def made(word: str) -> bool | None:
             own = word_hashes(word)
-            return not telling.isdisjoint(own), own[0] in telling
-
-        return Remembered(both)
+            return None if telling.isdisjoint(own) else own[0] in telling
 
-    def of_text(self, m: Measured, tells: dict, fold: int = FOLDS) -> tuple[int, ...]:
-        told = [tells[w] for w in m.vocabulary] if self.words[fold] else []
-        return self.votes(sum(x for x, _ in told), sum(x for _, x in told), len(m.vocabulary), bool(self.words[fold]))
+        return Telling(made)
 
-
-class Remembered(dict):
-    """A function of words that remembers what it found, of so many words at most."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, word: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = self.made(word)
-        return got
+    def of_text(self, m: Measured, tells: Telling, fold: int = FOLDS) -> tuple[int, ...]:
+        told = tells(m.vocabulary) if self.words[fold] else []
+        return self.votes(len(told), sum(told), len(m.vocabulary), bool(self.words[fold]))
 
 
 def packed(votes: Iterator[int]) -> int:
@@ -162,9 +174,14 @@ def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fol
     ``least`` of them do.
     """
     size = 1 << BITS
-    of = [np.unique(r[r >= 0]) for r in rows]
     groups = sorted(set(lang.tolist()), key=lambda g: -(lang == g).sum())
-    count = lambda at: np.bincount(np.concatenate([of[k] for k in at]), minlength=size) if len(at) else np.zeros(size, int)
+
+    def count(at: np.ndarray) -> np.ndarray:
+        out = np.zeros(size, np.int32)
+        for k in range(0, len(at), 500):
+            out += np.bincount(np.concatenate([np.unique(rows[j][rows[j] >= 0]) for j in at[k : k + 500]]), minlength=size).astype(np.int32)
+        return out
+
     seen, expected, spread = (np.zeros((FOLDS + 1, size), np.float32) for _ in range(3))
     for n, g in enumerate([*groups[:LANGUAGES], None]):
         here = lang == g if g is not None else ~np.isin(lang, groups[:LANGUAGES])
@@ -240,7 +257,7 @@ def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0) -> np
     more so the longer the text, and so would words that speak for clean.
     """
     size, k = 1 << BITS, len(CLASSES)
-    n = np.zeros((size, k))
+    n = np.zeros((size, k), np.float32)
     for part in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) // 500))):
         of = np.repeat(part, [len(rows[r]) for r in part])
         at = np.concatenate([rows[r] for r in part])
@@ -285,24 +302,25 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, bat
 class Scorer:
     def __init__(self, weight: np.ndarray, abuse: Abuse):
         self.weight, self.abuse = weight.astype(np.float32), abuse
-        self.live = self.weight[:-1].any(axis=1)
+        self.live = frozenset(np.nonzero(self.weight[:-1].any(axis=1))[0].tolist())
         self._words = None
 
     def __getstate__(self):
         return self.__dict__ | {"_words": None}
 
-    def _word(self, word: str) -> tuple[list[int], bool, bool]:
+    def _word(self, word: str) -> tuple[frozenset, bool, bool] | None:
         """The hashes with a weight; whether the word tells abuse, and as a whole."""
         own, telling = word_hashes(word), self.abuse.words[FOLDS]
-        return [h for h in own if h >= 0 and self.live[h]], not telling.isdisjoint(own), own[0] in telling
+        if self.live.isdisjoint(own) and telling.isdisjoint(own):
+            return None
+        return self.live.intersection(own), not telling.isdisjoint(own), own[0] in telling
 
     def __call__(self, text: str | None) -> np.ndarray:
         if self._words is None:
-            self._words = Remembered(self._word)
+            self._words = Telling(self._word)
         m, found, hits, whole = Measured(text), set(), 0, 0
-        for w in m.vocabulary:
-            live, hit, word = self._words[w]
-            found.update(live)
+        for live, hit, word in self._words(m.vocabulary):
+            found |= live
             hits += hit
             whole += word
         form = [vote(m) for vote in LABELLERS.values()]
@@ -376,7 +394,8 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
         form_votes = [form[k] >> 2 * j & 3 for j in range(len(LABELLERS))]
         cast_on[k] = packed([*form_votes, *learnt, int(label[k])])
         own.append(np.unique(np.concatenate([r[r >= 0], np.array(against([*form_votes, *learnt]), np.int32)])))
-    target = posteriors(cast_on, share, vote, say) if len(rows) else np.zeros((0, len(CLASSES)))
+    del rows, values, lists, train  # the driver holds one copy of the hashes at a time
+    target = posteriors(cast_on, share, vote, say) if own else np.zeros((0, len(CLASSES)))
     order = sorted(range(len(own)), key=lambda k: (own[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
     return Scorer(fit_linear([own[k] for k in order], target[order]), abuse), {"share": share, "vote": vote, "rate": abuse.rate}
 
