@@ -6,7 +6,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..expressions.analysis import native
@@ -50,17 +50,21 @@ def safe_names(names: list[str], report=None) -> dict[str, str]:
     return out
 
 
+def safe_stem(name: Column) -> Column:
+    """A safe name by itself, whatever other names there are."""
+    s = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_]", "_"), r"_+", "_")
+    s = F.regexp_replace(s, r"^_+|_+$", "")
+    return F.when(s == "", F.lit("field")).when(s.rlike(r"^\d"), F.concat(F.lit("q_"), s)).otherwise(s)
+
+
 def safe_name_column(df: DataFrame, name: str, order: str, out: str = "safe_name") -> DataFrame:
     """Safe names over a column, for very many fields at once: of those that meet, all but the first get _2, _3, ...
 
     Where a numbered name is another field's own, the number stands behind two
     underscores, which no field's own name has: no two names are alike.
     """
-    s = F.regexp_replace(F.regexp_replace(F.col(name), r"[^A-Za-z0-9_]", "_"), r"_+", "_")
-    s = F.regexp_replace(s, r"^_+|_+$", "")
-    s = F.when(s == "", F.lit("field")).when(s.rlike(r"^\d"), F.concat(F.lit("q_"), s)).otherwise(s)
     base, place, taken = F.col("__base"), F.col("__place"), F.col("__taken")
-    df = df.withColumn("__base", s).withColumn("__place", F.row_number().over(Window.partitionBy("__base").orderBy(order)))
+    df = df.withColumn("__base", safe_stem(F.col(name))).withColumn("__place", F.row_number().over(Window.partitionBy("__base").orderBy(order)))
     df = df.withColumn("__numbered", F.concat_ws("_", base, place.cast("string")))
     df = df.join(df.select(base.alias("__taken")).distinct(), (F.col("__numbered") == taken) & (place > 1), "left")
     named = F.when(place == 1, base).when(taken.isNull(), F.col("__numbered")).otherwise(F.concat_ws("__", base, place.cast("string")))

@@ -36,10 +36,10 @@ class Sessions:
             return new.version, report
 
     def export(self, key: str, folder: str, version: int | None = None) -> None:
-        """The sheets as a bundle: CSV for survey and choices, JSON for settings."""
+        """The sheets as a bundle: CSV for survey and choices (a file a partition; rows bear their numbers), JSON for settings."""
         s = self.current(key, version)
         for name, df in (("survey", s.survey), ("choices", s.choices)):
-            df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+            df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
         settings = s.survey.sparkSession.createDataFrame([(json.dumps(s.settings, ensure_ascii=False),)], "value string")
         settings.coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
 

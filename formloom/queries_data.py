@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .expressions.compiler import compile_expr, scope_of
 from .functions import lists
-from .operators import choices, lookup, repeat_plans, repeats
+from .operators import choices, lookup, positions, repeat_plans, repeats
 from .plans import explore, publish
 from .plans.published import PublishedDataset
 from .registration import CATALOGUE, query, table
@@ -434,8 +434,9 @@ def enumerator_ids(spark, d):
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS value, row_number() OVER (ORDER BY CAST(n_regionkey AS DOUBLE), n_name) AS place FROM nation")
 def choices_sorted(spark, d):
-    rows = choices.sorted_by(table(spark, d, "nation"), "n_regionkey", "n_name").agg(F.collect_list(F.col("n_nationkey").cast("string")).alias("v"))  # a list of choices is short
-    return rows.select(F.posexplode("v").alias("p", "value")).select("value", (F.col("p") + 1).cast("bigint").alias("place"))
+    number = F.col("n_regionkey").cast("string").try_cast("double")
+    placed = positions.row_numbers(table(spark, d, "nation"), [number.asc_nulls_last(), F.asc("n_name")], "place")
+    return placed.select(F.col("n_nationkey").cast("string").alias("value"), "place")
 
 
 @query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")

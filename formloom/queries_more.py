@@ -6,6 +6,7 @@ import json
 import uuid
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .convert import common, xlsforms
@@ -372,9 +373,13 @@ def _bilingual(spark, d):
     )
 
 
-@query("SELECT 'de' AS language, 2 AS n_columns UNION ALL SELECT '', 2")
+@query("""
+SELECT 'de' AS language, 2 AS n_columns, count(*) FILTER (WHERE p_size % 4 > 0) + count(*) FILTER (WHERE p_size > 20) AS n_cells FROM part
+UNION ALL SELECT '', 2, count(*) + count(*) FILTER (WHERE p_size > 10) FROM part""")
 def translation_languages(spark, d):
-    return spark.createDataFrame([(lang, len(cols)) for lang, cols in translation_rules.languages(_bilingual(spark, d).columns).items()], "language string, n_columns int")
+    """Languages, their columns, and how many cells of these are filled."""
+    sheet = _bilingual(spark, d)
+    return translation_rules.inventory(sheet)
 
 
 @query("""SELECT CAST(p_partkey + 1 AS INTEGER) AS excel_row FROM part WHERE p_size % 4 > 0""")
@@ -393,9 +398,12 @@ def translation_changed_keys(spark, d):
     return translation_rules.changed_keys(sheet, sheet.withColumn("name", F.when(F.col("p_size") == 7, F.upper("name")).otherwise(F.col("name"))), ["excel_row", "name"])
 
 
-@query("SELECT 'label:de' AS \"column\" UNION ALL SELECT 'media:image:de'")
+@query("""
+SELECT 'label:de' AS "column", count(*) FILTER (WHERE p_size % 4 > 0) AS n_cells FROM part UNION ALL SELECT 'media:image:de', count(*) FILTER (WHERE p_size > 20) FROM part""")
 def translation_default_suffix(spark, d):
-    return spark.createDataFrame([(c,) for c in translation_rules.default_unsuffixed(_bilingual(spark, d).columns, "de")], "column string")
+    """Columns that bear the default language's suffix, and how many cells would have to move."""
+    sheet = _bilingual(spark, d)
+    return translation_rules.filled(sheet, translation_rules.default_unsuffixed(sheet.columns, "de"))
 
 
 @query("SELECT n BETWEEN total * 0.02 AND total * 0.09 AS enough FROM (SELECT count(*) AS total, count(*) * 0.05 AS n FROM orders)")
@@ -499,9 +507,9 @@ def plug_in_answers(spark, d):
 
 @query("SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'a_b' WHEN 1 THEN 'q_1x' WHEN 2 THEN 'field' ELSE 'n' || n_nationkey END AS safe FROM nation")
 def converted_names(spark, d):
-    raw = {0: "a--b", 1: "1x", 2: "??"}
-    made = [(r["n_nationkey"], common.safe_name(raw.get(r["n_nationkey"] % 4, f"n{r['n_nationkey']}"))) for r in table(spark, d, "nation").select("n_nationkey").toLocalIterator()]
-    return spark.createDataFrame(made, table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.lit("").alias("safe")).schema)
+    k = F.col("n_nationkey")
+    raw = F.when(k % 4 == 0, "a--b").when(k % 4 == 1, "1x").when(k % 4 == 2, "??").otherwise(F.concat(F.lit("n"), k))
+    return table(spark, d, "nation").select(k.alias("k"), common.safe_stem(raw).alias("safe"))
 
 
 # ---- conversions and workbooks
@@ -577,12 +585,24 @@ def conversion_report(spark, d):
     return spark.createDataFrame(rows_, "item string, status string")
 
 
-@query("SELECT CAST(n_nationkey + 2 AS INTEGER) AS excel_row, n_name AS name, 'in ' || n_regionkey || ' & <b>' AS label FROM nation")
+@query("""
+SELECT n_regionkey AS book, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS INTEGER) AS excel_row, n_name AS name, 'in ' || n_regionkey || ' & <b>' AS label FROM nation""")
 def workbook_sheets(spark, d):
-    """A sheet written to a workbook and read again."""
-    n = table(spark, d, "nation").orderBy("n_nationkey").collect()
-    data = sheets.write_xlsx({"survey": [{"type": "text", "name": r["n_name"], "label": f"in {r['n_regionkey']} & <b>"} for r in n], "choices": [], "settings": [{"form_id": "x"}]})
-    return sheets.sheet_frame(spark, sheets.read_xlsx(data)["survey"]).select("excel_row", "name", "label")
+    """A workbook of each region's nations written, and all of them read again, each in a task of its own."""
+
+    def written(key, nations):
+        rows_ = nations.sort_values("n_nationkey").to_dict("records")
+        content = sheets.write_xlsx({"survey": [{"type": "text", "name": r["n_name"], "label": f"in {r['n_regionkey']} & <b>"} for r in rows_], "choices": [], "settings": [{"form_id": "x"}]})
+        return pd.DataFrame([(key[0], content)], columns=["book", "content"])
+
+    def read(batches):
+        for files in batches:
+            for book, content in files.itertuples(index=False):
+                survey = sheets.read_xlsx(content)["survey"]
+                yield pd.DataFrame([(book, r.get("excel_row", k + 2), r["name"], r["label"]) for k, r in enumerate(survey)], columns=["book", "excel_row", "name", "label"])
+
+    books = table(spark, d, "nation").groupBy("n_regionkey").applyInPandas(written, "book int, content binary")
+    return books.mapInPandas(read, "book int, excel_row int, name string, label string")
 
 
 @query("SELECT 4 AS bins, 'v' AS field, 'w' AS filtered")

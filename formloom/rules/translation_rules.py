@@ -31,6 +31,19 @@ def _pairs(sheet: DataFrame, stems: tuple[str, ...] = ("label", "hint")) -> list
     return [(s, f"{s}:{lang}", lang) for lang, have in languages(sheet.columns).items() if lang for s in have if s in stems and s in sheet.columns]
 
 
+def filled(sheet: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_cells): how many cells of each column are filled."""
+    some = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) != "").alias("some")) for c in columns]))
+    return sheet.select(some.alias("c")).groupBy("c.column").agg(F.count_if("c.some").alias("n_cells"))
+
+
+def inventory(sheet: DataFrame) -> DataFrame:
+    """(language, n_columns, n_cells) of a sheet's languages; the default one has no name."""
+    of = {f"{stem}:{lang}" if lang else stem: lang for lang, stems in languages(sheet.columns).items() for stem in stems}
+    lang = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("column"))
+    return filled(sheet, list(of)).groupBy(lang.alias("language")).agg(F.count(F.lit(1)).cast("int").alias("n_columns"), F.sum("n_cells").alias("n_cells"))
+
+
 def missing(sheet: DataFrame) -> DataFrame:
     """Texts of the default language without a translation (what an incremental run has to do)."""
     parts = [sheet.where((_c(a) != "") & (_c(b) == "")).select("excel_row", F.lit(a).alias("column"), F.lit(lang).alias("language")) for a, b, lang in _pairs(sheet, TRANSLATED)]
