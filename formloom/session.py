@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,26 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "/tmp/formloom").rstrip("/")
 
 
+#: The setting that names the folder of a ``scratch`` block.
+SCRATCH = "formloom.scratch.dir"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What operators store within the block lies in one folder, which goes when the block ends: use or write results inside it."""
+    path, before = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex[:12]}", spark.conf.get(SCRATCH, None)
+    spark.conf.set(SCRATCH, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(SCRATCH, before) if before else spark.conf.unset(SCRATCH)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, what: str, folders: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: it is computed once, and its lineage ends here. ``folders``: a column whose values get a folder each."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{spark.conf.get(SCRATCH, None) or shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
     (df.write.partitionBy(folders) if folders else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)

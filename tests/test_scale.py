@@ -121,3 +121,18 @@ def test_text_index_equals_the_scan(spark):
     with pytest.raises(ValueError):
         index.search("x", 21)
     assert text_index.TextIndex(texts.limit(0), "id", "text").search("rare").collect() == []
+
+
+def test_scratch_goes(spark):
+    from pathlib import Path
+
+    from formloom.session import SCRATCH, scratch
+
+    df = spark.range(50).select(F.col("id").cast("int").alias("id"))
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            assert sorted(r.n for r in row_numbers(df, ["id"], "n").collect()) == list(range(1, 51))
+            here = Path(inner.removeprefix("file://"))
+            assert any(here.iterdir()) and spark.conf.get(SCRATCH) == inner
+        assert not here.exists() and spark.conf.get(SCRATCH) == outer
+    assert spark.conf.get(SCRATCH, None) is None
