@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbers_within
+
 
 def nest(parents: DataFrame, instances: DataFrame, key: str, foreign: str, order: list[str], members: dict[str, str], name: str) -> DataFrame:
     """parents with the array column ``name`` of their instances, in ``order``; parents without any get an empty array.
@@ -23,6 +25,13 @@ def long_form(df: DataFrame, key: str, repeat: str) -> DataFrame:
     return df.select(key, F.posexplode_outer(repeat).alias("index", "__x")).select(key, (F.col("index") + 1).alias("index"), "__x.*")
 
 
+def long_rows(parents: DataFrame, instances: DataFrame, key: str, foreign: str, order: list[str], members: dict[str, str]) -> DataFrame:
+    """The same from instances that arrive as rows: numbered by ranges and joined, never gathered by submission. members: name: column."""
+    numbered_rows = numbers_within(instances.select(foreign, *dict.fromkeys([*order, *members.values()])), [foreign], order, "__index")
+    held = numbered_rows.select(F.col(foreign).alias("__of"), F.col("__index").cast("int").alias("index"), *[F.col(c).alias(m) for m, c in members.items()])
+    return parents.select(key).join(held, F.col(key) == F.col("__of"), "left").select(key, "index", *members)
+
+
 def wide_form(df: DataFrame, repeat: str, member: str, most: int) -> DataFrame:
     """Columns member_1 ... member_n in place of the array; no shuffle, since the array is at hand."""
     rest = [c for c in df.columns if c != repeat]

@@ -97,7 +97,8 @@ SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS "index", l_quantity F
 WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)
 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def repeat_long_form(spark, d):
-    return repeats.long_form(submissions(spark, d), "o_orderkey", "lines").select("o_orderkey", "index", "l_quantity")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return repeats.long_rows(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", order, {"l_quantity": "l_quantity"})
 
 
 @query("""

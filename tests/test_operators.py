@@ -296,3 +296,13 @@ def test_crosstab_totals_by_hand(spark):
     cell = got["a", "1.0"]
     assert (cell.n, round(cell.percent_row, 3), cell.percent_column, cell.percent_all) == (2, 66.667, 100.0, 50.0)
     assert (got["a", None].max, got[None, None].mean) == (2.0, 1.5)
+
+
+def test_long_rows_equal_the_exploded_arrays(spark):
+    """One submission with most of the rows, one with none, and instances of no submission."""
+    parents = spark.createDataFrame([(k,) for k in range(5)], "k int")
+    lines = spark.createDataFrame([(1 if j % 4 else j % 7, j % 5, j, f"t{j}") for j in range(200) if j % 7 != 3], "p int, o int, j int, t string").repartition(6)
+    nested = repeats.nest(parents, lines, "k", "p", ["o", "j"], {"t": "t"}, "rows")
+    want = sorted(map(tuple, repeats.long_form(nested, "k", "rows").collect()), key=str)
+    got = sorted(map(tuple, repeats.long_rows(parents, lines, "k", "p", ["o", "j"], {"t": "t"}).collect()), key=str)
+    assert got == want and (3, None, None) in got
