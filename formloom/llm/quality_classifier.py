@@ -45,9 +45,11 @@ from .arrow_io import bound_batches, map_rows
 
 CLASSES = ("clean", "junk", "toxic")
 ABSTAIN = 3
-BITS = 20
+BITS = 19
 #: Hashes of a word: itself, and its first three, four and five letters.
 STRIDE = 4
+#: Texts that the label model's start counts for.
+PRIOR = 20.0
 #: Parts of the reviewed rows; words remembered in a task; languages with words of their own.
 FOLDS, REMEMBERED, LANGUAGES = 4, 300_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -166,14 +168,17 @@ def packed(votes: Iterator[int]) -> int:
     return sum(v << 2 * k for k, v in enumerate(votes))
 
 
-def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fold: np.ndarray, ids: list, sure: float = 5.0, lift: float = 2.5, least: int = 4) -> Abuse:
+def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fold: np.ndarray, ids: list, sure: float = 6.0, lift: float = 2.5, least: int = 6) -> Abuse:
     """``rows``: the hashes of each text's words, STRIDE a word.
 
     A hash tells abuse if toxic rows have it ``lift`` times as often as by the
     share of toxic rows in their language, by ``sure`` standard errors, and
-    ``least`` of them do.
+    ``least`` of them do.  Rows of the same words count once, and where there
+    are too few examples for that, nothing is learnt.
     """
     size = 1 << BITS
+    first = np.zeros(len(rows), bool)
+    first[list({(g, c, zlib.crc32(r), len(r)): k for k, (g, c, r) in reversed([*enumerate(zip(lang, label, rows))])}.values())] = True
     groups = sorted(set(lang.tolist()), key=lambda g: -(lang == g).sum())
 
     def count(at: np.ndarray) -> np.ndarray:
@@ -185,7 +190,7 @@ def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fol
     seen, expected, spread = (np.zeros((FOLDS + 1, size), np.float32) for _ in range(3))
     for n, g in enumerate([*groups[:LANGUAGES], None]):
         here = lang == g if g is not None else ~np.isin(lang, groups[:LANGUAGES])
-        held = [[np.nonzero(here & (label == c) & (fold == f))[0] for f in range(FOLDS)] for c in (2, 0)]
+        held = [[np.nonzero(here & first & (label == c) & (fold == f))[0] for f in range(FOLDS)] for c in (2, 0)]
         toxic, clean = ([count(at) for at in x] for x in held)
         for f in range(FOLDS + 1):
             others = [k for k in range(FOLDS) if k != f]
@@ -209,11 +214,19 @@ def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fol
     return out
 
 
+def speaking(cast: np.ndarray, say: np.ndarray) -> np.ndarray:
+    """Who has a say on each pattern: those that ever vote, the reviewer where there is a review, the learnt ones where words were learnt."""
+    out = np.broadcast_to(say[None, :], cast.shape).copy()
+    out[:, -1] &= cast[:, -1] != ABSTAIN
+    learnt = slice(len(LABELLERS), len(LABELLERS) + len(LEARNT))
+    out[:, learnt] &= (cast[:, len(LABELLERS)] != ABSTAIN)[:, None]
+    return out
+
+
 def posteriors(patterns: np.ndarray, share: np.ndarray, vote: np.ndarray, say: np.ndarray) -> np.ndarray:
-    """Of each class for each pattern; ``say``: labellers that ever vote. Without a review the reviewer has no say."""
+    """Of each class for each pattern; ``say``: labellers that ever vote."""
     cast = patterns[:, None] >> 2 * np.arange(N_VOTES)[None, :] & 3
-    has_say = np.broadcast_to(say[None, :], cast.shape).copy()
-    has_say[:, -1] &= cast[:, -1] != ABSTAIN
+    has_say = speaking(cast, say)
     score = np.log(share)[None, :] + sum(np.log(vote[k][:, cast[:, k]]).T * has_say[:, k : k + 1] for k in range(N_VOTES))
     post = np.exp(score - score.max(axis=1, keepdims=True))
     return post / post.sum(axis=1, keepdims=True)
@@ -222,26 +235,29 @@ def posteriors(patterns: np.ndarray, share: np.ndarray, vote: np.ndarray, say: n
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class shares, each labeller's vote probabilities by class, and which labellers have a say.
 
-    The start says that a labeller is seldom wrong and often silent; what each
-    is worth, silence included, is then read off the patterns it had a say on.
+    The start says that a labeller is seldom wrong and often silent, and counts as
+    PRIOR texts of each class; what each is worth, silence included, is then read
+    off the patterns it had a say on.
     A labeller that never votes has no say, and a class that none votes for no share.
     """
     n_class = len(CLASSES)
     cast = patterns[:, None] >> 2 * np.arange(N_VOTES)[None, :] & 3
     say = (cast != ABSTAIN).any(axis=0)
     named = np.array([(cast == c).any() for c in range(n_class)])
-    vote = np.full((N_VOTES, n_class, 4), 0.02)
-    vote[:, np.arange(n_class), np.arange(n_class)] = 0.3
-    vote[:, :, ABSTAIN] = 1 - vote[:, :, :n_class].sum(axis=2)
+    has_say = speaking(cast, say)
+    first = np.full((N_VOTES, n_class, 4), 0.02)
+    first[:, np.arange(n_class), np.arange(n_class)] = 0.3
+    first[:, :, ABSTAIN] = 1 - first[:, :, :n_class].sum(axis=2)
+    first[-1] = 0.02
+    first[-1, np.arange(n_class), np.arange(n_class)] = 0.94
     only = lambda x: np.where(named, x, 1e-9) if named.any() else x
-    share = only(np.array([0.7, 0.15, 0.15]))
+    vote, begin = first, np.array([0.7, 0.15, 0.15])
+    share = only(begin)
     for _ in range(rounds):
         weight = posteriors(patterns, share / share.sum(), vote, say) * counts[:, None]
-        share = only((weight.sum(axis=0) + 1) / (weight.sum() + n_class))
-        for k in range(N_VOTES):
-            mine = cast[:, k] != ABSTAIN if k == N_VOTES - 1 else np.full(len(cast), say[k])
-            seen = np.stack([weight[(cast[:, k] == v) & mine].sum(axis=0) for v in range(4)], axis=1)
-            vote[k] = (seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 2)
+        share = only((weight.sum(axis=0) + PRIOR * begin) / (weight.sum() + PRIOR))
+        seen = np.stack([np.stack([weight[(cast[:, k] == v) & has_say[:, k]].sum(axis=0) for v in range(4)], axis=1) for k in range(N_VOTES)])
+        vote = (seen + PRIOR * first) / (seen.sum(axis=2, keepdims=True) + PRIOR)
     return share / share.sum(), vote, say
 
 
@@ -348,6 +364,13 @@ def _sample(texts: DataFrame, labels: DataFrame | None, train_rows: int) -> pa.T
     return map_rows(drawn, ["id", "lang", "text", "label"], hashed, "id string, lang string, label int, form bigint, at array<int>").toArrow()
 
 
+def _given_away(chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The rows of chunks, which go one by one."""
+    while chunks:
+        values, ends = chunks.pop(0)
+        yield from (values[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Scorer, dict]:
     """The scorer, and what the label model found: class shares and each labeller's vote probabilities.
 
@@ -362,13 +385,13 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
         label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
         labels = reviewed.select(reviewed[id_col].alias("id"), label.alias("label")).where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
     train = _sample(texts, labels, train_rows)
-    lists = train.column("at").combine_chunks()
-    values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if len(train) else (np.empty(0, np.int32), np.zeros(1, int))
-    rows = [values[a:b] for a, b in zip(ends, ends[1:])]
-    ids, label, form = (train.column(c).to_pylist() for c in ("id", "label", "form"))
+    chunks = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in train.column("at").chunks]
+    ids, label, form, langs = (train.column(c).to_pylist() for c in ("id", "label", "form", "lang"))
+    del train
+    rows = [values[a:b] for values, ends in chunks for a, b in zip(ends, ends[1:])]
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids], int)
     label = np.array(label, int)
-    abuse = learn_abuse(rows, label, np.array(train.column("lang").to_pylist(), object), fold, ids)
+    abuse = learn_abuse(rows, label, np.array(langs, object), fold, ids)
     shared = docs.sparkSession.sparkContext.broadcast(abuse)  # some thousand hashes, and train_rows ids
 
     def cast(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -387,14 +410,14 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
     patterns, counts = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))
     share, vote, say = em(patterns, counts)
 
-    own, cast_on = [], np.zeros(len(rows), np.int64)
-    for k, r in enumerate(rows):
+    del rows  # views; the driver holds one copy of the hashes
+    own, cast_on = [], np.zeros(len(ids), np.int64)
+    for k, r in enumerate(_given_away(chunks)):
         words, telling = r.reshape(-1, STRIDE).tolist(), abuse.words[fold[k]]
         learnt = abuse.votes(sum(not telling.isdisjoint(w) for w in words), sum(w[0] in telling for w in words), len(words), bool(telling))
         form_votes = [form[k] >> 2 * j & 3 for j in range(len(LABELLERS))]
         cast_on[k] = packed([*form_votes, *learnt, int(label[k])])
         own.append(np.unique(np.concatenate([r[r >= 0], np.array(against([*form_votes, *learnt]), np.int32)])))
-    del rows, values, lists, train  # the driver holds one copy of the hashes at a time
     target = posteriors(cast_on, share, vote, say) if own else np.zeros((0, len(CLASSES)))
     order = sorted(range(len(own)), key=lambda k: (own[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
     return Scorer(fit_linear([own[k] for k in order], target[order]), abuse), {"share": share, "vote": vote, "rate": abuse.rate}

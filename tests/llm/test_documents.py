@@ -494,13 +494,14 @@ def test_classifier_on_held_out_labels(spark):
 
 def plain_em(patterns, rounds):
     """The label model, a text at a time."""
-    k, classes = qc.N_VOTES, range(3)
+    k, classes, learnt, prior = qc.N_VOTES, range(3), len(qc.LABELLERS), qc.PRIOR
     cast = [[p >> 2 * j & 3 for j in range(k)] for p in patterns]
     say = [any(c[j] != 3 for c in cast) for j in range(k)]
-    votes = [[[0.02 if v != c else 0.3 for v in range(3)] + [1 - 0.34] for c in classes] for _ in range(k)]
-    share, named = [0.7, 0.15, 0.15], [any(c in row for row in cast) for c in classes]
-    share = [s if n else 1e-9 for s, n in zip(share, named)]
-    speaks = lambda row, j: say[j] and (j < k - 1 or row[j] != 3)
+    first = [[[0.02 if v != c else 0.3 for v in range(3)] + [1 - 0.34] for c in classes] for _ in range(k - 1)]
+    first.append([[0.94 if v == c else 0.02 for v in range(4)] for c in classes])
+    votes, begin, named = first, [0.7, 0.15, 0.15], [any(c in row for row in cast) for c in classes]
+    share = [s if n else 1e-9 for s, n in zip(begin, named)]
+    speaks = lambda row, j: say[j] and (row[j] != 3 if j == k - 1 else row[learnt] != 3 if j >= learnt else True)
     for turn in range(rounds + 1):
         share = [s / sum(share) for s in share]
         post = []
@@ -509,11 +510,12 @@ def plain_em(patterns, rounds):
             post.append([x / sum(p) for x in p])
         if turn == rounds:
             return share, post
-        share = [(sum(p[c] for p in post) + 1) / (len(cast) + 3) if named[c] else 1e-9 for c in classes]
+        share = [(sum(p[c] for p in post) + prior * begin[c]) / (len(cast) + prior) if named[c] else 1e-9 for c in classes]
+        new = []
         for j in range(k):
-            for c in classes:
-                seen = [sum(p[c] for p, row in zip(post, cast) if row[j] == v and speaks(row, j)) for v in range(4)]
-                votes[j][c] = [(x + 0.5) / (sum(seen) + 2) for x in seen]
+            seen = [[sum(p[c] for p, row in zip(post, cast) if row[j] == v and speaks(row, j)) for v in range(4)] for c in classes]
+            new.append([[(x + prior * f) / (sum(seen[c]) + prior) for x, f in zip(seen[c], first[j][c])] for c in classes])
+        votes = new
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
