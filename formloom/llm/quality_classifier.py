@@ -146,6 +146,8 @@ class Abuse:
             return (ABSTAIN,) * len(LEARNT)
         share = hits / max(1, n)
         toxic = lambda yes: 2 if yes else ABSTAIN
+        if hits == 1 and not whole and share >= self.rate:  # one beginning may be chance
+            return (ABSTAIN,) * len(LEARNT)
         return 2 if hits and share >= self.rate else 0, toxic(hits and share >= 2 * self.rate), toxic(whole and share >= self.rate / 2)
 
     def tells(self, fold: int = FOLDS) -> Telling:
