@@ -175,7 +175,7 @@ def patch_apply(spark, d):
         {"op": "delete_row", "sheet": "choices", "excel_row": 4}, {"op": "edit_row", "sheet": "choices", "excel_row": 5, "values": {"name": "EDITED", "label": None}}, {"op": "add_row", "sheet": "choices", "insert_before_excel_row": 7, "values": {"name": "NEW", "label": "9"}},
         {"op": "delete_row", "sheet": "choices", "excel_row": 10}, {"op": "add_row", "sheet": "choices", "values": {"name": "LAST", "note": "end"}}, {"op": "edit_row", "sheet": "choices", "excel_row": 6, "values": {"note": "seen"}},
     ]
-    new, _ = patches.apply(patches.Sheets(nested_sheet(spark), sheet, {}), batch)
+    new, _ = patches.apply(patches.Sheets(part_sheet(spark, d), sheet, {}), batch)
     return new.choices
 
 

@@ -3,14 +3,28 @@ from pyspark.sql import functions as F
 
 from formloom.convert import xlsforms
 from formloom.plans import explore, publish, rows
-from formloom.queries_forms import nested_sheet
 from formloom.rules import form_rules
 from formloom.sources.sheets import sheet_frame
 
+NESTED = [
+    {"type": "text", "name": "a"},
+    {"type": "begin group", "name": "g1", "relevance": "${a} = 'x'"},
+    {"type": "integer", "name": "b", "constraint": ". > 0"},
+    {"type": "begin repeat", "name": "r", "relevance": "${b} > 1"},
+    {"type": "decimal", "name": "c", "calculation": "${b} * 2 + ${ a }"},
+    {"type": "end repeat", "name": "r"},
+    {"type": "calculate", "name": "d", "calculation": "sum(${c}) + ${e}"},
+    {"type": "end group", "name": "g1"},
+    {"type": "calculate", "name": "e", "calculation": "${d} + ${missing}", "relevance": "selected(${a}, 'y')"},
+    {"type": "select_one yn", "name": "f", "choice_filter": "k = ${a}"},
+    {"type": "select_multiple gone", "name": "a", "label": "twice **bold**"},
+    {"type": "text", "name": "2nd", "label": "not safe"},
+]
+
 
 @pytest.fixture(scope="module")
 def sheet(spark):
-    return nested_sheet(spark).persist()
+    return sheet_frame(spark, [r | {"excel_row": k + 2} for k, r in enumerate(NESTED)]).persist()
 
 
 def test_row_kinds(sheet):
