@@ -213,3 +213,15 @@ def test_expression_rules_of_many_forms(spark):
         own = [{k: v for k, v in zip(names, r[1:]) if v is not None} for r in sorted(rows) if r[0] == f]
         want = form_rules.expression_rules(Form(own, [{"list_name": "l", "value": "1", "label": "One"}]))
         assert sorted(got.get(f, [])) == sorted(map(tuple, want))
+
+
+def test_expression_rules_of_many_forms_are_dealt_over_tasks(spark):
+    """Forms of few bytes stay dealt over all tasks; one without choices, one without rows and one without a name are forms of their own."""
+    from pyspark.sql import functions as F
+
+    survey = spark.range(2000).distinct().selectExpr("id form", "2 excel_row", "'text' type", "'t' name", "if(id % 2 = 0, 'random() > 1', null) relevance")
+    survey = survey.unionByName(spark.sql("SELECT CAST(null AS bigint) form, 3 excel_row, 'text' type, 't' name, '${gone} = 1' relevance"))
+    listed = spark.range(1, 2001).distinct().selectExpr("id form", "'l' list_name", "'1' value", "'One' label")
+    found = form_rules.expression_rules_of(survey, listed).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["form"] is None, r["form"] or 0, r["rule"]) for r in found) == [*((False, k, "VL14") for k in range(0, 2000, 2)), (True, 0, "VL06")]
+    assert len({r["task"] for r in found}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
