@@ -14,6 +14,7 @@ from ..operators.positions import numbers_within, running_sums
 from ..session import stored
 
 PAGE = 100  # fixed value: rows of a page at most
+GROUPED = 500_000  # rows that one task groups, on average
 SLOTS = ("relevance", "constraint", "calculation", "choice_filter")
 FULLTEXT = {"survey": ("name", "labels_concat_lower", "hints_concat_lower"), "choices": ("list_name", "value", "labels_concat_lower"), "settings": ("form_title", "form_id")}
 
@@ -192,27 +193,26 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ro
 def closure_of_all(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth) for every source: the least number of steps to all that it depends on, itself included where it lies on a cycle.
 
-    The relation is joined with itself: after k rounds it holds every path of up
-    to 2**k steps, so a chain of d steps takes log2(d) rounds. A path that is new
-    or shorter in a round is made of two of which one was new in the round
-    before, so only such pairs are joined.
+    Once all pairs of up to r steps are known, a pair of r + 1 to 2r steps is one
+    of exactly r and one of up to r, for its shortest path has a node r steps in.
+    So a chain of d steps takes log2(d) rounds, each path of it is made once, and
+    what is known stays as it is. Pairs are grouped by as many tasks as there are
+    ``GROUPED`` of them, whatever their bytes.
     """
     known = stored(edges.select(F.col("source").alias("seed"), F.col("target").alias("node")).distinct().withColumn("depth", F.lit(1)), "reach")
-    new, reached = known, 1
+    least, reached = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
     while max_depth is None or reached < max_depth:
-        heads = known.select("seed", F.col("node").alias("by"), F.col("depth").alias("d1"))
-        tails = lambda r: r.select(F.col("seed").alias("by"), "node", F.col("depth").alias("d2"))
-        fresh = new.select("seed", F.col("node").alias("by"), F.col("depth").alias("d1"))
-        paths = heads.join(tails(new), "by").unionByName(fresh.join(tails(known), "by"))
-        paths = paths.select("seed", "node", (F.col("d1") + F.col("d2")).alias("depth"))
+        heads = known.where(F.col("depth") == reached).select("seed", F.col("node").alias("by"))
+        if heads.isEmpty():
+            break
+        tails = known.select(F.col("seed").alias("by"), "node", (F.col("depth") + reached).alias("depth"))
+        paths = heads.join(tails, "by").select("seed", "node", "depth")
         if max_depth is not None:
             paths = paths.where(F.col("depth") <= max_depth)
-        old = known.select("seed", "node", F.col("depth").alias("was"))
-        found = stored(paths.groupBy("seed", "node").agg(F.min("depth").alias("depth")).join(old, ["seed", "node"], "left").where("was is null or depth < was"), "reach")
-        if found.isEmpty():
-            break
-        new = found.drop("was")
-        known = stored(known.unionByName(new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), "reach")
+        tasks = max(least, 2 * known.count() // GROUPED)  # known and, where paths meet little, as many new
+        both = known.unionByName(paths).repartition(tasks, "seed", "node")
+        found = both.groupBy("seed", "node").agg(F.min("depth").alias("depth")).where(F.col("depth") > reached)
+        known = known.unionByName(stored(found, "reach"))
         reached *= 2
     return known
 

@@ -1,6 +1,7 @@
 """Positions, intervals, closures and pages against brute force, and that no task sees all rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,27 @@ def test_closure_of_all_by_hand(spark, most):
     assert {tuple(r) for r in rows.closure_of_all(df, most).collect()} == want
 
 
+def test_closure_of_all_makes_each_path_of_a_chain_once(spark, monkeypatch):
+    """What a round groups is the known pairs and the new ones, in as many tasks as their number asks for."""
+    grouped, real = [], rows.stored
+
+    def stored(df, what):
+        grouped.append(re.findall(r"hashpartitioning\(seed#\d+, node#\d+, (\d+)\), REPARTITION_BY_NUM", plan_of(df)))
+        out = real(df, what)
+        counts.append(out.count())
+        return out
+
+    counts = []
+    monkeypatch.setattr(rows, "stored", stored)
+    monkeypatch.setattr(rows, "GROUPED", 20)
+    edges = spark.createDataFrame([(f"a{k}", f"a{k + 1}") for k in range(50)], "source string, target string")
+    got = {tuple(r) for r in rows.closure_of_all(edges).collect()}
+    assert got == {(f"a{i}", f"a{j}", j - i) for i in range(50) for j in range(i + 1, 51)}
+    assert sum(counts) == len(got) and len(counts) == 7  # no pair is stored twice, and no round is run for nothing
+    known = [sum(counts[:k]) for k in range(1, 7)]
+    assert [int(g[0]) for g in grouped[1:]] == [max(4, 2 * n // 20) for n in known]
+
+
 def test_pages_are_those_of_the_query(spark):
     rng = random.Random(3)
     sheet = sheet_frame(spark, [{"excel_row": k + 2, "name": rng.choice(["x", "y", None]), "label": str(rng.randrange(9))} for k in range(300)])
