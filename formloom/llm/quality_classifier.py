@@ -268,9 +268,11 @@ def against(votes: list[int]) -> list[int]:
     return [zlib.crc32(f"={name}{v}!".encode()) & ((1 << BITS) - 1) for name, v in zip(NAMES, votes) if v in (1, 2)]
 
 
-def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0) -> np.ndarray:
-    """Log-odds of each hash for each class against the first, where above none by ``sure`` standard errors; else zero.
+def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0, least: float = 6.0) -> np.ndarray:
+    """Log-odds of each hash for each class against the first, where above none by ``sure`` standard errors and ``least`` texts of the class have it; else zero.
 
+    Shares of a class start from those of all texts, which count as PRIOR texts of
+    it: of a class that hardly any text is of, nothing is known, so nothing tells it.
     Words found alike in all classes would only drown the few that tell, the
     more so the longer the text, and so would words that speak for clean.
     """
@@ -281,10 +283,12 @@ def telling(rows: list[np.ndarray], target: np.ndarray, sure: float = 4.0) -> np
         at = np.concatenate([rows[r] for r in part])
         n += np.stack([np.bincount(at, target[of, c], size) for c in range(k)], axis=1)
     total = target.sum(axis=0)
-    odds = np.log((n + 0.5) / (total - n + 0.5 + 1e-9 * size).clip(0.5))
+    pooled = n.sum(axis=1, keepdims=True) / total.sum()
+    share = ((n + PRIOR * pooled) / (total + PRIOR)).clip(1e-9, 1 - 1e-6)
+    odds = np.log(share / (1 - share))
     error = np.sqrt(1 / (n + 0.5) + 1 / (n[:, :1] + 0.5))
     lift = odds - odds[:, :1]
-    return np.where(lift > sure * error, lift, 0.0)
+    return np.where((lift > sure * error) & (n >= least), lift, 0.0)
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.05) -> np.ndarray:

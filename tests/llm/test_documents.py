@@ -548,6 +548,38 @@ def test_abuse_is_learnt_without_the_rows_it_is_voted_on():
     assert 0 < abuse.rate < 2 / 30 and abuse.folds[5] == 1
 
 
+@pytest.mark.parametrize("junk", [0, 1, 3])
+def test_what_hardly_any_text_shows_is_told_by_nothing(junk):
+    """Rare words of clean texts don't tell junk where there are next to no junk texts, as behind the rules; a word of six junk texts does."""
+    rng = random.Random(4)
+    texts = [{f"w{int(30_000 * rng.random() ** 2)}" for _ in range(60)} for _ in range(4000 + junk)]
+    rows = [np.unique([qc.zlib.crc32(w.encode()) & ((1 << qc.BITS) - 1) for w in t]).astype(np.int32) for t in texts]
+    target = np.tile([1 - 1e-6, 1e-6, 0.0], (len(rows), 1))
+    target[4000:] = [0.02, 0.98, 0.0]
+    assert not qc.telling(rows, target).any()
+    weight = qc.fit_linear(rows, target)
+    logit = np.array([weight[r].sum(axis=0) + weight[-1] for r in rows[:4000]])
+    assert (logit.argmax(axis=1) == 0).all()
+    told = np.int32(7)
+    more, seen = [np.union1d(r, [told]) for r in rows[:8]], np.tile([0.02, 0.98, 0.0], (8, 1))
+    assert set(np.nonzero(qc.telling([*rows[8:], *more], np.concatenate([target[8:], seen])).any(axis=1))[0]) == {7}
+
+
+def test_clean_rows_stay_where_the_rules_took_the_junk(spark):
+    """Two junk rows are left, and long texts with rare words: clean rows stay, and toxic ones go."""
+    rng = random.Random(5)
+    rare = ["".join("abcdefghiklm"[rng.randrange(12)] for _ in range(7)) for _ in range(20_000)]
+    docs, labels = [], []
+    for k in range(6000):
+        toxic = k % 8 == 0
+        words = [rare[int(20_000 * rng.random() ** 3)] for _ in range(100)]
+        docs.append((k, " ".join([*words, "vile", "wretch"] if toxic else words), "en"))
+        labels.append((k, int(k not in (11, 3333)), int(toxic)))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(4)
+    kept = {r["doc_id"] for r in qc.quality_kept(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).select("doc_id").collect()}
+    assert len([k for k in kept if k % 8]) > 0.99 * 5250 and not any(k % 8 == 0 for k in kept)
+
+
 def test_classifier_in_every_language(spark):
     """Toxic rows kept and clean rows kept, held out, where some 25 examples of a language or more are there to learn from."""
     folder = "/root/testdata/sf0.1"
