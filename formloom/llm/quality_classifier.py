@@ -170,17 +170,29 @@ def packed(votes: Iterator[int]) -> int:
     return sum(v << 2 * k for k, v in enumerate(votes))
 
 
-def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fold: np.ndarray, ids: list, sure: float = 6.0, lift: float = 2.5, least: int = 6) -> Abuse:
+def once(rows: list[np.ndarray], kinds: list) -> np.ndarray:
+    """Which rows to count: of those of a kind that share nearly all words, linked by six least hashes at once, the first; ``rows`` as in ``learn_abuse``."""
+    turns = np.random.default_rng(1)
+    times = [(turns.integers(1 << 31, size=6, dtype=np.uint32) * 2 + 1, turns.integers(1 << 31, size=6, dtype=np.uint32)) for _ in range(6)]
+    out, seen = np.zeros(len(rows), bool), set()
+    for k in sorted(range(len(rows)), key=lambda k: rows[k].tobytes()):  # whatever the order they came in
+        w = rows[k][::STRIDE].astype(np.uint32)
+        keys = {(kinds[k], j, (w[:, None] * a + b).min(axis=0).tobytes() if len(w) else b"") for j, (a, b) in enumerate(times)}
+        out[k] = seen.isdisjoint(keys)
+        seen |= keys
+    return out
+
+
+def learn_abuse(rows: list[np.ndarray], label: np.ndarray, lang: np.ndarray, fold: np.ndarray, ids: list, first: np.ndarray | None = None, sure: float = 6.0, lift: float = 2.5, least: int = 6) -> Abuse:
     """``rows``: the hashes of each text's words, STRIDE a word.
 
     A hash tells abuse if toxic rows have it ``lift`` times as often as by the
     share of toxic rows in their language, by ``sure`` standard errors, and
-    ``least`` of them do.  Rows of the same words count once, and where there
-    are too few examples for that, nothing is learnt.
+    ``least`` of them do.  Rows of nearly the same words count once (``first``), and
+    where there are too few examples for that, nothing is learnt.
     """
     size = 1 << BITS
-    first = np.zeros(len(rows), bool)
-    first[list({(g, c, zlib.crc32(r), len(r)): k for k, (g, c, r) in reversed([*enumerate(zip(lang, label, rows))])}.values())] = True
+    first = once(rows, list(zip(lang, label))) if first is None else first
     groups = sorted(set(lang.tolist()), key=lambda g: -(lang == g).sum())
 
     def count(at: np.ndarray) -> np.ndarray:
@@ -397,7 +409,8 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
     rows = [values[a:b] for values, ends in chunks for a, b in zip(ends, ends[1:])]
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids], int)
     label = np.array(label, int)
-    abuse = learn_abuse(rows, label, np.array(langs, object), fold, ids)
+    first = once(rows, list(zip(langs, label.tolist())))  # copies would make all words of a text tell
+    abuse = learn_abuse(rows, label, np.array(langs, object), fold, ids, first)
     shared = docs.sparkSession.sparkContext.broadcast(abuse)  # some thousand hashes, and train_rows ids
 
     def cast(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -425,7 +438,7 @@ def fit(docs: DataFrame, reviewed: DataFrame | None = None, train_rows: int = 20
         cast_on[k] = packed([*form_votes, *learnt, int(label[k])])
         own.append(np.unique(np.concatenate([r[r >= 0], np.array(against([*form_votes, *learnt]), np.int32)])))
     target = posteriors(cast_on, share, vote, say) if own else np.zeros((0, len(CLASSES)))
-    order = sorted(range(len(own)), key=lambda k: (own[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
+    order = sorted(np.nonzero(first)[0].tolist(), key=lambda k: (own[k].tobytes(), target[k].tobytes()))  # whatever the order they came in
     return Scorer(fit_linear([own[k] for k in order], target[order]), abuse), {"share": share, "vote": vote, "rate": abuse.rate}
 
 

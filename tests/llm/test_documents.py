@@ -580,6 +580,19 @@ def test_clean_rows_stay_where_the_rules_took_the_junk(spark):
     assert len([k for k in kept if k % 8]) > 0.99 * 5250 and not any(k % 8 == 0 for k in kept)
 
 
+def test_near_copies_of_one_toxic_text_teach_once():
+    """Forty near copies of a toxic text make its word of abuse tell, which other toxic texts have, and no other word of it."""
+    rng = random.Random(6)
+    one = [f"only{k}" for k in range(60)]
+    texts = [({f"w{rng.randrange(2000)}" for _ in range(60)} | ({"vile"} if k % 8 == 0 else set()), 2 if k % 8 == 0 else 0) for k in range(800)]
+    texts += [({*one[: k % 60], *one[k % 60 + 1 :], f"w{k}", "vile"}, 2) for k in range(40)]
+    rows = [np.array([h for w in sorted(t) for h in qc.word_hashes(w)], np.int32) for t, _ in texts]
+    n = len(rows)
+    abuse = qc.learn_abuse(rows, np.array([c for _, c in texts]), np.array(["en"] * n, object), np.arange(n) // 8 % 4, list(range(n)))
+    assert all(qc.word_hashes("vile")[0] in w for w in abuse.words)
+    assert not any(w & {h for x in one for h in qc.word_hashes(x)} for w in abuse.words)
+
+
 def test_classifier_in_every_language(spark):
     """Toxic rows kept and clean rows kept, held out, where some 25 examples of a language or more are there to learn from."""
     folder = "/root/testdata/sf0.1"
